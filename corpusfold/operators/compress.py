@@ -2,7 +2,7 @@
 
 Files are split by syntax family. Web templates stay in JVM expressions; code and configuration need
 per-text state and go through one Arrow UDF; Markdown and Objective-C run as window queries over
-lines. Each branch filters on the extension, so a corpus laid out by ``kind`` is read once.
+lines. Each branch filters on the syntax family; a corpus laid out by it is read once in all.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from corpusfold.functions import code_outline, config_outline, langs, paths, tex
 from corpusfold.functions.tokens import Counter
 from corpusfold.operators import lines as L
 from corpusfold.operators import markdown, objc, web
-from corpusfold.session import ship_package
+from corpusfold.session import ship_package, stage
 
+KIND = "kind"
 _VARIANTS = ("skeleton", "tree_map")
 
 
@@ -87,12 +88,20 @@ def templates(files: DataFrame, counter: Counter) -> DataFrame:
     )
 
 
+def layout(files: DataFrame) -> DataFrame:
+    """Stage a corpus partitioned by syntax family, so that each branch below reads only its own files."""
+    if KIND in files.columns:
+        return files
+    return stage(files.withColumn(KIND, F.coalesce(paths.syntax(F.col("path")), F.lit("none"))), "corpus", partition_by=KIND)
+
+
 def compress(files: DataFrame, counter: Counter) -> DataFrame:
     """Adds full, skeleton and tree_map to files (path, content, ...)."""
-    family = paths.syntax(F.col("path"))
+    family = F.col(KIND) if KIND in files.columns else paths.syntax(F.col("path"))
+    columns = [name for name in files.columns if name != KIND]
 
     def of(*kinds: str) -> DataFrame:
-        return files.filter(family.isin(*kinds))
+        return files.filter(family.isin(*kinds)).select(*columns)
 
     branches = [
         code(of(*langs.CODE_SYNTAXES)),

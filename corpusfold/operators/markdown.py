@@ -98,25 +98,31 @@ def skeleton_lines(files: DataFrame, counter: Counter, key: str = "path", conten
     )
     t = t.withColumn("run_size", F.count(F.lit(1)).over(W.partitionBy(key, "run")))
 
-    short_line = counter.truncate(F.col("line"), langs.LINE_TOKEN_LIMIT)
+    # decide first what a line becomes, so that texts are shortened once and only where they show
     body_nth = F.col("pos") - F.col("fence_pos")
     nth = F.col("pos") - F.col("run_pos") + 1
-    shown = (
-        F.when(F.col("kind").isin("fence_open", "fence_close"), F.col("line"))
+    linked = (F.col("kind") == "prose") & _has_link(F.col("line"))
+    action = (
+        F.when(F.col("kind").isin("fence_open", "fence_close"), F.lit("as is"))
         .when(
             F.col("kind") == "fence_body",
-            F.when(body_nth <= FENCE_LINES, short_line).when(body_nth == FENCE_LINES + 1, F.lit("...")),
+            F.when(body_nth <= FENCE_LINES, F.lit("short")).when(body_nth == FENCE_LINES + 1, F.lit("...")),
         )
-        .when(in_run, L.sampled(short_line, nth, F.col("run_size")))
-        .when((F.col("kind") == "heading") | summary | ((F.col("kind") == "prose") & _has_link(F.col("line"))), short_line)
+        .when(in_run, L.sampled(F.lit("short"), nth, F.col("run_size")))
+        .when((F.col("kind") == "heading") | summary | linked, F.lit("short"))
     )
     unknown_open = (F.col("kind") == "fence_open") & ~F.col("fence_known")
+    places = F.when(unknown_open, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    shown = (
+        F.when((F.col("action") == "...") | (F.col("sub") == 1), F.lit("..."))
+        .when(F.col("action") == "short", counter.truncate(F.col("line"), langs.LINE_TOKEN_LIMIT))
+        .otherwise(F.col("line"))
+    )
     emitted = (
-        t.select(key, "pos", F.when(unknown_open, F.array(shown, F.lit("..."))).otherwise(F.array(shown)).alias("out"))
-        .select(key, "pos", F.posexplode("out").alias("sub", "line"))
-        .filter(F.col("line").isNotNull())
-        .withColumn("ord", F.col("pos") * 2 + F.col("sub"))
-        .drop("pos", "sub")
+        t.select(key, "pos", "line", action.alias("action"), places.alias("places"))
+        .filter(F.col("action").isNotNull())
+        .select(key, "pos", "line", "action", F.explode("places").alias("sub"))
+        .select(key, (F.col("pos") * 2 + F.col("sub")).alias("ord"), shown.alias("line"))
     )
     unique = L.drop_repeats(emitted, [key], "ord")
     return (

@@ -17,7 +17,7 @@ _PART = "_part"
 
 
 def running_totals(df: DataFrame, order: Column, totals: dict[str, Column]) -> DataFrame:
-    """Add inclusive running sums of ``totals`` along ``order`` (a unique sort key)."""
+    """Inclusive running sums of ``totals`` along ``order`` (a unique sort key), next to the other columns."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # staged, because range boundaries are sampled: every later pass must see the same partition numbers
@@ -39,6 +39,6 @@ def running_totals(df: DataFrame, order: Column, totals: dict[str, Column]) -> D
     )
     # at most one row per shuffle partition, so the broadcast cannot grow with the data
     return summed.join(F.broadcast(offsets), _PART).select(
-        *df.columns,
+        *[name for name in df.columns if name not in totals],
         *[(F.col(f"_in_{name}") + F.col(f"_off_{name}")).alias(name) for name in totals],
     )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusfold.functions import paths
 from corpusfold.functions.tokens import counter_for
 from corpusfold.operators import budget, delta, render, rollup
-from corpusfold.operators.compress import compress
+from corpusfold.operators.compress import compress, layout
 from corpusfold.options import ContextOptions, check_delta_options
 from corpusfold.session import stage
 from corpusfold.sources import git, repo, state
@@ -102,7 +102,7 @@ def with_variants(files: DataFrame, options: ContextOptions, snapshot: state.Sna
     if snapshot is None or snapshot.selection is None:
         return compress(files, counter).drop("content")
     hits, misses = state.read_through(files, snapshot)
-    return hits.unionByName(compress(misses, counter).drop("content"))
+    return hits.drop("kind").unionByName(compress(misses, counter).drop("content"))
 
 
 def counted(variants: DataFrame, options: ContextOptions) -> DataFrame:
@@ -241,7 +241,8 @@ def build_context(
 ) -> Context:
     """Run the plan over selected files (path, abs_path, size, mtime_ns, content)."""
     base = baseline or Baseline(snapshot=snapshot)
-    files = corpus
+    corpus = layout(corpus)
+    files = corpus.drop("kind")
     if base.directory is not None:
         files = files.withColumn("digest", delta.digest(F.col("content")))
     narrow = classify(files.drop("content"), options, base)
@@ -255,7 +256,9 @@ def build_context(
             raise EmptySelection(message)
         warnings.append(message)
 
-    included = variants.join(deltas.filter("included").select("path"), "path", "left_semi")
+    included = variants
+    if options.incremental or base.directory is not None or base.changes is not None:
+        included = variants.join(deltas.filter("included").select("path"), "path", "left_semi")
     meta = render.Metadata(
         generated_at if generated_at is not None else str(int(time.time())), root, options.max_tokens, options.level
     )

@@ -34,9 +34,10 @@ def ship_package(spark: SparkSession) -> None:
     if _shipped.get(context.applicationId):
         return
     source = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(f"{folder}/{source.name}", "zip", source.parent, source.name)
-        context.addPyFile(archive)
+    # tasks may fetch the archive at any time, so it stays until the driver ends
+    folder = tempfile.mkdtemp(prefix="corpusfold-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{source.name}", "zip", source.parent, source.name))
     _shipped[context.applicationId] = True
 
 
@@ -69,7 +70,8 @@ def stage(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataF
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    staged = spark.read.schema(df.schema).parquet(target)
+    return staged.select(*df.columns)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -182,20 +182,17 @@ def _filled(template: str, columns: dict) -> list:
     return [F.lit(p) if isinstance(p, str) else p for p in parts if not (isinstance(p, str) and p == "")]
 
 
+def _numbered(template: str):
+    return lambda i: F.concat(*_filled(template, {"{i}": i.cast("string")}))
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files in six languages: path, content."""
     key = F.col("c_custkey").cast("string")
     content = path = None
     for n, (_, (ext, import_line, source, _, _)) in enumerate(CODE.items()):
-        before, after = import_line.split("{i}", 1)
         imports = F.array_join(
-            F.transform(
-                F.sequence(F.lit(1), F.col("c_nationkey").cast("int") % 9 + 1),
-                lambda i, b=before, a=after: F.concat(
-                    *_filled(b + "{i}" + a, {"{i}": i.cast("string")})
-                ),
-            ),
-            "\n",
+            F.transform(F.sequence(F.lit(1), F.col("c_nationkey").cast("int") % 9 + 1), _numbered(import_line)), "\n"
         )
         text = F.concat(*_filled(source, {"{imports}": imports, "{k}": key, "{m}": F.col("c_mktsegment")}))
         name = F.concat(F.lit("src/"), F.lower("c_mktsegment"), F.lit("/c"), key, F.lit("." + ext))

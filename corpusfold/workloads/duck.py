@@ -248,7 +248,7 @@ def config_outlines() -> str:
         0: "'\"name\": \"part-' || p_partkey || '\",' || chr(10) || '\"description\": \"' || p_name || '\",' || chr(10) || '\"files\": [' || chr(10) || "
         + js_list + " || chr(10) || '\"fixtures\": {' || chr(10) || '\"scripts\": {' || chr(10) || '\"build\": \"make ' || p_type || '\"'",
         1: "'# ' || p_name || chr(10) || '[package]' || chr(10) || 'name = \"part-' || p_partkey || '\"' || chr(10) || '[features]' || chr(10) || 'default = [' || chr(10) || "
-        + js_list,
+        + js_list + " || chr(10) || '[lints.rust]' || chr(10) || 'unsafe = \"' || p_brand || '\"'",
         2: "'name: ' || p_name || chr(10) || 'on:' || chr(10) || 'push:' || chr(10) || 'jobs:' || chr(10) || 'build:' || chr(10) || 'steps:' || chr(10) || "
         + yaml_list + " || chr(10) || 'metadata:' || chr(10) || '...'",
     }

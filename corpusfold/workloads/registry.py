@@ -223,9 +223,13 @@ def map_only(spark, sf):
 _MDV = f"{duck.MARKDOWN}, {duck.MARKDOWN_VARIANTS}, {duck.MD_COUNTS}"
 
 
+def _md_variants(spark, sf) -> DataFrame:
+    return markdown.compress(corpora.markdown(spark, sf), NATIVE).withColumnRenamed("content", "full")
+
+
 def _md_counts(spark, sf) -> DataFrame:
     """Staged narrow table (path, t1, t2, t3) of the Markdown corpus."""
-    variants = compress.compress(corpora.markdown(spark, sf), NATIVE)
+    variants = _md_variants(spark, sf)
     return stage(
         variants.select("path", *[NATIVE.count(F.col(v)).alias(f"t{n}") for n, v in enumerate(("full", "skeleton", "tree_map"), 1)]),
         "md-counts",
@@ -259,7 +263,7 @@ def budget_levels_from_skeleton(spark, sf):
     "FROM mc JOIN mv ON mv.path = mc.path"
 )
 def cap_levels(spark, sf):
-    variants = compress.compress(corpora.markdown(spark, sf), NATIVE).drop("content")
+    variants = _md_variants(spark, sf)
     options = ContextOptions(tokenizer="native", level=1, max_file_tokens=90)
     files = context.counted(variants, options)
     shown = budget.visible(F.col("level"), F.col("full"), F.col("skeleton"), F.col("tree_map"))
@@ -565,6 +569,20 @@ def config_outline(spark, sf):
     return compress.config(corpora.config(spark, sf), NATIVE).select("path", "skeleton", "tree_map")
 
 
+@query(
+    f"WITH RECURSIVE {duck.MARKDOWN}, {duck.MARKDOWN_VARIANTS}, {duck.objc_outlines()}, {duck.PAGES}, {duck.code_outlines()}, {duck.config_outlines()} "
+    "SELECT path, skeleton, tree_map FROM mv UNION ALL SELECT path, skeleton, tree_map FROM ov UNION ALL SELECT path, outline, outline FROM conf "
+    f"UNION ALL SELECT path, skeleton, tree_map FROM code UNION ALL SELECT path, {_web_sql(160)}, {_web_sql(80)} FROM pg"
+)
+def compress_corpus(spark, sf):
+    """One corpus of all syntax families through the dispatcher."""
+    corpus = None
+    for part in (corpora.markdown, corpora.objc, corpora.pages, corpora.code, corpora.config):
+        files = part(spark, sf).select("path", "content")
+        corpus = files if corpus is None else corpus.unionByName(files)
+    return compress.compress(compress.layout(corpus), NATIVE).select("path", "skeleton", "tree_map")
+
+
 _KEYS = (
     "keys AS (SELECT doc_id, lower(source) || CASE doc_id % 6 WHEN 0 THEN '.name' WHEN 1 THEN '-scripts' WHEN 2 THEN 'version' "
     "WHEN 3 THEN '' ELSE '.x' END AS a, ['profile.release','target.x','name','bin','package.metadata.docs','dev-dependencies','nam'][CAST(doc_id % 7 + 1 AS INT)] AS b FROM documents)"
@@ -737,9 +755,9 @@ _FIT_SHARE = 0.8
 
 @query(
     f"WITH RECURSIVE {_MDV}, fx AS (SELECT {duck.tokens(_FIT_FIXED)} AS fixed), "
-    f"fc AS (SELECT mc.path, t1, t2, t3, {_fit_cost('1', 't1', chr(34) + 'full' + chr(34)).replace('path', 'mc.path')} AS r1, "
-    f"{_fit_cost('2', 't2', 'skeleton').replace('path', 'mc.path')} AS r2, {_fit_cost('3', 't3', 'tree_map').replace('path', 'mc.path')} AS r3, "
-    f"{_fit_cost('1', '0', chr(39) * 2).replace('path', 'mc.path')} AS r0 FROM mc JOIN mv ON mv.path = mc.path), "
+    f"fc AS (SELECT path, t1, t2, t3, {_fit_cost('1', 't1', chr(34) + 'full' + chr(34))} AS r1, "
+    f"{_fit_cost('2', 't2', 'skeleton')} AS r2, {_fit_cost('3', 't3', 'tree_map')} AS r3, "
+    f"{_fit_cost('1', '0', chr(39) * 2)} AS r0 FROM mc JOIN mv USING (path)), "
     f"lim AS (SELECT CAST(floor(sum(t1) * {_FIT_SHARE}) AS BIGINT) AS lim, sum(t1) AS content, sum(r1) + max(fixed) AS doc, "
     f"greatest(CAST(floor(sum(t1) * {_FIT_SHARE}) AS BIGINT) - sum(r0) - max(fixed), 0) AS budget FROM fc CROSS JOIN fx), "
     f"st AS (SELECT path, 1 AS step, t1 - t2 AS d, r1 - r2 AS rd, {{'s': {duck.leaf('path')} + t1 - {duck.priority('path')}, 't': t1, 'p': path}} AS eff FROM fc UNION ALL "
@@ -756,7 +774,7 @@ _FIT_SHARE = 0.8
 )
 def fit_document(spark, sf):
     """Levels once the whole XML document, not only its contents, fits the limit."""
-    variants = stage(compress.compress(corpora.markdown(spark, sf), NATIVE).drop("content"), "md-variants")
+    variants = stage(_md_variants(spark, sf), "md-variants")
     total = variants.agg(F.sum(NATIVE.count(F.col("full"))).alias("n")).first().n
     options = ContextOptions(tokenizer="native", level=1, max_tokens=int(total * _FIT_SHARE))
     none = spark.createDataFrame([], "path string")
@@ -778,7 +796,7 @@ def map_readback(spark, sf):
     return reports.map_rows(entries, "entry")
 
 
-@query(f"WITH {_PAGE_FILES} SELECT path, lpad(CAST(tokens AS VARCHAR), greatest(5, length(CAST(tokens AS VARCHAR))), ' ') || '  L' || level || '  ' || path AS line FROM pf")
+@query(f"WITH {_PAGE_FILES} SELECT path, lpad(CAST(tokens AS VARCHAR), CAST(greatest(5, length(CAST(tokens AS VARCHAR))) AS INT), ' ') || '  L' || level || '  ' || path AS line FROM pf")
 def map_lines(spark, sf):
     return _page_files(spark, sf).select("path", reports.map_line(F.col("path"), F.col("level"), F.col("tokens")).alias("line"))
 
