@@ -16,12 +16,23 @@ from corpusfold.functions.tokens import Counter
 HEAD, TAIL, SAMPLE_OVER = 10, 4, 14
 
 
-def explode_lines(df: DataFrame, key: list[str], content: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (key, keep, pos, line); a file without lines yields no row."""
+def explode_lines(
+    df: DataFrame, key: list[str], content: str, keep: tuple[str, ...] = (), *, trimmed: bool = False
+) -> DataFrame:
+    """Rows (key, keep, pos, line); a file without lines yields no row.
+
+    Trimming happens in front of the explode: as a generator output the trimmed line is computed
+    once, whereas a later filter would pull the trim into every one of its tests.
+    """
+    # a fixed partition count: exploded lines cost far more than the bytes that adaptive merging looks at
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = text.lines(F.col(content))
+    if trimmed:
+        items = F.transform(items, text.trim)
     return (
         df.select(*key, *keep, content)
-        .repartition(*key)
-        .select(*key, *keep, F.posexplode(text.lines(F.col(content))).alias("pos", "line"))
+        .repartition(parts, *key)
+        .select(*key, *keep, F.posexplode(items).alias("pos", "line"))
     )
 
 
@@ -42,8 +53,8 @@ def drop_repeats(df: DataFrame, key: list[str], order: str = "pos", line: str =
     return df.withColumn("_before", before).filter(~F.col(line).eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def import_like(line: Column, syntax: Column) -> Column:
-    bare = text.trim(line)
+def import_like(bare: Column, syntax: Column) -> Column:
+    """Whether a trimmed line counts as an import in its syntax family."""
     test = F.lit(False)
     for family, prefixes in langs.IMPORT_PREFIXES.items():
         test = F.when(syntax == family, text.starts_with_any(bare, prefixes)).otherwise(test)
@@ -110,9 +121,9 @@ def collapse_imports(lines: DataFrame, key: list[str], order: str = "pos") -> Da
     """Both import rules on a line table that carries a ``syntax`` column."""
     grouped = collapse_import_groups(lines.filter(F.col("syntax") == "go"), key, order)
     plain = lines.filter(F.col("syntax") != "go").withColumn("in_group", F.lit(False))
-    both = grouped.unionByName(plain)
-    flag = import_like(F.col("line"), F.col("syntax")) & ~F.col("in_group") & (text.trim(F.col("line")) != "import (")
-    return collapse_runs(both, key, flag, order).drop("in_group")
+    both = grouped.unionByName(plain).withColumn("_bare", text.trim(F.col("line")))
+    flag = import_like(F.col("_bare"), F.col("syntax")) & ~F.col("in_group") & (F.col("_bare") != "import (")
+    return collapse_runs(both, key, flag, order).drop("in_group", "_bare")
 
 
 def sample_runs(df: DataFrame, key: list[str], order: str = "pos") -> DataFrame:

@@ -64,7 +64,7 @@ def skeleton_lines(files: DataFrame, counter: Counter, key: str = "path", conten
     """Rows (key, ord, line) of every skeleton, already deduplicated and limited."""
     by = L.in_order([key])
     so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = L.explode_lines(files, [key], content).withColumn("line", text.trim(F.col("line")))
+    t = L.explode_lines(files, [key], content, trimmed=True)
     t = t.withColumn("fence", _is_fence(F.col("line")))
     t = t.withColumn("fences", F.count_if("fence").over(so_far))
     t = t.withColumn("open", F.col("fences") % 2 == 1)
@@ -147,8 +147,7 @@ def compress(files: DataFrame, counter: Counter) -> DataFrame:
     skeletons = L.rejoin(skeleton_lines(files, counter), ["path"], "ord", "_skeleton")
     fallback = text.join_lines(L.first_lines(text.lines(F.col("content")), counter, SKELETON_FALLBACK))
     return (
-        files.repartition("path")
-        .join(skeletons, "path", "left")
+        files.join(skeletons, "path", "left")
         .withColumn("skeleton", F.coalesce(F.col("_skeleton"), fallback))
         .withColumn("tree_map", tree_map(F.col("content"), counter))
         .drop("_skeleton")

@@ -25,7 +25,8 @@ def brace_delta(line: Column) -> Column:
 def _kept(line: Column) -> Column:
     directive = text.starts_with_any(line, langs.OBJC_DIRECTIVES)
     method = text.starts_with_any(line, ("- ", "+ ", "-(", "+(")) & F.contains(line, F.lit(")"))
-    word = F.regexp_extract(line, f"^[^<:{text.WHITESPACE}]*", 0)
+    breaks = "<:" + text.WHITESPACE
+    word = F.substring_index(F.translate(line, breaks, " " * len(breaks)), " ", 1)
     shape = word.isin(*langs.OBJC_SHAPE_WORDS) & (
         F.contains(line, F.lit("(")) | F.endswith(line, F.lit(";")) | F.endswith(line, F.lit("{"))
     )
@@ -52,7 +53,7 @@ def with_depth(lines: DataFrame, key: list[str]) -> DataFrame:
 
 def outline_lines(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Rows (key, variant, pos, line) of skeletons and tree maps."""
-    t = L.explode_lines(files, [key], content).withColumn("line", text.trim(F.col("line")))
+    t = L.explode_lines(files, [key], content, trimmed=True)
     t = t.filter((F.col("line") != "") & ~text.starts_with_any(F.col("line"), ("//", "/*", "*")))
     t = with_depth(t, [key]).filter((F.col("depth") == 0) & _kept(F.col("line")))
     t = t.select(key, "pos", _outline(F.col("line")).alias("line"))
@@ -76,8 +77,7 @@ def compress(files: DataFrame) -> DataFrame:
 
     outlines = outline_lines(files).groupBy("path").agg(ordered.alias("_rows"))
     return (
-        files.repartition("path")
-        .join(outlines, "path", "left")
+        files.join(outlines, "path", "left")
         .withColumn("skeleton", one("skeleton"))
         .withColumn("tree_map", one("tree_map"))
         .drop("_rows")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusfold.functions import langs, paths, text
 from corpusfold.functions.tokens import counter_for
-from corpusfold.operators import delta, rollup
+from corpusfold.operators import delta, order, rollup
 from corpusfold.plans.context import Context
-from corpusfold.sources import state
+from corpusfold.sources import repo, state
 
 
 def run_stats(context: Context) -> DataFrame:
@@ -76,6 +76,68 @@ def incremental_text(context: Context) -> str:
     return "incremental_summary:\n" + "\n".join(f"  {name}: {row[name]}" for name in row.asDict())
 
 
+def dry_run_text(context: Context, limit: int = 100_000) -> str:
+    """Printed form of the dry run; the rows go through the driver, so their number is checked."""
+    if context.files_included > limit:
+        raise ValueError(f"{context.files_included} files are too many to print; read the dry_run table")
+    files = dry_run(context).orderBy(*order.keys(context.options.sort)).collect()
+    gone = context.deleted.orderBy("path").collect()
+    rows = [
+        "dry_run:", f"  files: {len(files)}", f"  deleted: {len(gone)}",
+        f"  estimated_tokens: {context.output_tokens}", f"  max_tokens: {context.options.max_tokens}",
+        "selected_files:", *[f"  {f.path}  L{f.level}  {f.tokens} tokens" for f in files],
+    ]
+    return "\n".join(rows + (["deleted_files:", *[f"  {g.path}" for g in gone]] if gone else []))
+
+
+def detailed_text(context: Context, limit: int = 100_000) -> str:
+    """Per-file tokens, tokens by extension and their distribution, printed."""
+    if context.files_included > limit:
+        raise ValueError(f"{context.files_included} files are too many to print; read the report tables")
+    files = context.files.orderBy(*order.keys(context.options.sort)).select("path", "tokens").collect()
+    by_ext = rollup.tokens_by_extension(context.files).orderBy(F.desc("tokens"), "ext").collect()
+    d = rollup.token_distribution(context.files).first()
+    rows = ["detailed_stats:", f"  files_reported: {len(files)}", "  per_file_tokens:"]
+    rows += [f"    {f.path}: {f.tokens}" for f in files]
+    rows += ["  tokens_by_extension:", *[f"    {e.ext}: {e.tokens}" for e in by_ext]]
+    rows.append(f"  token_distribution: min={d.min}, median={d.median:.1f}, mean={d.mean:.1f}, max={d.max}")
+    return "\n".join(rows)
+
+
+def doctor(spark: SparkSession, root: str, state_path: str | None, tokenizer: str) -> dict:
+    """Health of the snapshot, the tokenizer and the compressors."""
+    snapshot = state.load(spark, state_path) if state_path else None
+    entries = stale = 0
+    if snapshot is not None:
+        row = delta.diagnostics(snapshot.entries, repo.listing(spark, root)).first()
+        entries, stale = row.entries, row.stale_entries
+    status = tokenizer_status(tokenizer)
+    return {
+        "repo_root": root,
+        "cache_path": state_path,
+        "cache": {
+            "entries": entries, "stale_entries": stale,
+            "metadata": None if snapshot is None else snapshot.selection,
+        },
+        "tokenizer": {"name": tokenizer, "available": status == "ok", "status": status},
+        "parsers": [row.asDict() for row in parser_support(spark).collect()],
+    }
+
+
+def doctor_text(report: dict) -> str:
+    cache, tokenizer = report["cache"], report["tokenizer"]
+    rows = [
+        "doctor:", f"  repo_root: {report['repo_root']}", f"  cache_path: {report['cache_path']}", "  cache:",
+        f"    entries: {cache['entries']}", f"    stale_entries: {cache['stale_entries']}", "    metadata:",
+        f"      present: {str(cache['metadata'] is not None).lower()}",
+    ]
+    for name in ("respect_gitignore", "max_file_bytes", "include", "exclude") if cache["metadata"] else ():
+        rows.append(f"      {name}: {cache['metadata'][name]}")
+    rows += [f"  tokenizer: {tokenizer['name']} ({tokenizer['status']})", "  parsers:"]
+    rows += [f"    {p['extension']}: {p['mode']} ({'ok' if p['available'] else 'missing'})" for p in report["parsers"]]
+    return "\n".join(rows)
+
+
 REPORT_PATTERN = r"(?m)^\s*{}:\s*([0-9.]+)"
 
 

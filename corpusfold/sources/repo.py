@@ -17,9 +17,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from corpusfold.functions import langs
 from corpusfold.options import ContextOptions
 from corpusfold.operators.select import select
+from corpusfold.session import ship_package
 from corpusfold.sources.ignore import in_work_tree, is_ignored
 
-SCHEMA = "path string, abs_path string, size bigint, mtime_ns decimal(38,0), content string"
+SCHEMA = "path string, abs_path string, size bigint, mtime_ns bigint, content string"
 FORMAT = "repo_files"
 
 
@@ -116,6 +117,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _load(spark, root, gitignore, content, everything, limit) -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(RepoFiles)
     flags = {"gitignore": gitignore, "content": content, "everything": everything}
     reader = spark.read.format(FORMAT).option("splits", str(4 * spark.sparkContext.defaultParallelism))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY_SCHEMA = (
-    "abs_path string, size bigint, mtime_ns decimal(38,0), full string, skeleton string, tree_map string"
+    "abs_path string, size bigint, mtime_ns bigint, full string, skeleton string, tree_map string"
 )
 CURRENT_SCHEMA = (
     "version string, include array<string>, exclude array<string>, respect_gitignore boolean, "

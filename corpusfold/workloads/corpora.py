@@ -98,10 +98,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- labelled documents as an earlier snapshot ----------------------------------------------------
 
+BENCHMARK_PATH = "'benchmark/item_' || item_id || '.md'"
+
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled documents as an earlier state; low quality ones differed in size, toxic ones in time."""
-    return (
+    """An earlier state: the labelled documents and the benchmark items, which are gone by now.
+
+    Low quality documents differed in size and text, toxic ones in time.
+    """
+    docs = (
         table(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "labels"), "doc_id")
         .select(
@@ -111,11 +116,18 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("quality") == 0, F.upper("text")).otherwise(F.col("text")).alias("content"),
         )
     )
+    gone = table(spark, sf_dir, "benchmark").select(
+        F.expr(BENCHMARK_PATH).alias("abs_path"),
+        F.octet_length("text").cast("bigint").alias("size"),
+        F.lit(0).cast("bigint").alias("mtime_ns"),
+        F.col("text").alias("content"),
+    )
+    return docs.unionByName(gone)
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Today's files: everything but the documents of the first source."""
-    return table(spark, sf_dir, "documents").filter(F.col("source") != "src1").select(
+    """Today's files: all documents."""
+    return table(spark, sf_dir, "documents").select(
         F.expr(DOC_PATH).alias("abs_path"),
         F.octet_length("text").cast("bigint").alias("size"),
         (F.col("doc_id") * 10).cast("bigint").alias("mtime_ns"),

@@ -70,9 +70,10 @@ TREE = (
 SNAPSHOT = (
     f"base AS (SELECT {corpora.DOC_PATH} AS abs_path, CAST(strlen(text) + CASE WHEN quality = 0 THEN 1 ELSE 0 END AS BIGINT) AS size, "
     "CAST(doc_id * 10 + toxic AS BIGINT) AS mtime_ns, CASE WHEN quality = 0 THEN upper(text) ELSE text END AS content "
-    "FROM documents JOIN labels USING (doc_id)), "
+    "FROM documents JOIN labels USING (doc_id) UNION ALL "
+    f"SELECT {corpora.BENCHMARK_PATH}, CAST(strlen(text) AS BIGINT), CAST(0 AS BIGINT), text FROM benchmark), "
     f"cur AS (SELECT {corpora.DOC_PATH} AS abs_path, CAST(strlen(text) AS BIGINT) AS size, CAST(doc_id * 10 AS BIGINT) AS mtime_ns, "
-    "text AS content FROM documents WHERE source <> 'src1')"
+    "text AS content FROM documents)"
 )
 
 
