@@ -144,7 +144,10 @@ def sample_runs(df: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
 
 
 def sampled(line: Column, nth: Column, n: Column) -> Column:
-    """What the sample shows at one position; null where nothing is shown."""
+    """What the sample shows at one position; null where nothing is shown.
+
+    ``n`` may stop counting four lines after the position: only the last four need it exact.
+    """
     return (
         F.when((n <= SAMPLE_OVER) | (nth <= HEAD) | (nth > n - TAIL), line)
         .when(nth == HEAD + 1, F.lit("..."))
@@ -153,8 +156,8 @@ def sampled(line: Column, nth: Column, n: Column) -> Column:
 
 def rejoin(lines: DataFrame, key: list[str], order: str = "pos", name: str = "text") -> DataFrame:
     """Lines back to one text per key; a group is one file's own lines."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, "line")))
-    return lines.groupBy(*key).agg(text.join_lines(F.transform(ordered, lambda row: row["line"])).alias(name))
+    ordered = F.sort_array(F.collect_list(F.struct(order, "line")))
+    return lines.groupBy(*key).agg(text.join_lines(ordered["line"]).alias(name))
 
 
 def first_lines(items: Column, counter: Counter, n: int) -> Column:

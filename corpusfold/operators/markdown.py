@@ -64,43 +64,37 @@ def skeleton_lines(files: DataFrame, counter: Counter, key: str = "path", conten
     """Rows (key, ord, line) of every skeleton, already deduplicated and limited."""
     by = L.in_order([key])
     so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = L.explode_lines(files, [key], content, trimmed=True)
-    t = t.withColumn("fence", _is_fence(F.col("line")))
-    t = t.withColumn("fences", F.count_if("fence").over(so_far))
-    t = t.withColumn("open", F.col("fences") % 2 == 1)
+    t = L.explode_lines(files, [key], content, trimmed=True).withColumn("fence", _is_fence(F.col("line")))
+    t = t.withColumn("open", F.count_if("fence").over(so_far) % 2 == 1)
     # a marker that makes the count odd opens a fence, the next marker closes it whatever it says
-    opener = F.col("fence") & F.col("open")
-    t = t.withColumn("fence_pos", L.since_last(by, opener, F.col("pos"))).withColumn(
-        "fence_known", L.since_last(by, opener, _fence_known(F.col("line")))
-    )
+    opener = F.struct("pos", _fence_known(F.col("line")).alias("known"))
+    t = t.withColumn("opener", L.since_last(by, F.col("fence") & F.col("open"), opener))
     t = t.withColumn(
         "kind",
         F.when(F.col("fence"), F.when(F.col("open"), "fence_open").otherwise("fence_close"))
-        .when(F.col("open"), F.when(F.col("fence_known"), "fence_body").otherwise("hidden"))
+        .when(F.col("open"), F.when(F.col("opener.known"), "fence_body").otherwise("hidden"))
         .otherwise(_line_class(F.col("line"))),
     )
 
     # up to two short prose lines after a heading count as its summary; a list item ends the search
-    reset = F.col("kind").isin("heading", "item")
     short = (F.col("kind") == "prose") & (F.char_length("line") <= SUMMARY_CHARS)
-    t = t.withColumn("shorts", F.count_if(short).over(so_far))
-    t = t.withColumn("shorts_before", L.since_last(by, reset, F.col("shorts"))).withColumn(
-        "under", L.since_last(by, reset, F.col("kind"))
-    )
-    summary = short & (F.col("under") == "heading") & (F.col("shorts") - F.col("shorts_before") <= SUMMARY_LINES)
-
-    # runs of table lines or list items
+    t = t.select("*", F.count_if(short).over(so_far).alias("shorts"), F.lag("kind").over(by).alias("before"))
     in_run = F.col("kind").isin("table", "item")
-    breaks = ~in_run | ~F.col("kind").eqNullSafe(F.lag("kind").over(by))
-    t = t.withColumn("breaks", breaks)
-    t = t.withColumn("run", F.count_if("breaks").over(so_far)).withColumn(
-        "run_pos", L.since_last(by, F.col("breaks"), F.col("pos"))
+    breaks = ~in_run | ~F.col("kind").eqNullSafe(F.col("before"))
+    t = t.select(
+        "*",
+        L.since_last(by, F.col("kind").isin("heading", "item"), F.struct("kind", "shorts")).alias("under"),
+        L.since_last(by, breaks, F.col("pos")).alias("run"),
     )
-    t = t.withColumn("run_size", F.count(F.lit(1)).over(W.partitionBy(key, "run")))
+    summary = short & (F.col("under.kind") == "heading") & (F.col("shorts") - F.col("under.shorts") <= SUMMARY_LINES)
+
+    # runs of table lines or list items: four lines ahead tell whether a line is in the run's tail
+    ahead = [F.coalesce(F.lead("run", n).over(by) == F.col("run"), F.lit(False)) for n in range(1, L.TAIL + 1)]
+    t = t.withColumn("followers", sum((test.cast("int") for test in ahead), F.lit(0)))
 
     # decide first what a line becomes, so that texts are shortened once and only where they show
-    body_nth = F.col("pos") - F.col("fence_pos")
-    nth = F.col("pos") - F.col("run_pos") + 1
+    body_nth = F.col("pos") - F.col("opener.pos")
+    nth = F.col("pos") - F.col("run") + 1
     linked = (F.col("kind") == "prose") & _has_link(F.col("line"))
     action = (
         F.when(F.col("kind").isin("fence_open", "fence_close"), F.lit("as is"))
@@ -108,10 +102,10 @@ def skeleton_lines(files: DataFrame, counter: Counter, key: str = "path", conten
             F.col("kind") == "fence_body",
             F.when(body_nth <= FENCE_LINES, F.lit("short")).when(body_nth == FENCE_LINES + 1, F.lit("...")),
         )
-        .when(in_run, L.sampled(F.lit("short"), nth, F.col("run_size")))
+        .when(in_run, L.sampled(F.lit("short"), nth, nth + F.col("followers")))
         .when((F.col("kind") == "heading") | summary | linked, F.lit("short"))
     )
-    unknown_open = (F.col("kind") == "fence_open") & ~F.col("fence_known")
+    unknown_open = (F.col("kind") == "fence_open") & ~F.col("opener.known")
     places = F.when(unknown_open, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     shown = (
         F.when((F.col("action") == "...") | (F.col("sub") == 1), F.lit("..."))

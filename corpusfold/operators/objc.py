@@ -69,11 +69,11 @@ def outline_lines(files: DataFrame, key: str = "path", content: str = "content")
 
 def compress(files: DataFrame) -> DataFrame:
     """Adds skeleton and tree_map to files (path, content, ...)."""
-    ordered = F.array_sort(F.collect_list(F.struct("variant", "pos", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("variant", "pos", "line")))
 
     def one(name: str) -> Column:
         rows = F.filter(F.col("_rows"), lambda row: row["variant"] == name)
-        return F.coalesce(text.join_lines(F.transform(rows, lambda row: row["line"])), F.lit(""))
+        return F.coalesce(text.join_lines(rows["line"]), F.lit(""))
 
     outlines = outline_lines(files).groupBy("path").agg(ordered.alias("_rows"))
     return (

@@ -687,7 +687,7 @@ def _placed_sql(section: int, block: str, source: str, d="''", item=0, rank="0",
 )
 def json_document(spark, sf):
     options = ContextOptions(tokenizer="native", format="json", sort="tokens", directory_summaries=True, level=1)
-    return render.Renderer(options).blocks(_page_files(spark, sf), None, _META)
+    return render.Renderer(options).blocks(stage(_page_files(spark, sf), "page-files"), None, _META)
 
 
 @query(
@@ -714,7 +714,7 @@ def json_document(spark, sf):
 def xml_document(spark, sf):
     options = ContextOptions(tokenizer="native", project_map="compact", level=1)
     gone = delta.deleted(corpora.snapshot(spark, sf), corpora.current(spark, sf), "abs_path")
-    return render.Renderer(options).blocks(_page_files(spark, sf), _by_path(gone), _META)
+    return render.Renderer(options).blocks(stage(_page_files(spark, sf), "page-files"), _by_path(gone), _META)
 
 
 @query(
@@ -732,7 +732,7 @@ def xml_document(spark, sf):
 )
 def compact_map(spark, sf):
     options = ContextOptions(tokenizer="native", format="json", project_map="compact", project_map_only=True, level=1)
-    return render.Renderer(options).blocks(_page_files(spark, sf), None, _META)
+    return render.Renderer(options).blocks(stage(_page_files(spark, sf), "page-files"), None, _META)
 
 
 _FIT_ENTRY = "'<entry path=\"' || path || '\" level=\"' || {l} || '\" tokens=\"' || {t} || '\" />'"
