@@ -138,26 +138,34 @@ def doctor_text(report: dict) -> str:
     return "\n".join(rows)
 
 
-REPORT_PATTERN = r"(?m)^\s*{}:\s*([0-9.]+)"
-
-
-def parse_report(reports: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """Numbers of printed reports, one row per report text; a missing label gives null."""
-    return reports.select(
-        "*",
-        *[
-            F.nullif(F.regexp_extract(column, REPORT_PATTERN.format(name), 1), F.lit("")).cast("double").alias(name)
-            for name in names
-        ],
-    )
-
-
-MAP_ENTRY = r'<entry path="([^"]*)" level="([0-9]+)" tokens="([0-9]+)" />'
-
-
-def map_rows(entries: DataFrame, column: str) -> DataFrame:
-    """(path, level, tokens) read back from flat XML map entries."""
+# fixed values: how each number of a printed report is found
+REPORT_PATTERNS = {
+    "files_included": r"(?m)^  files_included: (\d+)$",
+    "output_tokens": r"(?m)^  output_tokens: (\d+) / \d+$",
+    "output_tokens_budget": r"(?m)^  output_tokens: \d+ / (\d+)$",
+    "raw_tokens": r"(?m)^  raw_tokens: (\d+)$",
+    "shrunk_tokens": r"(?m)^  shrunk_tokens: (\d+)$",
+    "tokens_saved": r"(?m)^  tokens_saved: (\d+)$",
+    "saving_percent": r"(?m)^  saving_percent: ([\d.]+)$",
+}
+MAP_ENTRY = r'<entry path="([^"]+)" level="(\d+)" tokens="(\d+)" />'
+
+
+def parse_reports(reports: DataFrame, column: str) -> DataFrame:
+    """Adds the numbers of printed reports, one row per report text; a missing one is null."""
+    cells = []
+    for name, pattern in REPORT_PATTERNS.items():
+        found = F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
+        cells.append(found.cast("double" if name == "saving_percent" else "bigint").alias(name))
+    return reports.select("*", *cells)
+
+
+def map_rows(entries: DataFrame, column: str, fmt: str = "xml") -> DataFrame:
+    """(path, level, tokens) read back from map entries, one entry per row."""
     entry = F.col(column)
+    if fmt == "json":
+        parsed = F.from_json(F.rtrim(entry, F.lit(",")), "path string, level bigint, tokens bigint")
+        return entries.select(parsed.alias("e")).select("e.*")
     return entries.filter(F.rlike(entry, F.lit(MAP_ENTRY))).select(
         text.xml_unescape(F.regexp_extract(entry, MAP_ENTRY, 1)).alias("path"),
         F.regexp_extract(entry, MAP_ENTRY, 2).cast("bigint").alias("level"),
@@ -166,7 +174,15 @@ def map_rows(entries: DataFrame, column: str) -> DataFrame:
 
 
 def map_line(path: Column, level: Column, tokens: Column) -> Column:
-    """One printed map line; tokens are right-aligned to five places."""
+    """One printed map line; token counts are right-aligned to five places."""
     number = tokens.cast("string")
     padded = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit(" "))
-    return F.concat(padded, F.lit("  L"), level.cast("string"), F.lit("  "), path)
+    return F.concat(padded, F.lit(" tokens  L"), level.cast("string"), F.lit("  "), path)
+
+
+def status_line(tokens: Column, limit: Column, files: Column) -> Column:
+    """Short status of a run; a missing number is spelled out."""
+    budget = F.coalesce(F.concat(F.lit("/"), limit.cast("string")), F.lit(""))
+    shown = F.coalesce(F.concat(tokens.cast("string"), budget, F.lit(" tokens")), F.lit("tokens unknown"))
+    counted = F.coalesce(F.concat(files.cast("string"), F.lit(" files")), F.lit("files unknown"))
+    return F.concat(shown, F.lit(", "), counted)

@@ -796,19 +796,37 @@ def map_readback(spark, sf):
     return reports.map_rows(entries, "entry")
 
 
-@query(f"WITH {_PAGE_FILES} SELECT path, lpad(CAST(tokens AS VARCHAR), CAST(greatest(5, length(CAST(tokens AS VARCHAR))) AS INT), ' ') || '  L' || level || '  ' || path AS line FROM pf")
+@query(f"WITH {_PAGE_FILES} SELECT path, CAST(level AS BIGINT) AS level, tokens FROM pf")
+def map_readback_json(spark, sf):
+    """Project-map rows parsed back from rendered JSON entries."""
+    r = render.Renderer(ContextOptions(tokenizer="native", format="json"))
+    files = _page_files(spark, sf)
+    entries = files.select(r.entry(F.col("path"), F.col("level"), F.col("tokens"), F.col("hash")).alias("entry"))
+    return reports.map_rows(entries, "entry", "json")
+
+
+@query(
+    f"WITH {_PAGE_FILES} SELECT path, lpad(CAST(tokens AS VARCHAR), CAST(greatest(5, length(CAST(tokens AS VARCHAR))) AS INT), ' ') || ' tokens  L' || level || '  ' || path AS line, "
+    "tokens || CASE WHEN tokens % 2 = 0 THEN '/4000' ELSE '' END || ' tokens, ' || CASE WHEN tokens % 3 = 0 THEN 'files unknown' ELSE '7 files' END AS status FROM pf"
+)
 def map_lines(spark, sf):
-    return _page_files(spark, sf).select("path", reports.map_line(F.col("path"), F.col("level"), F.col("tokens")).alias("line"))
+    files = _page_files(spark, sf)
+    tokens_, limit = F.col("tokens"), F.when(F.col("tokens") % 2 == 0, F.lit(4000))
+    return files.select(
+        "path", reports.map_line(F.col("path"), F.col("level"), tokens_).alias("line"),
+        reports.status_line(tokens_, limit, F.when(tokens_ % 3 != 0, F.lit(7))).alias("status"),
+    )
 
 
 @query(
-    f"WITH {_PAGE_FILES} SELECT path, CAST(tokens AS DOUBLE) AS raw_tokens, round(tokens / 3.0, 2) AS saving_percent FROM pf"
+    f"WITH {_PAGE_FILES} SELECT path, CAST(NULL AS BIGINT) AS files_included, tokens AS output_tokens, CAST(4000 AS BIGINT) AS output_tokens_budget, "
+    "tokens AS raw_tokens, CAST(NULL AS BIGINT) AS shrunk_tokens, CAST(NULL AS BIGINT) AS tokens_saved, round(tokens / 3.0, 2) AS saving_percent FROM pf"
 )
 def report_parse(spark, sf):
     """Numbers parsed back from printed reports, one report per file."""
+    number = F.col("tokens").cast("string")
     shown = F.concat(
-        F.lit("stats:\n  raw_tokens: "), F.col("tokens").cast("string"),
+        F.lit("summary:\n  output_tokens: "), number, F.lit(" / 4000\nstats:\n  raw_tokens: "), number,
         F.lit("\n  saving_percent: "), F.format_string("%.2f", F.round(F.col("tokens") / F.lit(3.0), 2)), F.lit("\n"),
     )
-    rows = _page_files(spark, sf).select("path", shown.alias("report"))
-    return reports.parse_report(rows, "report", ["raw_tokens", "saving_percent"]).drop("report")
+    return reports.parse_reports(_page_files(spark, sf).select("path", shown.alias("report")), "report").drop("report")
