@@ -17,23 +17,22 @@ HEAD, TAIL, SAMPLE_OVER = 10, 4, 14
 
 
 def explode_lines(
-    df: DataFrame, key: list[str], content: str, keep: tuple[str, ...] = (), *, trimmed: bool = False
+    df: DataFrame, key: list[str], content: str, keep: tuple[str, ...] = (), *, trimmed: bool = False, together: bool = True
 ) -> DataFrame:
     """Rows (key, keep, pos, line); a file without lines yields no row.
 
     Trimming happens in front of the explode: as a generator output the trimmed line is computed
-    once, whereas a later filter would pull the trim into every one of its tests.
+    once, whereas a later filter would pull the trim into every one of its tests. ``together`` moves
+    texts of one key to one task first; leave it off where a key spans an unbounded number of rows.
     """
-    # a fixed partition count: exploded lines cost far more than the bytes that adaptive merging looks at
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     items = text.lines(F.col(content))
     if trimmed:
         items = F.transform(items, text.trim)
-    return (
-        df.select(*key, *keep, content)
-        .repartition(parts, *key)
-        .select(*key, *keep, F.posexplode(items).alias("pos", "line"))
-    )
+    rows = df.select(*key, *keep, content)
+    if together:
+        # a fixed partition count: exploded lines cost far more than the bytes that adaptive merging looks at
+        rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return rows.select(*key, *keep, F.posexplode(items).alias("pos", "line"))
 
 
 def in_order(key: list[str], order: str = "pos"):
@@ -127,12 +126,18 @@ def collapse_imports(lines: DataFrame, key: list[str], order: str = "pos") -> Da
 
 
 def sample_runs(df: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
-    """Head and tail of every key's lines: up to 14 stay, else ten, an ellipsis and the last four."""
-    numbered = df.withColumn("_nth", F.row_number().over(in_order(key, order))).withColumn(
-        "_n", F.count(F.lit(1)).over(W.partitionBy(*key))
-    )
-    shown = sampled(F.col("line"), F.col("_nth"), F.col("_n"))
-    kept = numbered.withColumn("line", shown).filter(F.col("line").isNotNull())
+    """Head and tail of every key's lines: up to 14 stay, else ten, an ellipsis and the last four.
+
+    A key may hold any share of all lines. Both ends come from ranked windows with a small bound,
+    which Spark applies before the shuffle, and the count is pre-aggregated; no task sees a whole key.
+    """
+    first, last = F.row_number().over(in_order(key, order)), F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))
+    head = df.withColumn("_nth", first).filter(F.col("_nth") <= SAMPLE_OVER)
+    tail = df.withColumn("_back", last).filter(F.col("_back") <= TAIL)
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    tail = tail.join(sizes, key).withColumn("_nth", F.col("_n") - F.col("_back") + 1).filter(F.col("_nth") > SAMPLE_OVER)
+    ends = head.join(sizes, key).unionByName(tail.drop("_back"))
+    kept = ends.withColumn("line", sampled(F.col("line"), F.col("_nth"), F.col("_n"))).filter(F.col("line").isNotNull())
     # a tail line that repeats the line shown before it is skipped
     previous = F.lag("line").over(in_order(key, order))
     in_tail = (F.col("_n") > SAMPLE_OVER) & (F.col("_nth") > F.col("_n") - TAIL)

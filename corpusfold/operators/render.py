@@ -240,10 +240,11 @@ class Renderer:
             opened = self.directory(col("dir"), col("files"), tokens, summary=False)
             yield _placed(folders, F.lit(_MAP + 2), opened, dir=col("dir"), ends_line=not json)
             if json:
-                with_last = files.withColumn("dir", folder).join(folders.select("dir", "last"), "dir")
-                is_last = F.struct(rank.alias("rank"), path.alias("path")) == col("last")
-                block = F.concat(entry, comma(is_last))
-                yield _placed(with_last, F.lit(_MAP + 2), block, dir=col("dir"), item=1, rank=rank, path=path, ends_line=False)
+                # joined on the unique path, not on the folder, which may hold a third of all files
+                lasts = folders.select(col("last.path").alias("path"), F.lit(True).alias("is_last"))
+                marked = files.join(lasts, "path", "left")
+                block = F.concat(entry, comma(F.coalesce("is_last", F.lit(False))))
+                yield _placed(marked, F.lit(_MAP + 2), block, dir=folder, item=1, rank=rank, path=path, ends_line=False)
                 final = col("dir") == folders.agg(F.max("dir").alias("d")).scalar()
                 yield _placed(folders, F.lit(_MAP + 2), F.concat(F.lit("]}"), comma(final)), dir=col("dir"), item=2)
             else:

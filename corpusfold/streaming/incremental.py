@@ -22,8 +22,8 @@ from corpusfold.sources import state
 
 def latest(rows: DataFrame) -> DataFrame:
     """The newest row per file; a file may arrive more than once in a batch."""
-    newest = rows.groupBy("abs_path").agg(F.max("mtime_ns").alias("mtime_ns"))
-    return rows.join(newest, ["abs_path", "mtime_ns"], "left_semi").dropDuplicates(["abs_path"])
+    newest = rows.groupBy("abs_path").agg(F.max_by(F.struct(*rows.columns), "mtime_ns").alias("row"))
+    return newest.select("row.*")
 
 
 def run_batch(batch: DataFrame, options: ContextOptions, state_path: str) -> DataFrame:

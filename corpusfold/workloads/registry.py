@@ -451,7 +451,7 @@ _TURN_LINES = (
     "SELECT conv_id, ord, line FROM p WHERE NOT (n > 14 AND a > n - 4 AND coalesce(line = prev, false))"
 )
 def head_tail_sample(spark, sf):
-    t = lines.explode_lines(corpora.table(spark, sf, "conversations"), ["conv_id"], "text", ("turn",))
+    t = lines.explode_lines(corpora.table(spark, sf, "conversations"), ["conv_id"], "text", ("turn",), together=False)
     t = t.select("conv_id", (F.col("turn") * 1000000 + F.col("pos")).cast("bigint").alias("ord"), "line")
     return lines.sample_runs(t, ["conv_id"], "ord")
 
