@@ -65,7 +65,7 @@ LANGUAGES = {
     "typescript": Language(
         literals=_JS_LITERALS, newline_ends=True,
         callables=r"\bfunction\b|=>\s*$", types=r"\b(?:class|interface|namespace|enum)\b", body_by_parens=True,
-        emits=r"^(?:import|export|(?:abstract\s+)?class|let|const|var|(?:async\s+)?function|interface|type\s+\w|enum|declare)\b",
+        emits=r"^(?:import|export|(?:abstract\s+)?class|let|const|var|(?:async\s+)?function|interface|type(?=\s+\w)|enum|declare)\b",
         twice=r"^export\s+(?:default\s+)?(?=(?:async\s+function|function|class|let|const|var|interface|type|enum|declare)\b)",
     ),
     "go": Language(

@@ -18,10 +18,12 @@ from corpusfold.options import ContextOptions
 
 ORDER = ("section", "dir", "item", "rank", "path")
 _BEFORE, _HEAD, _MAP, _DELETED, _SUMMARIES, _FILES, _END, _AFTER = range(0, 80, 10)
+# fixed values: the texts put around a document when it is wrapped as a prompt
 _DEFAULT_TASK = (
     "Use this repo context to explain the architecture, identify the main entry points, and tell me where to "
     "start reading."
 )
+_WRAPPED = "{task}\n\nThe context below is compressed {name}. Use it as the source of truth before answering.\n\n<context>"
 
 
 @dataclass(frozen=True)
@@ -199,11 +201,7 @@ class Renderer:
         if o.prompt or o.ask_template is not None:
             name = {"xml": "XML", "json": "JSON", "text": "text"}[o.format]
             task = o.ask_template if o.ask_template is not None else _DEFAULT_TASK
-            add(
-                _BEFORE,
-                f"{task}\n\nThe context below is compressed {name}. Use it as the source of truth before "
-                "answering.\n\n<context>",
-            )
+            add(_BEFORE, _WRAPPED.format(task=task, name=name))
             add(_AFTER, "</context>")
 
         result = self._fixed_rows(spark, fixed)

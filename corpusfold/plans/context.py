@@ -246,7 +246,10 @@ def build_context(
     if base.directory is not None:
         files = files.withColumn("digest", delta.digest(F.col("content")))
     narrow = classify(files.drop("content"), options, base)
-    variants = stage(with_variants(corpus, options, snapshot), "variants")
+    variants = with_variants(corpus, options, snapshot)
+    if snapshot is not None:
+        # kept for the next snapshot; without one the renderings go straight into the counted table
+        variants = stage(variants, "variants")
     deltas = stage(narrow.select("path", "delta", "included"), "deltas")
     gone = stage(deleted_paths(files.drop("content"), options, base, root), "deleted")
     warnings = []

@@ -6,48 +6,48 @@ from corpusfold.functions.code_outline import collapse_imports, outline
 
 CASES = {
     "rust": (
-        '\nuse std::fmt;\n\nfn greet(name: &str) -> String {\n    format!("hello {name}")\n}\n',
-        "fn greet(name: &str) -> String { ... }", "format!", "use std::fmt;",
+        "use std::io;\n\npub(crate) fn area(w: u32, h: u32) -> u32 {\n    let unused = || { 1 };\n    w * h\n}\n",
+        "pub(crate) fn area(w: u32, h: u32) -> u32 { ... }", "w * h", "use std::io;",
     ),
     "typescript": (
-        "\nimport { readFile } from 'fs/promises'\n\nexport type User = { name: string }\n\nexport function greet(user: User): string {\n    return `hello ${user.name}`\n}\n",
-        "export function greet(user: User): string { ... }", "return `hello", "export type User",
+        "import { join } from 'path'\n\ntype Point = { x: number }\n\nexport function norm(p: Point): number {\n  return Math.abs(p.x) // }\n}\n",
+        "export function norm(p: Point): number { ... }", "Math.abs", "type Point",
     ),
     "javascript": (
-        "\nconst add = (a, b) => {\n  return a + b\n}\nclass A {\n  run() {\n    if (x) { y() }\n  }\n}\n",
-        "run() { ... }", "return a", "class A {",
+        "const add = (a, b) => {\n  return a + b\n}\nclass Tank {\n  fill() {\n    if (x) { y() }\n  }\n}\n",
+        "fill() { ... }", "return a", "class Tank {",
     ),
     "python": (
-        '\nimport os\n\ndef greet(name: str) -> str:\n    return f"hello {name}"\n',
-        "def greet(name: str) -> str:\n    ...", "return f", "import os",
+        "import math\n\ndef radius(area: float) -> float:\n    return math.sqrt(area / math.pi)\n",
+        "def radius(area: float) -> float:\n    ...", "math.sqrt", "import math",
     ),
     "go": (
-        '\npackage demo\n\nimport "fmt"\n\nfunc Greet(name string) string {\n    return fmt.Sprintf("hello %s", name)\n}\n',
-        "func Greet(name string) string { ... }", "Sprintf", "func Greet",
+        'package shapes\n\nimport "math"\n\nfunc Radius(area float64) float64 {\n\treturn math.Sqrt(area)\n}\n',
+        "func Radius(area float64) float64 { ... }", "math.Sqrt", "func Radius",
     ),
     "java": (
-        '\npackage demo;\n\nimport java.util.List;\n\npublic class Greeter {\n    public String greet(String name) {\n        return "hello " + name;\n    }\n}\n',
-        "public String greet(String name) { ... }", 'return "hello', "class Greeter",
+        "package shapes;\n\nclass Square {\n    double side;\n    double area() throws Failure {\n        return side * side;\n    }\n}\n",
+        "double area() throws Failure { ... }", "side * side", "class Square",
     ),
     "csharp": (
-        '\nusing System;\n\nnamespace Demo;\n\npublic class Greeter {\n    public string Greet(string name) {\n        return $"hello {name}";\n    }\n}\n',
-        "public string Greet(string name) { ... }", "return $", "class Greeter",
+        "using System.Linq;\n\nnamespace Shapes;\n\ninternal class Square {\n    public double Side { get; set; }\n    public double Area() {\n        return Side * Side;\n    }\n}\n",
+        "public double Area() { ... }", "Side * Side", "public double Side { get; set; }",
     ),
     "swift": (
-        '\nimport Foundation\n\nstruct Greeter {\n    func greet(name: String) -> String {\n        return "hello \\(name)"\n    }\n}\n',
-        "func greet(name: String) -> String { ... }", 'return "hello', "struct Greeter",
+        "import UIKit\n\nstruct Square {\n    var side: Double\n    func area() -> Double {\n        return side * side\n    }\n}\n",
+        "func area() -> Double { ... }", "side * side", "var side: Double",
     ),
     "kotlin": (
-        '\npackage demo\n\nclass Greeter {\n    fun greet(name: String): String {\n        return "hello $name"\n    }\n}\n',
-        "fun greet(name: String): String { ... }", 'return "hello', "class Greeter",
+        "package shapes\n\ndata class Square(val side: Double) {\n    fun area(): Double {\n        return side * side\n    }\n    fun twice() = side + side\n}\n",
+        "fun area(): Double { ... }\n    fun twice() { ... }", "side * side", "data class Square",
     ),
     "c": (
-        '\n#include <stdio.h>\n\nint greet(const char *name) {\n    return printf("hello %s", name);\n}\n',
-        "int greet(const char *name) { ... }", "return printf", "int greet",
+        "#include <math.h>\n#define SIDES 4\n\nstatic double area(const double *side)\n{\n    for (;;) { break; }\n    return *side * *side;\n}\n",
+        "static double area(const double *side)\n{ ... }", "*side * *side", "#define SIDES 4",
     ),
     "cpp": (
-        '\n#include <string>\n\nclass Greeter {\npublic:\n    std::string greet(const std::string &name) {\n        return "hello " + name;\n    }\n};\n',
-        "std::string greet(const std::string &name) { ... }", 'return "hello', "class Greeter",
+        "#include <vector>\n\nnamespace shapes {\nclass Square : public Shape {\npublic:\n    double area() const override {\n        return side * side;\n    }\n};\n}\n",
+        "double area() const override { ... }", "side * side", "class Square : public Shape {",
     ),
 }
 
@@ -62,7 +62,7 @@ def test_bodies_go_and_shapes_stay(syntax):
 
 
 def test_headers_keep_declarations():
-    assert "int greet(const char *name);" in outline("#pragma once\n\nint greet(const char *name);\n", "c")[1]
+    assert "long total(const long *first);" in outline("#ifndef T_H\n\nlong total(const long *first);\n", "c")[1]
 
 
 def test_exports_show_twice():

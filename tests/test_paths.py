@@ -93,3 +93,20 @@ def test_status_decoder():
     assert decode_status(raw) == [(0, "M", None, "a.rs"), (1, "R100", "old.rs", "new.rs"), (2, "D", None, "gone.rs")]
     with pytest.raises(ValueError):
         decode_status("R100\0old.rs\0")
+
+
+def test_byte_pair_functions(monkeypatch):
+    """The Arrow functions behind the byte-pair counters, with one token per byte as the vocabulary."""
+    import pandas as pd
+
+    from corpusfold.functions import tokens
+
+    class Bytes:
+        @staticmethod
+        def encode_ordinary(text):
+            return list(text.encode())
+
+    monkeypatch.setattr(tokens, "_encoder", lambda name: Bytes)
+    assert tokens._bpe_count("x").func(pd.Series(["abc", "é", None])).tolist()[:2] == [3, 2]
+    assert tokens._bpe_truncate("x", 5).func(pd.Series(["abcdefgh", "abc"])).tolist() == ["ab...", "abc"]
+    assert tokens._bpe_truncate_all("x", 5).func(pd.Series([["abcdefgh", "abc"], []])).tolist() == [["ab...", "abc"], []]
