@@ -289,6 +289,25 @@ def document_tokens(blocks: DataFrame, counter: Counter) -> DataFrame:
     return blocks.agg(F.coalesce(F.sum(counter.count(F.col("block"))), F.lit(0)).alias("tokens"))
 
 
+def frame_tokens(blocks: DataFrame, options: ContextOptions, counter: Counter) -> int:
+    """Tokens of everything but the files' own rows, in the terms of :meth:`Renderer.file_cost`.
+
+    No file text is read: the optimizer drops the filtered rows' branches of the union.
+    """
+    compact = options.project_map == "compact"
+    entries = (F.col("section") == _MAP + 2) & (F.col("item") == (1 if compact else 0))
+    contents = F.col("section") == _FILES + 2
+    tokens = document_tokens(blocks.filter(~entries & ~contents), counter).first().tokens
+    if options.format != "json":
+        return tokens
+    # file costs include a comma, which the last row of every list does not have
+    if compact:
+        lists = blocks.filter((F.col("section") == _MAP + 2) & (F.col("item") == 2)).count()
+    else:
+        lists = min(blocks.filter(entries).limit(1).count(), 1)
+    return tokens - lists - (options.shows_files and lists > 0)
+
+
 def document_text(blocks: DataFrame, max_bytes: int = 64 << 20) -> str:
     """The document as one string. Refuses documents beyond ``max_bytes``; write those as a table."""
     size = blocks.agg(F.coalesce(F.sum(F.octet_length("block") + 1), F.lit(0)).alias("n")).first().n

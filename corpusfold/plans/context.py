@@ -202,14 +202,9 @@ def assemble(variants: DataFrame, deleted: DataFrame, options: ContextOptions, m
     def tokens_of(files: DataFrame) -> int:
         return render.document_tokens(renderer.blocks(files, deleted, meta), counter).first().tokens
 
-    start_tokens = tokens_of(_at_levels(table))
-    level = F.col("level")
-    sums = table.agg(
-        F.coalesce(F.sum(budget.at_level(level, "r")), F.lit(0)).alias("files"),
-        F.coalesce(F.sum("r0"), F.lit(0)).alias("empty"),
-    ).first()
-    fixed = start_tokens - sums.files
-    content_budget = max(options.max_tokens - (fixed + sums.empty), 0)
+    fixed = render.frame_tokens(renderer.blocks(_at_levels(table), deleted, meta), options, counter)
+    empty = table.agg(F.coalesce(F.sum("r0"), F.lit(0)).alias("n")).first().n
+    content_budget = max(options.max_tokens - (fixed + empty), 0)
     _, cut, fits = budget.downgrade_cuts(table, content_budget, options.max_tokens, fixed)
     chosen = budget.apply_cut(table, cut)
     dropped = 0

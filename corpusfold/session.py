@@ -24,6 +24,8 @@ def local_session(cores: str = "8", app: str = "corpusfold") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # whole files travel to the Arrow functions: bound a batch by bytes, not only by rows
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
         # plans here have thousands of expressions; capturing a call site for each one doubles the time to build them
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.dataFrameQueryContext.enabled", "false")

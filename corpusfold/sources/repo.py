@@ -8,6 +8,7 @@ their folders, apply the ignore rules and read the files. The root must be reach
 from __future__ import annotations
 
 import os
+import zlib
 from collections import deque
 from dataclasses import dataclass
 
@@ -22,14 +23,24 @@ from corpusfold.sources.ignore import in_work_tree, is_ignored
 
 SCHEMA = "path string, abs_path string, size bigint, mtime_ns bigint, content string"
 FORMAT = "repo_files"
+MIN_SHARES = 4
 
 
 @dataclass
 class Folder(InputPartition):
-    """One folder; ``deep`` folders are walked with everything below them."""
+    """A share of one folder's files; ``deep`` folders are walked with everything below them.
+
+    Several tasks list the same folder and each reads its share of the names, so that a folder with
+    most of the files is still read by many.
+    """
 
     path: str
     deep: bool
+    share: int
+    shares: int
+
+    def holds(self, path: str) -> bool:
+        return zlib.crc32(path.encode(errors="surrogateescape")) % self.shares == self.share
 
 
 class _Reader(DataSourceReader):
@@ -66,7 +77,9 @@ class _Reader(DataSourceReader):
             folder = queue.popleft()
             shallow.append(folder)
             queue.extend(entry.path for entry in self._children(folder, dirs=True))
-        return [Folder(f, False) for f in shallow] + [Folder(f, True) for f in queue]
+        shares = max(MIN_SHARES, self.splits // (len(shallow) + len(queue)))
+        folders = [(path, False) for path in shallow] + [(path, True) for path in queue]
+        return [Folder(path, deep, n, shares) for path, deep in folders for n in range(shares)]
 
     def read(self, partition: Folder):
         pending = [partition.path]
@@ -74,7 +87,7 @@ class _Reader(DataSourceReader):
             folder = pending.pop()
             for entry in self._children(folder, dirs=False):
                 ext = os.path.splitext(entry.name)[1][1:].lower()
-                if ext not in langs.EXTENSIONS:
+                if ext not in langs.EXTENSIONS or not partition.holds(entry.path):
                     continue
                 stat = entry.stat(follow_symlinks=False)
                 if self.limit and stat.st_size > self.limit:
@@ -120,7 +133,7 @@ def _load(spark, root, gitignore, content, everything, limit) -> DataFrame:
     ship_package(spark)
     spark.dataSource.register(RepoFiles)
     flags = {"gitignore": gitignore, "content": content, "everything": everything}
-    reader = spark.read.format(FORMAT).option("splits", str(4 * spark.sparkContext.defaultParallelism))
+    reader = spark.read.format(FORMAT).option("splits", str(2 * spark.sparkContext.defaultParallelism))
     for name, value in flags.items():
         reader = reader.option(name, str(value).lower())
     return reader.option("maxFileBytes", str(limit)).load(root)

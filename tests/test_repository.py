@@ -236,6 +236,23 @@ def test_fit_matches_reformatting_loop(spark, tmp_path, limit):
     assert context.output_tokens == count(context.text())
 
 
+@pytest.mark.parametrize("fmt, layout", [("json", "flat"), ("json", "compact"), ("text", "compact"), ("xml", "flat")])
+def test_file_costs_and_frame_add_up_to_the_document(spark, fmt, layout):
+    from pyspark.sql import functions as F
+
+    from corpusfold.functions.tokens import Counter
+    from corpusfold.operators import render
+
+    opts, native = options(format=fmt, project_map=layout, directory_summaries=True), Counter("native")
+    renderer = render.Renderer(opts)
+    rows = [("a.rs", 1, 12, "h", 'x "y" & <z>\n'), ("src/b.rs", 2, 7, "h", "q"), ("src/c.rs", 3, 0, "h", "")]
+    files = spark.createDataFrame(rows, "path string, level int, tokens bigint, hash string, content string")
+    blocks = renderer.blocks(files, None, render.Metadata("0", "/r", 9, 1))
+    cost = renderer.file_cost(native, *[F.col(c) for c in ("path", "level", "tokens", "hash", "content")])
+    frame = render.frame_tokens(blocks, opts, native)
+    assert frame + files.agg(F.sum(cost).alias("n")).first().n == count(render.document_text(blocks))
+
+
 def test_limits_and_empty_selections(spark, demo, tmp_path):
     with pytest.raises(plan.OverBudget):
         build(spark, demo, options(max_tokens=5, fail_over_budget=True))
