@@ -286,6 +286,8 @@ def repository_context(
 ) -> Context:
     """Scan a repository and build its context, with the baselines the options name."""
     check_delta_options(options.incremental, incremental_base, changed_since)
+    for name in (options.tokenizer, options.line_tokenizer):
+        counter_for(name)  # refuse a missing vocabulary before any job starts
     snapshot = state.load(spark, state_path) if state_path else None
     base = Baseline(snapshot=snapshot)
     if changed_since:
