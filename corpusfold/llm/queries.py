@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import chat, decontaminate, quality_rules, sql
+from corpusfold.llm import chat, decontaminate, ngram_join, quality_rules, sql
 from corpusfold.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,8 @@ def op9_chat_formatting(spark, sf):
     )
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat.read_back(chat.format_conversations(chat.events_of_turns(turns)))
+
+
+@query(sql.NGRAM_JOIN)
+def op5_ngram_jaccard_join(spark, sf):
+    return ngram_join.ngram_join(table(spark, sf, "documents"))

@@ -69,3 +69,19 @@ c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
     sum(12 + length(role) + 1 + length(body) + 11) AS formatted_chars FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
     CAST(formatted_chars AS BIGINT) AS formatted_chars FROM c"""
+
+_PLAIN = (
+    "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[\x20\x09-\x0D]+'), lambda w: w <> '')"
+)
+NGRAM_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(0, len(w) - 3), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM e UNION SELECT doc_id, b FROM r JOIN e ON a = reached)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(m, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(reached) AS m FROM r GROUP BY doc_id) USING (doc_id)"""
