@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import chat, decontaminate, ngram_join, quality_rules, sql
+from corpusfold.llm import chat, decontaminate, ngram_join, quality_rules, sql, substring_dedup
 from corpusfold.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,9 @@ def op9_chat_formatting(spark, sf):
 @query(sql.NGRAM_JOIN)
 def op5_ngram_jaccard_join(spark, sf):
     return ngram_join.ngram_join(table(spark, sf, "documents"))
+
+
+@query(sql.SUBSTRING_DEDUP)
+def op7_substring_dedup(spark, sf):
+    found = substring_dedup.substring_dedup(table(spark, sf, "documents"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
