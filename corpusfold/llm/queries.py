@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import chat, decontaminate, ngram_join, quality_rules, sql, substring_dedup
+from corpusfold.llm import chat, decontaminate, ngram_join, quality_rules, sql, substring_dedup, toxicity
 from corpusfold.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,14 @@ def op5_ngram_jaccard_join(spark, sf):
 def op7_substring_dedup(spark, sf):
     found = substring_dedup.substring_dedup(table(spark, sf, "documents"), keep_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op10_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").where(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
