@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
         made = fit([np.asarray(f, dtype=np.int32) for f in part["f"]], part["y"].to_numpy(dtype=float), options)
         return pd.DataFrame({"buckets": [made.buckets], "effects": [made.effects], "intercept": [made.intercept]})
 
-    found = sample.groupBy(F.lit(0)).applyInPandas(fit_all, "buckets array<int>, effects array<double>, intercept double").collect()
+    found = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit_all, "buckets array<int>, effects array<double>, intercept double").collect()
     if not found:
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0)
     return Model(np.array(found[0]["buckets"], np.int32), np.array(found[0]["effects"]), found[0]["intercept"])
