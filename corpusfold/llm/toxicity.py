@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusfold.llm.wordbytes import finish, find_words, hash_words, over_pieces
 from corpusfold.session import ship_package, stage
@@ -150,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     )
     sample = stage(rows.mapInArrow(over_pieces(make, "text"), "id long, y int, f array<int>"), "toxicity-sample")
 
-    def fit_all(_, part: pd.DataFrame) -> pd.DataFrame:
+    def fit_all(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
         made = fit([np.asarray(f, dtype=np.int32) for f in part["f"]], part["y"].to_numpy(dtype=float), options)
         return pd.DataFrame({"buckets": [made.buckets], "effects": [made.effects], "intercept": [made.intercept]})
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", options: Toxicit
         return piece.append_column("toxicity", pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
 
     rest = docs.drop("toxicity")
-    schema = rest.schema.add("toxicity", "double")
+    schema = T.StructType([*rest.schema.fields, T.StructField("toxicity", T.DoubleType())])
     return rest.mapInArrow(over_pieces(make, text), schema)
 
 
