@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusfold.llm.columns import row_key
 from corpusfold.llm.components import connected_components
 from corpusfold.llm.wordbytes import M1, M2, find_words, finish, hash_words, over_pieces, pieces, times, window_hashes
 from corpusfold.session import ship_package, stage
@@ -114,7 +115,7 @@ def may_link(na: int, nb: int, a: bytes, b: bytes, percent: int) -> bool:
 
 def _describe(options: JoinOptions):
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()),
+        ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()),
         ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
     ])
 
@@ -140,14 +141,14 @@ def _describe(options: JoinOptions):
                 for kept, value in zip(rows, found):
                     kept.append(value)
             yield pa.RecordBatch.from_arrays([
-                piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
+                piece.column("doc_id"), piece.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()),
                 pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(rows[0], schema.field("hashes").type), pa.array(rows[1], schema.field("counts").type),
             ], schema=schema)
         if size:
             found = flush()
             # a row without a document carries what is left
             yield pa.RecordBatch.from_arrays([
-                pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()),
+                pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()),
                 pa.array([found[0]], schema.field("hashes").type), pa.array([found[1]], schema.field("counts").type),
             ], schema=schema)
 
@@ -365,15 +366,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, options: JoinOptions) -> DataF
 
 
 def ngram_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", options: JoinOptions = JoinOptions()) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+    """doc_id, key (of id and text), n_shingles, component_id for every row."""
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), row_key(id, text).alias("key"), F.col(text).alias("text"))
     described = stage(
-        rows.mapInArrow(_describe(options), "doc_id long, n long, node long, bits binary, hashes array<long>, counts array<long>"),
+        rows.mapInArrow(_describe(options), "doc_id long, key long, n long, node long, bits binary, hashes array<long>, counts array<long>"),
         "described",
     )
-    base = described.where("n >= 0").select("doc_id", "n", "node")
+    base = described.where("n >= 0").select("doc_id", "key", "n", "node")
     nodes = stage(
         described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes"
     )
@@ -435,6 +436,16 @@ def ngram_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", optio
     smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     places = placed.join(smallest, "component").select(F.col("node").alias("_n"), "component_id")
     return base.join(places, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+        "doc_id", "key", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", options: JoinOptions = JoinOptions()) -> DataFrame:
+    """``docs`` with one row of every group of near duplicates, the one with the smallest id.
+
+    Rows that are equal in id and text are one document. Texts without words are linked with nothing and stay.
+    """
+    joined = ngram_join(docs, id=id, text=text, options=options)
+    stays = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key(id, text)).join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

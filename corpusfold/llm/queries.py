@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import chat, decontaminate, ngram_join, quality_rules, sql, substring_dedup, toxicity
+from corpusfold.llm import chat, decontaminate, ngram_join, packing, quality_rules, sql, substring_dedup, toxicity
 from corpusfold.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +55,7 @@ def op9_chat_formatting(spark, sf):
 
 @query(sql.NGRAM_JOIN)
 def op5_ngram_jaccard_join(spark, sf):
-    return ngram_join.ngram_join(table(spark, sf, "documents"))
+    return ngram_join.ngram_join(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query(sql.SUBSTRING_DEDUP)
@@ -72,3 +73,8 @@ def op10_toxicity(spark, sf):
         "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op4_best_fit_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), packing.PackOptions(public_tokenizers.path("byte_bpe_50k.json")))

@@ -88,8 +88,9 @@ LEFT JOIN (SELECT doc_id, min(reached) AS m FROM r GROUP BY doc_id) USING (doc_i
 
 SUBSTRING_DEDUP = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-p AS (SELECT r, unnest(range(0, len(w) - 34)) AS i, w FROM d WHERE len(w) >= 35),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i + 1 : i + 35], ' ')) AS c FROM p),
+p AS (SELECT r, unnest(range(0, len(w) - 34)) AS i,
+    unnest(list_transform(range(0, len(w) - 34), lambda i: array_to_string(w[i + 1 : i + 35], ' '))) AS win FROM d WHERE len(w) >= 35),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY win) AS c FROM p),
 x AS (SELECT DISTINCT r, unnest(range(i + 1, i + 36)) AS q FROM g WHERE c > 1),
 w AS (SELECT r, generate_subscripts(w, 1) AS q, unnest(w) AS word FROM d),
 k AS (SELECT w.r, count(x.q) AS gone, string_agg(word, ' ' ORDER BY w.q) FILTER (WHERE x.q IS NULL) AS kept FROM w LEFT JOIN x ON x.r = w.r AND x.q = w.q GROUP BY w.r)

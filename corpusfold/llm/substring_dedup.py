@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm.columns import row_key
 from corpusfold.llm.fm_index import FmIndex
-from corpusfold.llm.wordbytes import Words, find_words, hash_words, over_pieces, pieces, window_hashes
+from corpusfold.llm.wordbytes import Words, find_words, hash_words, over_pieces, text_bytes, window_hashes
 from corpusfold.session import ship_package, stage
 
 
@@ -197,18 +197,26 @@ def _cut(keep_text: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                words = find_words(_unpack(part.column("packed")))
+                plain = _unpack(part.column("packed"))
+                words, (_, at_text) = find_words(plain), text_bytes(plain)
                 totals, removed, shas, texts, spans = [], [], [], [], []
                 for r, (begins, ends) in enumerate(zip(part.column("begins").to_pylist(), part.column("ends").to_pylist())):
                     a, b = int(words.first[r]), int(words.first[r + 1])
                     keep = np.ones(b - a, dtype=bool)
                     for x, y in zip(begins or (), ends or ()):
                         keep[x:y] = False
-                    text = b" ".join(words.text(a + i) for i in np.flatnonzero(keep).tolist())
+                    kept = (np.flatnonzero(keep) + a).tolist()
+                    text = b" ".join(words.text(i) for i in kept)
                     totals.append(b - a)
                     removed.append(int((~keep).sum()))
                     shas.append(hashlib.sha256(text).hexdigest())
-                    texts.append(text.decode() if keep_text else None)
+                    if keep_text:
+                        # a word goes with the white space after it; what stands before the first word stays
+                        stop = np.append(words.begin[a + 1 : b], at_text[r + 1])
+                        lead = words.data[at_text[r] : words.begin[a] if b > a else at_text[r + 1]].tobytes()
+                        texts.append((lead + b"".join(words.data[words.begin[i] : stop[i - a]].tobytes() for i in kept)).decode())
+                    else:
+                        texts.append(None)
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], ~keep, [0]]).astype(np.int8)))
                     spans.append(edges.tolist())
                 yield pa.RecordBatch.from_arrays([

@@ -2,8 +2,9 @@
 
 Features are the n-grams inside the words of a text (with marks at word ends), hashed to buckets; a text
 has a bucket or not. On the training texts every bucket gets the logarithm of the ratio between its
-smoothed shares in toxic and in other texts; logistic regression on the so scaled features gives the
-weights. Weights that stay small are dropped and the rest is fitted again, so scoring touches few buckets.
+smoothed shares in toxic and in other texts. Buckets whose log odds are within their error are dropped;
+logistic regression on the others, scaled by their ratios, gives the weights. Weights that stay small are
+dropped too and the rest is fitted again, so scoring touches few buckets.
 
 Training uses at most ``max_rows`` labelled texts, those with the smallest hash of their id; one task
 fits them. Scoring needs no shuffle, and the model is ``buckets`` numbers at most.
@@ -38,6 +39,7 @@ class ToxicityOptions:
     epochs: int = 12
     batch: int = 128
     rate: float = 0.3
+    sure: float = 3.0  #: standard errors that the log odds of a bucket must be away from zero
     least: float = 0.05  #: smaller effects of a bucket are dropped
     decay: float = 1e-5
 
@@ -103,11 +105,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, options: ToxicityOptions) ->
         return none
     flat = np.concatenate(rows)
     size = np.array([len(r) for r in rows])
-    toxic = np.bincount(flat, np.repeat(labels, size), options.buckets) + options.smoothing
-    other = np.bincount(flat, np.repeat(1 - labels, size), options.buckets) + options.smoothing
-    ratio = np.log(toxic / toxic.sum()) - np.log(other / other.sum())
+    count = np.array([labels.sum(), len(labels) - labels.sum()])
+    held = np.stack([np.bincount(flat, np.repeat(y, size), options.buckets) for y in (labels, 1 - labels)])
+    share = (held + options.smoothing) / (count[:, None] + 2 * options.smoothing)
+    ratio = np.log(share[0]) - np.log(share[1])
+    # the error of the log odds tells which buckets are more than chance
+    odds = np.log(share[0] / (1 - share[0])) - np.log(share[1] / (1 - share[1]))
+    error = np.sqrt((1 / (held + 0.5) + 1 / (count[:, None] - held + 0.5)).sum(axis=0))
+    keep = np.abs(odds) >= options.sure * error
     weight, intercept = np.zeros(options.buckets), none.intercept
-    keep = np.ones(options.buckets, dtype=bool)
     rng = np.random.default_rng(0)
     for _ in range(2):
         squares, square = np.full(options.buckets, 1e-6), 1e-6
