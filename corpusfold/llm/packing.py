@@ -70,13 +70,13 @@ def units(column: pa.Array) -> Words:
 class Encoder:
     """Token ids of units, each distinct one encoded once while it is remembered."""
 
-    def __init__(self, options: PackOptions):
+    def __init__(self, vocabulary: str, limit: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(options.vocabulary)
+        self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.limit = options.cache
+        self.limit = limit
         self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
@@ -90,19 +90,23 @@ class Encoder:
         self.ids = _gather(np.concatenate([self.ids, fresh]), starts, sizes[order])
         self.keys, self.first = all_keys[order], np.concatenate([[0], np.cumsum(sizes[order])])
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text's begin."""
-        u = units(column)
-        keys, one, which = np.unique(hash_words(u), return_index=True, return_inverse=True)
+    def of(self, words: Words, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, each read with ``lead`` before it, and how many every word has."""
+        keys, one, which = np.unique(hash_words(words), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.limit:
             self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
         new = ~np.isin(keys, self.keys)
         if new.any():
-            self._learn(keys[new], [u.text(i).decode() for i in one[new].tolist()])
+            self._learn(keys[new], [lead + words.text(i).decode() for i in one[new].tolist()])
         at = np.searchsorted(self.keys, keys)
         start, size = self.first[at][which], np.diff(self.first)[at][which]
-        total = np.concatenate([[0], np.cumsum(size)])
-        return _gather(self.ids, start, size), total[u.first]
+        return _gather(self.ids, start, size), size
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin."""
+        u = units(column)
+        ids, size = self.of(u)
+        return ids, np.concatenate([[0], np.cumsum(size)])[u.first]
 
 
 def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -113,7 +117,7 @@ def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
 
 def _cut(options: PackOptions, with_ids: bool):
     def run(batches):
-        encoder = Encoder(options)
+        encoder = Encoder(options.vocabulary, options.cache)
         part = TaskContext.get().partitionId()
         ranks = np.zeros(options.capacity + 1, dtype=np.int64)
         for piece in pieces(batches, "text"):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import chat, decontaminate, ngram_join, packing, quality_rules, sql, substring_dedup, toxicity
+from corpusfold.llm import chat, decontaminate, lm_score, ngram_join, packing, quality_rules, sql, substring_dedup, toxicity
 from corpusfold.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op10_toxicity(spark, sf):
 @query()
 def op4_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), packing.PackOptions(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query()
+def op6_lm_scoring(spark, sf):
+    return lm_score.score_texts(table(spark, sf, "documents"), lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.json")))
