@@ -73,7 +73,7 @@ class FmIndex:
         """Suffix order by doubling, and the common prefix of neighbours from the ranks of each round."""
         n = len(text)
         rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-        rounds, step = [rank], 1
+        rounds, step = [rank.astype(np.int32)], 1
         while rank.max() < n - 1:
             later = np.zeros(n, dtype=np.int64)
             later[: n - step] = rank[step:] + 1
@@ -82,7 +82,7 @@ class FmIndex:
             fresh = np.empty(n, dtype=np.int64)
             fresh[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             rank = fresh
-            rounds.append(rank)
+            rounds.append(rank.astype(np.int32))
             step *= 2
         self.order = np.empty(n, dtype=np.int64)
         self.order[rank] = np.arange(n)
@@ -96,7 +96,8 @@ class FmIndex:
             common[same] += 1 << k
             a[same] += 1 << k
             b[same] += 1 << k
-        self.lcp = np.concatenate([[-1], common, [-1]])
+        # runs are as short as sequences, so small numbers do
+        self.lcp = np.concatenate([[-1], common, [-1]]).astype(np.int32 if common.max(initial=0) > 32000 else np.int16)
         # minima over runs of 2**k places, to find the next smaller value on either side
         self.minima = [self.lcp]
         while (half := 1 << (len(self.minima) - 1)) * 2 <= len(self.lcp):
@@ -111,7 +112,7 @@ class FmIndex:
 
     def _parent(self, lo, hi):
         """The interval [lo, hi) of a pattern becomes that of its longest prefix which occurs more often."""
-        depth = np.maximum(self.lcp[lo], self.lcp[hi])
+        depth = np.maximum(self.lcp[lo], self.lcp[hi]).astype(np.int64)
         left, right = lo.copy(), hi.copy()
         for k in reversed(range(len(self.minima))):
             width, low = 1 << k, self.minima[k]

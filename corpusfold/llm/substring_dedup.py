@@ -23,7 +23,6 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm.columns import row_key
 from corpusfold.llm.fm_index import FmIndex
-from corpusfold.llm.wordbytes import Words, find_words, hash_words, over_pieces, text_bytes, window_hashes
+from corpusfold.llm.wordbytes import Words, find_words, hash_words, over_pieces, window_hashes
 from corpusfold.session import ship_package, stage
 
 
@@ -42,7 +41,7 @@ class DedupOptions:
     gram: int = 6
     hot: int = 2000  #: occurrences of an anchor from which on its windows are filed one by one
     shard_words: int = 400_000  #: aimed size of an index
-    remembered: int = 1 << 15  #: segments that a task holds to count their copies
+    remembered: int = 1 << 16  #: segments that a task holds to count their copies
 
 
 def anchors_of(h: np.ndarray, first: np.ndarray, options: DedupOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,9 +102,10 @@ def _pack():
     return over_pieces(make, "text")
 
 
-def _unpack(column: pa.Array) -> pa.Array:
+def _unpack(column: pa.Array) -> tuple[list[bytes], pa.Array]:
     squeeze = zstandard.ZstdDecompressor()
-    return pa.array([squeeze.decompress(b) for b in column.to_pylist()], pa.binary()).cast(pa.large_string())
+    raw = [squeeze.decompress(b) for b in column.to_pylist()]
+    return raw, pa.array(raw, pa.large_binary()).cast(pa.large_string())
 
 
 def _segments(options: DedupOptions):
@@ -130,24 +130,30 @@ def _segments(options: DedupOptions):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 out = {"route": [], "seg": [], "key": [], "place": []}
-                words, h = _words(_unpack(part.column("packed")))
+                raw, plain = _unpack(part.column("packed"))
+                words, h = _words(plain)
                 row, anchor, low, high = anchors_of(h, words.first, options)
                 hashes = window_hashes(h, options.gram)[anchor].view(np.int64) if len(anchor) else np.zeros(0, np.int64)
                 wanted = [dict(zip(a, c)) for a, c in zip(part.column("anchors").to_pylist(), part.column("counts").to_pylist())]
                 key = part.column("key").to_pylist()
+                first = words.first.tolist()
+                split_row, split = -1, []
                 for r, g, a, b in zip(row.tolist(), hashes.tolist(), low.tolist(), high.tolist()):
                     count = wanted[r].get(g)
                     if count is None:
                         continue
+                    if r != split_row:
+                        # bytes split at the same six characters that separate words
+                        split_row, split = r, raw[r].split()
                     hot = count > options.hot
                     for x, y in [(i, i) for i in range(a, b + 1)] if hot else [(a, b)]:
-                        text = b" ".join(words.text(i) for i in range(x, y + options.length))
+                        text = b" ".join(split[x - first[r] : y - first[r] + options.length])
                         seg = xxhash.xxh64_intdigest(text) - 2**63
                         route = seg if hot else g
                         out["route"].append(route)
                         out["seg"].append(seg)
                         out["key"].append(key[r])
-                        out["place"].append(x - int(words.first[r]))
+                        out["place"].append(x - first[r])
                         entry = held.setdefault((route, seg), [text, 0])
                         entry[1] += 1
                     if len(held) >= options.remembered:
@@ -172,21 +178,23 @@ def repeated_runs(statistics: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _index_shard(options: DedupOptions):
-    def report(rows: pd.DataFrame) -> pd.DataFrame:
-        segments = rows.groupby(["route", "seg"], sort=False).agg(words=("words", "first"), copies=("copies", "sum")).reset_index()
-        # the same words under two routes are the same sequence
-        distinct = segments.groupby("seg", sort=False).agg(words=("words", "first"), copies=("copies", "sum")).reset_index()
-        words = find_words(pa.array(distinct["words"].tolist(), pa.binary()).cast(pa.large_string()))
+    def report(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        route, seg, copies = (rows.column(c).to_numpy() for c in ("route", "seg", "copies"))
+        _, one, which = np.unique(seg, return_index=True, return_inverse=True)
+        distinct = rows.column("words").take(pa.array(one)).combine_chunks()
+        words = find_words((distinct.chunk(0) if isinstance(distinct, pa.ChunkedArray) else distinct).cast(pa.large_string()))
         symbols = np.unique(hash_words(words), return_inverse=True)[1]
-        sequences = [symbols[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-        index = FmIndex(sequences, distinct["copies"].to_numpy())
+        sequences = [symbols[a:b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
+        index = FmIndex(sequences, np.bincount(which, copies).astype(np.int64))
         runs = [repeated_runs(s, options.length) for s in index.matching_statistics(sequences)]
-        found = pd.DataFrame({"seg": distinct["seg"], "runs": runs})
-        found = found[found["runs"].map(len) > 0]
-        out = segments[["route", "seg"]].merge(found, on="seg")
-        return pd.DataFrame({
-            "route": out["route"], "seg": out["seg"],
-            "begins": [[a for a, _ in r] for r in out["runs"]], "ends": [[b for _, b in r] for r in out["runs"]],
+        # a segment may come under its anchor and, as a window, under its own hash
+        _, pairs = np.unique(np.stack([route, seg]), axis=1, return_index=True)
+        pairs = [i for i in pairs.tolist() if runs[which[i]]]
+        return pa.table({
+            "route": route[pairs], "seg": seg[pairs],
+            "begins": pa.array([[a for a, _ in runs[which[i]]] for i in pairs], pa.list_(pa.int32())),
+            "ends": pa.array([[b for _, b in runs[which[i]]] for i in pairs], pa.list_(pa.int32())),
         })
 
     return report
@@ -197,28 +205,20 @@ def _cut(keep_text: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                plain = _unpack(part.column("packed"))
-                words, (_, at_text) = find_words(plain), text_bytes(plain)
                 totals, removed, shas, texts, spans = [], [], [], [], []
-                for r, (begins, ends) in enumerate(zip(part.column("begins").to_pylist(), part.column("ends").to_pylist())):
-                    a, b = int(words.first[r]), int(words.first[r + 1])
-                    keep = np.ones(b - a, dtype=bool)
-                    for x, y in zip(begins or (), ends or ()):
-                        keep[x:y] = False
-                    kept = (np.flatnonzero(keep) + a).tolist()
-                    text = b" ".join(words.text(i) for i in kept)
-                    totals.append(b - a)
-                    removed.append(int((~keep).sum()))
-                    shas.append(hashlib.sha256(text).hexdigest())
-                    if keep_text:
-                        # a word goes with the white space after it; what stands before the first word stays
-                        stop = np.append(words.begin[a + 1 : b], at_text[r + 1])
-                        lead = words.data[at_text[r] : words.begin[a] if b > a else at_text[r + 1]].tobytes()
-                        texts.append((lead + b"".join(words.data[words.begin[i] : stop[i - a]].tobytes() for i in kept)).decode())
-                    else:
-                        texts.append(None)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], ~keep, [0]]).astype(np.int8)))
-                    spans.append(edges.tolist())
+                for text, begins, ends in zip(
+                    _unpack(part.column("packed"))[0], part.column("begins").to_pylist(), part.column("ends").to_pylist()
+                ):
+                    words = text.split()
+                    gone = _merged(begins or (), ends or ())
+                    edges = [0, *(x for span in gone for x in span), len(words)]
+                    keep = list(zip(edges[::2], edges[1::2]))
+                    kept = b" ".join(w for x, y in keep for w in words[x:y])
+                    totals.append(len(words))
+                    removed.append(sum(y - x for x, y in gone))
+                    shas.append(hashlib.sha256(kept).hexdigest())
+                    spans.append([x for span in gone for x in span])
+                    texts.append(_without(text, keep) if keep_text and gone else text.decode() if keep_text else None)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("key"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()),
                     pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int64())),
@@ -227,6 +227,24 @@ def _cut(keep_text: bool):
     return run
 
 
+def _merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Disjoint intervals, in order."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(zip(begins, ends)):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(y, out[-1][1]))
+        else:
+            out.append((x, y))
+    return out
+
+
+def _without(text: bytes, keep: list[tuple[int, int]]) -> str:
+    """A word goes with the white space after it; what stands before the first word stays."""
+    words = find_words(pa.array([text], pa.large_binary()).cast(pa.large_string()))
+    begin = [*words.begin.tolist(), len(text)]
+    return (text[: begin[0]] + b"".join(text[begin[x] : begin[y]] for x, y in keep)).decode()
+
+
 def substring_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", options: DedupOptions = DedupOptions(), keep_text: bool = True) -> DataFrame:
     """doc_id, key, n_words, n_removed, kept_sha256, kept_text, removed_spans (begin, end, begin, ... in words) for every row."""
     spark = docs.sparkSession
@@ -253,7 +271,7 @@ def substring_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     shards = max(1, words // (6 * options.shard_words))
     found = stage(
         distinct.select("route", "seg", "words", "copies", F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"))
-        .groupBy("shard").applyInPandas(_index_shard(options), "route long, seg long, begins array<int>, ends array<int>"),
+        .groupBy("shard").applyInArrow(_index_shard(options), "route long, seg long, begins array<int>, ends array<int>"),
         "repeats",
     )
     places = F.arrays_zip(
