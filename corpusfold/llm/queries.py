@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import chat, decontaminate, lm_score, ngram_join, packing, quality_rules, sql, substring_dedup, toxicity
+from corpusfold.llm import (
+    chat,
+    decontaminate,
+    license_scan,
+    lm_score,
+    ngram_join,
+    packing,
+    quality_rules,
+    sql,
+    substring_dedup,
+    toxicity,
+    weak_quality,
+)
 from corpusfold.llm.columns import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +95,18 @@ def op4_best_fit_packing(spark, sf):
 @query()
 def op6_lm_scoring(spark, sf):
     return lm_score.score_texts(table(spark, sf, "documents"), lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query(sql.LICENSES)
+def op1_license_scan(spark, sf):
+    found = license_scan.scan_licenses(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"),
+    )
+
+
+@query()
+def op3_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = weak_quality.score(docs, weak_quality.train(docs))
+    return scored.select("doc_id", F.col("quality").alias("score"), F.col("kept").cast("int").alias("predicted"), "kept")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusfold.llm.license_scan import TEMPLATES
 from corpusfold.llm.quality_rules import RULES
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -95,3 +96,15 @@ x AS (SELECT DISTINCT r, unnest(range(i + 1, i + 36)) AS q FROM g WHERE c > 1),
 w AS (SELECT r, generate_subscripts(w, 1) AS q, unnest(w) AS word FROM d),
 k AS (SELECT w.r, count(x.q) AS gone, string_agg(word, ' ' ORDER BY w.q) FILTER (WHERE x.q IS NULL) AS kept FROM w LEFT JOIN x ON x.r = w.r AND x.q = w.q GROUP BY w.r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_NORMAL} AS w FROM documents),
+t AS (SELECT name, {_NORMAL} AS w FROM (VALUES {_TEMPLATES}) AS v(name, text)),
+ts AS (SELECT DISTINCT name, unnest(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS run FROM t),
+tc AS (SELECT name, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS stride FROM ts GROUP BY name),
+p AS (SELECT r, unnest(range(0, len(w) - 2)) AS i, unnest(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS run FROM d WHERE len(w) >= 3),
+h AS (SELECT r, name, run, n, unnest([i // stride, i // stride - 1]) AS win FROM p JOIN ts USING (run) JOIN tc USING (name)),
+m AS (SELECT DISTINCT r, name FROM (SELECT r, name, win FROM h WHERE win >= 0 GROUP BY r, name, win, n HAVING count(DISTINCT run) >= 0.8 * n)),
+l AS (SELECT r, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM d LEFT JOIN l USING (r)"""
