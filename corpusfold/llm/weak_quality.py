@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfold.llm.columns import words
 from corpusfold.llm.quality_rules import measure
 from corpusfold.llm.wordbytes import finish, find_words, hash_words, over_pieces
 from corpusfold.session import ship_package, stage
@@ -42,17 +43,31 @@ def _vote(good: Column, bad: Column) -> Column:
     return F.when(bad, "b").when(good, "g").otherwise("-")
 
 
+def signs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The measures of the quality rules, and words without odd characters, letters, different and doubled words."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    more = docs.select(
+        "*",
+        F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])\p{L}+[.,]?(?![^\x20\x09-\x0D])")).cast("long").alias("n_clean"),
+        F.length(F.regexp_replace(body, r"\P{L}+", "")).cast("long").alias("n_letters"),
+        F.size(F.array_distinct(words(F.col(text)))).cast("long").alias("n_distinct"),
+        F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?:[\x20\x09-\x0D]|$))")).cast("long").alias("n_doubled"),
+    )
+    return measure(more, text)
+
+
 def votes() -> Column:
-    """One letter a labeller, from the measures of a text."""
-    words, chars = F.col("n_words"), F.col("word_chars")
-    symbols, capitals, repeats, lines = F.col("n_symbols"), F.col("n_capitals"), F.col("n_repeat_words"), F.col("n_lines")
+    """One letter a labeller, from the signs of a text; every kind of defect is seen by more than one of them."""
+    n, chars = F.col("n_words"), F.col("word_chars")
     return F.concat(
-        _vote(100 * symbols <= chars, 20 * symbols > chars),
-        _vote((20 * capitals <= chars) & (words >= 20), 2 * capitals > chars),
-        _vote((20 * repeats <= words) & (words >= 50), 3 * repeats > words),
-        _vote(words >= 100, words < 20),
-        _vote((chars >= 3 * words) & (chars <= 9 * words) & (words > 0), (chars > 14 * words) | (chars < 2 * words)),
-        _vote((3 * F.col("n_dup_lines") < lines) & (lines >= 5), 2 * F.col("n_dup_lines") > lines),
+        _vote(100 * F.col("n_symbols") <= chars, 20 * F.col("n_symbols") > chars),
+        _vote(10 * F.col("n_clean") >= 9 * n, 10 * F.col("n_clean") < 6 * n),
+        _vote(100 * F.col("n_letters") >= 95 * chars, 100 * F.col("n_letters") < 85 * chars),
+        _vote(10 * F.col("n_capitals") <= chars, 2 * F.col("n_capitals") > chars),
+        _vote(20 * F.col("n_repeat_words") <= n, 3 * F.col("n_repeat_words") > n),
+        _vote(10 * F.col("n_distinct") >= 6 * n, 10 * F.col("n_distinct") < 3 * n),
+        _vote(50 * F.col("n_doubled") <= n, 4 * F.col("n_doubled") > n),
+        _vote((chars >= 3 * n) & (chars <= 9 * n), (chars > 14 * n) | (chars < 2 * n)),
     )
 
 
@@ -88,26 +103,26 @@ _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 48, 65, 97
 
 def features(texts: pa.Array, options: QualityOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and values of every text, and where each text's begin: the root of a feature's share of the words."""
-    words = find_words(texts)
-    row, n = words.rows(), len(words.begin)
-    length = words.end - words.begin
-    shape = _CLASS[words.data[words.begin]] if n else np.zeros(0, np.uint64)
+    found = find_words(texts)
+    row, n = found.rows(), len(found.begin)
+    length = found.end - found.begin
+    shape = _CLASS[found.data[found.begin]] if n else np.zeros(0, np.uint64)
     for back in (1, 2, 3):
-        place = np.maximum(words.end - back, words.begin)
-        shape = (shape << np.uint64(8)) | (_CLASS[words.data[place]] if n else shape)
+        place = np.maximum(found.end - back, found.begin)
+        shape = (shape << np.uint64(8)) | (_CLASS[found.data[place]] if n else shape)
     size = np.minimum(np.log2(length, where=length > 0, out=np.zeros(n)).astype(np.uint64), np.uint64(7))
-    h = hash_words(words)
+    h = hash_words(found)
     nearby = np.zeros(n, dtype=np.uint64)
     for gap in range(1, 9):
         same = np.zeros(n, dtype=bool)
         same[gap:] = (h[gap:] == h[:-gap]) & (row[gap:] == row[:-gap]) if n > gap else False
         nearby[same & (nearby == 0)] = gap
     kinds = [finish(shape * np.uint64(8) + np.uint64(1)), finish(size * np.uint64(8) + np.uint64(2)), finish(nearby * np.uint64(8) + np.uint64(3))]
-    total = np.maximum(1, words.counts)
+    total = np.maximum(1, found.counts)
     rows = [row] * 3
     # one feature for the order of magnitude of the length
     rows.append(np.arange(len(total)))
-    kinds.append(finish(np.log2(words.counts + 1).astype(np.uint64) * np.uint64(8) + np.uint64(4)))
+    kinds.append(finish(np.log2(found.counts + 1).astype(np.uint64) * np.uint64(8) + np.uint64(4)))
     flat, owner = np.concatenate(kinds) % np.uint64(options.buckets), np.concatenate(rows)
     pair, count = np.unique(owner * options.buckets + flat.astype(np.int64), return_counts=True)
     owner = pair // options.buckets
@@ -141,7 +156,7 @@ def train(docs: DataFrame, *, id: str = "doc_id", text: str = "text", options: Q
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    voted = stage(measure(rows).select("doc_id", votes().alias("pattern")), "votes")
+    voted = stage(signs(rows).select("doc_id", votes().alias("pattern")), "votes")
     table = sorted((r["pattern"], r["c"]) for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("c")).collect())
     if not table:
         return np.zeros(options.buckets), 0.0
