@@ -32,11 +32,13 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.substring_dedup(docs).where("n_removed > 0").select(F.col("key").alias("_key"), "kept_text").dropDuplicates(["_key"])
-    changed = F.col("kept_text").isNotNull()
-    joined = docs.withColumn("_key", row_key("doc_id", "text")).join(cut, "_key", "left")
-    new = {"text": F.coalesce("kept_text", "text"), "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars"))}
-    return joined.select(*[new[c].cast(kind).alias(c) if c in new else F.col(f"`{c}`") for c, kind in docs.dtypes])
+    cut = substring_dedup.substring_dedup(docs).where("n_removed > 0").select("key", "kept_text").dropDuplicates(["key"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key("doc_id", "text").alias("key"))
+    new = {
+        "text": F.coalesce(F.col("kept_text"), F.col("row.text")),
+        "n_chars": F.coalesce(F.length("kept_text").cast("long"), F.col("row.n_chars")),
+    }
+    return rows.join(cut, "key", "left").select(*[new.get(c, F.col(f"row.`{c}`")).cast(kind).alias(c) for c, kind in docs.dtypes])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ with those of the benchmark, next to the text, so neither chance nor a hash coll
 
 Defined results: null or empty texts, and texts of separators only, have no words and are clean; null
 or empty items have no window; repeated items count once per ``item_id``; repeated rows of documents get
-repeated results; an empty benchmark leaves everything clean. Other columns are carried unchanged.
+repeated results; an empty benchmark leaves everything clean. Other columns are carried
+unchanged, but for those that have the name of a result.
 """
 
 from __future__ import annotations
@@ -91,14 +92,19 @@ def scan(
 ) -> DataFrame:
     """Every row of ``docs`` with ``hits``: verified (place, length, items), sorted; null if there are none."""
     windows = stage(benchmark_windows(items, n, item_id, item_text), "benchmark-windows")
-    keyed = docs.withColumn("_key", row_key(id, text)).withColumn("_id", F.col(id))
+    columns = [c for c in docs.columns if c != "hits"]
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(id).alias("_id"), row_key(id, text).alias("_key"), F.col(text).alias("_text")
+    )
     # at most n different lengths
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
     if not lengths:
-        return docs.withColumn("hits", F.lit(None).cast("array<struct<place:int,length:int,items:array<string>>>"))
+        return docs.select(
+            *[F.col(f"`{c}`") for c in columns], F.lit(None).cast("array<struct<place:int,length:int,items:array<string>>>").alias("hits")
+        )
     side = F.broadcast(windows) if windows.count() <= broadcast_anchors else windows
     found = (
-        document_anchors(keyed, lengths, text).join(side, ["length", "hash"])
+        document_anchors(keyed, lengths, "_text").join(side, ["length", "hash"])
         .withColumn("place", F.col("anchor") - F.col("offset"))
         .where("place >= 0")
         .groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("place", "length", "window", "items"))).alias("_found"))
@@ -107,13 +113,13 @@ def scan(
         found.alias("f"), F.col("d._id").eqNullSafe(F.col("f._id")) & (F.col("d._key") == F.col("f._key")), "left"
     )
     verified = let(
-        normalised(F.col(f"d.{text}")),
+        normalised(F.col("_text")),
         lambda w: F.transform(
             F.filter(F.col("_found"), lambda h: F.slice(w, h["place"] + 1, h["length"]) == h["window"]),
             lambda h: F.struct(h["place"].alias("place"), h["length"].alias("length"), h["items"].alias("items")),
         ),
     )
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.when(F.col("_found").isNotNull(), verified).alias("hits"))
+    return joined.select("_row", F.when(F.col("_found").isNotNull(), verified).alias("hits")).select("_row.*", "hits")
 
 
 def hit_words(hits: Column) -> Column:
@@ -143,12 +149,13 @@ def flag(docs: DataFrame, items: DataFrame, *, text: str = "text", share: int =
     )
 
 
-def remove_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def remove_documents(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return flag(docs, items, **options).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
+    return flag(rows, items, id="_id", text="_text", **options).where(~F.col("contaminated")).select("_row.*")
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All of ``docs``; hit words, with what stands between them, are cut out of the text."""
     token = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     lead = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
@@ -163,4 +170,6 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, text: str = "text", **opt
         ),
     )
     cleaned = F.when(F.size("hits") > 0, F.concat(lead, kept)).otherwise(F.col(text))
-    return scan(docs, items, text=text, **options).withColumn(text, cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"), F.col(id).alias("_id"), F.col(text).alias(text))
+    new = scan(rows, items, id="_id", text=text, **options).withColumn("_cleaned", cleaned)
+    return new.select(*[F.col("_cleaned").alias(c) if c == text else F.col(f"_kept.`{c}`") for c in docs.columns])

@@ -448,4 +448,5 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", options
     """
     joined = ngram_join(docs, id=id, text=text, options=options)
     stays = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", row_key(id, text)).join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(id, text).alias("_key"))
+    return rows.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

@@ -42,6 +42,7 @@ class ToxicityOptions:
     sure: float = 3.0  #: standard errors that the log odds of a bucket must be away from zero
     least: float = 0.05  #: smaller effects of a bucket are dropped
     decay: float = 1e-5
+    piece: int = 1 << 19  #: bytes of text whose n-grams are in memory at once
 
 
 @dataclass(frozen=True)
@@ -152,10 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
         return pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), lists], ["id", "y", "f"])
 
     # max_rows rows: small whatever the tables hold
-    rows = docs.join(F.broadcast(chosen), F.col(f"`{id}`") == F.col("_id")).select(
-        F.col("_id").alias("id"), F.col("_y").alias("y"), F.col(text).alias("text")
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(
+        F.broadcast(chosen.select(F.col("_id").alias("id"), F.col("_y").alias("y"))), "id"
     )
-    sample = stage(rows.mapInArrow(over_pieces(make, "text"), "id long, y int, f array<int>"), "toxicity-sample")
+    sample = stage(rows.mapInArrow(over_pieces(make, "text", options.piece), "id long, y int, f array<int>"), "toxicity-sample")
 
     def fit_all(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
@@ -185,7 +186,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", options: Toxicit
 
     rest = docs.drop("toxicity")
     schema = T.StructType([*rest.schema.fields, T.StructField("toxicity", T.DoubleType())])
-    return rest.mapInArrow(over_pieces(make, text), schema)
+    return rest.mapInArrow(over_pieces(make, text, options.piece), schema)
 
 
 def held_out(id: str = "doc_id", folds: int = 5, fold: int = 0):

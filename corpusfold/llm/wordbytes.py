@@ -126,11 +126,11 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
             start = stop
 
 
-def over_pieces(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str) -> Callable:
+def over_pieces(make: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str, limit: int = PIECE_BYTES) -> Callable:
     """A function for ``mapInArrow`` that applies ``make`` to pieces of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text):
+        for piece in pieces(batches, text, limit):
             made = make(piece)
             if made is not None and made.num_rows:
                 yield made
