@@ -23,8 +23,11 @@ from corpusfold.session import stage
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
-    scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.where("toxicity < 0.5").drop("toxicity")
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = toxicity.score(docs, toxicity.train(docs, labels), name=name)
+    return scored.where(F.col(name) < 0.5).drop(name)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     return Model(np.array(found[0]["buckets"], np.int32), np.array(found[0]["effects"]), found[0]["intercept"])
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity``, a probability."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "toxicity", options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
+    """All columns of ``docs`` and ``name``, a probability; a column of that name is replaced."""
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -182,10 +182,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", options: Toxicit
         only[shared.value.buckets] = True
         flat, first = features(piece.column(text), options, only)
         z = shared.value.intercept + _sums(effects[flat], first)
-        return piece.append_column("toxicity", pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
+        return piece.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500)))))
 
-    rest = docs.drop("toxicity")
-    schema = T.StructType([*rest.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    rest = docs.drop(name)
+    schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
     return rest.mapInArrow(over_pieces(make, text, options.piece), schema)
 
 

@@ -300,7 +300,6 @@ def test_chat(spark):
     assert {r.conv_id: [(t.role, t.text) for t in r.t] for r in turns} == want
     for r in turns:
         raw = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
-        assert [x.replace("<\\|", "<|").replace("\\\\", "\\") for x in raw if "\\<" not in x[:-4]] or raw is not None
         assert len(raw) == sum(role == "assistant" for role, _ in want[r.conv_id])
     for r in chat.read_back(rendered).collect():
         plain = want[r.conv_id]

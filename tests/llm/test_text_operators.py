@@ -95,7 +95,7 @@ def test_decontamination(spark, make, awkward, empty):
 def test_licenses(make, awkward, empty):
     t = license_scan.TEMPLATES
     docs = make([
-        prose(1, 40) + "\n" + t["mit"] + "\n" + prose(2, 40), t["gpl-3.0"].upper(), t["bsd"][:-20] + " " + prose(3, 9), None, "All rights reserved", "rights reserved",
+        prose(1, 40) + "\n" + t["mit"] + "\n" + prose(2, 40), t["gpl-3.0"].upper(), t["bsd"][:-8] + " " + prose(3, 9), None, "All rights reserved", "rights reserved",
         prose(4, 3000) + " " + t["apache-2.0"] + " " + t["cc-by-nc-4.0"],
     ])
     found = {r.doc_id: r.matches for r in license_scan.scan_licenses(docs).collect()}
