@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 WHITESPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where it stands inside a lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def trim(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE))
 
@@ -33,11 +40,6 @@ def truncate_chars(value: Column, limit: int) -> Column:
     return F.when(F.char_length(value) > limit, F.concat(F.left(value, F.lit(limit - 3)), F.lit("..."))).otherwise(value)
 
 
-def one_line(text: Column) -> Column:
-    """First line with runs of whitespace squeezed."""
-    return trim(F.regexp_replace(F.split(text, "\r?\n", 2)[0], f"[{WHITESPACE}]+", " "))
-
-
 def leading_indent(line: Column) -> Column:
     """Width of the leading blanks; a tab counts two."""
     blanks = F.regexp_extract(line, "^[ \t]*", 0)

@@ -1,7 +1,7 @@
 """Three renderings of every file: full text, skeleton and tree map.
 
-Files are split by syntax family. Web templates stay in JVM expressions; code and configuration need
-per-text state and go through one Arrow UDF; Markdown and Objective-C run as window queries over
+Files are split by syntax family. Web templates and configuration stay in JVM expressions; code needs
+per-text state and goes through one Arrow UDF; Markdown and Objective-C run as window queries over
 lines. Each branch filters on the syntax family; a corpus laid out by it is read once in all.
 """
 
@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusfold.functions import code_outline, config_outline, langs, paths, text
+from corpusfold.functions import code_outline, langs, paths, text
 from corpusfold.functions.tokens import Counter
 from corpusfold.operators import lines as L
-from corpusfold.operators import markdown, objc, web
+from corpusfold.operators import config, markdown, objc, web
 from corpusfold.session import ship_package, stage
 
 KIND = "kind"
@@ -23,10 +23,6 @@ _VARIANTS = ("skeleton", "tree_map")
 
 
 _OUTLINES = T.StructType([T.StructField(name, T.StringType()) for name in _VARIANTS])
-_CONFIG_LINES = T.StructType(
-    [T.StructField("lines", T.ArrayType(T.StringType())), *[T.StructField(name, T.IntegerType()) for name in _VARIANTS]]
-)
-
 
 @F.pandas_udf(_OUTLINES)
 def _code_outline(contents: pd.Series, syntaxes: pd.Series) -> pd.DataFrame:
@@ -34,54 +30,12 @@ def _code_outline(contents: pd.Series, syntaxes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(_VARIANTS))
 
 
-@F.pandas_udf(_CONFIG_LINES)
-def _config_outline(names: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    rows = [config_outline.outline(path, lines) for path, lines in zip(names, contents)]
-    return pd.DataFrame([(shown, *taken) for shown, taken in rows], columns=["lines", *_VARIANTS])
-
-
-def key_wanted(key: Column, profile: str) -> Column:
-    """Whether a configuration key is on a profile's list: equal, as a last part, or as a dotted prefix."""
-    words = F.array(*[F.lit(word) for word in langs.CONFIG_KEYS[profile]])
-    prefixes = [w for w in langs.CONFIG_KEYS[profile] if "." in w or w in langs.CONFIG_PREFIX_KEYS]
-    test = F.exists(
-        words,
-        lambda word: (key == word)
-        | F.endswith(key, F.concat(F.lit("."), word))
-        | F.endswith(key, F.concat(F.lit("-"), word)),
-    )
-    return test | text.starts_with_any(key, [f"{word}." for word in prefixes])
-
-
 def code(files: DataFrame) -> DataFrame:
     ship_package(files.sparkSession)
     outlined = files.withColumn("_o", _code_outline(F.col("content"), paths.syntax(F.col("path"))))
     return outlined.select(*files.columns, *[F.col(f"_o.{name}").alias(name) for name in _VARIANTS])
 
 
-def config(files: DataFrame, counter: Counter) -> DataFrame:
-    """Configuration outlines: the helper picks the lines, expressions shorten them and drop repeats."""
-    ship_package(files.sparkSession)
-    picked = files.withColumn("_all", text.lines(F.col("content"))).withColumn(
-        "_o", _config_outline(F.col("path"), F.col("_all"))
-    )
-    shown = picked.withColumn("_lines", counter.truncate_all(F.col("_o.lines"), langs.LINE_TOKEN_LIMIT))
-
-    def variant(name: str, limit: int):
-        # the limit applies before repeats are dropped
-        cut = F.slice("_lines", F.lit(1), F.col(f"_o.{name}"))
-        unique = F.filter(cut, lambda line, at: (at == 0) | (F.get("_lines", at - 1) != line))
-        outline = text.join_lines(unique)
-        fallback = text.join_lines(L.first_lines(F.col("_all"), counter, limit))
-        return F.when(F.size("_lines") == 0, fallback).otherwise(outline).alias(name)
-
-    return shown.select(
-        *files.columns,
-        variant("skeleton", config_outline.SKELETON_LINES),
-        variant("tree_map", config_outline.MAP_LINES),
-    )
-
-
 def templates(files: DataFrame, counter: Counter) -> DataFrame:
     return files.withColumn("skeleton", web.outline(F.col("content"), counter, web.SKELETON_LINES)).withColumn(
         "tree_map", web.outline(F.col("content"), counter, web.MAP_LINES)
@@ -105,7 +59,7 @@ def compress(files: DataFrame, counter: Counter) -> DataFrame:
 
     branches = [
         code(of(*langs.CODE_SYNTAXES)),
-        config(of("config"), counter),
+        config.outline(of("config"), counter),
         templates(of("web"), counter),
         markdown.compress(of("markdown"), counter),
         objc.compress(of("objc")),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusfold.functions import langs, paths, text, tokens
-from corpusfold.operators import budget, compress, delta, lines, markdown, objc, order, render, rollup, select, web
+from corpusfold.operators import budget, compress, config, delta, lines, markdown, objc, order, render, rollup, select, web
 from corpusfold.options import ContextOptions
 from corpusfold.plans import context, reports
 from corpusfold.session import spread, stage
@@ -564,7 +564,7 @@ def code_outline(spark, sf):
 
 @query(f"WITH {duck.config_outlines()} SELECT path, outline AS skeleton, outline AS tree_map FROM conf")
 def config_outline(spark, sf):
-    return compress.config(corpora.config(spark, sf), NATIVE).select("path", "skeleton", "tree_map")
+    return config.outline(corpora.config(spark, sf), NATIVE).select("path", "skeleton", "tree_map")
 
 
 @query(
@@ -606,8 +606,8 @@ def config_allowlist(spark, sf):
             (F.col("doc_id") % 7 + 1).cast("int"),
         ).alias("b"),
     )
-    return docs.withColumn("common_a", compress.key_wanted(F.col("a"), "common")).withColumn(
-        "cargo_b", compress.key_wanted(F.col("b"), "cargo_toml")
+    return docs.withColumn("common_a", config.key_wanted(F.col("a"), "common")).withColumn(
+        "cargo_b", config.key_wanted(F.col("b"), "cargo_toml")
     )
 
 

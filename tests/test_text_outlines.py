@@ -1,16 +1,22 @@
 """Outlines of Markdown, configuration, Objective-C and web files on small sources."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpusfold.functions.config_outline import outline as config_lines
+from corpusfold.functions import text
 from corpusfold.functions.tokens import Counter
-from corpusfold.operators import compress, markdown, objc
+from corpusfold.operators import compress, config, markdown, objc
 
 NATIVE = Counter("native")
 
 
-def shown(path, source):
-    return config_lines(path, source.split("\n"))[0]
+@pytest.fixture
+def shown(spark):
+    def lines(path, source):
+        files = spark.createDataFrame([(path, source)], "path string, content string")
+        return files.select(config.picked(F.col("path"), text.lines(F.col("content"))).alias("o")).first().o.shown
+
+    return lines
 
 
 def compressed(spark, path, content):
@@ -18,14 +24,14 @@ def compressed(spark, path, content):
     return compress.compress(files, NATIVE).first()
 
 
-def test_config_keeps_important_sections():
+def test_config_keeps_important_sections(shown):
     source = '{\n  "version": "2",\n  "commands": {\n    "go": "run"\n  },\n  "palette": {\n    "tones": [\n      "not-shown"\n    ]\n  }\n}\n'
     lines = shown("a.json", source)
     assert '"go": "run"' in lines
     assert not any("not-shown" in line for line in lines)
 
 
-def test_config_limits_array_items():
+def test_config_limits_array_items(shown):
     items = [f'    "{c}"' for c in "abcdefghijklmn"]
     lines = shown("a.json", '{\n  "bin": [\n' + ",\n".join(items) + "\n  ]\n}\n")
     assert lines.count("...") == 1
@@ -43,13 +49,13 @@ def test_config_limits_array_items():
         ("my-extension/package.json", '{\n  "menus": {\n    "top": [\n      {\n        "when": "open"\n      }\n    ]\n  },\n  "house": {\n    "tone": "not-shown"\n  }\n}', '"when": "open"', "not-shown"),
     ],
 )
-def test_config_profiles(path, source, kept, dropped):
+def test_config_profiles(shown, path, source, kept, dropped):
     lines = shown(path, source)
     assert kept in lines
     assert not any(dropped in line for line in lines)
 
 
-def test_config_comments():
+def test_config_comments(shown):
     assert "# top" in shown("a.yaml", "# top\nname: demo\njobs:\n  # inner\n  build:\n")
     assert "# inner" not in shown("a.yaml", "# top\nname: demo\njobs:\n  # inner\n  build:\n")
     assert "// top" in shown("a.json", '// top\n{\n  // nested\n  "name": "x"\n}')
