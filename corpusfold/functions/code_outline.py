@@ -314,39 +314,6 @@ def _header_end(code: str, at: int) -> int | None:
     return None
 
 
-def collapse_imports(text: str, syntax: str) -> str:
-    """Long import runs and Go import groups become five entries and a count."""
-    rows = text.replace("\r\n", "\n").split("\n")
-    closing = rows.pop() if rows[-1] == "" else None
-    prefixes = langs.IMPORT_PREFIXES[syntax]
-    out: list[str] = []
-    at = 0
-    while at < len(rows):
-        bare = rows[at].strip()
-        if syntax == "go" and bare == "import (":
-            ends = next((i for i in range(at + 1, len(rows)) if rows[i].strip() == ")"), None)
-            if ends is None:
-                out.append(rows[at])
-                at += 1
-                continue
-            named = [row for row in rows[at + 1 : ends] if row.strip()]
-            group = rows[at + 1 : ends] if len(named) <= langs.IMPORT_KEEP else _shortened(named, "    ")
-            out += [rows[at], *group, rows[ends]]
-            at = ends + 1
-            continue
-        run = at
-        while run < len(rows) and rows[run].strip().startswith(prefixes):
-            run += 1
-        out += _shortened(rows[at:run], "") if run > at else [rows[at]]
-        at = max(run, at + 1)
-    return "\n".join(out) + ("\n" if closing is not None and rows else "")
-
-
-def _shortened(rows: list[str], pad: str) -> list[str]:
-    extra = len(rows) - langs.IMPORT_KEEP
-    return rows if extra <= 0 else [*rows[: langs.IMPORT_KEEP], f"{pad}... {extra} more imports"]
-
-
 def outline(source: str, syntax: str) -> tuple[str, str]:
-    skeleton, tree_map = python_outline(source) if syntax == "python" else brace_outline(source, syntax)
-    return collapse_imports(skeleton, syntax), collapse_imports(tree_map, syntax)
+    """Skeleton and tree map; long import runs are collapsed by the line operators."""
+    return python_outline(source) if syntax == "python" else brace_outline(source, syntax)

@@ -30,10 +30,35 @@ def _code_outline(contents: pd.Series, syntaxes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(_VARIANTS))
 
 
+def _imports(outline: Column, syntax: Column) -> Column:
+    """Number of lines that may belong to a run of imports or to a group of them."""
+    return F.size(F.filter(text.lines(outline), lambda line: (syntax == "go") | L.import_like(text.trim(line), syntax)))
+
+
 def code(files: DataFrame) -> DataFrame:
+    """Outlines of code. Only those with enough lines for a long import run go through the line operators."""
     ship_package(files.sparkSession)
-    outlined = files.withColumn("_o", _code_outline(F.col("content"), paths.syntax(F.col("path"))))
-    return outlined.select(*files.columns, *[F.col(f"_o.{name}").alias(name) for name in _VARIANTS])
+    syntax = paths.syntax(F.col("path"))
+    outlined = files.withColumn("_o", _code_outline(F.col("content"), syntax)).select(
+        *files.columns, *[F.col(f"_o.{name}").alias(name) for name in _VARIANTS]
+    )
+    most = F.greatest(*[F.coalesce(_imports(F.col(name), syntax), F.lit(0)) for name in _VARIANTS])
+    outlined = stage(outlined.withColumn("_many", most > langs.IMPORT_KEEP), "code-outlines")
+    short, long = (outlined.filter(test).drop("_many") for test in (~F.col("_many"), F.col("_many")))
+    texts = long.select(
+        "path", syntax.alias("syntax"),
+        F.explode(F.array(*[F.struct(F.lit(name).alias("which"), F.col(name).alias("text")) for name in _VARIANTS])).alias("v"),
+    ).select("path", "syntax", "v.which", "v.text")
+    key = ["path", "which"]
+    collapsed = L.rejoin(L.collapse_imports(L.explode_lines(texts, key, "text", ("syntax",)), key), key)
+    pairs = collapsed.groupBy("path").agg(*[F.max(F.when(F.col("which") == name, F.col("text"))).alias(f"_{name}") for name in _VARIANTS])
+
+    def closed(name: str) -> Column:
+        # lines lose the end of the last one; an outline without lines stays as it is
+        ended = F.when(F.endswith(F.col(name), F.lit("\n")), F.concat(F.col(f"_{name}"), F.lit("\n"))).otherwise(F.col(f"_{name}"))
+        return F.coalesce(ended, F.col(name)).alias(name)
+
+    return short.unionByName(long.join(pairs, "path").select(*files.columns, *[closed(name) for name in _VARIANTS]))
 
 
 def templates(files: DataFrame, counter: Counter) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import pytest
 
-from corpusfold.functions.code_outline import collapse_imports, outline
+from corpusfold.functions.code_outline import outline
+from corpusfold.operators import compress
 
 CASES = {
     "rust": (
@@ -88,15 +89,19 @@ def test_nested_python_functions_are_replaced_once():
         ("c", [f"#include <{c}.h>" for c in "abcdefg"]),
     ],
 )
-def test_long_import_runs_collapse(syntax, lines):
+def test_long_import_runs_collapse(spark, syntax, lines):
+    name = {"rust": "a.rs", "python": "a.py", "c": "a.c"}[syntax]
     text = "\n".join(["", *lines, "", "rest"]) + "\n"
-    assert collapse_imports(text, syntax) == "\n".join(["", *lines[:5], "... 2 more imports", "", "rest"]) + "\n"
+    assert skeleton(spark, name, text) == "\n".join(["", *lines[:5], "... 2 more imports", "", "rest"]) + "\n"
 
 
-def test_go_groups_collapse_and_short_ones_stay():
-    head = "package demo\n\nimport (\n"
+def skeleton(spark, path, text):
+    return compress.code(spark.createDataFrame([(path, text)], "path string, content string")).first().skeleton
+
+
+def test_go_groups_collapse_and_short_ones_stay(spark):
+    head = "package mill\n\nimport (\n"
     long = head + "".join(f'    "{c}"\n' for c in "abcdefg") + ")\n"
-    assert '    "e"\n    ... 2 more imports\n)' in collapse_imports(long, "go")
-    short = head + '    "a"\n\n    "b"\n)\n'
-    assert collapse_imports(short, "go") == short
-    assert collapse_imports(head + '    "a"\n', "go") == head + '    "a"\n'
+    assert '    "e"\n    ... 2 more imports\n)' in skeleton(spark, "a.go", long)
+    for short in (head + '    "a"\n\n    "b"\n)\n', head + '    "a"\n'):
+        assert skeleton(spark, "a.go", short) == short
