@@ -15,6 +15,7 @@ tokens spelled out in a text are ordinary text.
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
 from dataclasses import dataclass
@@ -67,20 +68,37 @@ def units(column: pa.Array) -> Words:
     return Words(data, begin, end, np.searchsorted(begin, at))
 
 
+def _described(path: str):
+    """Ids of many texts by a tokenizer file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _ranked(path: str):
+    """The same by a file of byte pairs with their ranks."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+
+
 class Encoder:
     """Token ids of units, each distinct one encoded once while it is remembered."""
 
     def __init__(self, vocabulary: str, limit: int = 1 << 20):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.batch = _ranked(vocabulary) if vocabulary.endswith(".tiktoken") else _described(vocabulary)
         self.limit = limit
         self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        coded = self.batch(texts)
         size = np.array([len(c) for c in coded], dtype=np.int64)
         fresh = np.array([i for c in coded for i in c], dtype=np.int32)
         all_keys = np.concatenate([self.keys, keys])

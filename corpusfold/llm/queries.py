@@ -94,7 +94,7 @@ def op4_best_fit_packing(spark, sf):
 
 @query()
 def op6_lm_scoring(spark, sf):
-    return lm_score.score_texts(table(spark, sf, "documents"), lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.json")))
+    return lm_score.score_texts(table(spark, sf, "documents"), lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 @query(sql.LICENSES)

@@ -188,6 +188,12 @@ def test_packing(spark, make, awkward, empty):
     assert packing.pack(empty, options).collect() == []
 
 
+def test_two_files_of_one_vocabulary(awkward):
+    texts = pa.array([r.text for r in awkward.collect()], pa.string())
+    a, b = (packing.Encoder(public_tokenizers.path(f"byte_bpe_50k.{kind}"), 100).encode(texts) for kind in ("json", "tiktoken"))
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+
+
 def test_knapsack():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -255,7 +261,7 @@ def test_windows_score_each_id_once():
 
 @pytest.mark.parametrize("limit", [1 << 19, 30])
 def test_lm_scores(make, awkward, empty, limit):
-    options = lm_score.ScoreOptions(VOCABULARY, sample_rows=40, frequent_limit=limit, model=attention.ModelOptions(steps=30, batch=16))
+    options = lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken"), sample_rows=40, frequent_limit=limit, model=attention.ModelOptions(steps=30, batch=16))
     for docs in (make([prose(i % 37, 40) for i in range(120)]), awkward):
         rows = docs.select("doc_id", "text").collect()
         held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows]
