@@ -82,11 +82,13 @@ def run(argv: list[str]) -> int:
         for row in context.selected.orderBy(*order.scan_keys()).toLocalIterator():
             say(row.path)
     if args.dry_run:
-        say(reports.dry_run_text(context))
+        for line in reports.dry_run_lines(context):
+            say(line)
     elif args.output == "table":
         context.write(args.output_file)
     else:
-        Path(args.output_file).write_text(context.text(), encoding="utf-8", newline="")
+        with open(args.output_file, "w", encoding="utf-8", newline="") as out:
+            out.writelines(context.pieces())
     if args.state and not args.dry_run:
         plan.save_state(context, args.state)
     if args.summary:
@@ -96,7 +98,8 @@ def run(argv: list[str]) -> int:
     if args.stats:
         say(reports.stats_text(context))
     if args.detailed_stats:
-        say(reports.detailed_text(context))
+        for line in reports.detailed_lines(context):
+            say(line)
     return 0
 
 

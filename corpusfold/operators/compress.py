@@ -92,4 +92,8 @@ def compress(files: DataFrame, counter: Counter) -> DataFrame:
     result = branches[0]
     for branch in branches[1:]:
         result = result.unionByName(branch.select(*result.columns))
-    return result.withColumn("full", F.col("content"))
+    # files of no family are an error, not a loss; without such files this branch is empty
+    known = (*langs.CODE_SYNTAXES, "config", "web", "markdown", "objc")
+    refuse = F.raise_error(F.concat(F.lit("no outline for this kind of file: "), F.col("path"))).cast("string")
+    strange = files.filter(~F.coalesce(family.isin(*known), F.lit(False))).select(*columns, *[refuse.alias(name) for name in _VARIANTS])
+    return result.unionByName(strange.select(*result.columns)).withColumn("full", F.col("content"))

@@ -20,6 +20,14 @@ def keys(mode: str) -> list[Column]:
     raise ValueError(f"unknown sort mode {mode}; use one of {', '.join(MODES)}")
 
 
+def key(mode: str) -> Column:
+    """The same order as one ascending key; ``scan`` is the order of the raw listing."""
+    if mode == "scan":
+        return F.split(F.col("path"), "/")
+    first = {"path": None, "tokens": -F.col("tokens"), "priority": -paths.priority(F.col("path"))}[mode]
+    return F.col("path") if first is None else F.struct(first.alias("first"), F.col("path").alias("path"))
+
+
 def scan_keys() -> list[Column]:
     """Order of the raw file listing: component by component, so ``a/b`` precedes ``a-b``."""
     return [F.split(F.col("path"), "/").asc()]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -308,13 +310,15 @@ def frame_tokens(blocks: DataFrame, options: ContextOptions, counter: Counter) -
     return tokens - lists - (options.shows_files and lists > 0)
 
 
-def document_text(blocks: DataFrame, max_bytes: int = 64 << 20) -> str:
-    """The document as one string. Refuses documents beyond ``max_bytes``; write those as a table."""
-    size = blocks.agg(F.coalesce(F.sum(F.octet_length("block") + 1), F.lit(0)).alias("n")).first().n
-    if size > max_bytes:
-        raise ValueError(f"the document has {size} bytes; use write_document for more than {max_bytes}")
-    rows = blocks.orderBy(*ORDER).select("block", "ends_line").collect()
-    return "".join(row.block + ("\n" if row.ends_line else "") for row in rows)
+def document_pieces(blocks: DataFrame) -> Iterator[str]:
+    """The document piece by piece, in order; one partition of it is on the driver at a time."""
+    for row in blocks.orderBy(*ORDER).select("block", "ends_line").toLocalIterator():
+        yield row.block + ("\n" if row.ends_line else "")
+
+
+def document_text(blocks: DataFrame) -> str:
+    """The document as one string, for documents that are meant to be one; others are written."""
+    return "".join(document_pieces(blocks))
 
 
 def write_document(blocks: DataFrame, target: str) -> None:

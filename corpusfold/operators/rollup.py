@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusfold.functions import paths
+from corpusfold.operators.prefix import running_totals
+from corpusfold.session import stage
 
 
 def total_tokens(files: DataFrame) -> DataFrame:
@@ -26,11 +28,18 @@ def tokens_by_extension(files: DataFrame) -> DataFrame:
 
 
 def token_distribution(files: DataFrame) -> DataFrame:
-    """Minimum, exact median, mean and maximum; the median's state is one count per distinct value."""
-    return files.agg(
+    """Minimum, exact median, mean and maximum, from the number of files with each token count.
+
+    The two middle places are found on running totals over the distinct counts, so no task holds them all.
+    """
+    counts = stage(files.where("tokens IS NOT NULL").groupBy("tokens").agg(F.count(F.lit(1)).alias("files")), "token-counts")
+    total = counts.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("n")).scalar()
+    placed = running_totals(counts.withColumn("upto", F.col("files")), F.col("tokens"), {"upto": F.col("files")})
+    low, high = [F.min(F.when(2 * F.col("upto") >= total + extra, F.col("tokens"))) for extra in (0, 1)]
+    return placed.agg(
         F.coalesce(F.min("tokens"), F.lit(0)).cast("bigint").alias("min"),
-        F.coalesce(F.percentile("tokens", F.lit(0.5)), F.lit(0.0)).alias("median"),
-        F.coalesce(F.avg("tokens"), F.lit(0.0)).alias("mean"),
+        F.coalesce((low + high) / 2, F.lit(0.0)).alias("median"),
+        F.coalesce(F.sum(F.col("tokens") * F.col("files")) / F.sum("files"), F.lit(0.0)).alias("mean"),
         F.coalesce(F.max("tokens"), F.lit(0)).cast("bigint").alias("max"),
     )
 

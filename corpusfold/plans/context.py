@@ -8,6 +8,7 @@ visible text per row from the same table, without joining it back.
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,9 @@ class Context:
     def text(self) -> str:
         return render.document_text(self.blocks)
 
+    def pieces(self) -> Iterator[str]:
+        return render.document_pieces(self.blocks)
+
     def write(self, target: str) -> None:
         render.write_document(self.blocks, target)
 

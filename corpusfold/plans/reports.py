@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,32 +78,36 @@ def incremental_text(context: Context) -> str:
     return "incremental_summary:\n" + "\n".join(f"  {name}: {row[name]}" for name in row.asDict())
 
 
-def dry_run_text(context: Context, limit: int = 100_000) -> str:
-    """Printed form of the dry run; the rows go through the driver, so their number is checked."""
-    if context.files_included > limit:
-        raise ValueError(f"{context.files_included} files are too many to print; read the dry_run table")
-    files = dry_run(context).orderBy(*order.keys(context.options.sort)).collect()
-    gone = context.deleted.orderBy("path").collect()
-    rows = [
-        "dry_run:", f"  files: {len(files)}", f"  deleted: {len(gone)}",
-        f"  estimated_tokens: {context.output_tokens}", f"  max_tokens: {context.options.max_tokens}",
-        "selected_files:", *[f"  {f.path}  L{f.level}  {f.tokens} tokens" for f in files],
-    ]
-    return "\n".join(rows + (["deleted_files:", *[f"  {g.path}" for g in gone]] if gone else []))
-
-
-def detailed_text(context: Context, limit: int = 100_000) -> str:
-    """Per-file tokens, tokens by extension and their distribution, printed."""
-    if context.files_included > limit:
-        raise ValueError(f"{context.files_included} files are too many to print; read the report tables")
-    files = context.files.orderBy(*order.keys(context.options.sort)).select("path", "tokens").collect()
-    by_ext = rollup.tokens_by_extension(context.files).orderBy(F.desc("tokens"), "ext").collect()
-    d = rollup.token_distribution(context.files).first()
-    rows = ["detailed_stats:", f"  files_reported: {len(files)}", "  per_file_tokens:"]
-    rows += [f"    {f.path}: {f.tokens}" for f in files]
-    rows += ["  tokens_by_extension:", *[f"    {e.ext}: {e.tokens}" for e in by_ext]]
-    rows.append(f"  token_distribution: min={d.min}, median={d.median:.1f}, mean={d.mean:.1f}, max={d.max}")
-    return "\n".join(rows)
+def dry_run_lines(context: Context) -> Iterator[str]:
+    """Printed form of the dry run, line by line."""
+    files, gone = dry_run(context), context.deleted
+    yield "dry_run:"
+    yield f"  files: {files.count()}"
+    yield f"  deleted: {(n_gone := gone.count())}"
+    yield f"  estimated_tokens: {context.output_tokens}"
+    yield f"  max_tokens: {context.options.max_tokens}"
+    yield "selected_files:"
+    for f in files.orderBy(*order.keys(context.options.sort)).toLocalIterator():
+        yield f"  {f.path}  L{f.level}  {f.tokens} tokens"
+    if n_gone:
+        yield "deleted_files:"
+        for g in gone.orderBy("path").toLocalIterator():
+            yield f"  {g.path}"
+
+
+def detailed_lines(context: Context) -> Iterator[str]:
+    """Per-file tokens, tokens by extension and their distribution, line by line."""
+    files = context.files.select("path", "tokens")
+    yield "detailed_stats:"
+    yield f"  files_reported: {files.count()}"
+    yield "  per_file_tokens:"
+    for f in context.files.orderBy(*order.keys(context.options.sort)).select("path", "tokens").toLocalIterator():
+        yield f"    {f.path}: {f.tokens}"
+    yield "  tokens_by_extension:"
+    for e in rollup.tokens_by_extension(files).orderBy(F.desc("tokens"), "ext").toLocalIterator():
+        yield f"    {e.ext}: {e.tokens}"
+    d = rollup.token_distribution(files).first()
+    yield f"  token_distribution: min={d.min}, median={d.median:.1f}, mean={d.mean:.1f}, max={d.max}"
 
 
 def doctor(spark: SparkSession, root: str, state_path: str | None, tokenizer: str) -> dict:

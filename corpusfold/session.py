@@ -77,15 +77,3 @@ def stage(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataF
     writer.parquet(target)
     staged = spark.read.schema(df.schema).parquet(target)
     return staged.select(*df.columns)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows when the input has fewer splits than the cluster has cores.
-
-    Large tables always have more splits than cores and pass through unchanged; the shuffle is paid
-    only for small inputs, where a single split would leave the rest of the cluster idle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

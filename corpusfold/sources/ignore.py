@@ -28,9 +28,18 @@ def pattern_regex(pattern: str) -> str:
     return ("" if anchored else "(?:.*/)?") + "".join(out)
 
 
-@lru_cache(maxsize=4096)
 def rules_in(file: str) -> tuple[tuple[re.Pattern, bool, bool], ...]:
     """(pattern, negated, folders only) of one ignore file, in order; empty when it does not exist."""
+    try:
+        seen = os.stat(file)
+    except OSError:
+        return ()
+    return _parsed(file, seen.st_mtime_ns, seen.st_size)
+
+
+@lru_cache(maxsize=4096)
+def _parsed(file: str, mtime_ns: int, size: int) -> tuple[tuple[re.Pattern, bool, bool], ...]:
+    """The rules of a file as it was at that time."""
     try:
         with open(file, encoding="utf-8", errors="replace") as handle:
             lines = handle.read().splitlines()
@@ -64,7 +73,8 @@ def is_ignored(root: str, folders: list[str], name: str, is_dir: bool, with_git:
     """
     path = os.path.join(folders[-1], name)
     above = _parents(root) if with_git else []
-    kinds = [(".cursorignore", folders), (".ignore", folders)]
+    upward = _ancestors(root) if with_git else []
+    kinds = [(".cursorignore", upward + folders), (".ignore", upward + folders)]
     if with_git:
         kinds.append((".gitignore", above + folders))
     for file_name, bases in kinds:
@@ -82,7 +92,16 @@ def is_ignored(root: str, folders: list[str], name: str, is_dir: bool, with_git:
     return False
 
 
-@lru_cache(maxsize=64)
+def _ancestors(root: str) -> list[str]:
+    """All folders above the scan root, from the top."""
+    chain: list[str] = []
+    at = root
+    while (parent := os.path.dirname(at)) != at:
+        chain.insert(0, parent)
+        at = parent
+    return chain
+
+
 def _parents(root: str) -> list[str]:
     """Folders above the scan root, up to the top of the git work tree that holds it."""
     chain: list[str] = []

@@ -1,7 +1,7 @@
 """Snapshot tables: what earlier runs saw, with the renderings they computed.
 
-A snapshot is a folder with one Parquet table of entries per version and a one-row ``current`` table
-naming the version and the selection options it was taken under.
+A snapshot is a folder with one Parquet table of entries per version and a ``current`` table of rows
+naming the versions and the selection options they were taken under, the highest number being in force.
 """
 
 from __future__ import annotations
@@ -9,15 +9,16 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY_SCHEMA = (
     "abs_path string, size bigint, mtime_ns bigint, full string, skeleton string, tree_map string"
 )
 CURRENT_SCHEMA = (
-    "version string, include array<string>, exclude array<string>, respect_gitignore boolean, "
+    "number bigint, version string, include array<string>, exclude array<string>, respect_gitignore boolean, "
     "max_file_bytes bigint, exclude_generated boolean"
 )
 
@@ -34,28 +35,43 @@ class Snapshot:
 def load(spark: SparkSession, path: str) -> Snapshot:
     """The current snapshot; a missing or unreadable one counts as empty."""
     try:
-        return load_required(spark, path)
-    except (AnalysisException, ValueError):
+        snapshot = load_required(spark, path)
+        # reads the footer of every file, so that damage shows here and not in the middle of a run
+        snapshot.entries.agg(F.count(F.lit(1))).collect()
+        return snapshot
+    except (PySparkException, Py4JError, ValueError):
         return Snapshot(spark.createDataFrame([], ENTRY_SCHEMA), None)
 
 
 def load_required(spark: SparkSession, path: str) -> Snapshot:
-    current = spark.read.schema(CURRENT_SCHEMA).parquet(f"{path}/current").first()
-    if current is None:
+    current = _current(spark, path)
+    if current is None or current.version is None:
         raise ValueError(f"no snapshot under {path}")
     selection = current.asDict()
     version = selection.pop("version")
+    del selection["number"]
     return Snapshot(spark.read.schema(ENTRY_SCHEMA).parquet(f"{path}/entries-{version}"), selection)
 
 
+def _current(spark: SparkSession, path: str) -> Row | None:
+    return spark.read.schema(CURRENT_SCHEMA).parquet(f"{path}/current").orderBy(F.desc("number")).first()
+
+
+def _publish(spark: SparkSession, path: str, row: dict) -> None:
+    """Appends the next row of ``current``; until its file is committed, the one before stays in force."""
+    try:
+        last = _current(spark, path)
+    except PySparkException:
+        last = None
+    numbered = {"number": (last.number if last else 0) + 1, **row}
+    spark.createDataFrame([numbered], CURRENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/current")
+
+
 def save(entries: DataFrame, path: str, selection: dict) -> None:
-    """Write a new version, then point ``current`` at it; readers never see half a snapshot."""
+    """Write a new version, then name it in ``current``; readers never see half a snapshot."""
     version = uuid.uuid4().hex
     entries.select(*[part.split()[0] for part in ENTRY_SCHEMA.split(", ")]).write.parquet(f"{path}/entries-{version}")
-    row = {"version": version, **selection}
-    entries.sparkSession.createDataFrame([row], CURRENT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/current"
-    )
+    _publish(entries.sparkSession, path, {"version": version, **selection})
 
 
 def clear(spark: SparkSession, path: str) -> bool:
@@ -63,7 +79,7 @@ def clear(spark: SparkSession, path: str) -> bool:
     snapshot = load(spark, path)
     if snapshot.selection is None:
         return False
-    spark.createDataFrame([], CURRENT_SCHEMA).write.mode("overwrite").parquet(f"{path}/current")
+    _publish(spark, path, dict.fromkeys(("version", "include", "exclude", "respect_gitignore", "max_file_bytes", "exclude_generated")))
     return True
 
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.session import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +47,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out as Markdown, one line per sentence."""
     line = MD_LINE.format(i="i", x="x")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.expr(DOC_PATH).alias("path"),
         F.expr(f"array_join(transform(split(text, '[.] ?'), (x, i) -> {line}), '\n')").alias("content"),
     )
@@ -211,7 +209,7 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
         here = F.col("c_custkey") % len(CODE) == n
         content = F.when(here, text) if content is None else content.when(here, text)
         path = F.when(here, name) if path is None else path.when(here, name)
-    return spread(table(spark, sf_dir, "customer")).select(path.alias("path"), content.alias("content"))
+    return table(spark, sf_dir, "customer").select(path.alias("path"), content.alias("content"))
 
 
 # -- parts as manifests and Objective-C sources ---------------------------------------------------
@@ -245,7 +243,7 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"WHEN p_partkey % 3 = {n} THEN {c.format(items_json=items_json, items_yaml=items_yaml)}"
         for n, (_, c) in CONFIG_SQL.items()
     )
-    parts = spread(table(spark, sf_dir, "part"))
+    parts = table(spark, sf_dir, "part")
     return parts.select(F.expr(f"CASE {path} END").alias("path"), F.expr(f"CASE {body} END").alias("content"))
 
 
@@ -266,7 +264,7 @@ OBJC_LINE = (
 
 def objc(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = OBJC_LINE.replace("{{", "{").replace("}}", "}").replace("{i}", "i")
-    return spread(table(spark, sf_dir, "part")).select(
+    return table(spark, sf_dir, "part").select(
         F.expr("'ios/p' || p_partkey || '.m'").alias("path"),
         F.expr(f"array_join(transform(sequence(1, p_size * 4), i -> {line}), '\n')").alias("content"),
     )

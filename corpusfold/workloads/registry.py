@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusfold.functions import langs, paths, text, tokens
-from corpusfold.operators import budget, compress, config, delta, lines, markdown, objc, order, render, rollup, select, web
+from corpusfold.operators import budget, compress, config, delta, lines, markdown, objc, order, prefix, render, rollup, select, web
 from corpusfold.options import ContextOptions
 from corpusfold.plans import context, reports
-from corpusfold.session import spread, stage
+from corpusfold.session import stage
 from corpusfold.sources import state
 from corpusfold.workloads import corpora, duck
 
@@ -37,12 +37,12 @@ def query(sql: str | None = None):
 
 @query(f"SELECT doc_id, CAST({duck.tokens('text')} AS BIGINT) AS tokens FROM documents")
 def token_counts(spark, sf):
-    return spread(corpora.table(spark, sf, "documents")).select("doc_id", NATIVE.count(F.col("text")).alias("tokens"))
+    return corpora.table(spark, sf, "documents").select("doc_id", NATIVE.count(F.col("text")).alias("tokens"))
 
 
 @query(f"SELECT doc_id, {duck.short('text', 60)} AS shortened, CAST({duck.tokens(duck.short('text', 60))} AS BIGINT) AS tokens FROM documents")
 def truncate_tokens(spark, sf):
-    docs = spread(corpora.table(spark, sf, "documents"))
+    docs = corpora.table(spark, sf, "documents")
     cut = docs.select("doc_id", NATIVE.truncate(F.col("text"), 60).alias("shortened"))
     return cut.withColumn("tokens", NATIVE.count(F.col("shortened")))
 
@@ -151,37 +151,35 @@ def select_pages(spark, sf):
 
 
 def _counted_docs(spark, sf) -> DataFrame:
-    return spread(corpora.documents(spark, sf)).select("path", "content", NATIVE.count(F.col("content")).alias("tokens"))
+    return corpora.documents(spark, sf).select("path", "content", NATIVE.count(F.col("content")).alias("tokens"))
 
 
-def _top(files: DataFrame, keys, n: int) -> DataFrame:
-    """The first rows of a total order, numbered; a top-k needs no global sort."""
-    top = files.orderBy(*keys).limit(n)
-    # the window sees only the n rows of the report
-    return top.withColumn("place", F.row_number().over(W.orderBy(*keys)).cast("bigint"))
+def _placed(files: DataFrame, key) -> DataFrame:
+    """All rows of a total order, numbered."""
+    return prefix.running_totals(files.withColumn("place", F.lit(1)), key, {"place": F.col("place")})
 
 
 _DOC_TOKENS = f"{duck.DOCS}, dt AS (SELECT path, CAST({duck.tokens('content')} AS BIGINT) AS tokens FROM docs)"
 
 
-@query(f"WITH {_DOC_TOKENS} SELECT path, tokens, row_number() OVER (ORDER BY tokens DESC, path) AS place FROM dt ORDER BY tokens DESC, path LIMIT 50")
+@query(f"WITH {_DOC_TOKENS} SELECT path, tokens, row_number() OVER (ORDER BY tokens DESC, path) AS place FROM dt")
 def sort_tokens_topk(spark, sf):
-    return _top(_counted_docs(spark, sf).drop("content"), order.keys("tokens"), 50)
+    return _placed(_counted_docs(spark, sf).drop("content"), order.key("tokens"))
 
 
-@query(f"WITH {_DOC_TOKENS} SELECT path, tokens, row_number() OVER (ORDER BY {duck.priority('path')} DESC, path) AS place FROM dt ORDER BY {duck.priority('path')} DESC, path LIMIT 50")
+@query(f"WITH {_DOC_TOKENS} SELECT path, tokens, row_number() OVER (ORDER BY {duck.priority('path')} DESC, path) AS place FROM dt")
 def sort_priority_topk(spark, sf):
-    return _top(_counted_docs(spark, sf).drop("content"), order.keys("priority"), 50)
+    return _placed(_counted_docs(spark, sf).drop("content"), order.key("priority"))
 
 
-@query(f"WITH {duck.TREE} SELECT path, row_number() OVER (ORDER BY path) AS place FROM tree ORDER BY path LIMIT 50")
+@query(f"WITH {duck.TREE} SELECT path, row_number() OVER (ORDER BY path) AS place FROM tree")
 def sort_path_topk(spark, sf):
-    return _top(corpora.tree(spark, sf).select("path"), order.keys("path"), 50)
+    return _placed(corpora.tree(spark, sf).select("path"), order.key("path"))
 
 
-@query(f"WITH {duck.TREE} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM tree ORDER BY string_split(path, '/') LIMIT 50")
+@query(f"WITH {duck.TREE} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM tree")
 def scan_order_topk(spark, sf):
-    return _top(corpora.tree(spark, sf).select("path"), order.scan_keys(), 50)
+    return _placed(corpora.tree(spark, sf).select("path"), order.key("scan"))
 
 
 # -- rollups --------------------------------------------------------------------------------------
@@ -295,7 +293,7 @@ def savings_stats(spark, sf):
 
 @query(f"WITH {duck.DOCS} SELECT path, CAST(1 AS BIGINT) AS level, CAST({duck.tokens('content')} AS BIGINT) AS tokens FROM docs")
 def raw_level(spark, sf):
-    files = spread(corpora.documents(spark, sf)).select("path", F.lit(1).alias("level"), F.col("content").alias("full"))
+    files = corpora.documents(spark, sf).select("path", F.lit(1).alias("level"), F.col("content").alias("full"))
     shown = budget.visible(F.col("level"), F.col("full"), F.lit(""), F.lit(""))
     return files.select("path", F.col("level").cast("bigint").alias("level"), NATIVE.count(shown).alias("tokens"))
 
@@ -438,7 +436,7 @@ def dedupe_lines(spark, sf):
 _TURN_LINES = (
     "tl AS (SELECT conv_id, turn, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM "
     f"(SELECT *, {duck.lines('text')} AS ls FROM conversations) WHERE len(ls) > 0), "
-    "cl AS (SELECT conv_id, turn * 1000000 + pos AS ord, line FROM tl)"
+    "cl AS (SELECT conv_id, {'turn': turn, 'pos': pos} AS ord, line FROM tl)"
 )
 
 
@@ -446,12 +444,12 @@ _TURN_LINES = (
     f"WITH {_TURN_LINES}, g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS a, count(*) OVER (PARTITION BY conv_id) AS n FROM cl), "
     "s AS (SELECT conv_id, ord, a, n, CASE WHEN n > 14 AND a = 11 THEN '...' ELSE line END AS line FROM g WHERE n <= 14 OR a <= 11 OR a > n - 4), "
     "p AS (SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY ord) AS prev FROM s) "
-    "SELECT conv_id, ord, line FROM p WHERE NOT (n > 14 AND a > n - 4 AND coalesce(line = prev, false))"
+    "SELECT conv_id, ord.turn AS turn, ord.pos AS pos, line FROM p WHERE NOT (n > 14 AND a > n - 4 AND coalesce(line = prev, false))"
 )
 def head_tail_sample(spark, sf):
     t = lines.explode_lines(corpora.table(spark, sf, "conversations"), ["conv_id"], "text", ("turn",), together=False)
-    t = t.select("conv_id", (F.col("turn") * 1000000 + F.col("pos")).cast("bigint").alias("ord"), "line")
-    return lines.sample_runs(t, ["conv_id"], "ord")
+    t = t.select("conv_id", F.struct("turn", F.col("pos").cast("bigint").alias("pos")).alias("ord"), "line")
+    return lines.sample_runs(t, ["conv_id"], "ord").select("conv_id", "ord.turn", "ord.pos", "line")
 
 
 _SENTENCES = (
@@ -466,7 +464,7 @@ _GO_LINE = (
 
 
 def _sentences(spark, sf, line: str, syntax: str) -> DataFrame:
-    t = spread(corpora.table(spark, sf, "documents")).select("doc_id", F.split("text", "[.] ?").alias("p")).repartition("doc_id")
+    t = corpora.table(spark, sf, "documents").select("doc_id", F.split("text", "[.] ?").alias("p")).repartition("doc_id")
     t = t.select("doc_id", F.posexplode("p").alias("pos", "x"))
     return t.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.expr(line).alias("line"), F.lit(syntax).alias("syntax"))
 
@@ -516,7 +514,7 @@ def brace_depth(spark, sf):
 @query(f"WITH {duck.DOCS} SELECT path, {duck.first_lines('content', 160)} AS outline FROM docs")
 def non_empty_lines(spark, sf):
     shown = lines.first_lines(text.lines(F.col("content")), NATIVE, 160)
-    return spread(corpora.documents(spark, sf)).select("path", text.join_lines(shown).alias("outline"))
+    return corpora.documents(spark, sf).select("path", text.join_lines(shown).alias("outline"))
 
 
 @query(
@@ -551,7 +549,7 @@ def _web_sql(limit: int) -> str:
 
 @query(f"WITH {duck.PAGES} SELECT path, {_web_sql(160)} AS skeleton, {_web_sql(80)} AS tree_map FROM pg")
 def web_outline(spark, sf):
-    return spread(corpora.pages(spark, sf)).select(
+    return corpora.pages(spark, sf).select(
         "path", web.outline(F.col("content"), NATIVE, web.SKELETON_LINES).alias("skeleton"),
         web.outline(F.col("content"), NATIVE, web.MAP_LINES).alias("tree_map"),
     )
@@ -617,7 +615,7 @@ _PAGE_FILES = f"{duck.PAGES}, pf AS (SELECT path, CAST(1 AS INT) AS level, CAST(
 
 
 def _page_files(spark, sf) -> DataFrame:
-    return spread(corpora.pages(spark, sf)).select(
+    return corpora.pages(spark, sf).select(
         "path", F.lit(1).alias("level"), NATIVE.count(F.col("content")).alias("tokens"),
         delta.digest(F.col("content")).alias("hash"), "content",
     )
