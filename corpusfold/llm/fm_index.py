@@ -78,7 +78,7 @@ class FmIndex:
             later = np.zeros(n, dtype=np.int64)
             later[: n - step] = rank[step:] + 1
             key = rank * (n + 1) + later
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             fresh = np.empty(n, dtype=np.int64)
             fresh[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
             rank = fresh
@@ -126,33 +126,37 @@ class FmIndex:
             right[ok] += width
         return left, right, depth
 
-    def matching_statistics(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """For every place of every sequence, the longest run of words from there that occurs twice or more."""
-        m = len(sequences)
-        n = len(self.order)
+    def matching_statistics(self, sequences: list[np.ndarray], least: int = 1) -> list[np.ndarray]:
+        """For every place of every sequence, the longest run of words from there that occurs twice or more.
+
+        Only runs of ``least`` words or more have to be right: a sequence is left as soon as no place
+        further to the front can begin one, and what was not visited counts as zero.
+        """
+        m, n = len(sequences), len(self.order)
         length = np.array([len(s) for s in sequences], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(length)])
-        flat = np.concatenate(sequences) + self.marks
+        flat = np.concatenate([*sequences, np.zeros(0, dtype=np.int64)]).astype(np.int64) + self.marks
         found = np.zeros(len(flat), dtype=np.int64)
         lo, hi, depth = np.zeros(m, dtype=np.int64), np.full(m, n, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        alive = length >= least
         for back in range(1, int(length.max(initial=0)) + 1):
-            at = np.flatnonzero(length >= back)
-            place = first[at + 1] - back
-            symbol = flat[place]
-            open_ = np.ones(len(at), dtype=bool)
-            while open_.any():
-                rows, symbols = at[open_], symbol[open_]
-                a, b = self._extend(symbols, lo[rows], hi[rows])
+            at = np.flatnonzero(alive & (length >= back))
+            open_ = at
+            while len(open_):
+                symbols = flat[first[open_ + 1] - back]
+                a, b = self._extend(symbols, lo[open_], hi[open_])
                 good = self.weight[b] - self.weight[a] >= 2
-                lo[rows[good]], hi[rows[good]] = a[good], b[good]
-                depth[rows[good]] += 1
-                bad = rows[~good]
-                # the empty pattern does not extend: the word itself occurs once
-                ended = depth[bad] == 0
-                shrink = bad[~ended]
-                lo[shrink], hi[shrink], depth[shrink] = self._parent(lo[shrink], hi[shrink])
-                done = good.copy()
-                done[np.flatnonzero(~good)[ended]] = True
-                open_[np.flatnonzero(open_)[done]] = False
-            found[place] = depth[at]
+                rows = open_[good]
+                lo[rows], hi[rows] = a[good], b[good]
+                depth[rows] += 1
+                # the empty run does not extend: the word itself occurs once
+                bad = open_[~good]
+                bad = bad[depth[bad] > 0]
+                lo[bad], hi[bad], depth[bad] = self._parent(lo[bad], hi[bad])
+                # the run that is left ends here; all runs from further to the front end before
+                alive[bad] = length[bad] - back + 1 + depth[bad] >= least
+                open_ = bad[alive[bad]]
+            done = at[alive[at]]
+            found[first[done + 1] - back] = depth[done]
+            alive[done] = length[done] - back + np.maximum(depth[done], 0) >= least
         return [found[a:b] for a, b in zip(first[:-1], first[1:])]

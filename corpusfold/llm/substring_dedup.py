@@ -186,8 +186,13 @@ def _index_shard(options: DedupOptions):
         words = find_words((distinct.chunk(0) if isinstance(distinct, pa.ChunkedArray) else distinct).cast(pa.large_string()))
         symbols = np.unique(hash_words(words), return_inverse=True)[1]
         sequences = [symbols[a:b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-        index = FmIndex(sequences, np.bincount(which, copies).astype(np.int64))
-        runs = [repeated_runs(s, options.length) for s in index.matching_statistics(sequences)]
+        times = np.bincount(which, copies).astype(np.int64)
+        index = FmIndex(sequences, times)
+        # a segment that occurs twice is repeated as it stands; the others are streamed through the index
+        runs = [[(0, len(s))] for s in sequences]
+        single = np.flatnonzero(times == 1).tolist()
+        for i, s in zip(single, index.matching_statistics([sequences[i] for i in single], options.length)):
+            runs[i] = repeated_runs(s, options.length)
         # a segment may come under its anchor and, as a window, under its own hash
         _, pairs = np.unique(np.stack([route, seg]), axis=1, return_index=True)
         pairs = [i for i in pairs.tolist() if runs[which[i]]]
@@ -206,11 +211,9 @@ def _cut(keep_text: bool):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 totals, removed, shas, texts, spans = [], [], [], [], []
-                for text, begins, ends in zip(
-                    _unpack(part.column("packed"))[0], part.column("begins").to_pylist(), part.column("ends").to_pylist()
-                ):
+                for text, found in zip(_unpack(part.column("packed"))[0], part.column("spans").to_pylist()):
                     words = text.split()
-                    gone = _merged(begins or (), ends or ())
+                    gone = _merged({(f["place"] + x, f["place"] + y) for f in found or () for x, y in zip(f["begins"], f["ends"])})
                     edges = [0, *(x for span in gone for x in span), len(words)]
                     keep = list(zip(edges[::2], edges[1::2]))
                     kept = b" ".join(w for x, y in keep for w in words[x:y])
@@ -227,10 +230,10 @@ def _cut(keep_text: bool):
     return run
 
 
-def _merged(begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
+def _merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint intervals, in order."""
     out: list[tuple[int, int]] = []
-    for x, y in sorted(zip(begins, ends)):
+    for x, y in sorted(spans):
         if out and x <= out[-1][1]:
             out[-1] = (out[-1][0], max(y, out[-1][1]))
         else:
@@ -274,15 +277,11 @@ def substring_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
         .groupBy("shard").applyInArrow(_index_shard(options), "route long, seg long, begins array<int>, ends array<int>"),
         "repeats",
     )
-    places = F.arrays_zip(
-        F.transform("begins", lambda x: x + F.col("place")).alias("b"), F.transform("ends", lambda x: x + F.col("place")).alias("e")
-    )
     spans = (
-        segments.where("words IS NULL").join(found, ["route", "seg"]).select("key", places.alias("spans"))
-        .groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
-        .select("key", F.transform("spans", lambda s: s["b"]).alias("begins"), F.transform("spans", lambda s: s["e"]).alias("ends"))
+        segments.where("words IS NULL").join(found, ["route", "seg"])
+        .groupBy("key").agg(F.collect_list(F.struct("place", "begins", "ends")).alias("spans"))
     )
-    return packed.join(spans, "key", "left").select("doc_id", "key", "packed", "begins", "ends").mapInArrow(
+    return packed.join(spans, "key", "left").select("doc_id", "key", "packed", "spans").mapInArrow(
         _cut(keep_text),
         "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed_spans array<long>",
     )

@@ -149,6 +149,10 @@ def test_matching_statistics():
         arrays = [np.array(s) for s in sequences]
         for s, found in zip(sequences, FmIndex(arrays, weights).matching_statistics(arrays)):
             assert found.tolist() == [max((j - i for j in range(i + 1, len(s) + 1) if count[s[i:j]] >= 2), default=0) for i in range(len(s))]
+        for least in (2, 5):
+            whole, part = (FmIndex(arrays, weights).matching_statistics(arrays, k) for k in (1, least))
+            for x, y in zip(whole, part):
+                assert (np.where(x >= least, x, 0) == np.where(y >= least, y, 0)).all()
 
 
 def check_packing(docs, options):
