@@ -11,7 +11,6 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
-from corpusfold.functions import langs
 
 _SLASHES = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 _DOUBLE = r'"(?:\\.|[^"\\\n])*"'

@@ -26,14 +26,21 @@ def latest(rows: DataFrame) -> DataFrame:
     return newest.select("row.*")
 
 
-def run_batch(batch: DataFrame, options: ContextOptions, state_path: str) -> DataFrame:
-    """One incremental step; returns (path, delta) of the batch and updates the snapshot."""
+def run_batch(
+    batch: DataFrame, options: ContextOptions, state_path: str, report: Callable[[DataFrame], None] = lambda deltas: None
+) -> DataFrame:
+    """One incremental step; returns (path, delta) of the batch and updates the snapshot.
+
+    Changes are reported before the snapshot moves: a batch that fails in between is reported again when it
+    is repeated, and no change is lost.
+    """
     spark = batch.sparkSession
     files = stage(latest(select(batch, options)), "batch")
     snapshot = state.load(spark, state_path)
     deltas = stage(
         plan.classify(files.drop("content"), options, plan.Baseline(snapshot=snapshot)).select("path", "delta"), "deltas"
     )
+    report(deltas)
     variants = stage(plan.with_variants(files, options, snapshot), "variants")
     kept = snapshot.entries.join(variants.select("abs_path"), "abs_path", "left_anti")
     columns = kept.columns
@@ -52,7 +59,7 @@ def follow(
     """Start the incremental mode on a stream of (path, abs_path, size, mtime_ns, content) rows."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        on_batch(run_batch(batch, options, state_path), epoch)
+        run_batch(batch, options, state_path, lambda deltas: on_batch(deltas, epoch))
 
     return (
         stream.writeStream.foreachBatch(step)

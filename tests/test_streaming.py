@@ -1,9 +1,11 @@
 """The incremental mode fed by a file stream."""
 
+import pytest
+
 from corpusfold.options import ContextOptions
 from corpusfold.sources import state
 from corpusfold.sources.repo import SCHEMA
-from corpusfold.streaming.incremental import follow
+from corpusfold.streaming.incremental import follow, run_batch
 
 
 def test_batches_move_the_snapshot_on(spark, tmp_path):
@@ -27,3 +29,16 @@ def test_batches_move_the_snapshot_on(spark, tmp_path):
     assert seen[1] == {"a.rs": "unchanged", "b.py": "changed"}
     entries = {r.abs_path: (r.mtime_ns, r.full) for r in state.load(spark, folder).entries.collect()}
     assert entries == {"/r/a.rs": (1, "fn a() {}"), "/r/b.py": (3, "x = 3")}
+
+
+def test_a_failed_report_is_repeated(spark, tmp_path):
+    folder, options = str(tmp_path / "state"), ContextOptions(tokenizer="native")
+    batch = spark.createDataFrame([("a.rs", "/r/a.rs", 9, 1, "fn a() {}")], SCHEMA)
+
+    def fail(deltas):
+        raise RuntimeError("report failed")
+
+    with pytest.raises(RuntimeError):
+        run_batch(batch, options, folder, fail)
+    assert [r.delta for r in run_batch(batch, options, folder).collect()] == ["added"]
+    assert [r.delta for r in run_batch(batch, options, folder).collect()] == ["unchanged"]
