@@ -2,11 +2,16 @@
 
 The model reads subword ids and predicts the class of the next one; the id within its class follows its
 count in the training corpus. One attention block with a feed-forward layer, Adam, and exact gradients.
+
+Training goes in rounds. In a round everyone who holds texts starts from the same parameters and takes
+Adam's steps over its own; the changes are averaged, each row of the embeddings by how often its id was
+read. Who holds which texts is up to the caller.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +25,9 @@ class ModelOptions:
     overlap: int = 8  #: ids of a window that only serve as context for the others
     single: int = 64  #: most frequent ids, each a class of its own
     clusters: int = 64
-    steps: int = 400
+    near: int = 256  #: most frequent ids, whose places beside an id say to which cluster it belongs
+    rounds: int = 8
+    steps: int = 400  #: a corpus with fewer batches than this is read more than once
     batch: int = 256
     rate: float = 3e-3
 
@@ -73,7 +80,15 @@ def states(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
 
 
 def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross entropy of the classes ``target`` and its gradient."""
+    """Mean cross entropy of the classes ``target`` and its gradient; places with a negative target do not count."""
+    loss, out, dx = _gradients(p, ids, target)
+    embed = np.zeros_like(p["embed"])
+    np.add.at(embed, ids.ravel(), dx)
+    return loss, out | {"embed": embed}
+
+
+def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """The same, with the gradient of what was read at every place instead of that of the embeddings."""
     s = forward(p, ids)
     d = ids.shape[1], p["q"].shape[0]
     flat = lambda z: z.reshape(-1, z.shape[-1])
@@ -81,10 +96,13 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) ->
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
-    rows, goal = np.arange(len(z)), target.ravel()
-    loss = -float(np.log(z[rows, goal] + 1e-30).mean())
-    z[rows, goal] -= 1
-    z /= len(z)
+    goal = target.ravel()
+    rows = np.flatnonzero(goal >= 0)
+    loss = -float(np.log(z[rows, goal[rows]] + 1e-30).mean())
+    z[rows, goal[rows]] -= 1
+    if len(rows) < len(z):
+        z[goal < 0] = 0
+    z /= len(rows)
     out = {"out": flat(s["g"]).T @ z, "bias": z.sum(axis=0)}
     dg = (z @ p["out"].T).reshape(s["g"].shape)
     out["w2"], out["b2"] = flat(s["f"]).T @ flat(dg), flat(dg).sum(axis=0)
@@ -102,62 +120,159 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) ->
     dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     out["place"] = np.zeros_like(p["place"])
     out["place"][: d[0]] = dx.sum(axis=0)
-    embed = np.zeros_like(p["embed"])
-    np.add.at(embed, ids.ravel(), flat(dx))
-    out["embed"] = embed
-    return loss, out
+    return loss, out, flat(dx)
+
+
+# -- classes ----------------------------------------------------------------------------------------
 
 
-def classes(sequence: np.ndarray, vocabulary: int, o: ModelOptions, rng: np.random.Generator) -> np.ndarray:
-    """A class for every id: frequent ids alone, others clustered by what precedes and follows them, unseen ones by their number."""
-    count = np.bincount(sequence, minlength=vocabulary)
+def clustered(count: np.ndarray, o: ModelOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Place of every id among those that are clustered, -1 for others, and its rank by its count in the corpus."""
     order = np.argsort(-count, kind="stable")
-    out = o.single + np.arange(vocabulary) % o.clusters
-    rank = np.empty(vocabulary, dtype=np.int64)
-    rank[order] = np.arange(vocabulary)
-    seen = order[: int((count > 0).sum())]
-    rest = seen[o.single :]
+    rank = np.empty(len(count), dtype=np.int64)
+    rank[order] = np.arange(len(count))
+    place = rank - o.single
+    place[(count == 0) | (place < 0)] = -1
+    return place, rank
+
+
+def neighbours(texts: Iterable[np.ndarray], place: np.ndarray, rank: np.ndarray, end: int, o: ModelOptions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """How often frequent ids precede and follow the clustered ones: numbers ``place * 2 * near + side`` and counts.
+
+    ``texts`` are sequences of whole texts, each closed with ``end``. Before a text stands an end, after it nothing.
+    """
+    table = np.zeros((int(place.max()) + 1) * 2 * o.near, dtype=np.int32)
+    read = 0
+    for ids in texts:
+        if not len(table) or not len(ids):
+            continue
+        if read + len(ids) >= 1 << 30:  # counts stay within 32 bits
+            yield (seen := np.flatnonzero(table)), table[seen].astype(np.int64)
+            table[:] = 0
+            read = 0
+        read += len(ids)
+        for at in range(0, len(ids), 1 << 20):
+            part = ids[at : at + (1 << 20)]
+            before = np.concatenate([[end if at == 0 else ids[at - 1]], part[:-1]])
+            after = ids[at + 1 : at + 1 + len(part)]
+            for me, other, side in ((part, before, 0), (part[: len(after)], after, o.near)):
+                ok = (place[me] >= 0) & (rank[other] < o.near)
+                if side:
+                    ok &= me != end
+                np.add.at(table, place[me[ok]] * (2 * o.near) + rank[other[ok]] + side, 1)
+    yield (seen := np.flatnonzero(table)), table[seen].astype(np.int64)
+
+
+def classes(count: np.ndarray, pairs: np.ndarray, times: np.ndarray, o: ModelOptions) -> np.ndarray:
+    """A class for every id: frequent ids alone, others clustered by their ``neighbours``, unseen ones by their number."""
+    place, rank = clustered(count, o)
+    out = o.single + np.arange(len(count)) % o.clusters
+    rest = np.flatnonzero(place >= 0)
     if len(rest) >= o.clusters:
-        near = 256
-        place = np.full(vocabulary, -1)
-        place[rest] = np.arange(len(rest))
-        table = np.zeros((len(rest), 2 * near), dtype=np.float32)
-        for shift, side in ((1, 0), (-1, near)):
-            other = np.roll(sequence, shift)
-            ok = (place[sequence] >= 0) & (rank[other] < near)
-            np.add.at(table, (place[sequence[ok]], rank[other[ok]] + side), 1)
-        table = np.sqrt(table)
-        table /= np.linalg.norm(table, axis=1, keepdims=True) + 1e-6
-        centre = table[rng.choice(len(rest), o.clusters, replace=False)]
+        table = np.zeros((len(rest), 2 * o.near), dtype=np.float32)
+        table.reshape(-1)[pairs] = times
+        np.sqrt(table, out=table)
+        table /= np.sqrt(np.einsum("ij,ij->i", table, table))[:, None] + np.float32(1e-6)
+        centre = table[np.random.default_rng(0).choice(len(rest), o.clusters, replace=False)]
         for _ in range(8):
             mine = np.argmax(table @ centre.T, axis=1)
             for c in range(o.clusters):
                 if (mine == c).any():
                     mean = table[mine == c].mean(axis=0)
                     centre[c] = mean / (np.linalg.norm(mean) + 1e-6)
-        out[rest] = o.single + mine
-    out[seen[: o.single]] = np.arange(min(o.single, len(seen)))
+        out[rest] = o.single + mine[place[rest]]
+    alone = (count > 0) & (rank < o.single)
+    out[alone] = rank[alone]
     return out
 
 
+# -- training ---------------------------------------------------------------------------------------
+
+
+def schedule(total: int, o: ModelOptions) -> tuple[int, int]:
+    """How many of ``rounds`` equal parts of a corpus of ``total`` ids a round reads, and how often: one unless the corpus is small."""
+    passes = max(1, -(-o.steps * o.batch * o.window // max(1, total)))
+    return min(passes, o.rounds), -(-passes // o.rounds)
+
+
+def learn(p: dict[str, np.ndarray], texts: Iterable[np.ndarray], end: int, o: ModelOptions, turn: int, seed: int = 0, repeats: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """One round over ``texts``, every id of which is predicted ``repeats`` times: changes of all ``as_rows``, and their weights.
+
+    The weight of an embedding is how often its id was read, that of other parameters how many ids there were.
+    """
+    rng = np.random.default_rng((turn, seed))
+    of = p["classes"]
+    now = {n: v.copy() for n, v in p.items() if n != "classes"}
+    first = {n: np.zeros_like(v) for n, v in now.items()}
+    second = {n: np.zeros_like(v) for n, v in now.items()}
+    used = np.zeros(len(of), dtype=np.int64)
+    rate = np.float32(o.rate * (1 - turn / o.rounds) + 1e-4)
+    step = 0
+    if repeats > 1:
+        texts = list(texts) * repeats
+    for ids in texts:
+        begin = rng.permutation(-(-len(ids) // o.window)) * o.window
+        for i in range(0, len(begin), o.batch):
+            at = begin[i : i + o.batch, None] + np.arange(o.window)
+            within = at < len(ids)
+            read = np.where(at > 0, ids[np.minimum(at, len(ids)) - 1], end)
+            target = np.where(within, of[ids[np.minimum(at, len(ids) - 1)]], -1)
+            _, grads, dx = _gradients(now, read, target)
+            used += np.bincount(read[within], minlength=len(of))
+            touched, order = np.unique(read, return_inverse=True)
+            order = order.ravel()
+            sort = np.argsort(order, kind="stable")
+            grads["embed"] = np.add.reduceat(dx[sort], np.searchsorted(order[sort], np.arange(len(touched))))
+            step += 1
+            warm = rate * np.float32(min(1, step / 20) if turn == 0 else 1)
+            for n, g in grads.items():
+                # embeddings that were not read stay as they are
+                rows = touched if n == "embed" else slice(None)
+                m, v = first[n][rows], second[n][rows]
+                m += (g - m) * np.float32(0.1)
+                v += (g * g - v) * np.float32(0.01)
+                first[n][rows], second[n][rows] = m, v
+                now[n][rows] -= warm * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+    before = as_rows(p)
+    weight = np.concatenate([used, np.full(len(before) - len(used), used.sum())]).astype(np.float64)
+    return as_rows(now) - before, weight
+
+
+def as_rows(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All parameters as rows: the embeddings, and the others one after the other."""
+    width = p["embed"].shape[1]
+    rest = np.concatenate([v.ravel() for n, v in p.items() if n not in ("embed", "classes")])
+    return np.concatenate([p["embed"], np.append(rest, np.zeros(-len(rest) % width, np.float32)).reshape(-1, width)])
+
+
+def moved(p: dict[str, np.ndarray], change: np.ndarray) -> dict[str, np.ndarray]:
+    """Parameters with ``change`` added to their ``as_rows``."""
+    rows = as_rows(p) + change
+    out, rest, at = {"embed": rows[: len(p["embed"])]}, rows[len(p["embed"]) :].ravel(), 0
+    for n, v in p.items():
+        if n not in ("embed", "classes"):
+            out[n] = rest[at : at + v.size].reshape(v.shape)
+            at += v.size
+    return out | {"classes": p["classes"]}
+
+
+def begun(count: np.ndarray, pairs: np.ndarray, times: np.ndarray, o: ModelOptions) -> dict[str, np.ndarray]:
+    """Classes, and parameters before the first round."""
+    return start(len(count), o, np.random.default_rng(0)) | {"classes": classes(count, pairs, times, o)}
+
+
 def train(texts: list[np.ndarray], vocabulary: int, end: int, o: ModelOptions) -> dict[str, np.ndarray]:
-    """Parameters and classes from the ids of some texts, each closed with ``end``."""
-    rng = np.random.default_rng(0)
-    sequence = np.concatenate([np.append(t, end) for t in texts] + [np.array([end] * (o.window + 1))]).astype(np.int64)
-    of = classes(sequence, vocabulary, o, rng)
-    p = start(vocabulary, o, rng)
-    first = {n: np.zeros_like(v) for n, v in p.items()}
-    second = {n: np.zeros_like(v) for n, v in p.items()}
-    inputs = np.concatenate([[end], sequence[:-1]])
-    for step in range(1, o.steps + 1):
-        at = rng.integers(0, len(sequence) - o.window + 1, o.batch)[:, None] + np.arange(o.window)
-        _, grads = gradients(p, inputs[at], of[sequence[at]])
-        rate = np.float32(o.rate * min(1, step / 20) * (1 - step / (o.steps + 1)) + 1e-4)
-        for n, g in grads.items():
-            first[n] += (g - first[n]) * np.float32(0.1)
-            second[n] += (g * g - second[n]) * np.float32(0.01)
-            p[n] -= rate * (first[n] / np.float32(1 - 0.9**step)) / (np.sqrt(second[n] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-    return p | {"classes": of}
+    """Parameters and classes from the ids of some texts, all held by one."""
+    parts = [np.concatenate([np.append(t, end) for t in part]).astype(np.int64) for k in range(o.rounds) if (part := texts[k :: o.rounds])]
+    count = np.bincount(np.concatenate(parts), minlength=vocabulary)
+    place, rank = clustered(count, o)
+    (pairs, times), = neighbours(parts, place, rank, end, o)
+    p = begun(count, pairs, times, o)
+    share, repeats = schedule(int(count.sum()), o)
+    for turn in range(o.rounds):
+        change, _ = learn(p, [parts[(turn * share + k) % len(parts)] for k in range(share)], end, o, turn, 0, repeats)
+        p = moved(p, change)
+    return p
 
 
 def untrained(vocabulary: int, o: ModelOptions) -> dict[str, np.ndarray]:

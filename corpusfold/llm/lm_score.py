@@ -1,9 +1,12 @@
 """Language-model scoring of whole texts with a causal self-attention model over subword ids.
 
-What is gathered from the corpus covers all training documents: the counts of every word, and from them
-the counts of subword ids, which say how likely an id is within its class. The attention model, which
-predicts classes, is trained by one task on windows drawn from at most ``sample_rows`` training
-documents (those with the smallest hash of their id).
+What is gathered from the corpus covers all training documents: the counts of every word, from them the
+counts of subword ids, which say how likely an id is within its class, and the neighbours of every id,
+which give the classes. The attention model, which predicts classes, is trained on every id of every
+training document. The ids are staged in as many parts as there are rounds. In a round each task takes
+Adam's steps over its share of a part, and the changes that the tasks make are averaged in blocks of
+parameters, so the driver receives one set of parameters a round. A corpus with fewer ids than ``steps``
+batches is read several times.
 
 Texts are scored in overlapping windows: every id is predicted once, all windows of a batch together.
 The base score needs the count of every word of every text. Words with a large share of all tokens are
@@ -32,12 +35,16 @@ from corpusfold.llm.wordbytes import Words, find_words, hash_words, over_pieces,
 from corpusfold.session import ship_package, stage
 
 
+#: Rows of parameters that are averaged together, and steps that a task takes in a round at least, given the texts.
+BLOCK, TASK_STEPS = 1024, 30
+
+
 @dataclass(frozen=True)
 class ScoreOptions:
     vocabulary: str  #: path of a tokenizer file, on every machine
     size: int = 50_257
     end: int = 50_256  #: an id that no word gives
-    sample_rows: int = 1500
+    sample_rows: int | None = None  #: trains the attention model on so many documents alone; on all unless set
     frequent_limit: int = 1 << 19
     model: attention.ModelOptions = field(default_factory=attention.ModelOptions)
 
@@ -83,17 +90,100 @@ def _sequences(encoder: Encoder, words: Words, end: int) -> tuple[np.ndarray, np
     return out, first + np.arange(len(first))
 
 
-def _sample(options: ScoreOptions):
+def _id_type(options: ScoreOptions) -> str:
+    return "<u2" if options.size <= 1 << 16 else "<u4"
+
+
+def _staged_ids(options: ScoreOptions):
     def run(batches):
         encoder = Encoder(options.vocabulary)
+        kind = np.dtype(_id_type(options))
+        row = TaskContext.get().partitionId()
         for piece in pieces(batches, "text"):
             flat, first = _sequences(encoder, find_words(piece.column("text"), lower=True), options.end)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], ["doc_id", "ids"])
+            data = pa.py_buffer(flat.astype(kind))
+            ids = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer((first * kind.itemsize).astype(np.int32)), data])
+            part = (row + np.arange(piece.num_rows)) % options.model.rounds
+            row += piece.num_rows
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(part.astype(np.int32))], ["ids", "n", "part"])
+
+    return run
+
+
+def _texts(batches, options: ScoreOptions):
+    """The ids of the texts of every batch in a row."""
+    kind = np.dtype(_id_type(options))
+    for batch in batches:
+        ids = batch.column("ids").cast(pa.large_binary())
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        if len(ids) and at[-1] > at[0]:
+            yield np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(kind).astype(np.int32)
+
+
+def _neighbours(shared, options: ScoreOptions):
+    def run(batches):
+        place, rank = attention.clustered(shared.value, options.model)
+        for pairs, times in attention.neighbours(_texts(batches, options), place, rank, options.end, options.model):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "c"])
 
     return run
 
 
+def _learn(shared, options: ScoreOptions, turn: int, repeats: int):
+    def run(batches):
+        p = attention.load(shared.value)
+        change, weight = attention.learn(p, _texts(batches, options), options.end, options.model, turn, TaskContext.get().partitionId(), repeats)
+        for block, at in enumerate(range(0, len(weight), BLOCK)):
+            w = weight[at : at + BLOCK]
+            if w.any():
+                made = [pa.array([block], pa.int32()), pa.array([change[at : at + BLOCK].tobytes()]), pa.array([w.tobytes()])]
+                yield pa.RecordBatch.from_arrays(made, ["block", "change", "weight"])
+
+    return run
+
+
+def _averaged(part: pd.DataFrame) -> pd.DataFrame:
+    """The mean change of a block; the order of the tasks' shares, and with it rounding, is fixed by their bytes."""
+    part = part.sort_values(["weight", "change"])
+    change, weight = 0.0, 0.0
+    for c, w in zip(part["change"], part["weight"]):
+        w = np.frombuffer(w)[:, None]
+        change, weight = change + np.frombuffer(c, dtype=np.float32).reshape(len(w), -1) * w, weight + w
+    mean = change / np.maximum(weight, 1)
+    return pd.DataFrame({"block": part["block"].iloc[:1], "change": [mean.astype(np.float32).tobytes()]})
+
+
+def train(training: DataFrame, of_id: np.ndarray, options: ScoreOptions) -> dict[str, np.ndarray]:
+    """The attention model of all ``training`` rows, in which ids occur as ``of_id`` says."""
+    spark = training.sparkSession
+    o = options.model
+    ids = stage(training.select("text").mapInArrow(_staged_ids(options), "ids binary, n long, part int"), "lm-ids", partition_by="part")
+    met = (
+        ids.select("ids").mapInArrow(_neighbours(spark.sparkContext.broadcast(of_id), options), "pair long, c long")
+        .groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
+    )
+    p = attention.begun(of_id, met.column("pair").to_numpy(), met.column("c").to_numpy(), o)
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    share, repeats = attention.schedule(total, o)
+    # a task with few ids takes too few steps to get anywhere
+    tasks = max(1, total * share // o.rounds // (TASK_STEPS * o.batch * o.window))
+    for turn in range(o.rounds):
+        part = ids.where(F.col("part").isin([(turn * share + k) % o.rounds for k in range(share)])).select("ids").coalesce(tasks)
+        known = spark.sparkContext.broadcast(attention.save(p))
+        made = (
+            part.mapInArrow(_learn(known, options, turn, repeats), "block int, change binary, weight binary")
+            .groupBy("block").applyInPandas(_averaged, "block int, change binary").toArrow()
+        )
+        change = np.zeros_like(attention.as_rows(p))
+        for block, mean in zip(made.column("block").to_pylist(), made.column("change").to_pylist()):
+            mean = np.frombuffer(mean, dtype=np.float32).reshape(-1, change.shape[1])
+            change[block * BLOCK : block * BLOCK + len(mean)] = mean
+        p = attention.moved(p, change)
+        known.unpersist()
+    return p
+
+
 @dataclass(frozen=True)
 class Shared:
     """What every scoring task knows: the model, and hash and count of the frequent words."""
@@ -151,7 +241,6 @@ def _hashes(batches):
 
 def gather(rows: DataFrame, options: ScoreOptions) -> tuple[DataFrame, Shared]:
     """The count of every word of the training rows, and what the scoring tasks share."""
-    spark = rows.sparkSession
     training = rows.where("NOT held_out")
     counts = stage(
         training.mapInArrow(over_pieces(_count_words, "text"), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words"
@@ -164,22 +253,12 @@ def gather(rows: DataFrame, options: ScoreOptions) -> tuple[DataFrame, Shared]:
     of_id[ids.column("id").to_numpy()] = ids.column("c").to_numpy()
     of_id[options.end] += ends
 
-    chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.sample_rows)
-    sample = stage(
-        training.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
-        .mapInArrow(_sample(options), "doc_id long, ids array<int>"),
-        "lm-sample",
-    )
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        texts = [np.asarray(i, dtype=np.int64)[:-1] for i in part.sort_values("doc_id")["ids"]]
-        return pd.DataFrame({"model": [attention.save(attention.train(texts, options.size, options.end, options.model))]})
-
-    made = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "model binary").collect()
-    if made:
-        parameters = bytes(made[0]["model"])
+    if options.sample_rows is not None:
+        chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.sample_rows)
+        learned = training.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     else:
-        parameters = attention.save(attention.untrained(options.size, options.model))
+        learned = training
+    parameters = attention.save(train(learned, of_id, options) if ends else attention.untrained(options.size, options.model))
     # at most frequent_limit words can have this many occurrences
     often = counts.where(F.col("c") >= max(1, -(-tokens // options.frequent_limit))).mapInArrow(_hashes, "hash long, c long").toArrow()
     hashes = often.column("hash").to_numpy().view(np.uint64)
