@@ -18,8 +18,9 @@ Verification, in the order of cost:
    blocks, where a cluster needs several) counts its intersections at once and reports a forest.
 
 Defined results: texts without words (or null) are empty sets, linked with nothing; fewer than ``n``
-words are one shingle; repeated rows are copies; rows with a null id get a null component unless a copy
-has an id; an empty table gives an empty result. Other columns are not looked at.
+words are one shingle; repeated rows are copies; rows with one id and different texts are compared each
+by its own text; rows with a null id link like others and get a null component unless their group has an
+id; an empty table gives an empty result. Other columns are not looked at.
 Nodes are 64-bit digests of sets, shingles are 64-bit hashes of words.
 """
 
@@ -366,7 +367,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, options: JoinOptions) -> DataF
 
 
 def ngram_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", options: JoinOptions = JoinOptions()) -> DataFrame:
-    """doc_id, key (of id and text), n_shingles, component_id for every row."""
+    """doc_id, key (of id and text), n_shingles, component_id and keeper for every row.
+
+    ``keeper`` is the key of the row that stands for the group: of the smallest id, then the smallest key.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), row_key(id, text).alias("key"), F.col(text).alias("text"))
@@ -376,7 +380,10 @@ def ngram_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", optio
     )
     base = described.where("n >= 0").select("doc_id", "key", "n", "node")
     nodes = stage(
-        described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes"
+        described.where("n > 0").groupBy("node").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        ),
+        "nodes",
     )
     frequent = frequent_shingles(spark, described, options)
     signed = rows.mapInArrow(_sign(frequent, options), "sig long, node long, n int, combined boolean")
@@ -406,10 +413,8 @@ def ngram_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", optio
     )
 
     wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).union(dealt.select("node")).distinct()
-    reps = nodes.join(wanted, "node").where("rep IS NOT NULL").select("node", "rep")
-    texts = stage(
-        reps.join(rows.where("doc_id IS NOT NULL"), F.col("rep") == F.col("doc_id")).select("node", "text").dropDuplicates(["node"]), "texts"
-    )
+    reps = nodes.join(wanted, "node").select("node", F.col("rep.key").alias("key"))
+    texts = stage(reps.join(rows.select("key", "text"), "key").select("node", "text").dropDuplicates(["node"]), "texts")
 
     first = possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = _verified(first, texts, options)
@@ -433,20 +438,21 @@ def ngram_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", optio
 
     label = components.select(F.col("node").alias("_n"), "component")
     placed = nodes.join(label, F.col("node") == F.col("_n"), "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    places = placed.join(smallest, "component").select(F.col("node").alias("_n"), "component_id")
+    smallest = placed.groupBy("component").agg(F.min("rep").alias("least"))
+    places = placed.join(smallest, "component").select(F.col("node").alias("_n"), F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("keeper"))
     return base.join(places, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left").select(
         "doc_id", "key", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("keeper", "key").alias("keeper"),
     )
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", options: JoinOptions = JoinOptions()) -> DataFrame:
     """``docs`` with one row of every group of near duplicates, the one with the smallest id.
 
-    Rows that are equal in id and text are one document. Texts without words are linked with nothing and stay.
+    A group without ids keeps one row too. Rows that are equal in id and text are one document. Texts without words are linked with nothing and stay.
     """
     joined = ngram_join(docs, id=id, text=text, options=options)
-    stays = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_key")).distinct()
+    stays = joined.where(F.col("key") == F.col("keeper")).select(F.col("key").alias("_key")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(id, text).alias("_key"))
     return rows.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")

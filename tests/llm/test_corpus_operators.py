@@ -83,6 +83,31 @@ def test_ngram_join_of_nothing(empty):
     assert ngram_join.ngram_join(empty).collect() == []
 
 
+@pytest.mark.parametrize("few", [8, 1])
+def test_ngram_join_of_repeated_and_null_ids(make, few):
+    def changed(text, *places):
+        w = text.split()
+        for i in places:
+            w[i] = f"q{i}"
+        return " ".join(w)
+
+    texts, ids = [], []
+    for k in range(6):
+        base = prose(800 + k, 200)
+        middle = changed(base, 20, 60, 100)
+        # two rows linked through one without an id, two without ids alone, one id on unlike texts
+        texts += [base, middle, changed(middle, 130, 160, 190)]
+        ids += [10 * k, None, 10 * k + 1]
+        alone = prose(900 + k, 200)
+        texts += [alone, changed(alone, 50), prose(1000 + k, 100), prose(1100 + k, 100), changed(prose(1100 + k, 100), 50)]
+        ids += [None, None, 10 * k + 5, 10 * k + 5, 10 * k + 6]
+    docs, options = make(texts, ids), ngram_join.JoinOptions(few=few)
+    got = collections.Counter(tuple(r) for r in ngram_join.ngram_join(docs, options=options).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == plain_components(list(zip(ids, texts)))
+    kept = collections.Counter(r.doc_id for r in ngram_join.keep_one(docs, options=options).select("doc_id").collect())
+    assert kept == collections.Counter([i for k in range(6) for i in (10 * k, None, 10 * k + 5, 10 * k + 5)])
+
+
 def test_bitmaps_never_lose_a_link():
     rng = np.random.default_rng(0)
     for _ in range(300):
