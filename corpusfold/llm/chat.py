@@ -121,9 +121,14 @@ def read_back(rendered: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log with one event a row."""
+    """A table of finished turns (conv_id, turn, role, text) as a log with one event a row.
+
+    Every row is a message of its own, also where rows share turn and role: these are ordered by text.
+    """
+    order = ["turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
+    number = F.row_number().over(W.partitionBy("conv_id").orderBy(*order)).cast("long")
     return turns.select(
-        "conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("message").alias("kind"), "role", "text"
+        "conv_id", F.col("turn").alias("seq"), number.alias("message"), F.lit("message").alias("kind"), "role", "text"
     )
 
 

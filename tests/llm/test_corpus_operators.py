@@ -379,6 +379,22 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(log.where("conv_id > 9"))).collect() == []
 
 
+def test_turns_that_share_a_number_stay_apart(spark):
+    rows = [
+        (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, 1, None, "d"), (1, 1, "", None),
+        (2, 5, "user", "x"), (None, 0, "user", "y"), (None, 0, "user", "z"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {
+        1: [("user", "a"), ("user", "b"), ("", ""), ("", "d"), ("assistant", "c"), ("assistant", "c")],
+        2: [("user", "x")], None: [("user", "y"), ("user", "z")],
+    }
+    rendered = chat.format_conversations(chat.events_of_turns(turns))
+    found = rendered.select("conv_id", chat.parse(rendered["formatted"]).alias("t")).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.t] for r in found} == want
+    assert {r.conv_id: r.n_turns for r in chat.read_back(rendered).collect()} == {c: len(t) for c, t in want.items()}
+
+
 def test_pipeline_stages(spark, awkward, empty):
     sf = "/root/testdata/sf0.001"
     names = [n for n, _ in corpus_pipeline.STAGES]
