@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again.
 
 toxicity           documents that the classifier rejects go
-ngram_jaccard_join one document of each group of near duplicates stays, the one with the smallest id
+ngram_jaccard_join one document of each group of near duplicates stays, the one with the smallest id; near is
+                   what it is for op5: 85 % of the distinct runs of 4 words in common, not 80 % of runs of 5
 substring_dedup    words of passages that repeat are cut out of the texts
 decontamination    documents with too large a share of benchmark words go
 packing            what is left is packed into sequences of at most 1024 tokens
