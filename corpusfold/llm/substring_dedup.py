@@ -7,9 +7,11 @@ neighbours, so together they are one short segment. Only anchors that occur twic
 segments are dealt to shards by anchor; a shard builds an FM-index over its distinct segments (with
 their numbers of occurrences) and streams the segments through it: backward search gives the matching
 statistics, and runs of ``length`` words or more are reported as intervals of repeated windows.
+Segments that are equal as a whole are settled by counting their 64-bit hashes, without a search; only
+segments that occur once are searched.
 
 An anchor that occurs more than ``hot`` times is filed window by window under each window's own hash, so
-that a passage in a third of all documents is spread over the shards, whatever surrounds it. Copies of a
+that a passage in a third of all documents is spread over the shards, whatever surrounds it; for these windows the count alone decides. Copies of a
 segment are counted where they arise, before the shuffle, and travel once a task.
 
 Defined results: null or empty texts have no words and lose none; repeated rows are repetitions of each
