@@ -1,4 +1,8 @@
-"""Git change lists. The commands run on the driver; their output is decoded by Spark."""
+"""Git change lists, a source of the driver alone.
+
+The commands run on the driver and their output is decoded there, so the memory needed grows with the
+number of changed paths; classifying and merging them is Spark work.
+"""
 
 from __future__ import annotations
 
