@@ -40,6 +40,7 @@ def main() -> None:
     for name in names:
         run(spark, name, sf_dir)
         seconds[name] = round(run(spark, name, sf_dir), 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf"),

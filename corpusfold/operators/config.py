@@ -7,6 +7,8 @@ stops adding lines at the larger limit, so its state is small however long the t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,17 @@ _STATE = f"struct<open:array<{_SECTION}>,items:int,elided:boolean,shown:array<st
 
 def key_wanted(key: Column, profile: str) -> Column:
     """Whether a key is on a profile's list: equal, as a last part, or as a dotted prefix."""
-    words = F.array(*[F.lit(word) for word in langs.CONFIG_KEYS[profile]])
-    prefixes = [w for w in langs.CONFIG_KEYS[profile] if "." in w or w in langs.CONFIG_PREFIX_KEYS]
-    test = F.exists(
-        words,
-        lambda word: (key == word) | F.endswith(key, F.concat(F.lit("."), word)) | F.endswith(key, F.concat(F.lit("-"), word)),
-    )
-    return test | text.starts_with_any(key, [f"{word}." for word in prefixes])
+    names = langs.CONFIG_KEYS[profile]
+    prefixes = [w for w in names if "." in w or w in langs.CONFIG_PREFIX_KEYS]
+    # one expression for the whole list; a list of tests would read the key once a word
+    pattern = rf"(?s)^(?:.*[.-])?(?:{_any_of(names)})\z"
+    if prefixes:
+        pattern += rf"|^(?:{_any_of(prefixes)})\."
+    return key.rlike(pattern)
+
+
+def _any_of(names) -> str:
+    return "|".join(re.sub(r"[^\w]", r"\\\g<0>", name) for name in names)
 
 
 def profiles(path: Column) -> dict[str, Column]:
@@ -55,7 +61,10 @@ def _key(bare: Column) -> Column:
 
 def _describe(raw: Column, ext: Column, of_path: dict[str, Column]) -> Column:
     """What a line is, whatever stands around it."""
-    bare = text.trim(raw)
+    return text.let(text.trim(raw), lambda bare: text.let(_key(bare), lambda key: _described(raw, bare, key, ext, of_path)))
+
+
+def _described(raw: Column, bare: Column, key: Column, ext: Column, of_path: dict[str, Column]) -> Column:
     indent = text.leading_indent(raw)
 
     def starts(*marks: str) -> Column:
@@ -67,17 +76,21 @@ def _describe(raw: Column, ext: Column, of_path: dict[str, Column]) -> Column:
     bracketed = starts("[") & F.endswith(bare, F.lit("]"))
     table = (ext == "toml") & bracketed
     comment = F.when(ext == "json", starts("//")).when(ext.isin("yaml", "yml", "toml"), starts("#")).otherwise(False)
-    name = F.when(table, F.lower(text.trim(F.regexp_replace(bare, r"^[\[\]]+|[\[\]]+$", "")))).otherwise(_key(bare))
-    wanted = key_wanted(_key(bare), "common") | key_wanted(name, "common")
+    heading = F.lower(text.trim(F.regexp_replace(bare, r"^[\[\]]+|[\[\]]+$", "")))
+
+    def wanted_by(profile: str) -> Column:
+        return F.coalesce(F.when(table, key_wanted(heading, profile)).otherwise(key_wanted(key, profile)), F.lit(False))
+
+    wanted = F.coalesce(key_wanted(key, "common"), F.lit(False)) | wanted_by("common")
     for profile, member in of_path.items():
-        wanted = wanted | (member & key_wanted(name, profile))
+        wanted = wanted | (member & wanted_by(profile))
     return F.struct(
         bare.alias("bare"), indent.cast("int").alias("indent"), bracketed.alias("bracketed"), table.alias("table"),
         (comment & ~raw.rlike("^[ \t]")).alias("remark"),
         ((bare == "") | starts("#", "//") | bare.isin("{", "}", "[", "]", ",", "},", "],")).alias("noise"),
         (starts("{", "-", "[[") | (starts('"') & ~has(":")) | (F.endswith(bare, F.lit(",")) & ~has(":") & ~has("="))).alias("item"),
         (starts("[") | ((indent <= 2) & starts('"')) | ((indent == 0) & ~starts("-") & (has(":") | has("=")))).alias("headline"),
-        F.coalesce(wanted, F.lit(False)).alias("wanted"), starts("}", "]").alias("closes"),
+        wanted.alias("wanted"), starts("}", "]").alias("closes"),
         (table | F.endswith(bare, F.lit("{")) | F.endswith(bare, F.lit("[")) | F.endswith(bare, F.lit(":"))).alias("opens"),
     )
 
@@ -128,7 +141,11 @@ def _show(acc: Column, shown: Column, counts: Column, sections: Column, items: C
 def picked(path: Column, items: Column) -> Column:
     """shown (lines), and how many of them the skeleton and the tree map take (null: all)."""
     ext = F.lower(paths.extension(path))
-    described = F.transform(items, lambda raw: _describe(raw, ext, profiles(path)))
+    # the tests of a path are computed once, not again for every line
+    flags = F.struct(*[member.alias(name) for name, member in profiles(path).items()])
+    described = text.let(
+        flags, lambda of: F.transform(items, lambda raw: _describe(raw, ext, {name: of[name] for name in profiles(path)}))
+    )
     none = F.lit(None)
     start = F.struct(
         F.array().alias("open"), F.lit(0).alias("items"), F.lit(False).alias("elided"), F.array().alias("shown"),
