@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm import (
     chat,
+    curriculum,
     decontaminate,
     license_scan,
     lm_score,
     ngram_join,
     packing,
     quality_rules,
+    spelling,
     sql,
+    structure_repair,
     substring_dedup,
     toxicity,
     weak_quality,
@@ -110,3 +113,23 @@ def op3_quality_classifier(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = weak_quality.score(docs, weak_quality.train(docs))
     return scored.select("doc_id", F.col("quality").alias("score"), F.col("kept").cast("int").alias("predicted"), "kept")
+
+
+@query(sql.SPELLING)
+def op11_spelling_variants(spark, sf):
+    options = spelling.SpellingOptions(damage_every=97)
+    found = spelling.group_variants(table(spark, sf, "documents"), options)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query(sql.MIX)
+def op12_source_mixing(spark, sf):
+    return curriculum.mixed(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_start")
+
+
+@query(sql.REPAIR)
+def op13_conversation_repair(spark, sf):
+    turns = structure_repair.damaged(table(spark, sf, "conversations"))
+    return structure_repair.reports(turns).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )

@@ -108,3 +108,100 @@ h AS (SELECT r, name, run, n, unnest([i // stride, i // stride - 1]) AS win FROM
 m AS (SELECT DISTINCT r, name FROM (SELECT r, name, win FROM h WHERE win >= 0 GROUP BY r, name, win, n HAVING count(DISTINCT run) >= 0.8 * n)),
 l AS (SELECT r, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses FROM m GROUP BY r)
 SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM d LEFT JOIN l USING (r)"""
+
+
+def _crc32(bytes_: str) -> str:
+    """The checksum of a list of byte values, bit by bit."""
+    bits = "list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda h, b: {bits}), 4294967295)"
+
+
+_UTF8 = (
+    "flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] "
+    "ELSE [CAST(192 + unicode(c) // 64 AS BIGINT), CAST(128 + unicode(c) % 64 AS BIGINT)] END))"
+)
+SPELLING = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, {_crc32(_UTF8.format(text="doc_id || ':' || run"))} AS h FROM g),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+k AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM p),
+near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM k x JOIN k y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION SELECT x.word, y.word, y.n FROM k x JOIN v y ON y.word = x.a || x.b
+    UNION SELECT y.word, x.word, x.n FROM k x JOIN v y ON y.word = x.a || x.b),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top, arg_min(near, (-near_n, near)) AS near FROM near GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN near END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+w AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL),
+e AS (SELECT w.word, w.at AS root FROM w JOIN f ON f.word = w.at WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN e USING (word)"""
+
+MIX = r"""
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) END AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
+w AS (SELECT *, (nth - 1) % 3 AS schedule, CAST((nth - 1) % 3 + 1 AS DOUBLE) AS weight, 3 * source_size AS cap,
+    CAST(sum(source_size) OVER (ORDER BY nth) AS BIGINT) - source_size AS start FROM s),
+l AS (SELECT *, CAST(sum(source_size) OVER () - (sum(cap) OVER (ORDER BY cap / weight, nth) - cap) AS BIGINT) AS rest,
+    sum(weight) OVER () - (sum(weight) OVER (ORDER BY cap / weight, nth) - weight) AS among FROM w),
+v AS (SELECT cap / weight AS level, nth, rest, among FROM l WHERE weight * rest / among <= cap ORDER BY 1, 2 LIMIT 1),
+t AS (SELECT l.source, source_size, schedule, start, CASE WHEN cap / weight < level OR (cap / weight = level AND l.nth < v.nth) THEN CAST(cap AS DOUBLE)
+    ELSE weight * v.rest / v.among END AS target FROM l, v),
+p AS (SELECT row_number() OVER o AS row, doc_id, source, size, CAST(sum(size) OVER o AS BIGINT) - size AS before FROM d
+    WINDOW o AS (ORDER BY source NULLS LAST, md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT row, doc_id, size, source_size, target, schedule, epoch, before - start + epoch * source_size AS place
+    FROM (SELECT *, unnest([0, 1, 2]) AS epoch FROM p) p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+a AS (SELECT *, least(size, CAST(floor(target) AS BIGINT) - place) AS words, place / target * (schedule + 1.0) AS area FROM u),
+b AS (SELECT *, CASE WHEN schedule = 0 THEN 0.0 + 2 * area / (0.5 + sqrt(0.25 + CAST(2.0 AS DOUBLE) * area)) WHEN schedule = 1 THEN 0.0 + 2 * area / (2.0 + sqrt(4.0 + CAST(0.0 AS DOUBLE) * area))
+    WHEN area < 1.75 THEN 0.0 + 2 * area / (4.0 + sqrt(16.0 + CAST(-4.0 AS DOUBLE) * area))
+    ELSE 0.5 + 2 * (area - 1.75) / (3.0 + sqrt(9.0 + CAST(-4.0 AS DOUBLE) * (area - 1.75))) END AS time FROM a WHERE words > 0),
+c AS (SELECT row, words, CAST(sum(words) OVER (ORDER BY time, row, epoch ROWS UNBOUNDED PRECEDING) AS BIGINT) - words AS start FROM b),
+m AS (SELECT row, CAST(sum(words) AS BIGINT) AS taken, min(start) AS first_start FROM c GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_start FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN m USING (row)"""
+
+
+def _repair() -> str:
+    """The cheapest edits of every state, one row of a conversation after the other; cost and letters are one string."""
+
+    def more(path: str, cost: str, letters: str) -> str:
+        return f"(printf('%09d', CAST(left({path}, 9) AS INT) + {cost}) || substr({path}, 10) || '{letters}')"
+
+    kept, rerole = "CASE WHEN go THEN NULL WHEN fault = 't' THEN 3 ELSE 0 END", "CASE WHEN go THEN NULL WHEN fault = 't' THEN 6 ELSE 3 END"
+    # states after inserts; then the edit of the row
+    user = f"least(vu, {more('v0', '3', 'I')}, {more('vs', '3', 'I')}, {more('va', '3', 'I')})"
+    both = f"least(va, {more('vu', '3', 'I')}, {more('v0', '6', 'II')}, {more('vs', '6', 'II')})"
+
+    def to_user(path: str) -> str:
+        return f"CASE WHEN c = 'u' THEN {more(path, kept, 'K')} END, {more(path, rerole, 'R')}"
+
+    return rf"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32(_UTF8.format(text="(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))"))} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM r WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
+f AS (SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault, fault IN ('b', 'd') AS go, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM o),
+counts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE prior IS NOT NULL AND prior || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+e AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS v0, CAST(NULL AS VARCHAR) AS vs, CAST(NULL AS VARCHAR) AS vu, CAST(NULL AS VARCHAR) AS va FROM counts
+    UNION ALL SELECT conv_id, i, {more('v0', '4', 'D')}, least({more('vs', '4', 'D')}, CASE WHEN c = 's' THEN {more('v0', kept, 'K')} END),
+    least({more('eu', '4', 'D')}, {to_user('v0')}, {to_user('vs')}, {to_user('ea')}),
+    least({more('ea', '4', 'D')}, CASE WHEN c = 'a' THEN {more('eu', kept, 'K')} END, {more('eu', rerole, 'R')})
+    FROM (SELECT f.conv_id, f.i, c, go, fault, v0, vs, {user} AS eu, {both} AS ea FROM e JOIN f ON f.conv_id = e.conv_id AND f.i = e.i + 1)),
+b AS (SELECT conv_id, least(v0, va, {more('vu', '3', 'I')}, {more('vs', '6', 'II')}) AS best FROM e JOIN counts USING (conv_id) WHERE i = n),
+x AS (SELECT conv_id, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM b),
+y AS (SELECT conv_id, letter, j, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS place
+    FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, length(audit) + 1)) AS j FROM x WHERE audit <> '')
+    WINDOW w AS (PARTITION BY conv_id ORDER BY j ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT y.conv_id, j, letter, place, CASE WHEN letter = 'K' THEN role END AS kept, CASE WHEN letter = 'I' THEN '' ELSE text END AS text,
+    max(CASE WHEN letter = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.conv_id) AS head FROM y LEFT JOIN f ON f.conv_id = y.conv_id AND f.i = y.i WHERE letter <> 'D'),
+t AS (SELECT conv_id, string_agg(coalesce(kept, CASE WHEN (place - head) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY j) AS repaired FROM z GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN x USING (conv_id) LEFT JOIN t USING (conv_id)"""
+
+
+REPAIR = _repair()
