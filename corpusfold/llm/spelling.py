@@ -19,7 +19,7 @@ double along forms, so following them ends, and pointers are doubled until none
 
 Defined results: null and empty texts have no words; a null id counts as an empty one where runs are damaged; repeated
 rows all count; a table without frequent words gives no rows. Other columns are not looked at. A text of any length
-is read whole; a word of d different letters has at most 2 + 3d + d(d-1)/2 signatures, d being at most 90.
+is read whole; a word of d different letters has at most 1 + 3d + d(d-1)/2 signatures, d being at most 90.
 """
 
 from __future__ import annotations
@@ -102,7 +102,11 @@ def _translate(value: Column, letters: Column, to: str) -> Column:
 
 
 def signatures(words: DataFrame) -> DataFrame:
-    """sig, same (length), word, n, without (the letters left out)."""
+    """sig, packed: the letters left out, the count and the word. The lowest bit of sig is 1 for words of one length.
+
+    Rows are narrow, since a word has some forty of them, and have no column that only one side of the join reads: so
+    both sides stay one plan.
+    """
     word = F.col("word")
     letters = F.array_distinct(F.filter(F.split(word, ""), lambda c: c != ""))
     lettered = words.select("word", "n", letters.alias("letters"))
@@ -111,38 +115,46 @@ def signatures(words: DataFrame) -> DataFrame:
         F.transform(of, lambda x, i: F.transform(F.slice(of, i + 2, F.size(of)), lambda y: F.concat(x, y)))
     )
 
-    def one(sig: Column, same: bool, without: Column) -> Column:
-        return F.struct(sig.alias("sig"), F.lit(same).alias("same"), without.alias("without"))
+    def one(sig: Column, same: int, without: Column) -> Column:
+        marked = F.shiftleft(F.shiftright(sig, 1), 1).bitwiseOR(F.lit(same))
+        return F.struct(marked.alias("sig"), F.concat_ws(" ", without, F.col("n").cast("string"), word).alias("packed"))
 
-    def marked(without: Column) -> Column:
-        return one(F.xxhash64(F.lit(0), _translate(word, without, MARK * 2)), True, without)
+    def masked(without: Column) -> Column:
+        return one(F.xxhash64(F.lit(0), _translate(word, without, MARK * 2)), 1, without)
 
     def shortened(longer: Column):
-        return lambda without: one(F.xxhash64(longer, _translate(word, without, "")), False, without)
+        return lambda without: one(F.xxhash64(longer, _translate(word, without, "")), 0, without)
 
-    none_or_one = F.concat(F.array(F.lit("")), of)
+    # the longer word of a pair holds the letter that is left out; the shorter one may not
     all_of = F.concat(
-        F.transform(F.concat(of, two), marked),
-        F.transform(none_or_one, shortened(F.length(word))),
-        F.transform(none_or_one, shortened(F.length(word) + 1)),
+        F.transform(F.concat(of, two), masked),
+        F.transform(of, shortened(F.length(word))),
+        F.transform(F.concat(F.array(F.lit("")), of), shortened(F.length(word) + 1)),
     )
-    return lettered.select("word", "n", F.explode(all_of).alias("s")).select("s.sig", "s.same", "word", "n", "s.without")
+    return lettered.select(F.explode(all_of).alias("s")).select("s.sig", "s.packed")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """word, near, near_n: every word with each word one edit away, each pair once in either direction."""
-    a = signatures(words)
-    b = a.select("sig", "same", *[F.col(c).alias(f"_{c}") for c in ("word", "n", "without")])
-    differing = F.length("without") + F.length(_translate(F.col("_without"), F.col("without"), ""))
-    verified = (
-        (F.col("word") != F.col("_word"))
-        & (F.col("same") == (F.length("word") == F.length("_word")))
-        & (differing <= 2)
-        & (F.levenshtein("word", "_word", 1) == 1)
+    # the planner takes exploded rows for as few as the words they come from; a merge join does not rely on that. Both
+    # sides are one plan, so the rows are shuffled once
+    met = signatures(words).hint("merge")
+    joined = met.alias("a").join(met.alias("b"), F.col("a.sig") == F.col("b.sig"))
+
+    def part(side: str, at: int) -> Column:
+        return F.substring_index(f"{side}.packed", " ", at)
+
+    pairs = joined.select(
+        F.col("a.sig").bitwiseAND(F.lit(1)).alias("same"), part("a", -1).alias("word"), part("b", -1).alias("near"),
+        F.substring_index(part("b", 2), " ", -1).cast("long").alias("near_n"),
+        (F.length(part("a", 1)) + F.length(_translate(part("b", 1), part("a", 1), ""))).alias("differing"),
     )
-    # the planner takes exploded rows for as few as the words they come from; a merge join does not rely on that
-    pairs = a.hint("merge").join(b.hint("merge"), ["sig", "same"]).where(verified)
-    return pairs.select("word", F.col("_word").alias("near"), F.col("_n").alias("near_n"))
+    lengths = F.length("word") - F.length("near")
+    return pairs.where(
+        (F.col("word") != F.col("near")) & (F.col("differing") <= 2)
+        & F.when(F.col("same") == 1, lengths == 0).otherwise(F.abs(lengths) == 1)
+        & (F.levenshtein("word", "near", 1) == 1)
+    ).select("word", "near", "near_n")
 
 
 def variants(words: DataFrame, options: SpellingOptions = SpellingOptions()) -> DataFrame:
