@@ -76,11 +76,15 @@ def touched(snapshot: DataFrame, seen: DataFrame, key: str = "abs_path") -> Data
 def diagnostics(snapshot: DataFrame, listing: DataFrame, key: str = "abs_path") -> DataFrame:
     """Entries of a snapshot, and how many are missing or differ in size or time."""
     now = listing.select(
-        key, F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"), F.lit(True).alias("_hit")
+        key, F.col("size").alias("now_size"), F.col("mtime_ns").alias("now_mtime_ns"), F.lit(True).alias("now_file")
     )
-    joined = snapshot.select(key, "size", "mtime_ns").join(now, key, "left")
-    fresh = (F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime")) & F.col("_hit")
-    return joined.agg(
+    return health(snapshot.select(key, "size", "mtime_ns").join(now, key, "left"))
+
+
+def health(probed: DataFrame) -> DataFrame:
+    """Entries, and how many of them are stale, of entries next to what is there now."""
+    fresh = F.col("now_file") & (F.col("size") == F.col("now_size")) & (F.col("mtime_ns") == F.col("now_mtime_ns"))
+    return probed.agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(~F.coalesce(fresh, F.lit(False))).alias("stale_entries")
     )
 

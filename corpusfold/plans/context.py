@@ -8,7 +8,7 @@ visible text per row from the same table, without joining it back.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +20,11 @@ from corpusfold.operators import budget, delta, render, rollup
 from corpusfold.operators.compress import compress, layout
 from corpusfold.options import ContextOptions, check_delta_options
 from corpusfold.session import stage
+from corpusfold.sources import content as disk
 from corpusfold.sources import git, repo, state
 
+Fetch = Callable[[DataFrame], DataFrame]
+
 
 class OverBudget(RuntimeError):
     pass
@@ -33,13 +36,17 @@ class EmptySelection(RuntimeError):
 
 @dataclass
 class Baseline:
-    """What a run is compared with: a snapshot, a base directory's rows, or a change list."""
+    """What a run is compared with: a snapshot, a base directory's rows, or a change list.
+
+    Rows of a directory have a digest of their text, or name files on disk, which are then read where only their
+    contents can tell.
+    """
 
     snapshot: state.Snapshot | None = None
     directory: DataFrame | None = None
     changes: DataFrame | None = None
     deleted: DataFrame | None = None
-    existing: DataFrame | None = None
+    on_disk: bool = False
 
 
 @dataclass
@@ -75,9 +82,10 @@ def classify(files: DataFrame, options: ContextOptions, base: Baseline) -> DataF
     if base.changes is not None:
         deltas = delta.against_changes(files, base.changes)
     elif base.directory is not None:
-        deltas = delta.against_directory(files, base.directory)
+        late = "digest" not in base.directory.columns
+        deltas = against_files(files, base.directory) if late else delta.against_directory(files, base.directory)
     elif base.snapshot is not None and base.snapshot.taken_under(options.selection()):
-        deltas = delta.against_snapshot(files, base.snapshot.entries)
+        deltas = delta.against_snapshot(files, base.snapshot.seen)
     else:
         deltas = delta.all_added(files)
     return delta.with_inclusion(deltas, active)
@@ -93,20 +101,47 @@ def deleted_paths(files: DataFrame, options: ContextOptions, base: Baseline, roo
     if not options.incremental or snapshot is None or not snapshot.taken_under(options.selection()):
         return empty
     # a snapshot entry counts as deleted only when its file is gone, not when it is merely unselected
+    known = snapshot.seen.select("abs_path")
+    gone = disk.probe(known).where("NOT now_exists") if base.on_disk else delta.deleted(known, files, "abs_path")
     prefix = root.rstrip("/") + "/"
-    known = snapshot.entries.select("abs_path").filter(F.startswith("abs_path", F.lit(prefix)))
-    existing = base.existing if base.existing is not None else files
-    gone = delta.deleted(known, existing, "abs_path")
-    return gone.select(F.substring("abs_path", F.lit(len(prefix) + 1), F.length("abs_path")).alias("path"))
+    inside = F.substring("abs_path", F.lit(len(prefix) + 1), F.length("abs_path"))
+    # an entry from outside of the root keeps its whole path
+    shown = F.when(F.startswith("abs_path", F.lit(prefix)), inside).otherwise(F.col("abs_path"))
+    return gone.select(F.replace(shown, F.lit("\\"), F.lit("/")).alias("path"))
+
+
+def against_files(files: DataFrame, base: DataFrame, seen: tuple = (None, None)) -> DataFrame:
+    """Added, changed or unchanged against files on disk, which are read only where path and length agree."""
+    known = base.select("path", F.col("size").alias("_size"), F.col("abs_path").alias("_other"))
+    met = stage(files.join(known, "path", "left"), "met")
+    equal = met.where(F.col("size") == F.col("_size"))
+    both = equal.select("path", F.explode(F.array("abs_path", "_other")).alias("abs_path"), "size")
+    if seen[0] is not None:
+        both = both.observe(seen[0], F.count(F.lit(1)).alias("files"))
+    read = disk.digests(disk.spread(both)).groupBy("path").agg((F.min("digest") == F.max("digest")).alias("_same"))
+    told = F.when(F.col("_size").isNull(), F.lit("added")).when(F.col("_same"), F.lit("unchanged")).otherwise(F.lit("changed"))
+    return met.join(read, "path", "left").withColumn("delta", told).drop("_size", "_other", "_same")
+
+
+def with_variants(
+    files: DataFrame, options: ContextOptions, snapshot: state.Snapshot | None, fetch: Fetch | None = None
+) -> DataFrame:
+    """Adds full, skeleton and tree_map, and ``fresh``: false where a snapshot's renderings have the same size and time.
+
+    ``fetch`` adds the content to rows without it; it is called for the files without an entry alone.
+    """
+    counter = counter_for(options.line_tokenizer)
 
+    def anew(rows: DataFrame) -> DataFrame:
+        whole = layout(fetch(rows) if fetch else rows)
+        return compress(whole, counter).drop("content").withColumn("fresh", F.lit(True))
 
-def with_variants(files: DataFrame, options: ContextOptions, snapshot: state.Snapshot | None) -> DataFrame:
-    """Adds full, skeleton and tree_map, reusing a snapshot's renderings where size and time match."""
-    counter = counter_for(options.line_tokenizer)
     if snapshot is None or snapshot.selection is None:
-        return compress(files, counter).drop("content")
+        return anew(files)
     hits, misses = state.read_through(files, snapshot)
-    return hits.drop("kind").unionByName(compress(misses, counter).drop("content"))
+    if fetch:
+        misses = stage(misses, "misses")
+    return hits.drop("kind").withColumn("fresh", F.lit(False)).unionByName(anew(misses))
 
 
 def counted(variants: DataFrame, options: ContextOptions) -> DataFrame:
@@ -237,15 +272,21 @@ def build_context(
     snapshot: state.Snapshot | None = None,
     generated_at: str | None = None,
     with_raw_tokens: bool = False,
+    fetch: Fetch | None = None,
 ) -> Context:
-    """Run the plan over selected files (path, abs_path, size, mtime_ns, content)."""
+    """Run the plan over selected files (path, abs_path, size, mtime_ns, content).
+
+    With ``fetch`` the files come without contents, and it adds them to the rows that need them.
+    """
     base = baseline or Baseline(snapshot=snapshot)
-    corpus = layout(corpus)
-    files = corpus.drop("kind")
-    if base.directory is not None:
-        files = files.withColumn("digest", delta.digest(F.col("content")))
+    files = corpus
+    if fetch is None:
+        corpus = layout(corpus)
+        files = corpus.drop("kind")
+        if base.directory is not None:
+            files = files.withColumn("digest", delta.digest(F.col("content")))
     narrow = classify(files.drop("content"), options, base)
-    variants = with_variants(corpus, options, snapshot)
+    variants = with_variants(corpus, options, snapshot, fetch)
     if snapshot is not None:
         # kept for the next snapshot; without one the renderings go straight into the counted table
         variants = stage(variants, "variants")
@@ -299,22 +340,33 @@ def repository_context(
             spark, root, changed_since, options.include, options.exclude, options.respect_gitignore
         )
     elif incremental_base and base_is_directory:
-        other = repo.scan(spark, incremental_base, options)
-        base.directory = other.select("path", "size", delta.digest(F.col("content")).alias("digest"))
+        base.directory = repo.scan(spark, incremental_base, options, content=False)
     elif incremental_base:
         base.snapshot = state.load_required(spark, incremental_base)
     active = options
     if incremental_base and not base_is_directory:
         active = ContextOptions(**{**options.__dict__, "incremental": True})
-    if base.snapshot is not None and active.incremental:
-        base.existing = repo.listing(spark, root)
-    corpus = repo.scan(spark, root, options)
-    return build_context(corpus, active, base, root=root, snapshot=snapshot, **kwargs)
+    base.on_disk = True
+    corpus = repo.scan(spark, root, options, content=False)
+    fetch = lambda rows: disk.fetch(disk.spread(rows))
+    return build_context(corpus, active, base, root=root, snapshot=snapshot, fetch=fetch, **kwargs)
 
 
 def save_state(context: Context, path: str) -> None:
-    """Keep the renderings of every file seen in this run, and only those."""
-    state.save(context.variants, path, context.options.selection())
+    """Keep the renderings of every file seen in this run, and only those.
+
+    Where the snapshot under ``path`` was taken under the same options, the files rendered anew are written and those no
+    longer seen are marked; everything else stays as it is.
+    """
+    selection = context.options.selection()
+    known = state.load(context.variants.sparkSession, path)
+    if known.selection is None or not known.taken_under(selection):
+        state.save(context.variants, path, selection)
+        return
+    same = ["abs_path", "size", "mtime_ns"]
+    new = context.variants.join(known.seen.select(*same), same, "left_anti")
+    gone = known.seen.select("abs_path").join(context.variants.select("abs_path"), "abs_path", "left_anti")
+    state.update(stage(new, "new-entries"), stage(gone, "gone-entries"), path, selection)
 
 
 def summaries(context: Context) -> DataFrame:

@@ -11,7 +11,8 @@ from corpusfold.functions import langs, paths, text
 from corpusfold.functions.tokens import counter_for
 from corpusfold.operators import delta, order, rollup
 from corpusfold.plans.context import Context
-from corpusfold.sources import repo, state
+from corpusfold.sources import content as disk
+from corpusfold.sources import state
 
 
 def run_stats(context: Context) -> DataFrame:
@@ -42,8 +43,9 @@ def parser_support(spark: SparkSession) -> DataFrame:
     )
 
 
-def snapshot_health(spark: SparkSession, state_path: str, listing: DataFrame) -> DataFrame:
-    return delta.diagnostics(state.load(spark, state_path).entries, listing)
+def snapshot_health(snapshot: state.Snapshot) -> DataFrame:
+    """Entries of a snapshot, and how many no longer are what is on disk, wherever they lie."""
+    return delta.health(disk.probe(snapshot.seen))
 
 
 def tokenizer_status(name: str) -> str:
@@ -115,7 +117,7 @@ def doctor(spark: SparkSession, root: str, state_path: str | None, tokenizer: st
     snapshot = state.load(spark, state_path) if state_path else None
     entries = stale = 0
     if snapshot is not None:
-        row = delta.diagnostics(snapshot.entries, repo.listing(spark, root)).first()
+        row = snapshot_health(snapshot).first()
         entries, stale = row.entries, row.stale_entries
     status = tokenizer_status(tokenizer)
     return {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 
 def pattern_regex(pattern: str) -> str:
@@ -28,23 +27,8 @@ def pattern_regex(pattern: str) -> str:
     return ("" if anchored else "(?:.*/)?") + "".join(out)
 
 
-def rules_in(file: str) -> tuple[tuple[re.Pattern, bool, bool], ...]:
-    """(pattern, negated, folders only) of one ignore file, in order; empty when it does not exist."""
-    try:
-        seen = os.stat(file)
-    except OSError:
-        return ()
-    return _parsed(file, seen.st_mtime_ns, seen.st_size)
-
-
-@lru_cache(maxsize=4096)
-def _parsed(file: str, mtime_ns: int, size: int) -> tuple[tuple[re.Pattern, bool, bool], ...]:
-    """The rules of a file as it was at that time."""
-    try:
-        with open(file, encoding="utf-8", errors="replace") as handle:
-            lines = handle.read().splitlines()
-    except OSError:
-        return ()
+def parsed_lines(lines: list[str]) -> tuple[tuple[re.Pattern, bool, bool], ...]:
+    """(pattern, negated, folders only) of the lines of an ignore file, in order."""
     rules = []
     for line in lines:
         line = re.sub(r"(?<!\\)\s+$", "", line)
@@ -57,39 +41,23 @@ def _parsed(file: str, mtime_ns: int, size: int) -> tuple[tuple[re.Pattern, bool
     return tuple(rules)
 
 
-def _verdict(file: str, below: str, is_dir: bool) -> bool | None:
-    verdict = None
-    for pattern, negated, dirs_only in rules_in(file):
-        if (is_dir or not dirs_only) and pattern.fullmatch(below):
-            verdict = not negated
-    return verdict
+def above(root: str, name: str) -> list[str]:
+    """Folders above a scan root whose ignore files of this name hold in it, the deepest first.
+
+    Git's own count up to the top of the work tree, the others all the way.
+    """
+    return list(reversed(_parents(root) if name == ".gitignore" else _ancestors(root)))
 
 
-def is_ignored(root: str, folders: list[str], name: str, is_dir: bool, with_git: bool) -> bool:
-    """Whether one entry is left out. ``folders`` runs from the scan root down to its parent.
+def top_of(root: str) -> str:
+    """The top of the git work tree that holds ``root``; the root itself where there is none."""
+    chain = [*_parents(root), root]
+    return next((base for base in reversed(chain) if os.path.isdir(os.path.join(base, ".git"))), root)
 
-    The tool-specific file outranks the general one, which outranks git's; within a kind, deeper
-    folders come first.
-    """
-    path = os.path.join(folders[-1], name)
-    above = _parents(root) if with_git else []
-    upward = _ancestors(root) if with_git else []
-    kinds = [(".cursorignore", upward + folders), (".ignore", upward + folders)]
-    if with_git:
-        kinds.append((".gitignore", above + folders))
-    for file_name, bases in kinds:
-        for base in reversed(bases):
-            verdict = _verdict(os.path.join(base, file_name), os.path.relpath(path, base), is_dir)
-            if verdict is not None:
-                return verdict
-    if with_git:
-        top = next((b for b in reversed(above + folders[:1]) if os.path.isdir(os.path.join(b, ".git"))), root)
-        home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
-        for file in (os.path.join(top, ".git", "info", "exclude"), os.path.join(home, "git", "ignore")):
-            verdict = _verdict(file, os.path.relpath(path, top), is_dir)
-            if verdict is not None:
-                return verdict
-    return False
+
+def global_file() -> str:
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    return os.path.join(home, "git", "ignore")
 
 
 def _ancestors(root: str) -> list[str]:

@@ -1,139 +1,27 @@
-"""Repository scan as a Spark data source.
+"""Repository scan: a listing of narrow rows, and contents for those rows that need them.
 
-Spark's own file sources skip names that start with a dot or an underscore, which belong to a
-repository (``.github``, ``__init__.py``). The driver only splits the tree into folders; tasks walk
-their folders, apply the ignore rules and read the files. The root must be reachable by every task.
+Spark's own file sources skip names that start with a dot or an underscore, which belong to a repository
+(``.github``, ``__init__.py``). The root must be reachable by every task.
 """
 
 from __future__ import annotations
 
-import os
-import zlib
-from collections import deque
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from corpusfold.functions import langs
-from corpusfold.options import ContextOptions
 from corpusfold.operators.select import select
-from corpusfold.session import ship_package
-from corpusfold.sources.ignore import in_work_tree, is_ignored
+from corpusfold.options import ContextOptions
+from corpusfold.sources.content import fetch, spread
+from corpusfold.sources.listing import list_tree
 
 SCHEMA = "path string, abs_path string, size bigint, mtime_ns bigint, content string"
-FORMAT = "repo_files"
-MIN_SHARES = 4
-
-
-@dataclass
-class Folder(InputPartition):
-    """A share of one folder's files; ``deep`` folders are walked with everything below them.
-
-    Several tasks list the same folder and each reads its share of the names, so that a folder with
-    most of the files is still read by many.
-    """
-
-    path: str
-    deep: bool
-    share: int
-    shares: int
-
-    def holds(self, path: str) -> bool:
-        return zlib.crc32(path.encode(errors="surrogateescape")) % self.shares == self.share
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.root = os.path.realpath(options["path"])
-        self.with_git = options.get("gitignore", "true") == "true" and in_work_tree(self.root)
-        self.with_content = options.get("content", "true") == "true"
-        self.everything = options.get("everything", "false") == "true"
-        self.limit = int(options.get("maxfilebytes", "0"))
-        self.splits = int(options.get("splits", "64"))
-        if not os.path.isdir(self.root):
-            raise FileNotFoundError(f"cannot resolve target path {options['path']}")
-
-    def _children(self, folder: str, *, dirs: bool):
-        below = os.path.relpath(folder, self.root)
-        chain = [self.root]
-        for part in [] if below == "." else below.split(os.sep):
-            chain.append(os.path.join(chain[-1], part))
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        for entry in entries:
-            is_dir = entry.is_dir(follow_symlinks=False)
-            if is_dir != dirs or (not is_dir and not entry.is_file(follow_symlinks=False)) or entry.name == ".git":
-                continue
-            if self.everything or not is_ignored(self.root, chain, entry.name, is_dir, self.with_git):
-                yield entry
-
-    def partitions(self):
-        queue = deque([self.root])
-        shallow: list[str] = []
-        while queue and len(queue) + len(shallow) < self.splits:
-            folder = queue.popleft()
-            shallow.append(folder)
-            queue.extend(entry.path for entry in self._children(folder, dirs=True))
-        shares = max(MIN_SHARES, self.splits // (len(shallow) + len(queue)))
-        folders = [(path, False) for path in shallow] + [(path, True) for path in queue]
-        return [Folder(path, deep, n, shares) for path, deep in folders for n in range(shares)]
-
-    def read(self, partition: Folder):
-        pending = [partition.path]
-        while pending:
-            folder = pending.pop()
-            for entry in self._children(folder, dirs=False):
-                ext = os.path.splitext(entry.name)[1][1:].lower()
-                if ext not in langs.EXTENSIONS or not partition.holds(entry.path):
-                    continue
-                stat = entry.stat(follow_symlinks=False)
-                if self.limit and stat.st_size > self.limit:
-                    continue
-                relative = os.path.relpath(entry.path, self.root).replace("\\", "/")
-                yield (relative, entry.path, stat.st_size, stat.st_mtime_ns, self._content(entry.path))
-            if partition.deep:
-                pending.extend(entry.path for entry in self._children(folder, dirs=True))
-
-    def _content(self, path: str) -> str | None:
-        if not self.with_content:
-            return None
-        try:
-            with open(path, encoding="utf-8", newline="") as handle:
-                return handle.read()
-        except (OSError, UnicodeDecodeError) as error:
-            raise RuntimeError(f"cannot read source file {path}: {error}") from error
-
-
-class RepoFiles(DataSource):
-    @classmethod
-    def name(cls):
-        return FORMAT
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options)
 
 
 def scan(spark: SparkSession, root: str, options: ContextOptions, *, content: bool = True) -> DataFrame:
-    """Selected files of a repository: path, abs_path, size, mtime_ns, content."""
-    return select(_load(spark, root, options.respect_gitignore, content, False, options.max_file_bytes), options)
+    """Selected files of a repository: path, abs_path, size, mtime_ns and, when asked for, content."""
+    files = select(list_tree(spark, root, with_git=options.respect_gitignore), options)
+    return fetch(spread(files)) if content else files
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Every supported file that exists, whatever the ignore rules say, without contents."""
-    return _load(spark, root, False, False, True, 0).drop("content")
-
-
-def _load(spark, root, gitignore, content, everything, limit) -> DataFrame:
-    ship_package(spark)
-    spark.dataSource.register(RepoFiles)
-    flags = {"gitignore": gitignore, "content": content, "everything": everything}
-    reader = spark.read.format(FORMAT).option("splits", str(2 * spark.sparkContext.defaultParallelism))
-    for name, value in flags.items():
-        reader = reader.option(name, str(value).lower())
-    return reader.option("maxFileBytes", str(limit)).load(root)
+    return list_tree(spark, root, with_git=False, everything=True)

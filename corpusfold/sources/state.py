@@ -1,98 +1,99 @@
-"""Snapshot tables: what earlier runs saw, with the renderings they computed.
+"""Snapshots: what earlier runs saw, with the renderings they computed, in a log keyed by path.
 
-A snapshot is a folder with one Parquet table of entries per version and a ``current`` table of rows
-naming the versions and the selection options they were taken under, the highest number being in force.
+A run appends the files it compressed anew and marks those it no longer saw; the selection options it ran under are
+part of the commit. A snapshot taken under other options is replaced as a whole.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusfold.sources.keyed_log import KeyedLog
+
 ENTRY_SCHEMA = (
     "abs_path string, size bigint, mtime_ns bigint, full string, skeleton string, tree_map string"
 )
-CURRENT_SCHEMA = (
-    "number bigint, version string, include array<string>, exclude array<string>, respect_gitignore boolean, "
-    "max_file_bytes bigint, exclude_generated boolean"
-)
+KEY = "abs_path"
+# so many segments are merged on reading before they are written as one
+MAX_SEGMENTS = 16
 
 
 @dataclass
 class Snapshot:
+    """Entries with their renderings; ``seen`` has path, size and time alone, for joins that need no text."""
+
     entries: DataFrame
     selection: dict | None
+    narrow: DataFrame | None = None
 
     def taken_under(self, selection: dict) -> bool:
         return self.selection == selection
 
+    @property
+    def seen(self) -> DataFrame:
+        return self.narrow if self.narrow is not None else self.entries.select("abs_path", "size", "mtime_ns")
+
+
+def log(spark: SparkSession, path: str) -> KeyedLog:
+    return KeyedLog(spark, path, ENTRY_SCHEMA, KEY)
+
 
 def load(spark: SparkSession, path: str) -> Snapshot:
     """The current snapshot; a missing or unreadable one counts as empty."""
     try:
         snapshot = load_required(spark, path)
         # reads the footer of every file, so that damage shows here and not in the middle of a run
-        snapshot.entries.agg(F.count(F.lit(1))).collect()
+        snapshot.seen.agg(F.count(F.lit(1))).collect()
         return snapshot
     except (PySparkException, Py4JError, ValueError):
         return Snapshot(spark.createDataFrame([], ENTRY_SCHEMA), None)
 
 
 def load_required(spark: SparkSession, path: str) -> Snapshot:
-    current = _current(spark, path)
-    if current is None or current.version is None:
+    table = log(spark, path)
+    live = table.commits()
+    if not live or live[-1].meta is None:
         raise ValueError(f"no snapshot under {path}")
-    selection = current.asDict()
-    version = selection.pop("version")
-    del selection["number"]
-    return Snapshot(spark.read.schema(ENTRY_SCHEMA).parquet(f"{path}/entries-{version}"), selection)
+    return Snapshot(table.rows(), live[-1].meta, table.rows("size", "mtime_ns"))
 
 
-def _current(spark: SparkSession, path: str) -> Row | None:
-    return spark.read.schema(CURRENT_SCHEMA).parquet(f"{path}/current").orderBy(F.desc("number")).first()
-
-
-def _publish(spark: SparkSession, path: str, row: dict) -> None:
-    """Appends the next row of ``current``; until its file is committed, the one before stays in force."""
-    try:
-        last = _current(spark, path)
-    except PySparkException:
-        last = None
-    numbered = {"number": (last.number if last else 0) + 1, **row}
-    spark.createDataFrame([numbered], CURRENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/current")
+def save(entries: DataFrame, path: str, selection: dict) -> None:
+    """A snapshot of these entries alone; what it replaces is removed."""
+    table = log(entries.sparkSession, path)
+    table.append(entries, reset=True, meta=selection)
+    table.vacuum()
 
 
-def save(entries: DataFrame, path: str, selection: dict) -> None:
-    """Write a new version, then name it in ``current``; readers never see half a snapshot."""
-    version = uuid.uuid4().hex
-    entries.select(*[part.split()[0] for part in ENTRY_SCHEMA.split(", ")]).write.parquet(f"{path}/entries-{version}")
-    _publish(entries.sparkSession, path, {"version": version, **selection})
+def update(
+    fresh: DataFrame, gone: DataFrame | None, path: str, selection: dict, batch: tuple[str, int] | None = None
+) -> bool:
+    """Add or replace entries and forget those of ``gone``; False where ``batch`` is in the snapshot already."""
+    table = log(fresh.sparkSession, path)
+    done = table.append(fresh, gone, meta=selection, batch=batch)
+    if done and len(table.commits()) > MAX_SEGMENTS:
+        table.compact()
+        table.vacuum()
+    return done is not None
 
 
 def clear(spark: SparkSession, path: str) -> bool:
-    """Forget the current snapshot; returns whether there was one."""
-    snapshot = load(spark, path)
-    if snapshot.selection is None:
-        return False
-    _publish(spark, path, dict.fromkeys(("version", "include", "exclude", "respect_gitignore", "max_file_bytes", "exclude_generated")))
-    return True
+    """Forget the current snapshot and remove its files; returns whether there was one."""
+    table = log(spark, path)
+    cleared = table.clear()
+    table.vacuum()
+    return cleared
 
 
 def read_through(files: DataFrame, snapshot: Snapshot) -> tuple[DataFrame, DataFrame]:
-    """Files whose size and time match an entry, with its renderings, and all the others.
+    """Files whose size and time match an entry, with its renderings, and all the others as they are.
 
-    The match joins narrow columns; contents of matched files are not compressed again.
+    The decision joins narrow columns; contents take no part in a join of matched files.
     """
-    kept = snapshot.entries.select(
-        "abs_path", F.col("size").alias("_size"), F.col("mtime_ns").alias("_mtime"), "full", "skeleton", "tree_map"
-    )
-    same = (F.col("size") == F.col("_size")) & (F.col("mtime_ns") == F.col("_mtime"))
-    hits = files.drop("content").join(kept, "abs_path").filter(same).drop("_size", "_mtime")
-    fresh = kept.select("abs_path", F.col("_size").alias("size"), F.col("_mtime").alias("mtime_ns"))
-    misses = files.join(fresh, ["abs_path", "size", "mtime_ns"], "left_anti")
-    return hits, misses
+    same = ["abs_path", "size", "mtime_ns"]
+    hits = files.drop("content").join(snapshot.entries.select(*same, "full", "skeleton", "tree_map"), same)
+    return hits, files.join(snapshot.seen.select(*same), same, "left_anti")

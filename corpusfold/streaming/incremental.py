@@ -1,8 +1,8 @@
 """The incremental mode over a stream of file rows.
 
 Every micro-batch is one incremental run: its files are classified against the snapshot, only files
-without a matching entry are compressed, and the snapshot moves on. All state lives in the snapshot
-table, so a restarted query continues from it.
+without a matching entry are compressed, and these alone are appended to the snapshot. All state lives in
+its log, so a restarted query continues from it.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def run_batch(
-    batch: DataFrame, options: ContextOptions, state_path: str, report: Callable[[DataFrame], None] = lambda deltas: None
+    batch: DataFrame, options: ContextOptions, state_path: str, report: Callable[[DataFrame], None] = lambda deltas: None,
+    number: tuple[str, int] | None = None,
 ) -> DataFrame:
-    """One incremental step; returns (path, delta) of the batch and updates the snapshot.
+    """One incremental step; returns (path, delta) of the batch and appends to the snapshot what it lacks.
 
     Changes are reported before the snapshot moves: a batch that fails in between is reported again when it
-    is repeated, and no change is lost.
+    is repeated, and no change is lost. A batch with a ``number`` (stream, epoch) is appended once, however often it runs.
     """
     spark = batch.sparkSession
     files = stage(latest(select(batch, options)), "batch")
@@ -42,9 +43,7 @@ def run_batch(
     )
     report(deltas)
     variants = stage(plan.with_variants(files, options, snapshot), "variants")
-    kept = snapshot.entries.join(variants.select("abs_path"), "abs_path", "left_anti")
-    columns = kept.columns
-    state.save(kept.unionByName(variants.select(*columns)), state_path, options.selection())
+    state.update(variants.where("fresh"), None, state_path, options.selection(), number)
     return deltas
 
 
@@ -59,7 +58,7 @@ def follow(
     """Start the incremental mode on a stream of (path, abs_path, size, mtime_ns, content) rows."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        run_batch(batch, options, state_path, lambda deltas: on_batch(deltas, epoch))
+        run_batch(batch, options, state_path, lambda deltas: on_batch(deltas, epoch), (checkpoint, epoch))
 
     return (
         stream.writeStream.foreachBatch(step)

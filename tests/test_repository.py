@@ -144,7 +144,7 @@ def test_incremental_runs(spark, demo, tmp_path):
 
     other = build(spark, demo, options(incremental=True, exclude=("*.toml",)), state_path=folder)
     assert paths(other.files) == ["src/lib.rs"]
-    row = reports.snapshot_health(spark, folder, repo.listing(spark, str(demo))).first()
+    row = reports.snapshot_health(state.load(spark, folder)).first()
     assert (row.entries, row.stale_entries) == (1, 0)
     assert state.clear(spark, folder) and not state.clear(spark, folder)
 
@@ -292,7 +292,7 @@ def test_damaged_state_counts_as_empty(spark, demo, tmp_path):
     folder = tmp_path / "state"
     plan.save_state(build(spark, demo, options()), str(folder))
     assert state.load(spark, str(folder)).entries.count() == 2
-    for part in folder.glob("entries-*/part-*.parquet"):
+    for part in folder.glob("segments/*/part-*.parquet"):
         part.write_bytes(b"damaged")
         (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
     assert state.load(spark, str(folder)).entries.count() == 0
@@ -303,7 +303,7 @@ def test_unpublished_version_leaves_the_old_one(spark, demo, tmp_path):
     context = build(spark, demo, options())
     plan.save_state(context, folder)
     # a writer that stops before it publishes leaves only a folder of entries
-    spark.createDataFrame([], state.ENTRY_SCHEMA).write.parquet(f"{folder}/entries-unfinished")
+    spark.createDataFrame([], f"{state.ENTRY_SCHEMA}, _removed boolean").write.parquet(f"{folder}/segments/segment=unfinished")
     assert state.load(spark, folder).entries.count() == 2
 
 
