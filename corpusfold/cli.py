@@ -71,7 +71,7 @@ def run(argv: list[str]) -> int:
         spark, root, options,
         state_path=args.state,
         incremental_base=args.incremental_base,
-        base_is_directory=bool(args.incremental_base) and not (Path(args.incremental_base) / "current").exists(),
+        base_is_directory=bool(args.incremental_base) and not state.is_snapshot(args.incremental_base),
         changed_since=args.changed_since,
         with_raw_tokens=args.stats,
     )
@@ -87,8 +87,7 @@ def run(argv: list[str]) -> int:
     elif args.output == "table":
         context.write(args.output_file)
     else:
-        with open(args.output_file, "w", encoding="utf-8", newline="") as out:
-            out.writelines(context.pieces())
+        context.write_file(args.output_file)
     if args.state and not args.dry_run:
         plan.save_state(context, args.state)
     if args.summary:

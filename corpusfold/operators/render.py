@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusfold.functions import paths, text
 from corpusfold.functions.tokens import Counter
 from corpusfold.operators import rollup
+from corpusfold.operators.sink import write_single
 from corpusfold.options import ContextOptions
 
 ORDER = ("section", "dir", "item", "rank", "path")
@@ -327,3 +328,9 @@ def write_document(blocks: DataFrame, target: str) -> None:
     The text sink ends every row with a line end, so a compact JSON map gains insignificant ones.
     """
     blocks.orderBy(*ORDER).select("block").write.mode("overwrite").text(target)
+
+
+def write_file(blocks: DataFrame, target: str) -> int:
+    """The document as one file with the bytes of :func:`document_text`, written by all tasks; returns its bytes."""
+    ended = F.concat(F.col("block"), F.when(F.col("ends_line"), F.lit("\n")).otherwise(F.lit("")))
+    return write_single(blocks, F.struct(*ORDER), ended, target)

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusfold.functions import paths
@@ -75,6 +75,9 @@ class Context:
     def write(self, target: str) -> None:
         render.write_document(self.blocks, target)
 
+    def write_file(self, target: str) -> int:
+        return render.write_file(self.blocks, target)
+
 
 def classify(files: DataFrame, options: ContextOptions, base: Baseline) -> DataFrame:
     """Adds delta and included. A change list wins over a directory, which wins over a snapshot."""
@@ -110,15 +113,13 @@ def deleted_paths(files: DataFrame, options: ContextOptions, base: Baseline, roo
     return gone.select(F.replace(shown, F.lit("\\"), F.lit("/")).alias("path"))
 
 
-def against_files(files: DataFrame, base: DataFrame, seen: tuple = (None, None)) -> DataFrame:
+def against_files(files: DataFrame, base: DataFrame, seen: Observation | None = None) -> DataFrame:
     """Added, changed or unchanged against files on disk, which are read only where path and length agree."""
     known = base.select("path", F.col("size").alias("_size"), F.col("abs_path").alias("_other"))
     met = stage(files.join(known, "path", "left"), "met")
     equal = met.where(F.col("size") == F.col("_size"))
     both = equal.select("path", F.explode(F.array("abs_path", "_other")).alias("abs_path"), "size")
-    if seen[0] is not None:
-        both = both.observe(seen[0], F.count(F.lit(1)).alias("files"))
-    read = disk.digests(disk.spread(both)).groupBy("path").agg((F.min("digest") == F.max("digest")).alias("_same"))
+    read = disk.digests(disk.spread(both), seen).groupBy("path").agg((F.min("digest") == F.max("digest")).alias("_same"))
     told = F.when(F.col("_size").isNull(), F.lit("added")).when(F.col("_same"), F.lit("unchanged")).otherwise(F.lit("changed"))
     return met.join(read, "path", "left").withColumn("delta", told).drop("_size", "_other", "_same")
 

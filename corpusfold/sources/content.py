@@ -69,9 +69,16 @@ def _digest(path: str) -> tuple:
         raise RuntimeError(f"cannot read source file {path}: {error}") from error
 
 
-def digests(rows: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
     """Adds digest, the SHA-256 of the bytes of a file, which are read in pieces."""
-    return _with(rows, "digest string", _digest, 64)
+    return _observed(_with(rows, "digest string", _digest, 64), seen)
+
+
+def _observed(read: DataFrame, seen: Observation | None) -> DataFrame:
+    """``seen`` observes what was read, once an action has run: files and bytes."""
+    if seen is None:
+        return read
+    return read.observe(seen, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def _text(path: str) -> tuple:
@@ -83,14 +90,8 @@ def _text(path: str) -> tuple:
 
 
 def fetch(rows: DataFrame, seen: Observation | None = None) -> DataFrame:
-    """Adds content, the whole text of a file; bytes that are no UTF-8 are an error that names the file.
-
-    ``seen`` observes what was read, once an action has run: files and bytes.
-    """
-    read = _with(rows, "content string", _text, 0)
-    if seen is None:
-        return read
-    return read.observe(seen, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    """Adds content, the whole text of a file; bytes that are no UTF-8 are an error that names the file."""
+    return _observed(_with(rows, "content string", _text, 0), seen)
 
 
 def spread(rows: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:

@@ -7,6 +7,7 @@ part of the commit. A snapshot taken under other options is replaced as a whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -43,6 +44,11 @@ def log(spark: SparkSession, path: str) -> KeyedLog:
     return KeyedLog(spark, path, ENTRY_SCHEMA, KEY)
 
 
+def is_snapshot(path: str) -> bool:
+    """Whether a local folder is one of a snapshot."""
+    return all((Path(path) / name).is_dir() for name in ("log", "segments"))
+
+
 def load(spark: SparkSession, path: str) -> Snapshot:
     """The current snapshot; a missing or unreadable one counts as empty."""
     try:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusfold.functions import langs, paths, text, tokens
-from corpusfold.operators import budget, compress, config, delta, lines, markdown, objc, order, prefix, render, rollup, select, web
+from corpusfold.operators import budget, compress, config, delta, lines, markdown, objc, order, prefix, render, rollup, select, spans, web
 from corpusfold.options import ContextOptions
 from corpusfold.plans import context, reports
-from corpusfold.session import stage
+from corpusfold.session import scratch_dir, stage
+from corpusfold.sources import nul_records as nul
 from corpusfold.sources import state
+from corpusfold.sources.keyed_log import KeyedLog
 from corpusfold.workloads import corpora, duck
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,6 +361,16 @@ def delta_changes(spark, sf):
     return delta.against_changes(corpora.documents(spark, sf).select("path"), changed)
 
 
+@query(f"WITH {_STATUS} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, status, CASE WHEN left(status, 1) IN ('R', 'C') THEN old_path END AS old_path, path FROM ev")
+def nul_records(spark, sf):
+    """Status records written as NUL-separated cells and read back, each record found from wherever its file was cut."""
+    rows = _status_rows(spark, sf)
+    named = F.when(F.left("status", F.lit(1)).isin("R", "C"), F.array("status", "old_path", "path")).otherwise(F.array("status", "path"))
+    folder = f"{scratch_dir(spark)}/status-{uuid.uuid4().hex}"
+    rows.repartitionByRange("seq").sortWithinPartitions("seq").select(F.explode(named).alias("cell")).write.option("lineSep", "\0").text(folder)
+    return nul.read_records(spark, folder)
+
+
 @query(f"WITH {_STATUS} SELECT path FROM ev WHERE left(status, 1) = 'D' UNION SELECT old_path FROM ev WHERE left(status, 1) = 'R'")
 def deleted_from_changes(spark, sf):
     return delta.changes_from_status(_status_rows(spark, sf))[1]
@@ -421,6 +435,53 @@ def read_through(spark, sf):
     )
 
 
+def _logged(spark, sf) -> KeyedLog:
+    """Yesterday's entries as one change, then what became of them as a second one."""
+    log = KeyedLog(spark, f"{scratch_dir(spark)}/state-{uuid.uuid4().hex}", "abs_path string, size bigint, mtime_ns bigint, content string", "abs_path")
+    before, now = corpora.snapshot(spark, sf), corpora.current(spark, sf)
+    log.append(before)
+    same = ["abs_path", "size", "mtime_ns"]
+    changed = now.join(log.rows("size", "mtime_ns"), same, "left_anti")
+    log.append(changed, delta.deleted(log.rows("size"), now, "abs_path"))
+    return log
+
+
+@query(f"WITH {duck.SNAPSHOT} SELECT abs_path, size, mtime_ns, sha256(CASE WHEN same THEN old ELSE content END) AS hash FROM "
+       "(SELECT cur.*, base.content AS old, coalesce(cur.size = base.size AND cur.mtime_ns = base.mtime_ns, FALSE) AS same FROM cur LEFT JOIN base USING (abs_path))")
+def state_log(spark, sf):
+    """The state after two changes: the latest entry of every file that is still there."""
+    return _logged(spark, sf).rows().select("abs_path", "size", "mtime_ns", delta.digest(F.col("content")).alias("hash"))
+
+
+@query(f"WITH {duck.SNAPSHOT} SELECT abs_path, size, mtime_ns FROM cur")
+def state_log_compacted(spark, sf):
+    """The same rows once both changes have become one segment and the others are removed."""
+    log = _logged(spark, sf)
+    log.compact()
+    log.vacuum()
+    return log.rows("size", "mtime_ns")
+
+
+@query(f"WITH {_CLASSIFIED}, now AS (SELECT abs_path FROM cur) SELECT 'changed' AS change, count(*) FILTER (delta <> 'unchanged') AS rows FROM cl "
+       "UNION ALL SELECT 'removed', count(*) FROM base WHERE abs_path NOT IN (SELECT abs_path FROM now)")
+def state_log_change(spark, sf):
+    """How many rows the second change wrote: those that differ and those that went, no others."""
+    log = _logged(spark, sf)
+    written = spark.read.parquet(f"{log.path}/segments/segment={log.commits()[-1].segment}")
+    kinds = spark.createDataFrame([("changed", False), ("removed", True)], "change string, _removed boolean")
+    return kinds.join(written, "_removed", "left").groupBy("change").agg(F.count("abs_path").alias("rows"))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT abs_path, delta FROM cl")
+def state_log_delta(spark, sf):
+    """Files classified against a log of two segments, whose buckets stay where they are."""
+    log = KeyedLog(spark, f"{scratch_dir(spark)}/state-{uuid.uuid4().hex}", "abs_path string, size bigint, mtime_ns bigint", "abs_path")
+    before = corpora.snapshot(spark, sf).select("abs_path", "size", "mtime_ns")
+    log.append(before.withColumn("size", F.lit(-1).cast("bigint")))
+    log.append(before)
+    return delta.against_snapshot(corpora.current(spark, sf).drop("content"), log.rows("size", "mtime_ns")).select("abs_path", "delta")
+
+
 # -- line operators -------------------------------------------------------------------------------
 
 _DOC_LINES = f"l AS ({duck.exploded('documents', 'doc_id', 'text')})"
@@ -510,6 +571,31 @@ def brace_depth(spark, sf):
     return objc.with_depth(t, ["path"]).select("path", F.col("pos").cast("bigint").alias("pos"), F.col("depth").cast("bigint").alias("depth"))
 
 
+@query(
+    "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) > 0 AND length(l) % 3 = 0 THEN '[' || length(l) || ']' "
+    "ELSE array_to_string(list_transform(string_split(l, ' '), lambda w: CASE WHEN length(w) >= 7 THEN '…' ELSE w END), ' ') END), chr(10)) AS content "
+    "FROM documents WHERE text IS NOT NULL"
+)
+def span_edit(spark, sf):
+    """Long words become an ellipsis, and some lines their length: spans of words inside spans of lines do not count."""
+    docs = corpora.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("content"))
+
+    def parts(df, key, value, mark):
+        """Parts between marks with their places."""
+        cut = df.select(*df.columns, F.posexplode(F.split(value, mark)).alias("n", "part"))
+        before = F.sum(F.length("part") + 1).over(W.partitionBy(*key).orderBy("n").rowsBetween(W.unboundedPreceding, -1))
+        return cut.withColumn("at", F.coalesce(before, F.lit(0)))
+
+    of_lines = parts(docs, ["doc_id"], "content", "\n").select("doc_id", F.col("n").alias("line"), F.col("at").alias("start"), F.col("part").alias("text"))
+    of_words = parts(of_lines, ["doc_id", "line"], "text", " ").where(F.length("part") >= 7)
+    found = of_lines.where("length(text) > 0 AND length(text) % 3 = 0").select(
+        "doc_id", "start", (F.col("start") + F.length("text")).alias("end"), F.concat(F.lit("["), F.length("text"), F.lit("]")).alias("value")
+    ).unionByName(of_words.select(
+        "doc_id", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + F.length("part")).alias("end"), F.lit("…").alias("value")
+    ))
+    return spans.splice(docs, found, "doc_id")
+
+
 @query(f"WITH {duck.DOCS} SELECT path, {duck.first_lines('content', 160)} AS outline FROM docs")
 def non_empty_lines(spark, sf):
     shown = lines.first_lines(text.lines(F.col("content")), NATIVE, 160)

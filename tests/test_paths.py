@@ -7,7 +7,6 @@ import pytest
 from corpusfold.functions.paths import glob_to_regex
 from corpusfold.functions.tokens import counter_for, encoding_for, longest_fitting
 from corpusfold.options import ContextOptions, check_delta_options
-from corpusfold.sources.git import decode_status
 from corpusfold.sources.ignore import pattern_regex
 
 
@@ -88,11 +87,6 @@ def test_longest_fitting_prefix():
     assert longest_fitting("abcdefgh", 2, size) == "..."
 
 
-def test_status_decoder():
-    raw = "M\0a.rs\0R100\0old.rs\0new.rs\0D\0gone.rs\0"
-    assert decode_status(raw) == [(0, "M", None, "a.rs"), (1, "R100", "old.rs", "new.rs"), (2, "D", None, "gone.rs")]
-    with pytest.raises(ValueError):
-        decode_status("R100\0old.rs\0")
 
 
 def test_byte_pair_functions(monkeypatch):
