@@ -79,7 +79,7 @@ def _described(path: str):
 
 
 def _ranked(path: str):
-    """The same by a file of byte pairs with their ranks."""
+    """The same ids by the file of the byte pairs with their ranks, for an encoder that is faster on short texts."""
     import public_tokenizers
     import tiktoken
 
@@ -115,7 +115,9 @@ class Encoder:
             self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
         new = ~np.isin(keys, self.keys)
         if new.any():
-            self._learn(keys[new], [lead + words.text(i).decode() for i in one[new].tolist()])
+            raw, chosen = words.data.tobytes(), one[new]
+            places = zip(words.begin[chosen].tolist(), words.end[chosen].tolist())
+            self._learn(keys[new], [lead + raw[a:b].decode() for a, b in places])
         at = np.searchsorted(self.keys, keys)
         start, size = self.first[at][which], np.diff(self.first)[at][which]
         return _gather(self.ids, start, size), size

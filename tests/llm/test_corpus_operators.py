@@ -413,3 +413,14 @@ def test_pipeline_stages(spark, awkward, empty):
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and {"doc_id", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_both_vocabulary_files_give_the_same_ids(spark, awkward):
+    rng = random.Random(7)
+    letters = "aZé ß\n\t\r0129'.,!?-_<|>中文😀\u0301\u2028\xa0\u3000\x85ﬁ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["<|endoftext|>", "don't we'LL I'm", "a  b   c \n\n d", "1234567 12.5"] + [r.text for r in awkward.collect()]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    column = pa.array(texts, pa.string())
+    described, ranked = (packing.Encoder(public_tokenizers.path(f"byte_bpe_50k.{kind}")).encode(column) for kind in ("json", "tiktoken"))
+    assert (described[0] == ranked[0]).all() and (described[1] == ranked[1]).all()
