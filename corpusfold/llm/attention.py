@@ -312,6 +312,12 @@ def windows(first: np.ndarray, o: ModelOptions) -> tuple[np.ndarray, np.ndarray,
 
 def log10_scores(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarray, first: np.ndarray, end: int, o: ModelOptions, batch: int = 128) -> np.ndarray:
     """log10 probability of each text; ``sequence`` holds the ids of all texts, each with its end."""
+    found = log10_places(p, share, sequence, first, end, o, batch)
+    return np.diff(np.concatenate([[0.0], np.cumsum(found)])[first])
+
+
+def log10_places(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarray, first: np.ndarray, end: int, o: ModelOptions, batch: int = 128) -> np.ndarray:
+    """log10 probability of every id of all texts, given those before it in its window."""
     inputs = np.empty_like(sequence)
     inputs[1:] = sequence[:-1]
     inputs[first[:-1][np.diff(first) > 0]] = end
@@ -332,4 +338,4 @@ def log10_scores(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarr
         np.exp(z, out=z)
         found[goal] = (np.minimum(right, 60) - np.log(z @ ones)) / np.log(10)
     found += share[sequence]
-    return np.diff(np.concatenate([[0.0], np.cumsum(found)])[first])
+    return found

@@ -8,14 +8,17 @@ Adam's steps over its share of a part, and the changes that the tasks make are a
 parameters, so the driver receives one set of parameters a round. A corpus with fewer ids than ``steps``
 batches is read several times.
 
-Texts are scored in overlapping windows: every id is predicted once, all windows of a batch together.
-The base score needs the count of every word of every text. Words with a large share of all tokens are
+Texts are scored in overlapping windows: every id is predicted once, all windows of a batch together. What the model
+gives to the ids of a word is the word's probability in its context. It is mixed with the word's share of all training
+tokens, which knows words that the corpus repeats: p = w * context + (1 - w) * share. The weight is that of ``mixes`` under
+which all training texts, each word left out of its own count, are most likely. The base score needs the count of every word of every text. Words with a large share of all tokens are
 few (at most ``frequent_limit``), so their counts are broadcast; the other words of a text are joined
 with their counts, and none of these can be hot.
 
 Defined results: a null or empty text is its end alone; repeated rows get equal scores and, in training,
 count as often as they occur; a null id is not held out and is trained on; without training documents
-every count is zero and the model gives classes equal chances. Other columns are not looked at.
+every count is zero and the model gives classes equal chances. Other columns are not looked at. Which texts a task
+trains on follows from the layout of the table, and so do the last digits of a score.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from corpusfold.session import ship_package, stage
 
 #: Rows of parameters that are averaged together, and steps that a task takes in a round at least, given the texts.
 BLOCK, TASK_STEPS = 1024, 30
+#: Changes of so many tasks meet at first.
+TEAM = 64
 
 
 @dataclass(frozen=True)
@@ -44,7 +49,7 @@ class ScoreOptions:
     vocabulary: str  #: path of a tokenizer file, on every machine
     size: int = 50_257
     end: int = 50_256  #: an id that no word gives
-    sample_rows: int | None = None  #: trains the attention model on so many documents alone; on all unless set
+    mixes: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7)  #: weights of the context to choose from
     frequent_limit: int = 1 << 19
     model: attention.ModelOptions = field(default_factory=attention.ModelOptions)
 
@@ -80,14 +85,15 @@ def _count_ids(options: ScoreOptions):
     return run
 
 
-def _sequences(encoder: Encoder, words: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each closed with ``end``, and where each text's begin."""
+def _sequences(encoder: Encoder, words: Words, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all texts, each closed with ``end``, where each text's begin, and where each word's do."""
     ids, size = encoder.of(words, " ")
-    first = np.concatenate([[0], np.cumsum(size)])[words.first]
+    at = np.concatenate([[0], np.cumsum(size)])
+    first = at[words.first]
     out = np.full(len(ids) + len(first) - 1, end, dtype=np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     out[np.arange(len(ids)) + row] = ids
-    return out, first + np.arange(len(first))
+    return out, first + np.arange(len(first)), at[:-1] + words.rows()
 
 
 def _id_type(options: ScoreOptions) -> str:
@@ -100,7 +106,7 @@ def _staged_ids(options: ScoreOptions):
         kind = np.dtype(_id_type(options))
         row = TaskContext.get().partitionId()
         for piece in pieces(batches, "text"):
-            flat, first = _sequences(encoder, find_words(piece.column("text"), lower=True), options.end)
+            flat, first, _ = _sequences(encoder, find_words(piece.column("text"), lower=True), options.end)
             data = pa.py_buffer(flat.astype(kind))
             ids = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer((first * kind.itemsize).astype(np.int32)), data])
             part = (row + np.arange(piece.num_rows)) % options.model.rounds
@@ -137,21 +143,28 @@ def _learn(shared, options: ScoreOptions, turn: int, repeats: int):
         for block, at in enumerate(range(0, len(weight), BLOCK)):
             w = weight[at : at + BLOCK]
             if w.any():
-                made = [pa.array([block], pa.int32()), pa.array([change[at : at + BLOCK].tobytes()]), pa.array([w.tobytes()])]
-                yield pa.RecordBatch.from_arrays(made, ["block", "change", "weight"])
+                team = TaskContext.get().partitionId() // TEAM
+                made = [pa.array([n], pa.int32()) for n in (block, team)] + [pa.array([change[at : at + BLOCK].tobytes()]), pa.array([w.tobytes()])]
+                yield pa.RecordBatch.from_arrays(made, ["block", "team", "change", "weight"])
 
     return run
 
 
-def _averaged(part: pd.DataFrame) -> pd.DataFrame:
-    """The mean change of a block; the order of the tasks' shares, and with it rounding, is fixed by their bytes."""
+def _summed(part: pd.DataFrame) -> pd.DataFrame:
+    """The changes of a block by some tasks as one; their order, and with it rounding, is fixed by their bytes."""
     part = part.sort_values(["weight", "change"])
     change, weight = 0.0, 0.0
     for c, w in zip(part["change"], part["weight"]):
         w = np.frombuffer(w)[:, None]
         change, weight = change + np.frombuffer(c, dtype=np.float32).reshape(len(w), -1) * w, weight + w
-    mean = change / np.maximum(weight, 1)
-    return pd.DataFrame({"block": part["block"].iloc[:1], "change": [mean.astype(np.float32).tobytes()]})
+    mean = (change / np.maximum(weight, 1)).astype(np.float32)
+    return pd.DataFrame({"block": part["block"].iloc[:1], "change": [mean.tobytes()], "weight": [weight.tobytes()]})
+
+
+def averaged(made: DataFrame) -> DataFrame:
+    """The mean change of every block: of groups of tasks first, so that no group grows with the number of tasks."""
+    sums = "block int, change binary, weight binary"
+    return made.groupBy("block", "team").applyInPandas(_summed, sums).groupBy("block").applyInPandas(_summed, sums)
 
 
 def train(training: DataFrame, of_id: np.ndarray, options: ScoreOptions) -> dict[str, np.ndarray]:
@@ -171,10 +184,8 @@ def train(training: DataFrame, of_id: np.ndarray, options: ScoreOptions) -> dict
     for turn in range(o.rounds):
         part = ids.where(F.col("part").isin([(turn * share + k) % o.rounds for k in range(share)])).select("ids").coalesce(tasks)
         known = spark.sparkContext.broadcast(attention.save(p))
-        made = (
-            part.mapInArrow(_learn(known, options, turn, repeats), "block int, change binary, weight binary")
-            .groupBy("block").applyInPandas(_averaged, "block int, change binary").toArrow()
-        )
+        made = averaged(part.mapInArrow(_learn(known, options, turn, repeats), "block int, team int, change binary, weight binary"))
+        made = made.select("block", "change").toArrow()
         change = np.zeros_like(attention.as_rows(p))
         for block, mean in zip(made.column("block").to_pylist(), made.column("change").to_pylist()):
             mean = np.frombuffer(mean, dtype=np.float32).reshape(-1, change.shape[1])
@@ -196,8 +207,20 @@ class Shared:
     distinct: int
     ends: int
 
-    def log10(self, count: np.ndarray) -> np.ndarray:
-        return np.log10(count + 0.5) - np.log10(self.tokens + 0.5 * (self.distinct + 1))
+    def log10(self, count: np.ndarray, less: int = 0) -> np.ndarray:
+        """Of words with so many occurrences, ``less`` of which do not count."""
+        return np.log10(np.maximum(count - less, 0) + 0.5) - np.log10(max(self.tokens - less, 0) + 0.5 * (self.distinct + 1))
+
+
+def _mixed(context: np.ndarray, share: np.ndarray, mixes: tuple[float, ...]) -> np.ndarray:
+    """log10 of both mixed with each weight, a column for each."""
+    p, q = 10.0 ** context[:, None], 10.0 ** share[:, None]
+    w = np.array(mixes)
+    return np.log10(w * p + (1 - w) * q)
+
+
+def _row_sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(row, column, n) for column in values.T], axis=1)
 
 
 def _score(shared, options: ScoreOptions):
@@ -209,24 +232,38 @@ def _score(shared, options: ScoreOptions):
         for piece in pieces(batches, "text"):
             words = find_words(piece.column("text"), lower=True)
             n = piece.num_rows
-            flat, first = _sequences(encoder, words, options.end)
-            scores = attention.log10_scores(parameters, known.share, flat, first, options.end, options.model)
+            flat, first, begin = _sequences(encoder, words, options.end)
+            places = attention.log10_places(parameters, known.share, flat, first, options.end, options.model)
+            total = np.concatenate([[0.0], np.cumsum(places)])
+            row = words.rows()
+            # a word ends where the next one begins, or with its text
+            stop = np.append(begin[1:], 0)
+            last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(row) else np.zeros(0, np.int64)
+            stop[last] = first[row[last] + 1] - 1
+            context = total[stop[: len(row)]] - total[begin]
             keys, _, which = _distinct(words)
             at = np.minimum(np.searchsorted(known.hashes, keys), max(0, len(known.hashes) - 1))
             frequent = known.hashes[at] == keys if len(known.hashes) else np.zeros(len(keys), dtype=bool)
-            value = known.log10(known.counts[at]) if len(known.hashes) else np.zeros(len(keys))
-            row = words.rows()
+            count = known.counts[at] if len(known.hashes) else np.zeros(len(keys))
             hit = frequent[which]
-            base = np.bincount(row[hit], value[which[hit]], n) + known.log10(np.array([known.ends]))[0]
+            of_word, of_end = count[which[hit]], np.full(n, known.ends)
+            base = np.bincount(row[hit], known.log10(of_word), n) + known.log10(of_end)
             n_known = np.bincount(row[hit], minlength=n) + (known.ends > 0)
-            pair, times = np.unique(row[~hit] * (len(keys) + 1) + which[~hit], return_counts=True)
-            offsets = pa.array(np.searchsorted(pair // (len(keys) + 1), np.arange(n + 1)).astype(np.int32))
+            # the end is a word of its own
+            both, rows = np.concatenate([context[hit], places[first[1:] - 1]]), np.concatenate([row[hit], np.arange(n)])
+            counts = np.concatenate([of_word, of_end])
+            scores, left_out = (_row_sums(rows, _mixed(both, known.log10(counts, less), options.mixes), n) for less in (0, 1))
+            offsets = pa.array(np.searchsorted(row[~hit], np.arange(n + 1)).astype(np.int32))
+
+            def lists(values: np.ndarray) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(options.mixes)), pa.array(values.ravel()))
+
             yield pa.RecordBatch.from_arrays([
                 pa.array(row_id + np.arange(n)), piece.column("doc_id"), piece.column("held_out"), pa.array(words.counts + 1), pa.array(n_known.astype(np.int64)),
-                pa.array(base), pa.array(scores),
-                pa.ListArray.from_arrays(offsets, pa.array(keys[pair % (len(keys) + 1)].view(np.int64) if len(pair) else np.zeros(0, np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-            ], ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "hashes", "times"])
+                pa.array(base), lists(scores), lists(left_out),
+                pa.ListArray.from_arrays(offsets, pa.array(keys[which[~hit]].view(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(context[~hit].astype(np.float32))),
+            ], ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "scores", "left_out", "hashes", "contexts"])
             row_id += n
 
     return run
@@ -253,12 +290,7 @@ def gather(rows: DataFrame, options: ScoreOptions) -> tuple[DataFrame, Shared]:
     of_id[ids.column("id").to_numpy()] = ids.column("c").to_numpy()
     of_id[options.end] += ends
 
-    if options.sample_rows is not None:
-        chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.sample_rows)
-        learned = training.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    else:
-        learned = training
-    parameters = attention.save(train(learned, of_id, options) if ends else attention.untrained(options.size, options.model))
+    parameters = attention.save(train(training, of_id, options) if ends else attention.untrained(options.size, options.model))
     # at most frequent_limit words can have this many occurrences
     often = counts.where(F.col("c") >= max(1, -(-tokens // options.frequent_limit))).mapInArrow(_hashes, "hash long, c long").toArrow()
     hashes = often.column("hash").to_numpy().view(np.uint64)
@@ -279,20 +311,37 @@ def score_texts(docs: DataFrame, options: ScoreOptions, *, id: str = "doc_id", t
     scored = stage(
         rows.mapInArrow(
             _score(spark.sparkContext.broadcast(known), options),
-            "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, hashes array<long>, times array<int>",
+            "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>, "
+            "hashes array<long>, contexts array<float>",
         ),
         "scored",
     )
     rare = counts.where(F.col("c") < max(1, -(-known.tokens // options.frequent_limit))).mapInArrow(_hashes, "hash long, c long")
-    count = F.coalesce(F.col("c"), F.lit(0))
-    floor = float(np.log10(known.tokens + 0.5 * (known.distinct + 1)))
+    count, context = F.coalesce(F.col("c"), F.lit(0)), F.pow(F.lit(10.0), F.col("contexts").cast("double"))
+
+    def share(less: int) -> Column:
+        return (F.greatest(count - less, F.lit(0)) + 0.5) / (max(known.tokens - less, 0) + 0.5 * (known.distinct + 1))
+
+    sums = [F.sum(F.log10(share(0))).alias("more"), F.count_if(count > 0).alias("more_known")]
+    for name, less in (("scores", 0), ("left_out", 1)):
+        sums.append(F.array(*[F.sum(F.log10(w * context + (1 - w) * share(less))) for w in options.mixes]).alias(f"more_{name}"))
     more = (
-        scored.select("row_id", F.inline(F.arrays_zip("hashes", "times"))).withColumnRenamed("hashes", "hash").join(rare, "hash", "left")
-        .groupBy("row_id").agg(
-            F.sum(F.col("times") * (F.log10(count + 0.5) - floor)).alias("more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more_known")
-        )
+        scored.select("row_id", F.inline(F.arrays_zip("hashes", "contexts"))).withColumnRenamed("hashes", "hash").join(rare, "hash", "left")
+        .groupBy("row_id").agg(*sums)
+    )
+
+    def with_more(name: str) -> Column:
+        return F.zip_with(name, F.coalesce(f"more_{name}", F.transform(name, lambda _: F.lit(0.0))), lambda a, b: a + b).alias(name)
+
+    found = stage(
+        scored.join(more, "row_id", "left").select(
+            "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+            (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), with_more("scores"), with_more("left_out"),
+        ),
+        "mixed",
     )
-    return scored.join(more, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(known.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+    totals = found.where("NOT held_out").agg(*[F.sum(F.get("left_out", k)).alias(f"_{k}") for k in range(len(options.mixes))]).first()
+    best = max(range(len(options.mixes)), key=lambda k: -np.inf if totals[k] is None else totals[k])
+    return found.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", F.get("scores", best).alias("score"),
     )

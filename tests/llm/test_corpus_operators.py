@@ -292,7 +292,7 @@ def test_windows_score_each_id_once():
 
 @pytest.mark.parametrize("limit", [1 << 19, 30])
 def test_lm_scores(make, awkward, empty, limit):
-    options = lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken"), sample_rows=40, frequent_limit=limit, model=attention.ModelOptions(steps=30, batch=16))
+    options = lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken"), frequent_limit=limit, model=attention.ModelOptions(steps=30, batch=16))
     for docs in (make([prose(i % 37, 40) for i in range(120)]), awkward):
         rows = docs.select("doc_id", "text").collect()
         held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows]
@@ -424,3 +424,24 @@ def test_both_vocabulary_files_give_the_same_ids(spark, awkward):
     column = pa.array(texts, pa.string())
     described, ranked = (packing.Encoder(public_tokenizers.path(f"byte_bpe_50k.{kind}")).encode(column) for kind in ("json", "tiktoken"))
     assert (described[0] == ranked[0]).all() and (described[1] == ranked[1]).all()
+
+
+def test_lm_beats_its_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = lm_score.score_texts(docs, lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken"), frequent_limit=500))
+    sums = {r.held_out: r for r in found.groupBy("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).collect()}
+    for r in sums.values():
+        assert r.score > r.base
+
+
+def test_changes_are_averaged_in_two_levels(spark):
+    rng = np.random.default_rng(3)
+    made, change, weight = [], np.zeros((6, 2)), np.zeros((6, 1))
+    for task in range(9):
+        for block, rows in ((0, slice(0, 4)), (1, slice(4, 6))):
+            w, c = rng.integers(0, 5, len(range(*rows.indices(6)))).astype(float), rng.normal(size=(len(range(*rows.indices(6))), 2)).astype(np.float32)
+            made.append((block, task // 2, c.tobytes(), w.tobytes()))
+            change[rows] += c * w[:, None]
+            weight[rows] += w[:, None]
+    got = lm_score.averaged(spark.createDataFrame(made, "block int, team int, change binary, weight binary")).orderBy("block").collect()
+    assert np.allclose(np.concatenate([np.frombuffer(r.change, np.float32).reshape(-1, 2) for r in got]), change / np.maximum(weight, 1), atol=1e-5)
