@@ -50,7 +50,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.PackOptions(public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(docs, packing.PackOptions(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 STAGES = [
