@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfold.functions import paths
@@ -44,11 +44,14 @@ def token_distribution(files: DataFrame) -> DataFrame:
     )
 
 
+def delta_numbers() -> dict[str, Column]:
+    """Aggregates of classified files."""
+    named = {name: F.count_if(F.col("delta") == name) for name in ("added", "changed", "unchanged")}
+    return named | {"skipped": F.count_if(~F.col("included"))}
+
+
 def delta_counts(deltas: DataFrame, deleted: DataFrame) -> DataFrame:
-    counted = deltas.agg(
-        *[F.count_if(F.col("delta") == name).alias(name) for name in ("added", "changed", "unchanged")],
-        F.count_if(~F.col("included")).alias("skipped"),
-    )
+    counted = deltas.agg(*[value.alias(name) for name, value in delta_numbers().items()])
     gone = deleted.agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("deleted", gone.scalar())
 

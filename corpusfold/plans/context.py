@@ -19,7 +19,7 @@ from corpusfold.functions.tokens import counter_for
 from corpusfold.operators import budget, delta, render, rollup
 from corpusfold.operators.compress import compress, layout
 from corpusfold.options import ContextOptions, check_delta_options
-from corpusfold.session import stage
+from corpusfold.session import counted_stage, stage
 from corpusfold.sources import content as disk
 from corpusfold.sources import git, repo, state
 
@@ -64,6 +64,7 @@ class Context:
     files_included: int
     files_dropped: int
     raw_tokens: int | None = None
+    counts: dict[str, int] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 
     def text(self) -> str:
@@ -237,24 +238,25 @@ def _drop(files: DataFrame, options: ContextOptions, rendered_total: int) -> Dat
 def assemble(variants: DataFrame, deleted: DataFrame, options: ContextOptions, meta: render.Metadata):
     """Levels, files, document and token totals for staged renderings."""
     counter, renderer = counter_for(options.tokenizer), render.Renderer(options)
-    table = stage(_costed(counted(variants, options), options), "counted")
+    # the job that writes the table counts it
+    table, seen = counted_stage(
+        _costed(counted(variants, options), options), "counted", files=F.count(F.lit(1)), empty=F.sum("r0")
+    )
 
     def tokens_of(files: DataFrame) -> int:
         return render.document_tokens(renderer.blocks(files, deleted, meta), counter).first().tokens
 
     fixed = render.frame_tokens(renderer.blocks(_at_levels(table), deleted, meta), options, counter)
-    empty = table.agg(F.coalesce(F.sum("r0"), F.lit(0)).alias("n")).first().n
-    content_budget = max(options.max_tokens - (fixed + empty), 0)
+    content_budget = max(options.max_tokens - (fixed + seen["empty"]), 0)
     _, cut, fits = budget.downgrade_cuts(table, content_budget, options.max_tokens, fixed)
     chosen = budget.apply_cut(table, cut)
     dropped = 0
     if not fits and options.drop_low_priority:
-        kept = _drop(chosen, options, tokens_of(_at_levels(chosen)))
-        dropped = chosen.count() - kept.count()
-        chosen = kept
+        chosen = _drop(chosen, options, tokens_of(_at_levels(chosen)))
+        dropped = seen["files"] - chosen.count()
     files = _at_levels(chosen)
     blocks = renderer.blocks(files, deleted, meta)
-    return table, files, blocks, render.document_tokens(blocks, counter).first().tokens, dropped
+    return table, files, blocks, render.document_tokens(blocks, counter).first().tokens, seen["files"] - dropped, dropped
 
 
 def raw_document_tokens(table: DataFrame, deleted: DataFrame, options: ContextOptions, meta: render.Metadata) -> int:
@@ -291,10 +293,11 @@ def build_context(
     if snapshot is not None:
         # kept for the next snapshot; without one the renderings go straight into the counted table
         variants = stage(variants, "variants")
-    deltas = stage(narrow.select("path", "delta", "included"), "deltas")
-    gone = stage(deleted_paths(files.drop("content"), options, base, root), "deleted")
+    found = {"selected": F.count(F.lit(1)), **rollup.delta_numbers()}
+    deltas, counts = counted_stage(narrow.select("path", "delta", "included"), "deltas", **found)
+    gone, removed = counted_stage(deleted_paths(files.drop("content"), options, base, root), "deleted", deleted=F.count(F.lit(1)))
     warnings = []
-    if deltas.isEmpty():
+    if not counts["selected"]:
         message = f"no supported files found under {root or 'the corpus'}"
         if options.fail_on_empty:
             raise EmptySelection(message)
@@ -306,7 +309,7 @@ def build_context(
     meta = render.Metadata(
         generated_at if generated_at is not None else str(int(time.time())), root, options.max_tokens, options.level
     )
-    table, chosen, blocks, tokens, dropped = assemble(included, gone, options, meta)
+    table, chosen, blocks, tokens, kept, dropped = assemble(included, gone, options, meta)
     if tokens > options.max_tokens:
         message = f"output is {tokens} tokens, above the limit of {options.max_tokens}"
         if options.fail_over_budget:
@@ -315,7 +318,7 @@ def build_context(
     raw = raw_document_tokens(table, gone, options, meta) if with_raw_tokens else None
     return Context(
         options, deltas.select("path"), deltas, gone, chosen, blocks, variants,
-        tokens, table.count() - dropped, dropped, raw, warnings,
+        tokens, kept, dropped, raw, counts | removed, warnings,
     )
 
 

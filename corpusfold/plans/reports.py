@@ -76,22 +76,22 @@ def summary_text(context: Context, output: str) -> str:
 
 
 def incremental_text(context: Context) -> str:
-    row = incremental_summary(context).first()
-    return "incremental_summary:\n" + "\n".join(f"  {name}: {row[name]}" for name in row.asDict())
+    names = ("added", "changed", "unchanged", "skipped", "deleted")
+    return "incremental_summary:\n" + "\n".join(f"  {name}: {context.counts[name]}" for name in names)
 
 
 def dry_run_lines(context: Context) -> Iterator[str]:
     """Printed form of the dry run, line by line."""
     files, gone = dry_run(context), context.deleted
     yield "dry_run:"
-    yield f"  files: {files.count()}"
-    yield f"  deleted: {(n_gone := gone.count())}"
+    yield f"  files: {context.files_included}"
+    yield f"  deleted: {context.counts['deleted']}"
     yield f"  estimated_tokens: {context.output_tokens}"
     yield f"  max_tokens: {context.options.max_tokens}"
     yield "selected_files:"
     for f in files.orderBy(*order.keys(context.options.sort)).toLocalIterator():
         yield f"  {f.path}  L{f.level}  {f.tokens} tokens"
-    if n_gone:
+    if context.counts["deleted"]:
         yield "deleted_files:"
         for g in gone.orderBy("path").toLocalIterator():
             yield f"  {g.path}"
@@ -101,7 +101,7 @@ def detailed_lines(context: Context) -> Iterator[str]:
     """Per-file tokens, tokens by extension and their distribution, line by line."""
     files = context.files.select("path", "tokens")
     yield "detailed_stats:"
-    yield f"  files_reported: {files.count()}"
+    yield f"  files_reported: {context.files_included}"
     yield "  per_file_tokens:"
     for f in context.files.orderBy(*order.keys(context.options.sort)).select("path", "tokens").toLocalIterator():
         yield f"    {f.path}: {f.tokens}"

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own_scratch: str | None = None
 _shipped: dict[str, bool] = {}
@@ -77,3 +77,10 @@ def stage(df: DataFrame, name: str, *, partition_by: str | None = None) -> DataF
     writer.parquet(target)
     staged = spark.read.schema(df.schema).parquet(target)
     return staged.select(*df.columns)
+
+
+def counted_stage(df: DataFrame, name: str, **numbers: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`stage`, with aggregates of the rows observed by the job that writes them; a sum over no rows is 0."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[value.alias(key) for key, value in numbers.items()]), name)
+    return staged, {key: value or 0 for key, value in seen.get.items()}

@@ -816,6 +816,108 @@ def compact_map(spark, sf):
     return render.Renderer(options).blocks(stage(_page_files(spark, sf), "page-files"), None, _META)
 
 
+def _gone(spark, sf) -> DataFrame:
+    return _by_path(delta.deleted(corpora.snapshot(spark, sf), corpora.current(spark, sf), "abs_path"))
+
+
+_TEXT_DOCUMENT = (
+    f"{_PAGE_FILES}, {duck.SNAPSHOT}, gone AS (SELECT abs_path AS path FROM base ANTI JOIN cur USING (abs_path)), one AS (SELECT 1), "
+    f"dirs AS (SELECT {_DIR} AS d, count(*) AS n, sum(tokens) AS t FROM pf GROUP BY 1), blocks AS ("
+    + " UNION ALL ".join(
+        [
+            _placed_sql(10, "concat_ws(chr(10), 'repository_context', 'generated_at: 0', 'repo_root: /corpus', 'max_tokens: 4000', 'compression_level: 1', 'file_count: ' || (SELECT count(*) FROM pf), '')", "one"),
+            _placed_sql(20, "'project_map'", "one"),
+            _placed_sql(22, "path || ' L1 tokens=' || tokens", "pf", path="path"),
+            _placed_sql(29, "''", "one"),
+            _placed_sql(30, "'deleted_files'", "one"),
+            _placed_sql(32, "path", "gone", path="path"),
+            _placed_sql(39, "''", "one"),
+            _placed_sql(40, "'directory_summaries'", "one"),
+            _placed_sql(42, "d || ' files=' || n || ' tokens=' || t", "dirs", path="d"),
+            _placed_sql(49, "''", "one"),
+            _placed_sql(50, "'files'", "one"),
+            _placed_sql(52, "'--- ' || path || ' L1 tokens=' || tokens || chr(10) || CASE WHEN ends_with(content, chr(10)) THEN left(content, length(content) - 1) ELSE content END", "pf", path="path"),
+        ]
+    )
+    + ")"
+)
+
+
+def _text_blocks(spark, sf) -> DataFrame:
+    options = ContextOptions(tokenizer="native", format="text", directory_summaries=True, level=1)
+    return render.Renderer(options).blocks(stage(_page_files(spark, sf), "page-files"), _gone(spark, sf), _META)
+
+
+@query(f"WITH {_TEXT_DOCUMENT} SELECT * FROM blocks")
+def text_document(spark, sf):
+    """The text form, with deleted files and summaries."""
+    return _text_blocks(spark, sf)
+
+
+@query(
+    f"WITH {_TEXT_DOCUMENT}, whole AS (SELECT string_agg(block || chr(10), '' ORDER BY section, dir, item, rank, path) AS doc FROM blocks), "
+    "lines AS (SELECT unnest(string_split(left(doc, length(doc) - 1), chr(10))) AS line FROM whole) SELECT line, count(*) AS times FROM lines GROUP BY line"
+)
+def written_document(spark, sf):
+    """The same document written by all tasks into one file, and the lines read back from it."""
+    target = f"{scratch_dir(spark)}/document-{uuid.uuid4().hex}.txt"
+    render.write_file(_text_blocks(spark, sf), target.removeprefix("file:"))
+    lines = spark.read.option("lineSep", "\n").text(target)
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(
+    f"WITH {_PAGE_FILES}, dirs AS (SELECT {_DIR} AS d, count(*) AS n, sum(tokens) AS t FROM pf GROUP BY 1), one AS (SELECT 1) "
+    + " UNION ALL ".join(
+        [
+            _placed_sql(10, "'<repository_context>' || chr(10) || '<metadata generated_at=\"0\" repo_root=\"/corpus\" max_tokens=\"4000\" compression_level=\"1\" file_count=\"' || (SELECT count(*) FROM pf) || '\" />'", "one"),
+            _placed_sql(20, "'<project_map>'", "one"),
+            _placed_sql(22, "'<entry path=\"' || path || '\" level=\"1\" tokens=\"' || tokens || '\" hash=\"' || hash || '\" />'", "pf", path="path"),
+            _placed_sql(29, "'</project_map>'", "one"),
+            _placed_sql(40, "'<directory_summaries>'", "one"),
+            _placed_sql(42, "'<directory path=\"' || d || '\" files=\"' || n || '\" tokens=\"' || t || '\" />'", "dirs", path="d"),
+            _placed_sql(49, "'</directory_summaries>'", "one"),
+            _placed_sql(50, "'<files>'", "one"),
+            _placed_sql(52, f"'<file path=\"' || path || '\" level=\"1\" tokens=\"' || tokens || '\">' || {duck.xml('content')} || '</file>'", "pf", path="path"),
+            _placed_sql(59, "'</files>'", "one"),
+            _placed_sql(60, "'</repository_context>'", "one"),
+        ]
+    )
+)
+def hashed_document(spark, sf):
+    """The flat XML form with hashes and summaries."""
+    options = ContextOptions(tokenizer="native", file_hashes=True, directory_summaries=True, level=1)
+    return render.Renderer(options).blocks(stage(_page_files(spark, sf), "page-files"), None, _META)
+
+
+@query(
+    f"WITH {_PAGE_FILES}, {duck.SNAPSHOT}, gone AS (SELECT abs_path AS path FROM base ANTI JOIN cur USING (abs_path)) "
+    + " UNION ALL ".join(
+        [
+            _placed_sql(30, "'  \"deleted_files\": ['", "(SELECT 1)"),
+            _placed_sql(32, f"'    {{\"path\":\"' || {duck.js('path')} || '\"}}' || CASE WHEN path = (SELECT max(path) FROM gone) THEN '' ELSE ',' END", "gone", path="path"),
+            _placed_sql(39, "'  ],'", "(SELECT 1)"),
+        ]
+    )
+)
+def json_deleted(spark, sf):
+    """The deleted files of the JSON form."""
+    options = ContextOptions(tokenizer="native", format="json", level=1)
+    blocks = render.Renderer(options).blocks(stage(_page_files(spark, sf), "page-files"), _gone(spark, sf), _META)
+    return blocks.where("section BETWEEN 30 AND 39")
+
+
+@query(
+    "SELECT doc_id, '\"' || replace(replace(replace(replace(replace(text || chr(1) || chr(8) || chr(31) || chr(127) || chr(133), '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    ".replace(chr(1), '\\u0001').replace(chr(8), '\\u0008').replace(chr(31), '\\u001f').replace(chr(127), '\\u007f').replace(chr(133), '\\u0085') || '\"' AS quoted FROM documents WHERE text IS NOT NULL"
+)
+def json_controls(spark, sf):
+    """Texts with control characters of every range as JSON strings."""
+    controls = "".join(map(chr, (1, 8, 31, 127, 133)))
+    docs = corpora.table(spark, sf, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.concat(F.lit('"'), text.json_escape(F.concat("text", F.lit(controls))), F.lit('"')).alias("quoted"))
+
+
 _FIT_ENTRY = "'<entry path=\"' || path || '\" level=\"' || {l} || '\" tokens=\"' || {t} || '\" />'"
 _FIT_FILE = "'<file path=\"' || path || '\" level=\"' || {l} || '\" tokens=\"' || {t} || '\">' || {c} || '</file>'"
 
@@ -859,7 +961,7 @@ def fit_document(spark, sf):
     total = variants.agg(F.sum(NATIVE.count(F.col("full"))).alias("n")).first().n
     options = ContextOptions(tokenizer="native", level=1, max_tokens=int(total * _FIT_SHARE))
     none = spark.createDataFrame([], "path string")
-    _, files, _, _, _ = context.assemble(variants, none, options, render.Metadata("0", "/corpus", options.max_tokens, 1))
+    _, files, *_ = context.assemble(variants, none, options, render.Metadata("0", "/corpus", options.max_tokens, 1))
     return files.select("path", F.col("level").cast("bigint").alias("level"), "tokens")
 
 
