@@ -361,6 +361,20 @@ def delta_changes(spark, sf):
     return delta.against_changes(corpora.documents(spark, sf).select("path"), changed)
 
 
+_OTHER_PATHS = "CASE doc_id % 4 WHEN 0 THEN replace(path, '.md', '.bin') WHEN 1 THEN 'vendor/' || path ELSE path END"
+
+
+@query(
+    f"WITH {_STATUS}, named AS (SELECT seq, status, {_OTHER_PATHS.replace('doc_id', 'seq')} AS path FROM ev) SELECT path, CASE WHEN left(status, 1) IN ('A','R','C') THEN 'added' ELSE 'changed' END AS delta "
+    "FROM named WHERE left(status, 1) <> 'D' AND path LIKE '%.md' AND path NOT LIKE 'vendor/%' AND path LIKE '%1%'"
+)
+def filtered_changes(spark, sf):
+    """Changes named by Windows paths, of which extension and globs leave some; folders like vendor are no reason alone."""
+    rows = _status_rows(spark, sf).withColumn("path", F.expr(_OTHER_PATHS.replace("doc_id", "seq")))
+    windows = rows.withColumn("path", F.replace("path", F.lit("/"), F.lit("\\")))
+    return delta.changes_from_status(windows, include=("*1*",), exclude=("vendor/**",))[0]
+
+
 @query(f"WITH {_STATUS} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, status, CASE WHEN left(status, 1) IN ('R', 'C') THEN old_path END AS old_path, path FROM ev")
 def nul_records(spark, sf):
     """Status records written as NUL-separated cells and read back, each record found from wherever its file was cut."""
@@ -965,6 +979,28 @@ def fit_document(spark, sf):
     return files.select("path", F.col("level").cast("bigint").alias("level"), "tokens")
 
 
+_DROP_SHARE = 0.6
+
+
+@query(
+    f"WITH {_MDV}, fx AS (SELECT {duck.tokens(_FIT_FIXED)} AS fixed), "
+    f"fc AS (SELECT path, t3, {_fit_cost('3', 't3', 'tree_map')} AS r3 FROM mc JOIN mv USING (path)), "
+    f"lim AS (SELECT CAST(floor(sum(t3) * {_DROP_SHARE}) AS BIGINT) AS lim, sum(r3) + max(fixed) AS doc, count(*) AS n FROM fc CROSS JOIN fx), "
+    f"d AS (SELECT path, t3, row_number() OVER w AS k, sum(r3) OVER (w ROWS UNBOUNDED PRECEDING) AS gone FROM fc "
+    f"WINDOW w AS (ORDER BY {duck.priority('path')}, t3 DESC, path DESC)), "
+    "cut AS (SELECT coalesce(min(CASE WHEN doc - gone <= lim THEN k END), max(k)) AS k FROM d CROSS JOIN lim) "
+    "SELECT path, CAST(3 AS BIGINT) AS level, CAST(t3 AS BIGINT) AS tokens FROM d CROSS JOIN lim WHERE d.k > least((SELECT k FROM cut), n - 1)"
+)
+def fit_then_drop(spark, sf):
+    """What stays of a document that does not fit with every file at its tree map."""
+    variants = stage(_md_variants(spark, sf), "md-variants")
+    total = variants.agg(F.sum(NATIVE.count(F.col("tree_map"))).alias("n")).first().n
+    options = ContextOptions(tokenizer="native", level=1, max_tokens=int(total * _DROP_SHARE), drop_low_priority=True)
+    none = spark.createDataFrame([], "path string")
+    _, files, *_ = context.assemble(variants, none, options, render.Metadata("0", "/corpus", options.max_tokens, 1))
+    return files.select("path", F.col("level").cast("bigint").alias("level"), "tokens")
+
+
 # -- clients --------------------------------------------------------------------------------------
 
 
@@ -1001,6 +1037,25 @@ def map_lines(spark, sf):
     )
 
 
+@query(
+    f"WITH {_PAGE_FILES} SELECT path, CASE WHEN tokens % 2 = 0 THEN tokens % 97 END AS files_included, tokens AS output_tokens, tokens + 5 AS output_tokens_budget, "
+    "tokens * 3 AS raw_tokens, tokens AS shrunk_tokens, CASE WHEN tokens % 3 > 0 THEN tokens * 2 END AS tokens_saved, CAST(tokens % 101 AS DOUBLE) AS saving_percent FROM pf"
+)
+def report_numbers(spark, sf):
+    """All seven numbers of printed reports, some of which are not there."""
+    n = F.col("tokens")
+
+    def line(name, *parts):
+        return F.concat(F.lit(f"\n  {name}: "), *[part.cast("string") for part in parts])
+
+    shown = F.concat(
+        F.lit("summary:"), F.when(n % 2 == 0, line("files_included", n % 97)).otherwise(F.lit("")), line("output_tokens", n, F.lit(" / "), n + 5), F.lit("\nstats:"),
+        line("raw_tokens", n * 3), line("shrunk_tokens", n), F.when(n % 3 > 0, line("tokens_saved", n * 2)).otherwise(F.lit("")),
+        line("saving_percent", F.format_string("%.2f", (n % 101).cast("double"))), F.lit("\n"),
+    )
+    return reports.parse_reports(_page_files(spark, sf).select("path", shown.alias("report")), "report").drop("report")
+
+
 @query(
     f"WITH {_PAGE_FILES} SELECT path, CAST(NULL AS BIGINT) AS files_included, tokens AS output_tokens, CAST(4000 AS BIGINT) AS output_tokens_budget, "
     "tokens AS raw_tokens, CAST(NULL AS BIGINT) AS shrunk_tokens, CAST(NULL AS BIGINT) AS tokens_saved, round(tokens / 3.0, 2) AS saving_percent FROM pf"

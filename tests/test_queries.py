@@ -1,5 +1,9 @@
 """Every registered query against the same result computed by DuckDB at the smallest scale."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -45,3 +49,14 @@ def test_entry_is_the_flagship(spark):
 
     assert entry.entry(spark).columns == ["path", "level", "tokens"]
     assert set(entry.queries()) >= set(QUERIES)
+
+
+def test_entry_without_the_optional_part():
+    """Also where the pipeline's file is still there."""
+    code = (
+        "import sys; sys.modules['corpusfold.llm'] = None; import __spark_entry__ as e; "
+        "assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; print(len(e.queries()))"
+    )
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0 and int(done.stdout) == len(QUERIES), done.stderr
