@@ -5,7 +5,9 @@ that is at least t; for this class a text is seen through windows of 2 * L runs
 so an occurrence always lies within a window. If a window holds ``contained`` of a template, their Jaccard
 similarity has a known lower bound; the number of bands is chosen so that the chance of meeting in at
 least one is ``1 - miss`` or more at that bound. Met pairs are confirmed by counting the template's runs
-in the window. One pass, no shuffle; templates are configuration and travel with the tasks.
+in the window. Versions tell licences apart: runs with a digit must all be there, however many others are. Every place
+of a notice is reported, one after the other also where they share a window; places of one licence are disjoint. One
+pass, no shuffle; templates are configuration and travel with the tasks.
 
 Defined results: null and empty texts hold no licence; templates of fewer than three words are refused;
 repeated rows get repeated results; extra columns are not looked at; an empty table gives no rows.
@@ -51,11 +53,16 @@ class ScanOptions:
 
 @dataclass(frozen=True)
 class TemplateClass:
-    """Templates of one class with the multipliers of its bands; ``keys[band]`` are sorted, ``owner`` says whose they are."""
+    """Templates of one class with the multipliers of its bands; ``keys[band]`` are sorted, ``owner`` says whose they are.
+
+    Of each template its distinct runs, where each stands first, and which of them are decisive.
+    """
 
     stride: int
     names: list[str]
     runs: list[np.ndarray]
+    places: list[np.ndarray]
+    decisive: list[np.ndarray]
     multipliers: np.ndarray
     keys: np.ndarray
     owner: np.ndarray
@@ -84,22 +91,30 @@ def _minima(blocks: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
+def _decisive(text: str) -> np.ndarray:
+    """Hashes of the runs that name a number."""
+    words = find_words(pa.array([text]), lower=True, separators=BREAKS)
+    hashes = window_hashes(hash_words(words), RUN)
+    numbered = [any(c.isdigit() for i in range(at, at + RUN) for c in words.text(i).decode()) for at in range(len(hashes))]
+    return np.unique(hashes[np.array(numbered, dtype=bool)])
+
+
 def compile_templates(templates: dict[str, str], options: ScanOptions) -> list[TemplateClass]:
-    by_stride: dict[int, list[tuple[str, np.ndarray]]] = {}
+    by_stride: dict[int, list[tuple[str, tuple[np.ndarray, ...]]]] = {}
     for name, text in sorted(templates.items()):
         runs, _ = text_runs(pa.array([text]))
         if not len(runs):
             raise ValueError(f"template {name} has fewer than {RUN} words")
-        by_stride.setdefault(1 << int(len(runs) - 1).bit_length(), []).append((name, np.unique(runs)))
+        by_stride.setdefault(1 << int(len(runs) - 1).bit_length(), []).append((name, (*np.unique(runs, return_index=True), _decisive(text))))
     out = []
     for stride, members in sorted(by_stride.items()):
-        least = min(np.ceil(options.contained * len(r)) / (2 * stride + len(r) - np.ceil(options.contained * len(r))) for _, r in members)
+        least = min(np.ceil(options.contained * len(r)) / (2 * stride + len(r) - np.ceil(options.contained * len(r))) for _, (r, *_) in members)
         count = bands(float(least), options) * options.rows
         multipliers = np.random.default_rng(stride).integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        keys = np.stack([_minima(np.array([(r * m).min() for m in multipliers])[:, None], options.rows)[:, 0] for _, r in members], axis=1)
+        keys = np.stack([_minima(np.array([(r * m).min() for m in multipliers])[:, None], options.rows)[:, 0] for _, (r, *_) in members], axis=1)
         order = np.argsort(keys, axis=1)
         out.append(TemplateClass(
-            stride, [n for n, _ in members], [r for _, r in members], multipliers, np.take_along_axis(keys, order, 1), order
+            stride, [n for n, _ in members], *(list(parts) for parts in zip(*(m for _, m in members))), multipliers, np.take_along_axis(keys, order, 1), order
         ))
     return out
 
@@ -133,20 +148,49 @@ def candidates(runs: np.ndarray, first: np.ndarray, c: TemplateClass, options: S
     return begin[window], end[window], template
 
 
+def occurrences(part: np.ndarray, c: TemplateClass, t: int, options: ScanOptions) -> list[tuple[float, int, int]]:
+    """Containment, first and last run of every place of a template among the runs of a window."""
+    own = c.runs[t]
+    at = np.minimum(np.searchsorted(own, part), len(own) - 1)
+    inside = np.flatnonzero(own[at] == part)
+
+    def share(of: np.ndarray) -> float:
+        held = np.unique(part[of])
+        return len(held) / len(own) if np.isin(c.decisive[t], held).all() else 0.0
+
+    whole = share(inside)
+    if whole < options.contained:
+        return []
+    # a place ends where the runs of the template begin anew; if none holds enough, the window as a whole does
+    groups = np.split(inside, np.flatnonzero(np.diff(c.places[t][at[inside]]) <= 0) + 1)
+    found = [(s, int(g[0]), int(g[-1])) for g in groups if (s := share(g)) >= options.contained]
+    return found or [(whole, int(inside[0]), int(inside[-1]))]
+
+
+def _disjoint(places: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The best of places that overlap, the first of equally good ones, in order."""
+    kept: list[tuple[float, int, int]] = []
+    for place in sorted(set(places), key=lambda p: (-p[0], p[1], p[2])):
+        if all(place[2] <= other[1] or other[2] <= place[1] for other in kept):
+            kept.append(place)
+    return sorted(kept, key=lambda p: p[1])
+
+
 def _scan(classes: list[TemplateClass], options: ScanOptions):
     def make(piece: pa.RecordBatch) -> pa.RecordBatch:
         runs, first = text_runs(piece.column("text"))
-        found: list[dict[str, tuple[float, int, int]]] = [{} for _ in range(piece.num_rows)]
+        found: list[dict[str, list[tuple[float, int, int]]]] = [{} for _ in range(piece.num_rows)]
         for c in classes:
             for begin, end, t in zip(*(x.tolist() for x in candidates(runs, first, c, options))):
-                inside = np.flatnonzero(np.isin(runs[begin:end], c.runs[t]))
-                share = len(np.unique(runs[begin:end][inside])) / len(c.runs[t])
-                if share >= options.contained:
+                places = occurrences(runs[begin:end], c, t, options)
+                if places:
                     row = int(np.searchsorted(first, begin, side="right")) - 1
                     here = begin - int(first[row])
-                    match = (share, -(here + int(inside[0])), here + int(inside[-1]) + RUN)
-                    found[row][c.names[t]] = max(found[row].get(c.names[t], match), match)
-        rows = [[{"license": n, "containment": s, "begin": -b, "end": e} for n, (s, b, e) in sorted(f.items())] for f in found]
+                    found[row].setdefault(c.names[t], []).extend((s, here + a, here + b + RUN) for s, a, b in places)
+        rows = [
+            [{"license": n, "containment": s, "begin": b, "end": e} for n, places in sorted(f.items()) for s, b, e in _disjoint(places)]
+            for f in found
+        ]
         kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("begin", pa.int64()), ("end", pa.int64())]))
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(rows, kind)], ["doc_id", "matches"])
 
@@ -154,7 +198,7 @@ def _scan(classes: list[TemplateClass], options: ScanOptions):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, id: str = "doc_id", text: str = "text", options: ScanOptions = ScanOptions()) -> DataFrame:
-    """doc_id and matches (license, containment, begin and end in words, of the best window), sorted by license."""
+    """doc_id and matches (license, containment, begin and end in words) of every place, sorted by license and begin."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     kind = "array<struct<license:string,containment:double,begin:bigint,end:bigint>>"

@@ -104,9 +104,8 @@ def op6_lm_scoring(spark, sf):
 @query(sql.LICENSES)
 def op1_license_scan(spark, sf):
     found = license_scan.scan_licenses(table(spark, sf, "documents"))
-    return found.select(
-        "doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"),
-    )
+    names = F.array_distinct(F.transform("matches", lambda m: m["license"]))
+    return found.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"))
 
 
 @query()

@@ -102,10 +102,11 @@ LICENSES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_NORMAL} AS w FROM documents),
 t AS (SELECT name, {_NORMAL} AS w FROM (VALUES {_TEMPLATES}) AS v(name, text)),
 ts AS (SELECT DISTINCT name, unnest(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS run FROM t),
-tc AS (SELECT name, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS stride FROM ts GROUP BY name),
+tc AS (SELECT name, count(*) AS n, count(*) FILTER (WHERE regexp_matches(run, '[0-9]')) AS numbered, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS stride FROM ts GROUP BY name),
 p AS (SELECT r, unnest(range(0, len(w) - 2)) AS i, unnest(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS run FROM d WHERE len(w) >= 3),
-h AS (SELECT r, name, run, n, unnest([i // stride, i // stride - 1]) AS win FROM p JOIN ts USING (run) JOIN tc USING (name)),
-m AS (SELECT DISTINCT r, name FROM (SELECT r, name, win FROM h WHERE win >= 0 GROUP BY r, name, win, n HAVING count(DISTINCT run) >= 0.8 * n)),
+h AS (SELECT r, name, run, n, numbered, unnest([i // stride, i // stride - 1]) AS win FROM p JOIN ts USING (run) JOIN tc USING (name)),
+m AS (SELECT DISTINCT r, name FROM (SELECT r, name, win FROM h WHERE win >= 0 GROUP BY r, name, win, n, numbered
+    HAVING count(DISTINCT run) >= 0.8 * n AND count(DISTINCT run) FILTER (WHERE regexp_matches(run, '[0-9]')) = numbered)),
 l AS (SELECT r, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses FROM m GROUP BY r)
 SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM d LEFT JOIN l USING (r)"""
 

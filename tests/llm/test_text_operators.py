@@ -92,6 +92,24 @@ def test_decontamination(spark, make, awkward, empty):
     assert sorted(wide.collect()) == sorted(decontaminate.flag(mixed.select("doc_id", "text"), bench).collect())
 
 
+def test_license_versions_and_places(make):
+    t = license_scan.TEMPLATES
+    gpl, mit = t["gpl-3.0"], t["mit"]
+    texts = [
+        gpl.replace("version 3", "version 2"), gpl, f"{gpl} {gpl} x {gpl}", f"{mit} {prose(4, 500)} {mit}", gpl.replace("work", "program"),
+        t["apache-2.0"].replace("2.0", "1.1"), t["agpl-3.0"].replace("version 3", "version 1"), f"{mit} {gpl}",
+    ]
+    rows = license_scan.scan_licenses(make(texts + texts[2:3])).collect()
+    found = {r.doc_id: [(m.license, m.begin, m.end) for m in r.matches] for r in rows}
+    n, k = len(gpl.split()), len(mit.split())
+    assert found[0] == [] and found[5] == [] and found[6] == []
+    assert found[1] == [("gpl-3.0", 0, n)]
+    assert found[2] == found[8] == [("gpl-3.0", a, a + n) for a in (0, n, 2 * n + 1)]
+    assert found[3] == [("mit", a, a + k) for a in (0, k + 500)]
+    assert [name for name, _, _ in found[4]] == ["gpl-3.0"]
+    assert found[7] == [("gpl-3.0", k, k + n), ("mit", 0, k)]
+
+
 def test_licenses(make, awkward, empty):
     t = license_scan.TEMPLATES
     docs = make([
