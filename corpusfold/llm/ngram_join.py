@@ -404,9 +404,15 @@ def ngram_join(docs: DataFrame, *, id: str = "doc_id", text: str = "text", optio
         "possible",
     )
 
-    many = shared.where(F.col("holders") > options.few)
-    centre = many.groupBy("sig", "step").agg(F.min("node").alias("b"))
-    clusters = connected_components(many.join(centre, ["sig", "step"]).select(F.col("node").alias("a"), "b").distinct())
+    # a signature held by very many meets its centre in as many shares
+    shares = F.ceil(F.col("holders") / options.block).cast("int")
+    many = shared.where(F.col("holders") > options.few).withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int"))
+    centre = (
+        many.groupBy("sig", "step", "share").agg(F.min("node").alias("b"), F.first("holders").alias("holders"))
+        .groupBy("sig", "step").agg(F.min("b").alias("b"), F.first("holders").alias("holders"))
+        .select("sig", "step", "b", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    )
+    clusters = connected_components(many.join(centre, ["sig", "step", "share"]).select(F.col("node").alias("a"), "b").distinct())
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / options.block).alias("blocks"))
     dealt = stage(
         clusters.join(sizes, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "blocks"
