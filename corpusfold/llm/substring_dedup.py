@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     repeated = stage(
         rows.mapInArrow(_count_anchors(options), "anchor long, c long").groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1"), "anchors"
     )
-    # rows with one key are copies of a document: each of them is at every place of that key
+    # rows with one key are copies of a document: each of them is at every place of that key, and its spans count once
     mine = (
         rows.mapInArrow(_place_anchors(options), "anchor long, key long, at int").join(repeated, "anchor")
         .groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("anchor", "c"))).alias("m"))
@@ -281,7 +281,7 @@ def substring_dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     )
     spans = (
         segments.where("words IS NULL").join(found, ["route", "seg"])
-        .groupBy("key").agg(F.collect_list(F.struct("place", "begins", "ends")).alias("spans"))
+        .groupBy("key").agg(F.collect_set(F.struct("place", "begins", "ends")).alias("spans"))
     )
     return packed.join(spans, "key", "left").select("doc_id", "key", "packed", "spans").mapInArrow(
         _cut(keep_text),
