@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusfold.functions import langs, text
 from corpusfold.functions.tokens import Counter
 
-HEAD, TAIL, SAMPLE_OVER = 10, 4, 14
+HEAD, TAIL = 10, 4
 
 
 def explode_lines(
@@ -60,10 +60,11 @@ def import_like(bare: Column, syntax: Column) -> Column:
     return test
 
 
-def collapse_runs(df: DataFrame, key: list[str], flag: Column, order: str = "pos") -> DataFrame:
-    """Keep five lines of a longer run of flagged lines, then say how many more there were."""
+def collapse_runs(
+    df: DataFrame, key: list[str], flag: Column, order: str = "pos", keep: int = langs.IMPORT_KEEP
+) -> DataFrame:
+    """Keep some lines of a longer run of flagged lines, then say how many more there were."""
     window = in_order(key, order)
-    keep = langs.IMPORT_KEEP
     numbered = df.withColumn("_flag", flag).withColumn("_rn", F.row_number().over(window))
     anchored = numbered.withColumn("_anchor", F.coalesce(since_last(window, ~F.col("_flag"), F.col("_rn")), F.lit(0)))
     sized = anchored.withColumn("_run", F.count_if("_flag").over(W.partitionBy(*key, "_anchor"))).withColumn(
@@ -77,14 +78,13 @@ def collapse_runs(df: DataFrame, key: list[str], flag: Column, order: str = "pos
     )
 
 
-def collapse_import_groups(df: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
-    """Parenthesised import groups: over five entries become five, a count and the closing line.
+def collapse_import_groups(df: DataFrame, key: list[str], order: str = "pos", keep: int = langs.IMPORT_KEEP) -> DataFrame:
+    """Parenthesised import groups: of more than ``keep`` entries that many stay, a count and the closing line.
 
     A closing line ends one stretch of lines; a stretch holds a group exactly when an opening line
     precedes its closing line, so both ends are plain aggregates per stretch.
     """
     window = in_order(key, order)
-    keep = langs.IMPORT_KEEP
     bare = text.trim(F.col("line"))
     marked = df.withColumn("_bare", bare).withColumn(
         "_opens",
@@ -116,31 +116,32 @@ def collapse_import_groups(df: DataFrame, key: list[str], order: str = "pos") ->
     )
 
 
-def collapse_imports(lines: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
+def collapse_imports(lines: DataFrame, key: list[str], order: str = "pos", keep: int = langs.IMPORT_KEEP) -> DataFrame:
     """Both import rules on a line table that carries a ``syntax`` column."""
-    grouped = collapse_import_groups(lines.filter(F.col("syntax") == "go"), key, order)
+    grouped = collapse_import_groups(lines.filter(F.col("syntax") == "go"), key, order, keep)
     plain = lines.filter(F.col("syntax") != "go").withColumn("in_group", F.lit(False))
     both = grouped.unionByName(plain).withColumn("_bare", text.trim(F.col("line")))
     flag = import_like(F.col("_bare"), F.col("syntax")) & ~F.col("in_group") & (F.col("_bare") != "import (")
-    return collapse_runs(both, key, flag, order).drop("in_group", "_bare")
+    return collapse_runs(both, key, flag, order, keep).drop("in_group", "_bare")
 
 
-def sample_runs(df: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
-    """Head and tail of every key's lines: up to 14 stay, else ten, an ellipsis and the last four.
+def sample_runs(df: DataFrame, key: list[str], order: str = "pos", head: int = HEAD, tail: int = TAIL) -> DataFrame:
+    """Head and tail of every key's lines: as many as both hold stay, else the head, an ellipsis and the tail.
 
     A key may hold any share of all lines. Both ends come from ranked windows with a small bound,
     which Spark applies before the shuffle, and the count is pre-aggregated; no task sees a whole key.
     """
+    whole = head + tail
     first, last = F.row_number().over(in_order(key, order)), F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))
-    head = df.withColumn("_nth", first).filter(F.col("_nth") <= SAMPLE_OVER)
-    tail = df.withColumn("_back", last).filter(F.col("_back") <= TAIL)
+    begin = df.withColumn("_nth", first).filter(F.col("_nth") <= whole)
+    end = df.withColumn("_back", last).filter(F.col("_back") <= tail)
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    tail = tail.join(sizes, key).withColumn("_nth", F.col("_n") - F.col("_back") + 1).filter(F.col("_nth") > SAMPLE_OVER)
-    ends = head.join(sizes, key).unionByName(tail.drop("_back"))
-    kept = ends.withColumn("line", sampled(F.col("line"), F.col("_nth"), F.col("_n"))).filter(F.col("line").isNotNull())
+    end = end.join(sizes, key).withColumn("_nth", F.col("_n") - F.col("_back") + 1).filter(F.col("_nth") > whole)
+    ends = begin.join(sizes, key).unionByName(end.drop("_back"))
+    kept = ends.withColumn("line", sampled(F.col("line"), F.col("_nth"), F.col("_n"), head, tail)).filter(F.col("line").isNotNull())
     # a tail line that repeats the line shown before it is skipped
     previous = F.lag("line").over(in_order(key, order))
-    in_tail = (F.col("_n") > SAMPLE_OVER) & (F.col("_nth") > F.col("_n") - TAIL)
+    in_tail = (F.col("_n") > whole) & (F.col("_nth") > F.col("_n") - tail)
     return (
         kept.withColumn("_skip", in_tail & F.coalesce(F.col("line") == previous, F.lit(False)))
         .filter(~F.col("_skip"))
@@ -148,14 +149,14 @@ def sample_runs(df: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
     )
 
 
-def sampled(line: Column, nth: Column, n: Column) -> Column:
+def sampled(line: Column, nth: Column, n: Column, head: int = HEAD, tail: int = TAIL) -> Column:
     """What the sample shows at one position; null where nothing is shown.
 
-    ``n`` may stop counting four lines after the position: only the last four need it exact.
+    ``n`` may stop counting ``tail`` lines after the position: only the last ones need it exact.
     """
     return (
-        F.when((n <= SAMPLE_OVER) | (nth <= HEAD) | (nth > n - TAIL), line)
-        .when(nth == HEAD + 1, F.lit("..."))
+        F.when((n <= head + tail) | (nth <= head) | (nth > n - tail), line)
+        .when(nth == head + 1, F.lit("..."))
     )
 
 

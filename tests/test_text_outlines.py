@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusfold.functions import text
 from corpusfold.functions.tokens import Counter
 from corpusfold.operators import compress, config, markdown, objc
+from corpusfold.operators import lines as L
 
 NATIVE = Counter("native")
 
@@ -132,3 +133,12 @@ def test_repeats_collapse_only_next_to_each_other(spark):
     df = spark.createDataFrame(rows, "path string, pos int, line string")
     assert [r.line for r in lines.drop_repeats(df, ["path"]).orderBy("pos").collect()] == ["x", "y", "x"]
     assert markdown.FENCE_LINES == 24 and objc.SKELETON_LINES == 180
+
+
+def test_limits_are_parameters(spark):
+    rows = [("a", i, f"import {i}") for i in range(9)] + [("a", 9, "x")]
+    lines = spark.createDataFrame(rows, "key string, pos int, line string").withColumn("syntax", F.lit("python"))
+    short = L.collapse_imports(lines, ["key"], keep=2).orderBy("pos").collect()
+    assert [r.line for r in short] == ["import 0", "import 1", "... 7 more imports", "x"]
+    sample = L.sample_runs(lines.drop("syntax"), ["key"], head=2, tail=1).orderBy("pos").collect()
+    assert [r.line for r in sample] == ["import 0", "import 1", "...", "x"]
