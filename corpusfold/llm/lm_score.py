@@ -49,7 +49,7 @@ class ScoreOptions:
     vocabulary: str  #: path of a tokenizer file, on every machine
     size: int = 50_257
     end: int = 50_256  #: an id that no word gives
-    mixes: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7)  #: weights of the context to choose from
+    mixes: tuple[float, ...] = (0.05, 0.15, 0.3, 0.5)  #: weights of the context to choose from
     frequent_limit: int = 1 << 19
     model: attention.ModelOptions = field(default_factory=attention.ModelOptions)
 
@@ -212,15 +212,10 @@ class Shared:
         return np.log10(np.maximum(count - less, 0) + 0.5) - np.log10(max(self.tokens - less, 0) + 0.5 * (self.distinct + 1))
 
 
-def _mixed(context: np.ndarray, share: np.ndarray, mixes: tuple[float, ...]) -> np.ndarray:
-    """log10 of both mixed with each weight, a column for each."""
-    p, q = 10.0 ** context[:, None], 10.0 ** share[:, None]
-    w = np.array(mixes)
-    return np.log10(w * p + (1 - w) * q)
-
-
-def _row_sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(row, column, n) for column in values.T], axis=1)
+def _mixed(row: np.ndarray, p: np.ndarray, share: np.ndarray, n: int, mixes: tuple[float, ...]) -> np.ndarray:
+    """Sums by row of the log10 of probabilities ``p`` mixed with the ``share`` (its log10) by each weight, a column for each."""
+    q = 10.0**share
+    return np.stack([np.bincount(row, np.log10(w * p + (1 - w) * q), n) for w in mixes], axis=1)
 
 
 def _score(shared, options: ScoreOptions):
@@ -252,7 +247,8 @@ def _score(shared, options: ScoreOptions):
             # the end is a word of its own
             both, rows = np.concatenate([context[hit], places[first[1:] - 1]]), np.concatenate([row[hit], np.arange(n)])
             counts = np.concatenate([of_word, of_end])
-            scores, left_out = (_row_sums(rows, _mixed(both, known.log10(counts, less), options.mixes), n) for less in (0, 1))
+            p = 10.0**both
+            scores, left_out = (_mixed(rows, p, known.log10(counts, less), n, options.mixes) for less in (0, 1))
             offsets = pa.array(np.searchsorted(row[~hit], np.arange(n + 1)).astype(np.int32))
 
             def lists(values: np.ndarray) -> pa.Array:
@@ -317,7 +313,7 @@ def score_texts(docs: DataFrame, options: ScoreOptions, *, id: str = "doc_id", t
         "scored",
     )
     rare = counts.where(F.col("c") < max(1, -(-known.tokens // options.frequent_limit))).mapInArrow(_hashes, "hash long, c long")
-    count, context = F.coalesce(F.col("c"), F.lit(0)), F.pow(F.lit(10.0), F.col("contexts").cast("double"))
+    count, context = F.col("c"), F.pow(F.lit(10.0), F.col("context").cast("double"))
 
     def share(less: int) -> Column:
         return (F.greatest(count - less, F.lit(0)) + 0.5) / (max(known.tokens - less, 0) + 0.5 * (known.distinct + 1))
@@ -325,10 +321,12 @@ def score_texts(docs: DataFrame, options: ScoreOptions, *, id: str = "doc_id", t
     sums = [F.sum(F.log10(share(0))).alias("more"), F.count_if(count > 0).alias("more_known")]
     for name, less in (("scores", 0), ("left_out", 1)):
         sums.append(F.array(*[F.sum(F.log10(w * context + (1 - w) * share(less))) for w in options.mixes]).alias(f"more_{name}"))
-    more = (
-        scored.select("row_id", F.inline(F.arrays_zip("hashes", "contexts"))).withColumnRenamed("hashes", "hash").join(rare, "hash", "left")
-        .groupBy("row_id").agg(*sums)
+    # the words of a text meet again as narrow rows; sums of parts would be wider than what they sum
+    met = (
+        scored.select("row_id", F.inline(F.arrays_zip("hashes", "contexts"))).toDF("row_id", "hash", "context").join(rare, "hash", "left")
+        .select("row_id", "context", F.coalesce("c", F.lit(0)).alias("c")).repartition("row_id")
     )
+    more = met.groupBy("row_id").agg(*sums)
 
     def with_more(name: str) -> Column:
         return F.zip_with(name, F.coalesce(f"more_{name}", F.transform(name, lambda _: F.lit(0.0))), lambda a, b: a + b).alias(name)
