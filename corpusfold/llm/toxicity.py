@@ -104,10 +104,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, options: ToxicityOptions) ->
     none = Model(np.zeros(0, np.int32), np.zeros(0), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))))
     if labels.min(initial=1) == labels.max(initial=0):
         return none
-    flat = np.concatenate(rows)
-    size = np.array([len(r) for r in rows])
     count = np.array([labels.sum(), len(labels) - labels.sum()])
-    held = np.stack([np.bincount(flat, np.repeat(y, size), options.buckets) for y in (labels, 1 - labels)])
+    # row by row, since the buckets of a row are distinct: all rows in one array would take several times their memory
+    held = np.zeros((2, options.buckets))
+    for row, y in zip(rows, labels.tolist()):
+        held[0 if y else 1, row] += 1
     share = (held + options.smoothing) / (count[:, None] + 2 * options.smoothing)
     ratio = np.log(share[0]) - np.log(share[1])
     # the error of the log odds tells which buckets are more than chance
