@@ -81,7 +81,7 @@ def _described(raw: Column, bare: Column, key: Column, ext: Column, of_path: dic
     def wanted_by(profile: str) -> Column:
         return F.coalesce(F.when(table, key_wanted(heading, profile)).otherwise(key_wanted(key, profile)), F.lit(False))
 
-    wanted = F.coalesce(key_wanted(key, "common"), F.lit(False)) | wanted_by("common")
+    wanted = F.coalesce(key_wanted(key, "common"), F.lit(False)) | F.when(table, wanted_by("common")).otherwise(False)
     for profile, member in of_path.items():
         wanted = wanted | (member & wanted_by(profile))
     return F.struct(
@@ -113,16 +113,27 @@ def _around(acc: Column, line: Column, ext: Column) -> Column:
 
 
 def _next(acc: Column, line: Column, sections: Column) -> Column:
+    """The state after a line. What is used more than once is bound by ``let``: a lambda has no shared subexpressions."""
     inside = F.get(sections, F.size(sections) - 1)["wanted"]
-    keep = F.coalesce(inside, F.lit(False)) | line["wanted"]
-    items = F.when(line["item"], acc["items"] + 1).when(line["closes"], acc["items"]).otherwise(0)
-    over = line["item"] & (~keep | (items > ARRAY_ITEMS))
-    elided = F.when(line["item"], acc["elided"] | over).when(line["closes"], acc["elided"]).otherwise(False)
-    headline = line["headline"] & F.coalesce(inside, F.lit(True)) & (keep | ~line["bracketed"])
-    mark = F.when(over, F.when(~acc["elided"], F.lit("..."))).when(headline | keep | (items > 0), line["bare"])
-    section = F.struct(line["indent"].alias("indent"), keep.alias("wanted"), line["table"].alias("table"))
-    opened = F.when(~over & line["opens"], F.concat(sections, F.array(section))).otherwise(sections)
-    return _show(acc, mark, ~over, opened, items, elided)
+    first = F.struct(
+        (F.coalesce(inside, F.lit(False)) | line["wanted"]).alias("keep"),
+        F.coalesce(inside, F.lit(True)).alias("inside"),
+        F.when(line["item"], acc["items"] + 1).when(line["closes"], acc["items"]).otherwise(0).alias("items"),
+    )
+
+    def decided(of: Column) -> Column:
+        over = line["item"] & (~of["keep"] | (of["items"] > ARRAY_ITEMS))
+        headline = line["headline"] & of["inside"] & (of["keep"] | ~line["bracketed"])
+        mark = F.when(over, F.when(~acc["elided"], F.lit("..."))).when(headline | of["keep"] | (of["items"] > 0), line["bare"])
+        return text.let(F.struct(over.alias("over"), mark.alias("mark")), lambda now: moved(of, now["over"], now["mark"]))
+
+    def moved(of: Column, over: Column, mark: Column) -> Column:
+        elided = F.when(line["item"], acc["elided"] | over).when(line["closes"], acc["elided"]).otherwise(False)
+        section = F.struct(line["indent"].alias("indent"), of["keep"].alias("wanted"), line["table"].alias("table"))
+        opened = F.when(~over & line["opens"], F.concat(sections, F.array(section))).otherwise(sections)
+        return _show(acc, mark, ~over, opened, of["items"], elided)
+
+    return text.let(first, decided)
 
 
 def _show(acc: Column, shown: Column, counts: Column, sections: Column, items: Column, elided: Column) -> Column:

@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def narrow(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """The columns that files are generated from, dealt out by key.
+
+    Generated texts are many times wider than these rows, so rows move before, and texts need not move after.
+    The count is named, since adaptive execution would join partitions by the size of the narrow rows.
+    """
+    return table(spark, sf_dir, name).select(key, *columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # -- documents as Markdown files ------------------------------------------------------------------
 
 DOC_PATH = (
@@ -209,7 +218,8 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
         here = F.col("c_custkey") % len(CODE) == n
         content = F.when(here, text) if content is None else content.when(here, text)
         path = F.when(here, name) if path is None else path.when(here, name)
-    return table(spark, sf_dir, "customer").select(path.alias("path"), content.alias("content"))
+    rows = narrow(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    return rows.select(path.alias("path"), content.alias("content"))
 
 
 # -- parts as manifests and Objective-C sources ---------------------------------------------------
@@ -243,7 +253,7 @@ def config(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"WHEN p_partkey % 3 = {n} THEN {c.format(items_json=items_json, items_yaml=items_yaml)}"
         for n, (_, c) in CONFIG_SQL.items()
     )
-    parts = table(spark, sf_dir, "part")
+    parts = narrow(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
     return parts.select(F.expr(f"CASE {path} END").alias("path"), F.expr(f"CASE {body} END").alias("content"))
 
 
@@ -264,7 +274,7 @@ OBJC_LINE = (
 
 def objc(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = OBJC_LINE.replace("{{", "{").replace("}}", "}").replace("{i}", "i")
-    return table(spark, sf_dir, "part").select(
+    return narrow(spark, sf_dir, "part", "p_partkey", "p_size").select(
         F.expr("'ios/p' || p_partkey || '.m'").alias("path"),
         F.expr(f"array_join(transform(sequence(1, p_size * 4), i -> {line}), '\n')").alias("content"),
     )
