@@ -1,7 +1,7 @@
 """Three renderings of every file: full text, skeleton and tree map.
 
 Files are split by syntax family. Web templates and configuration stay in JVM expressions; code needs
-per-text state and goes through one Arrow UDF; Markdown and Objective-C run as window queries over
+per-text state and goes through one Arrow UDF; Objective-C is a fold over lines, Markdown a window query over
 lines. Each branch filters on the syntax family; a corpus laid out by it is read once in all.
 """
 

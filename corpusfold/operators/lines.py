@@ -6,6 +6,8 @@ shuffle; a window partition is the lines of one file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,6 +80,26 @@ def collapse_runs(
     )
 
 
+def collapsed(items: Column, flag: Callable[[Column], Column], keep: int = langs.IMPORT_KEEP) -> Column:
+    """:func:`collapse_runs` for the lines of one text in an array; meant for outlines, whose length is bounded."""
+
+    def closed(acc: Column) -> Column:
+        note = F.concat(F.lit("... "), (acc["run"] - keep).cast("string"), F.lit(" more imports"))
+        return F.when(acc["run"] > keep, F.concat(acc["out"], F.array(note))).otherwise(acc["out"])
+
+    def fold(acc: Column, line: Column) -> Column:
+        run = F.when(acc["run"] < keep, F.concat(acc["out"], F.array(line))).otherwise(acc["out"])
+        return F.when(flag(line), F.struct((acc["run"] + 1).alias("run"), run.alias("out"))).otherwise(
+            F.struct(F.lit(0).alias("run"), F.concat(closed(acc), F.array(line)).alias("out"))
+        )
+
+    start = F.struct(F.lit(0).alias("run"), F.array().cast("array<string>").alias("out"))
+    # most texts have no long run
+    return text.let(
+        items, lambda lines: F.when(F.size(F.filter(lines, flag)) <= keep, lines).otherwise(F.aggregate(lines, start, fold, closed))
+    )
+
+
 def collapse_import_groups(df: DataFrame, key: list[str], order: str = "pos", keep: int = langs.IMPORT_KEEP) -> DataFrame:
     """Parenthesised import groups: of more than ``keep`` entries that many stay, a count and the closing line.
 

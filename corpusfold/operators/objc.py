@@ -1,7 +1,8 @@
 """Objective-C outlines: directives, method and C-like declarations at brace depth zero.
 
-Depth never goes below zero. That floored running sum equals the plain running sum minus its lowest
-value so far (when negative), so two windows over the line table give it.
+Depth never goes below zero. An outline is one fold over the lines of its text, whose state is the depth and
+the lines shown so far, at most as many as the larger limit. For a table of lines, the floored running sum equals
+the plain running sum minus its lowest value so far (when negative), so two windows give it.
 """
 
 from __future__ import annotations
@@ -51,34 +52,42 @@ def with_depth(lines: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def outline_lines(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Rows (key, variant, pos, line) of skeletons and tree maps."""
-    t = L.explode_lines(files, [key], content, trimmed=True)
-    t = t.filter((F.col("line") != "") & ~text.starts_with_any(F.col("line"), ("//", "/*", "*")))
-    t = with_depth(t, [key]).filter((F.col("depth") == 0) & _kept(F.col("line")))
-    t = t.select(key, "pos", _outline(F.col("line")).alias("line"))
-    # the line limit counts repeated lines, which are dropped afterwards
-    t = t.withColumn("_nth", F.row_number().over(L.in_order([key])))
-    t = L.drop_repeats(t, [key])
-    variants = F.array(
-        F.when(F.col("_nth") <= SKELETON_LINES, F.lit("skeleton")), F.when(F.col("_nth") <= MAP_LINES, F.lit("tree_map"))
+def _shown(content: Column) -> Column:
+    """The outlined lines at depth zero, repeats included, up to the larger limit: one fold over the lines of a text."""
+    items = F.filter(
+        F.transform(text.lines(content), text.trim), lambda line: (line != "") & ~text.starts_with_any(line, ("//", "/*", "*"))
     )
-    t = t.select(key, F.explode(variants).alias("variant"), "pos", "line").filter(F.col("variant").isNotNull())
-    return L.collapse_runs(t, [key, "variant"], text.starts_with_any(F.col("line"), langs.IMPORT_PREFIXES["objc"]))
 
+    def fold(acc: Column, line: Column) -> Column:
+        # most lines have no brace, and only lines at depth zero are looked at further
+        braces = F.contains(line, F.lit("{")) | F.contains(line, F.lit("}"))
+        after = F.when(braces, F.greatest(F.lit(0), acc["depth"] + brace_delta(line))).otherwise(acc["depth"])
+        grown = F.when((acc["depth"] == 0) & _kept(line), F.concat(acc["shown"], F.array(_outline(line)))).otherwise(acc["shown"])
+        full = F.size(acc["shown"]) >= max(SKELETON_LINES, MAP_LINES)
+        return F.when(full, acc).otherwise(F.struct(after.alias("depth"), grown.alias("shown")))
 
-def compress(files: DataFrame) -> DataFrame:
-    """Adds skeleton and tree_map to files (path, content, ...)."""
-    ordered = F.sort_array(F.collect_list(F.struct("variant", "pos", "line")))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("shown"))
+    return F.aggregate(items, start, fold, lambda acc: acc["shown"])
 
-    def one(name: str) -> Column:
-        rows = F.filter(F.col("_rows"), lambda row: row["variant"] == name)
-        return F.coalesce(text.join_lines(rows["line"]), F.lit(""))
 
-    outlines = outline_lines(files).groupBy("path").agg(ordered.alias("_rows"))
-    return (
-        files.join(outlines, "path", "left")
-        .withColumn("skeleton", one("skeleton"))
-        .withColumn("tree_map", one("tree_map"))
-        .drop("_rows")
+def _variant(shown: Column, limit: int) -> Column:
+    """The text of a rendering: the limit counts repeated lines, which are dropped afterwards."""
+    unique = F.filter(F.slice(shown, 1, limit), lambda line, at: (at == 0) | (F.get(shown, at - 1) != line))
+    imports = langs.IMPORT_PREFIXES["objc"]
+    return text.join_lines(L.collapsed(unique, lambda line: text.starts_with_any(line, imports)))
+
+
+def compress(files: DataFrame) -> DataFrame:
+    """Adds skeleton and tree_map to files (path, content, ...), row by row: nothing is joined or moved."""
+    outlines = text.let(
+        F.coalesce(_shown(F.col("content")), F.array().cast("array<string>")),
+        lambda shown: text.let(
+            _variant(shown, SKELETON_LINES),
+            # a short outline has one rendering
+            lambda most: F.struct(
+                most.alias("skeleton"), F.when(F.size(shown) <= MAP_LINES, most).otherwise(_variant(shown, MAP_LINES)).alias("tree_map")
+            ),
+        ),
     )
+    outlined = files.withColumn("_o", outlines)
+    return outlined.select(*files.columns, F.col("_o.skeleton").alias("skeleton"), F.col("_o.tree_map").alias("tree_map"))
