@@ -31,6 +31,11 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 
 
+def marked_lines(text: Column) -> Column:
+    """Lines each of which has a line end in front of it."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(text, 2, 1 << 30), "\n", -1))
+
+
 def join_lines(items: Column) -> Column:
     return F.array_join(items, "\n")
 
@@ -43,7 +48,9 @@ def truncate_chars(value: Column, limit: int) -> Column:
 def leading_indent(line: Column) -> Column:
     """Width of the leading blanks; a tab counts two."""
     blanks = F.regexp_extract(line, "^[ \t]*", 0)
-    return F.length(blanks) + F.length(F.replace(blanks, F.lit(" "), F.lit("")))
+    tabbed = F.length(blanks) + F.length(F.replace(blanks, F.lit(" "), F.lit("")))
+    # few lines have tabs, and a pattern costs more than trimming
+    return F.when(F.contains(line, F.lit("\t")), tabbed).otherwise(F.length(line) - F.length(F.ltrim(line, F.lit(" "))))
 
 
 def starts_with_any(value: Column, prefixes) -> Column:

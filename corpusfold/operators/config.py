@@ -19,7 +19,7 @@ from corpusfold.operators import lines as L
 SKELETON_LINES, MAP_LINES = 180, 100
 ARRAY_ITEMS = 12
 _SECTION = "struct<indent:int,wanted:boolean,table:boolean>"
-_STATE = f"struct<open:array<{_SECTION}>,items:int,elided:boolean,shown:array<string>,skeleton:int,tree_map:int>"
+_STATE = f"struct<open:array<{_SECTION}>,items:int,elided:boolean,n:int,shown:string,skeleton:int,tree_map:int>"
 
 
 def key_wanted(key: Column, profile: str) -> Column:
@@ -61,12 +61,11 @@ def _key(bare: Column) -> Column:
 
 def _describe(raw: Column, ext: Column, of_path: dict[str, Column]) -> Column:
     """What a line is, whatever stands around it."""
-    return text.let(text.trim(raw), lambda bare: text.let(_key(bare), lambda key: _described(raw, bare, key, ext, of_path)))
+    seen = text.let(text.trim(raw), lambda bare: F.struct(bare.alias("bare"), _key(bare).alias("key"), text.leading_indent(raw).alias("indent")))
+    return text.let(seen, lambda of: _described(raw, of["bare"], of["key"], of["indent"], ext, of_path))
 
 
-def _described(raw: Column, bare: Column, key: Column, ext: Column, of_path: dict[str, Column]) -> Column:
-    indent = text.leading_indent(raw)
-
+def _described(raw: Column, bare: Column, key: Column, indent: Column, ext: Column, of_path: dict[str, Column]) -> Column:
     def starts(*marks: str) -> Column:
         return text.starts_with_any(bare, marks)
 
@@ -138,38 +137,44 @@ def _next(acc: Column, line: Column, sections: Column) -> Column:
 
 def _show(acc: Column, shown: Column, counts: Column, sections: Column, items: Column, elided: Column) -> Column:
     """The state with one more line, if there is one; a limit is taken at a line that ``counts``."""
-    n = F.size(acc["shown"]) + F.when(shown.isNotNull(), 1).otherwise(0)
+    n = acc["n"] + F.when(shown.isNotNull(), 1).otherwise(0)
     taken = {
         name: F.coalesce(acc[name], F.when(counts & (n >= limit), n)).alias(name)
         for name, limit in (("skeleton", SKELETON_LINES), ("tree_map", MAP_LINES))
     }
-    grown = F.when(shown.isNotNull(), F.concat(acc["shown"], F.array(shown))).otherwise(acc["shown"])
+    # one string: the state is copied at every line
+    grown = F.when(shown.isNotNull(), F.concat(acc["shown"], F.lit("\n"), shown)).otherwise(acc["shown"])
     return F.struct(
-        sections.alias("open"), items.cast("int").alias("items"), elided.alias("elided"), grown.alias("shown"), *taken.values()
+        sections.alias("open"), items.cast("int").alias("items"), elided.alias("elided"), n.cast("int").alias("n"), grown.alias("shown"), *taken.values()
     ).cast(_STATE)
 
 
 def picked(path: Column, items: Column) -> Column:
     """shown (lines), and how many of them the skeleton and the tree map take (null: all)."""
-    ext = F.lower(paths.extension(path))
-    # the tests of a path are computed once, not again for every line
-    flags = F.struct(*[member.alias(name) for name, member in profiles(path).items()])
-    described = text.let(
-        flags, lambda of: F.transform(items, lambda raw: _describe(raw, ext, {name: of[name] for name in profiles(path)}))
-    )
+    # what a path says is computed once, not again for every line
+    flags = F.struct(F.lower(paths.extension(path)).alias("ext"), *[member.alias(name) for name, member in profiles(path).items()])
     none = F.lit(None)
     start = F.struct(
-        F.array().alias("open"), F.lit(0).alias("items"), F.lit(False).alias("elided"), F.array().alias("shown"),
+        F.array().alias("open"), F.lit(0).alias("items"), F.lit(False).alias("elided"), F.lit(0).alias("n"), F.lit("").alias("shown"),
         none.alias("skeleton"), none.alias("tree_map"),
     ).cast(_STATE)
 
-    def fold(acc: Column, line: Column) -> Column:
-        inner = text.let(_around(acc, line, ext), lambda sections: _next(acc, line, sections))
-        remark = _show(acc, line["bare"], F.lit(True), acc["open"], acc["items"], acc["elided"])
-        done = acc["skeleton"].isNotNull() & acc["tree_map"].isNotNull()
-        return F.when(done, acc).when(line["remark"], remark).when(line["noise"], acc).otherwise(inner)
+    def folded(of: Column) -> Column:
+        ext = of["ext"]
+        described = F.transform(items, lambda raw: _describe(raw, ext, {name: of[name] for name in profiles(path)}))
+
+        def fold(acc: Column, line: Column) -> Column:
+            inner = text.let(_around(acc, line, ext), lambda sections: _next(acc, line, sections))
+            remark = _show(acc, line["bare"], F.lit(True), acc["open"], acc["items"], acc["elided"])
+            done = acc["skeleton"].isNotNull() & acc["tree_map"].isNotNull()
+            return F.when(done, acc).when(line["remark"], remark).when(line["noise"], acc).otherwise(inner)
+
+        def shown(acc: Column) -> Column:
+            return F.struct(text.marked_lines(acc["shown"]).alias("shown"), acc["skeleton"].alias("skeleton"), acc["tree_map"].alias("tree_map"))
+
+        return F.aggregate(described, start, fold, shown)
 
-    return F.aggregate(described, start, fold)
+    return text.let(flags, folded)
 
 
 def outline(files: DataFrame, counter: Counter) -> DataFrame:

@@ -62,12 +62,16 @@ def _shown(content: Column) -> Column:
         # most lines have no brace, and only lines at depth zero are looked at further
         braces = F.contains(line, F.lit("{")) | F.contains(line, F.lit("}"))
         after = F.when(braces, F.greatest(F.lit(0), acc["depth"] + brace_delta(line))).otherwise(acc["depth"])
-        grown = F.when((acc["depth"] == 0) & _kept(line), F.concat(acc["shown"], F.array(_outline(line)))).otherwise(acc["shown"])
-        full = F.size(acc["shown"]) >= max(SKELETON_LINES, MAP_LINES)
-        return F.when(full, acc).otherwise(F.struct(after.alias("depth"), grown.alias("shown")))
-
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("shown"))
-    return F.aggregate(items, start, fold, lambda acc: acc["shown"])
+        kept = F.struct(
+            after.alias("depth"), (acc["n"] + 1).alias("n"), F.concat(acc["shown"], F.lit("\n"), _outline(line)).alias("shown")
+        )
+        passed = F.struct(after.alias("depth"), acc["n"].alias("n"), acc["shown"].alias("shown"))
+        full = acc["n"] >= max(SKELETON_LINES, MAP_LINES)
+        return F.when(full, acc).when((acc["depth"] == 0) & _kept(line), kept).otherwise(passed)
+
+    # the state is copied at every line, which costs less for one string than for an array of them
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit("").alias("shown"))
+    return F.aggregate(items, start, fold, lambda acc: text.marked_lines(acc["shown"]))
 
 
 def _variant(shown: Column, limit: int) -> Column:

@@ -164,3 +164,16 @@ def test_objective_c_outlines_are_made_row_by_row(spark, tmp_path):
         ("long.m", "\n".join(functions[:180]), "\n".join(functions[:120])), ("imports.m", closed, closed), ("none.m", "", ""),
         ("empty.m", "", ""), ("null.m", "", ""), ("twice.m", twice, twice), ("twice.m", "@class A;", "@class A;"),
     }
+
+
+def test_config_reads_a_path_once_and_keeps_a_small_state(spark, tmp_path):
+    lines = ["name: demo", "jobs:", *[f"\t  step {i}: x" for i in range(3)], "  - run: y", "", "a,b", "on: push"]
+    spark.createDataFrame([("a.yml", "\n".join(lines))], "path string, content string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    made = config.outline(spark.read.parquet(str(tmp_path / "one")), NATIVE)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # the extension was looked up again at every line, and the lines shown so far were copied one by one
+    assert plan.count(r"\.([^./]+)$") == 1
+    assert "shown:array" not in config._STATE
+    assert made.first().skeleton.split("\n") == ["name: demo", "jobs:", *[f"step {i}: x" for i in range(3)], "- run: y", "on: push"]
+    indents = spark.createDataFrame([("\t a", 3), ("  a\tb", 2), (" \t\ta", 5), ("a", 0), ("   ", 3), ("", 0)], "line string, n int")
+    assert indents.where(text.leading_indent(F.col("line")) != F.col("n")).count() == 0
