@@ -10,6 +10,7 @@ read. Who holds which texts is up to the caller.
 
 from __future__ import annotations
 
+import functools
 import io
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -17,6 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Windows that are computed together; what they need stays in a core's cache.
+CHUNK = 43
+
+
 @dataclass(frozen=True)
 class ModelOptions:
     width: int = 16
@@ -60,23 +65,72 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray) -> dict[str, np.ndarray]:
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "m": m, "h": h, "f": f, "g": h + f @ p["w2"] + p["b2"]}
 
 
-def states(p: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """The last hidden states alone, with fewer passes over memory: masked scores are bounded, not shifted."""
-    t = ids.shape[1]
-    x = p["embed"][ids] + p["place"][:t]
-    a = (x @ (p["q"] / np.float32(np.sqrt(x.shape[2])))) @ (x @ p["k"]).transpose(0, 2, 1)
-    np.minimum(a, np.float32(60), out=a)
+def fused(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Matrices that apply to columns of values, those for the same columns under each other, biases as a last column."""
+    scale = p["embed"].dtype.type(1 / np.sqrt(p["q"].shape[0]))
+    m = {"qkv": np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1), "o": p["o"]} | {
+        name: np.concatenate([p[name], p[bias][None]]) for name, bias in (("w1", "b1"), ("w2", "b2"), ("out", "bias"))
+    }
+    return {name: np.ascontiguousarray(v.T) for name, v in m.items()} | {"place": np.ascontiguousarray(p["place"].T)}
+
+
+def _bounded(scores: np.ndarray, axis: int, hidden: np.ndarray | None = None) -> np.ndarray:
+    """Scores whose exponentials are finite: as they are, or, if some are far from 0, less the largest along ``axis`` that is not ``hidden``."""
+    if scores.size and max(scores.max(), -scores.min()) > 60:
+        if hidden is not None:
+            scores += np.where(hidden, scores.dtype.type(-1e9), 0)
+        scores -= scores.max(axis=axis, keepdims=True)
+    return scores
+
+
+def _over_ones(rows: int, columns: int, kind: np.dtype) -> np.ndarray:
+    out = np.empty((rows + 1, columns), dtype=kind)
+    out[rows] = 1
+    return out
+
+
+def _of_windows(values: np.ndarray, n: int) -> np.ndarray:
+    """Columns of ``n`` windows, by window."""
+    return values.reshape(len(values), n, -1).transpose(1, 0, 2)
+
+
+@functools.lru_cache
+def _seen(t: int, since: int, kind: np.dtype) -> np.ndarray:
+    """1 where a target (column) sees a source (row)."""
+    return np.ascontiguousarray(np.tri(t, dtype=kind).T[:, since:])
+
+
+def states(p: dict[str, np.ndarray], m: dict[str, np.ndarray], ids: np.ndarray, since: int = 0) -> dict[str, np.ndarray]:
+    """Hidden states of the places from ``since`` on, as ``forward`` gives them, a column for each place, with ``m`` of :func:`fused`.
+
+    A last row of ones applies biases. Attention weights, by window, source and target, are not divided by their
+    sums, which that row of the values gives in the same product.
+    """
+    (n, t), d = ids.shape, len(m["o"])
+    size, kind = n * (t - since), m["o"].dtype
+    x = np.ascontiguousarray(p["embed"].take(ids.ravel(), 0).T)
+    x.reshape(d, n, t)[:] += m["place"][:, None, :t]
+    qkv = _over_ones(3 * d, n * t, kind)
+    np.matmul(m["qkv"], x, out=qkv[:-1])
+    q, k, v = _of_windows(qkv[:d], n)[:, :, since:], _of_windows(qkv[d : 2 * d], n), _of_windows(qkv[2 * d :], n)
+    seen = _seen(t, since, kind)
+    a = _bounded(k.transpose(0, 2, 1) @ q, 1, seen == 0)
     np.exp(a, out=a)
-    a *= np.tri(t, dtype=np.float32)
-    # a last column of ones sums the weights in the same product
-    v = np.ones((*ids.shape, x.shape[2] + 1), dtype=np.float32)
-    v[:, :, :-1] = x @ p["v"]
-    m = a @ v
-    h = x + (m[:, :, :-1] / m[:, :, -1:]) @ p["o"]
-    f = h @ p["w1"]
-    f += p["b1"]
+    a *= seen
+    mixed = np.empty((d + 1, size), dtype=kind)
+    np.matmul(v, a, out=_of_windows(mixed, n))
+    mean = mixed[:-1]
+    mean /= mixed[-1]
+    h = _over_ones(d, size, kind)
+    np.matmul(m["o"], mean, out=h[:-1])
+    h[:-1].reshape(d, n, -1)[:] += x.reshape(d, n, t)[:, :, since:]
+    f = _over_ones(len(m["w1"]), size, kind)
+    np.matmul(m["w1"], h, out=f[:-1])
     np.maximum(f, 0, out=f)
-    return h + f @ p["w2"] + p["b2"]
+    g = _over_ones(d, size, kind)
+    np.matmul(m["w2"], f, out=g[:-1])
+    g[:-1] += h[:-1]
+    return {"x": x, "q": q, "k": k, "v": v, "a": a, "sum": mixed[-1], "m": mean, "h": h, "f": f, "g": g}
 
 
 def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -89,38 +143,68 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) ->
 
 def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """The same, with the gradient of what was read at every place instead of that of the embeddings."""
-    s = forward(p, ids)
-    d = ids.shape[1], p["q"].shape[0]
-    flat = lambda z: z.reshape(-1, z.shape[-1])
-    z = flat(s["g"]) @ p["out"] + p["bias"]
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    m, total, out, dx = fused(p), max(1, int((target >= 0).sum())), {}, []
+    loss = 0.0
+    for i in range(0, len(ids), CHUNK):
+        part, grads, read = _chunk_gradients(p, m, ids[i : i + CHUNK], target[i : i + CHUNK], total)
+        loss += part
+        dx.append(read.T)
+        for name, g in grads.items():
+            out[name] = out[name] + g if name in out else g
+    d = p["q"].shape[0]
+    q, k, v = (out["qkv"][:, j * d : (j + 1) * d] for j in range(3))
+    split = {"q": q * p["embed"].dtype.type(1 / np.sqrt(d)), "k": k, "v": v, "o": out["o"], "place": out["place"]}
+    for name, bias in (("w1", "b1"), ("w2", "b2"), ("out", "bias")):
+        split[name], split[bias] = out[name][:-1], out[name][-1]
+    return loss, split, np.concatenate(dx)
+
+
+def _chunk_gradients(
+    p: dict[str, np.ndarray], m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, total: int
+) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """What some windows of a batch with ``total`` targets add to its loss and to the gradients of the matrices, biases as a last row."""
+    s = states(p, m, ids)
+    (n, t), d = ids.shape, len(m["o"])
+    a, f, g, h, mean = s["a"], s["f"], s["g"], s["h"], s["m"]
+    z = _bounded(m["out"] @ g, 0)
     goal = target.ravel()
-    rows = np.flatnonzero(goal >= 0)
-    loss = -float(np.log(z[rows, goal[rows]] + 1e-30).mean())
-    z[rows, goal[rows]] -= 1
-    if len(rows) < len(z):
-        z[goal < 0] = 0
-    z /= len(rows)
-    out = {"out": flat(s["g"]).T @ z, "bias": z.sum(axis=0)}
-    dg = (z @ p["out"].T).reshape(s["g"].shape)
-    out["w2"], out["b2"] = flat(s["f"]).T @ flat(dg), flat(dg).sum(axis=0)
-    df = (dg @ p["w2"].T) * (s["f"] > 0)
-    out["w1"], out["b1"] = flat(s["h"]).T @ flat(df), flat(df).sum(axis=0)
-    dh = dg + df @ p["w1"].T
-    out["o"] = flat(s["m"]).T @ flat(dh)
-    dm = dh @ p["o"].T
-    da = dm @ s["v"].transpose(0, 2, 1)
-    dv = s["a"].transpose(0, 2, 1) @ dm
-    ds = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True)) / np.float32(np.sqrt(d[1]))
-    dq, dk = ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"]
-    for n, g in (("q", dq), ("k", dk), ("v", dv)):
-        out[n] = flat(s["x"]).T @ flat(g)
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    counts = goal >= 0
+    here = np.where(counts, goal, 0), np.arange(len(goal))
+    right = z[here]
+    np.exp(z, out=z)
+    sums = np.ones(len(z), dtype=z.dtype) @ z
+    loss = float(((np.log(sums) - right) * counts).sum()) / total
+    z[here] -= sums
+    # what the columns are divided by is left to the narrower factors
+    per = (counts / (sums * total)).astype(z.dtype)
+    out = {"out": (z @ (g * per).T).T}
+    dg = p["out"] @ z
+    dg *= per
+    out["w2"] = f @ dg.T
+    df = p["w2"] @ dg
+    df *= np.sign(f[:-1])  # 0 or 1
+    out["w1"] = h @ df.T
+    dh = p["w1"] @ df
+    dh += dg
+    out["o"] = mean @ dh.T
+    dm = np.empty((d + 1, n * t), dtype=z.dtype)
+    np.matmul(p["o"], dh, out=dm[:-1])
+    # the last row takes the mean of a place's gradients off in the same product
+    np.negative(np.einsum("ij,ij->j", dm[:-1], mean), out=dm[-1])
+    dm /= s["sum"]
+    dm = _of_windows(dm, n)
+    ds = s["v"].transpose(0, 2, 1) @ dm
+    ds *= a
+    dqkv = np.empty((3 * d, n * t), dtype=z.dtype)
+    dq, dk, dv = (_of_windows(dqkv[j * d : (j + 1) * d], n) for j in range(3))
+    np.matmul(s["k"], ds, out=dq)
+    np.matmul(s["q"], ds.transpose(0, 2, 1), out=dk)
+    np.matmul(dm[:, :-1], a.transpose(0, 2, 1), out=dv)
+    out["qkv"] = s["x"] @ dqkv.T
+    dh += m["qkv"].T @ dqkv
     out["place"] = np.zeros_like(p["place"])
-    out["place"][: d[0]] = dx.sum(axis=0)
-    return loss, out, flat(dx)
+    out["place"][:t] = np.einsum("dnt->td", dh.reshape(d, n, t))
+    return loss, out, dh
 
 
 # -- classes ----------------------------------------------------------------------------------------
@@ -207,6 +291,7 @@ def learn(p: dict[str, np.ndarray], texts: Iterable[np.ndarray], end: int, o: Mo
     second = {n: np.zeros_like(v) for n, v in now.items()}
     used = np.zeros(len(of), dtype=np.int64)
     rate = np.float32(o.rate * (1 - turn / o.rounds) + 1e-4)
+    short = np.uint16 if len(of) <= 1 << 16 else np.int64  # numbers of two bytes are sorted by counting
     step = 0
     if repeats > 1:
         texts = list(texts) * repeats
@@ -219,10 +304,11 @@ def learn(p: dict[str, np.ndarray], texts: Iterable[np.ndarray], end: int, o: Mo
             target = np.where(within, of[ids[np.minimum(at, len(ids) - 1)]], -1)
             _, grads, dx = _gradients(now, read, target)
             used += np.bincount(read[within], minlength=len(of))
-            touched, order = np.unique(read, return_inverse=True)
-            order = order.ravel()
-            sort = np.argsort(order, kind="stable")
-            grads["embed"] = np.add.reduceat(dx[sort], np.searchsorted(order[sort], np.arange(len(touched))))
+            sort = np.argsort(read.ravel().astype(short), kind="stable")
+            order = read.ravel()[sort]
+            begins = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+            touched = order[begins]
+            grads["embed"] = np.add.reduceat(dx[sort], begins)
             step += 1
             warm = rate * np.float32(min(1, step / 20) if turn == 0 else 1)
             for n, g in grads.items():
@@ -310,32 +396,33 @@ def windows(first: np.ndarray, o: ModelOptions) -> tuple[np.ndarray, np.ndarray,
     return begin, length, np.where(number > 0, o.overlap, 0)
 
 
-def log10_scores(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarray, first: np.ndarray, end: int, o: ModelOptions, batch: int = 128) -> np.ndarray:
+def log10_scores(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarray, first: np.ndarray, end: int, o: ModelOptions, batch: int = CHUNK) -> np.ndarray:
     """log10 probability of each text; ``sequence`` holds the ids of all texts, each with its end."""
     found = log10_places(p, share, sequence, first, end, o, batch)
     return np.diff(np.concatenate([[0.0], np.cumsum(found)])[first])
 
 
-def log10_places(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarray, first: np.ndarray, end: int, o: ModelOptions, batch: int = 128) -> np.ndarray:
+def log10_places(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarray, first: np.ndarray, end: int, o: ModelOptions, batch: int = CHUNK) -> np.ndarray:
     """log10 probability of every id of all texts, given those before it in its window."""
     inputs = np.empty_like(sequence)
     inputs[1:] = sequence[:-1]
     inputs[first[:-1][np.diff(first) > 0]] = end
     begin, length, new = windows(first, o)
     found = np.zeros(len(sequence))
-    of = p["classes"]
-    place = np.arange(o.window)
+    goals = p["classes"][sequence]
+    m = fused(p)
     ones = np.ones(len(p["bias"]), dtype=np.float32)
-    for i in range(0, len(begin), batch):
-        b, n, f = begin[i : i + batch, None], length[i : i + batch, None], new[i : i + batch, None]
-        at = np.minimum(b + place, b + n - 1)  # places past the end only follow what is scored
-        scored = (place >= f) & (place < n)
-        z = states(p, inputs[at])[scored] @ p["out"]
-        z += p["bias"]
-        goal = at[scored]
-        right = z[np.arange(len(z)), of[sequence[goal]]]
-        np.minimum(z, np.float32(60), out=z)
-        np.exp(z, out=z)
-        found[goal] = (np.minimum(right, 60) - np.log(z @ ones)) / np.log(10)
+    for since in np.unique(new).tolist():
+        mine = np.flatnonzero(new == since)
+        for i in range(0, len(mine), batch):
+            b, n = begin[mine[i : i + batch], None], length[mine[i : i + batch], None]
+            at = np.minimum(b + np.arange(o.window), b + n - 1)  # places past the end only follow what is scored
+            z = _bounded(m["out"] @ states(p, m, inputs[at], since)["g"], 0)
+            goal = at[:, since:].ravel()
+            right = z[goals[goal], np.arange(len(goal))]
+            np.exp(z, out=z)
+            scores = (right - np.log(ones @ z)) / np.log(10)
+            scored = (np.arange(since, o.window) < n).ravel()
+            found[goal[scored]] = scores[scored]
     found += share[sequence]
     return found

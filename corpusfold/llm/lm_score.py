@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfold.llm import attention
-from corpusfold.llm.packing import Encoder
+from corpusfold.llm.packing import Encoder, gather_runs
 from corpusfold.llm.wordbytes import Words, find_words, hash_words, over_pieces, pieces
 from corpusfold.session import ship_package, stage
 
@@ -59,16 +59,18 @@ def held_out(id: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
 
 
 def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and first place of every distinct word, and which one each word is."""
-    return np.unique(hash_words(words), return_index=True, return_inverse=True)
+    """Hash and first place of every distinct word, as they come, and which one each word is."""
+    which, keys = pd.factorize(hash_words(words))
+    return keys, np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1)), which
 
 
 def _count_words(piece: pa.RecordBatch) -> pa.RecordBatch:
     words = find_words(piece.column("text"), lower=True)
     _, one, which = _distinct(words)
-    return pa.RecordBatch.from_arrays([
-        pa.array([words.text(i) for i in one.tolist()], pa.binary()).cast(pa.string()), pa.array(np.bincount(which, minlength=len(one)).astype(np.int64)),
-    ], ["word", "c"])
+    size = words.end[one] - words.begin[one]
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    texts = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(gather_runs(words.data, words.begin[one], size))])
+    return pa.RecordBatch.from_arrays([texts, pa.array(np.bincount(which, minlength=len(one)).astype(np.int64))], ["word", "c"])
 
 
 def _count_ids(options: ScoreOptions):
@@ -85,9 +87,9 @@ def _count_ids(options: ScoreOptions):
     return run
 
 
-def _sequences(encoder: Encoder, words: Words, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids of all texts, each closed with ``end``, where each text's begin, and where each word's do."""
-    ids, size = encoder.of(words, " ")
+def _sequences(encoder: Encoder, words: Words, end: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all texts, each closed with ``end``, where each text's begin, and where each word's do; ``found`` is their ``_distinct``."""
+    ids, size = encoder.of(words, " ", found)
     at = np.concatenate([[0], np.cumsum(size)])
     first = at[words.first]
     out = np.full(len(ids) + len(first) - 1, end, dtype=np.int64)
@@ -106,7 +108,8 @@ def _staged_ids(options: ScoreOptions):
         kind = np.dtype(_id_type(options))
         row = TaskContext.get().partitionId()
         for piece in pieces(batches, "text"):
-            flat, first, _ = _sequences(encoder, find_words(piece.column("text"), lower=True), options.end)
+            words = find_words(piece.column("text"), lower=True)
+            flat, first, _ = _sequences(encoder, words, options.end, _distinct(words))
             data = pa.py_buffer(flat.astype(kind))
             ids = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer((first * kind.itemsize).astype(np.int32)), data])
             part = (row + np.arange(piece.num_rows)) % options.model.rounds
@@ -213,9 +216,8 @@ class Shared:
 
 
 def _mixed(row: np.ndarray, p: np.ndarray, share: np.ndarray, n: int, mixes: tuple[float, ...]) -> np.ndarray:
-    """Sums by row of the log10 of probabilities ``p`` mixed with the ``share`` (its log10) by each weight, a column for each."""
-    q = 10.0**share
-    return np.stack([np.bincount(row, np.log10(w * p + (1 - w) * q), n) for w in mixes], axis=1)
+    """Sums by row of the log10 of probabilities ``p`` mixed with the ``share`` by each weight, a column for each."""
+    return np.stack([np.bincount(row, np.log10(w * p + (1 - w) * share), n) for w in mixes], axis=1)
 
 
 def _score(shared, options: ScoreOptions):
@@ -227,7 +229,8 @@ def _score(shared, options: ScoreOptions):
         for piece in pieces(batches, "text"):
             words = find_words(piece.column("text"), lower=True)
             n = piece.num_rows
-            flat, first, begin = _sequences(encoder, words, options.end)
+            keys, _, which = found = _distinct(words)
+            flat, first, begin = _sequences(encoder, words, options.end, found)
             places = attention.log10_places(parameters, known.share, flat, first, options.end, options.model)
             total = np.concatenate([[0.0], np.cumsum(places)])
             row = words.rows()
@@ -236,19 +239,17 @@ def _score(shared, options: ScoreOptions):
             last = np.flatnonzero(np.append(row[1:] != row[:-1], True)) if len(row) else np.zeros(0, np.int64)
             stop[last] = first[row[last] + 1] - 1
             context = total[stop[: len(row)]] - total[begin]
-            keys, _, which = _distinct(words)
             at = np.minimum(np.searchsorted(known.hashes, keys), max(0, len(known.hashes) - 1))
             frequent = known.hashes[at] == keys if len(known.hashes) else np.zeros(len(keys), dtype=bool)
             count = known.counts[at] if len(known.hashes) else np.zeros(len(keys))
             hit = frequent[which]
-            of_word, of_end = count[which[hit]], np.full(n, known.ends)
-            base = np.bincount(row[hit], known.log10(of_word), n) + known.log10(of_end)
+            # what depends on the count alone is computed once a distinct word; the end is a word of its own
+            one = which[hit]
+            base = np.bincount(row[hit], known.log10(count)[one], n) + known.log10(np.float64(known.ends))
             n_known = np.bincount(row[hit], minlength=n) + (known.ends > 0)
-            # the end is a word of its own
-            both, rows = np.concatenate([context[hit], places[first[1:] - 1]]), np.concatenate([row[hit], np.arange(n)])
-            counts = np.concatenate([of_word, of_end])
-            p = 10.0**both
-            scores, left_out = (_mixed(rows, p, known.log10(counts, less), n, options.mixes) for less in (0, 1))
+            p, rows = 10.0 ** np.concatenate([context[hit], places[first[1:] - 1]]), np.concatenate([row[hit], np.arange(n)])
+            count, one = np.append(count, known.ends), np.concatenate([one, np.full(n, len(count))])
+            scores, left_out = (_mixed(rows, p, (10.0 ** known.log10(count, less))[one], n, options.mixes) for less in (0, 1))
             offsets = pa.array(np.searchsorted(row[~hit], np.arange(n + 1)).astype(np.int32))
 
             def lists(values: np.ndarray) -> pa.Array:

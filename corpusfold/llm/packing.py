@@ -105,12 +105,15 @@ class Encoder:
         sizes = np.concatenate([np.diff(self.first), size])
         order = np.argsort(all_keys)
         starts = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum(size) - size])[order]
-        self.ids = _gather(np.concatenate([self.ids, fresh]), starts, sizes[order])
+        self.ids = gather_runs(np.concatenate([self.ids, fresh]), starts, sizes[order])
         self.keys, self.first = all_keys[order], np.concatenate([[0], np.cumsum(sizes[order])])
 
-    def of(self, words: Words, lead: str = "") -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, each read with ``lead`` before it, and how many every word has."""
-        keys, one, which = np.unique(hash_words(words), return_index=True, return_inverse=True)
+    def of(self, words: Words, lead: str = "", found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, each read with ``lead`` before it, and how many every word has.
+
+        ``found`` has the hashes of the distinct words, a place of each, and which one every word is, where the caller knows.
+        """
+        keys, one, which = found or np.unique(hash_words(words), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.limit:
             self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
         new = ~np.isin(keys, self.keys)
@@ -120,7 +123,7 @@ class Encoder:
             self._learn(keys[new], [lead + raw[a:b].decode() for a, b in places])
         at = np.searchsorted(self.keys, keys)
         start, size = self.first[at][which], np.diff(self.first)[at][which]
-        return _gather(self.ids, start, size), size
+        return gather_runs(self.ids, start, size), size
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin."""
@@ -129,7 +132,7 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(size)])[u.first]
 
 
-def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def gather_runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that begin at ``start``, one after the other."""
     before = np.cumsum(size) - size
     return values[np.repeat(start - before, size) + np.arange(int(size.sum()))]

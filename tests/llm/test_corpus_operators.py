@@ -290,6 +290,24 @@ def test_windows_score_each_id_once():
         assert got[k] == pytest.approx(total, rel=1e-4, abs=1e-4)
 
 
+def test_scores_far_from_zero_are_exact():
+    """Attention scores and class scores beyond what an exponential holds; windows of several chunks in a batch."""
+    o = attention.ModelOptions()
+    rng = np.random.default_rng(1)
+    p = attention.start(50, o, rng) | {"classes": np.arange(50) % (o.single + o.clusters)}
+    for name in ("q", "k", "out"):
+        p[name] *= 40
+    ids = rng.integers(0, 50, (attention.CHUNK + 9, o.window))
+    first = np.arange(len(ids) + 1) * o.window
+    inputs = np.concatenate([np.full((len(ids), 1), 49), ids[:, :-1]], axis=1)
+    z = (attention.forward(p, inputs)["g"] @ p["out"] + p["bias"]).astype(np.float64)
+    assert z.max() > 100
+    z -= z.max(axis=2, keepdims=True)
+    want = np.take_along_axis(z, p["classes"][ids][:, :, None], 2)[:, :, 0] - np.log(np.exp(z).sum(axis=2))
+    got = attention.log10_scores(p, np.zeros(50), ids.ravel(), first, 49, o)
+    assert np.allclose(got, want.sum(axis=1) / np.log(10), rtol=1e-3)
+
+
 @pytest.mark.parametrize("limit", [1 << 19, 30])
 def test_lm_scores(make, awkward, empty, limit):
     options = lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken"), frequent_limit=limit, model=attention.ModelOptions(steps=30, batch=16))
