@@ -19,7 +19,12 @@ import numpy as np
 
 
 #: Windows that are computed together; what they need stays in a core's cache.
-CHUNK = 43
+CHUNK = 56
+#: Products with this many multiplications at most are done without copying their factors into another order first.
+SMALL = 1_000_000
+#: Scores are kept in units whose exponentials numpy takes fastest: of base 2 where it has vector code for them.
+BASE2 = "AVX512" in str(np.lib.introspect.opt_func_info(func_name="^exp2$", signature="float32"))
+exponential, UNIT = (np.exp2, float(np.log2(np.e))) if BASE2 else (np.exp, 1.0)
 
 
 @dataclass(frozen=True)
@@ -66,21 +71,25 @@ def forward(p: dict[str, np.ndarray], ids: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def fused(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Matrices that apply to columns of values, those for the same columns under each other, biases as a last column."""
-    scale = p["embed"].dtype.type(1 / np.sqrt(p["q"].shape[0]))
-    m = {"qkv": np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1), "o": p["o"]} | {
+    """Matrices that apply to columns of values, those for the same columns under each other, biases as a last column.
+
+    The matrix of the queries holds that of the keys, too, so that the values themselves are the keys, and the matrix of
+    what is mixed holds that of the output. ``back`` takes gradients the other way; class scores become rows.
+    """
+    kind, d = p["embed"].dtype.type, len(p["q"])
+    pair, mixed = p["q"] @ p["k"].T * kind(1 / np.sqrt(d)), p["v"] @ p["o"]
+    m = {"qv": np.concatenate([pair * kind(UNIT), mixed], axis=1)} | {
         name: np.concatenate([p[name], p[bias][None]]) for name, bias in (("w1", "b1"), ("w2", "b2"), ("out", "bias"))
     }
-    return {name: np.ascontiguousarray(v.T) for name, v in m.items()} | {"place": np.ascontiguousarray(p["place"].T)}
+    m["out"] = (m["out"] * kind(UNIT)).T
+    return {name: np.ascontiguousarray(v.T) for name, v in m.items()} | {
+        "back": np.concatenate([pair, mixed], axis=1), "classes": np.ascontiguousarray(p["out"].T),
+    }
 
 
-def _bounded(scores: np.ndarray, axis: int, hidden: np.ndarray | None = None) -> np.ndarray:
-    """Scores whose exponentials are finite: as they are, or, if some are far from 0, less the largest along ``axis`` that is not ``hidden``."""
-    if scores.size and max(scores.max(), -scores.min()) > 60:
-        if hidden is not None:
-            scores += np.where(hidden, scores.dtype.type(-1e9), 0)
-        scores -= scores.max(axis=axis, keepdims=True)
-    return scores
+def _summable(sums: np.ndarray) -> bool:
+    """Whether powers with these sums were exact enough: else some scores are far from 0."""
+    return not sums.size or bool(sums.min() > 1e-20 and sums.max() < 1e25)
 
 
 def _over_ones(rows: int, columns: int, kind: np.dtype) -> np.ndarray:
@@ -104,26 +113,31 @@ def states(p: dict[str, np.ndarray], m: dict[str, np.ndarray], ids: np.ndarray,
     """Hidden states of the places from ``since`` on, as ``forward`` gives them, a column for each place, with ``m`` of :func:`fused`.
 
     A last row of ones applies biases. Attention weights, by window, source and target, are not divided by their
-    sums, which that row of the values gives in the same product.
+    sums, which that row of the values gives in the same product. Powers may overflow on the way, which the caller is to allow.
     """
-    (n, t), d = ids.shape, len(m["o"])
-    size, kind = n * (t - since), m["o"].dtype
-    x = np.ascontiguousarray(p["embed"].take(ids.ravel(), 0).T)
-    x.reshape(d, n, t)[:] += m["place"][:, None, :t]
-    qkv = _over_ones(3 * d, n * t, kind)
-    np.matmul(m["qkv"], x, out=qkv[:-1])
-    q, k, v = _of_windows(qkv[:d], n)[:, :, since:], _of_windows(qkv[d : 2 * d], n), _of_windows(qkv[2 * d :], n)
-    seen = _seen(t, since, kind)
-    a = _bounded(k.transpose(0, 2, 1) @ q, 1, seen == 0)
-    np.exp(a, out=a)
-    a *= seen
-    mixed = np.empty((d + 1, size), dtype=kind)
-    np.matmul(v, a, out=_of_windows(mixed, n))
+    (n, t), d = ids.shape, len(m["back"])
+    size, kind = n * (t - since), m["back"].dtype
+    x = p["embed"].take(ids.ravel(), 0)
+    x.reshape(n, -1)[:] += p["place"][:t].ravel()
+    x = np.ascontiguousarray(x.T)
+    qv = _over_ones(2 * d, n * t, kind)
+    np.matmul(m["qv"], x, out=qv[:-1])
+    q, k, v = _of_windows(qv[:d], n)[:, :, since:], _of_windows(x, n), _of_windows(qv[d:], n)
+    seen, mixed = _seen(t, since, kind), np.empty((d + 1, size), dtype=kind)
+    for far in (False, True):
+        a = k.transpose(0, 2, 1) @ q
+        if far:
+            a += np.where(seen == 0, kind.type(-1e9), 0)
+            a -= a.max(axis=1, keepdims=True)
+        exponential(a, out=a)
+        a *= seen
+        np.matmul(v, a, out=_of_windows(mixed, n))
+        if _summable(mixed[-1]):
+            break
     mean = mixed[:-1]
     mean /= mixed[-1]
     h = _over_ones(d, size, kind)
-    np.matmul(m["o"], mean, out=h[:-1])
-    h[:-1].reshape(d, n, -1)[:] += x.reshape(d, n, t)[:, :, since:]
+    np.add(mean.reshape(d, n, -1), x.reshape(d, n, t)[:, :, since:], out=h[:-1].reshape(d, n, -1))
     f = _over_ones(len(m["w1"]), size, kind)
     np.matmul(m["w1"], h, out=f[:-1])
     np.maximum(f, 0, out=f)
@@ -133,6 +147,34 @@ def states(p: dict[str, np.ndarray], m: dict[str, np.ndarray], ids: np.ndarray,
     return {"x": x, "q": q, "k": k, "v": v, "a": a, "sum": mixed[-1], "m": mean, "h": h, "f": f, "g": g}
 
 
+def _runs(size: int, other: int) -> list[slice]:
+    """Cuts ``size`` places into runs whose products with matrices of ``other`` numbers are small."""
+    most = max(32, SMALL // other // 32 * 32)
+    step = -(-size // max(1, -(-size // most)) // 32) * 32 or 1  # whole vectors
+    return [slice(at, at + step) for at in range(0, size, step)]
+
+
+def _class_powers(m: dict[str, np.ndarray], g: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every column of ``g`` a row of powers of the class scores, their sum, the score of the class ``goal`` and its place among all.
+
+    Powers may overflow on the way, which the caller is to allow.
+    """
+    z = np.empty((g.shape[1], m["out"].shape[1]), dtype=g.dtype)
+    ones, at = np.ones(z.shape[1], dtype=g.dtype), np.arange(0, z.size, z.shape[1])
+    at += goal
+    for far in (False, True):
+        for run in _runs(len(z), m["out"].size):
+            np.matmul(g[:, run].T, m["out"], out=z[run])
+        if far:
+            z -= z.max(axis=1, keepdims=True)
+        right = z.ravel().take(at)
+        exponential(z, out=z)
+        sums = z @ ones
+        if _summable(sums):
+            break
+    return z, sums, right, at
+
+
 def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross entropy of the classes ``target`` and its gradient; places with a negative target do not count."""
     loss, out, dx = _gradients(p, ids, target)
@@ -141,70 +183,70 @@ def gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) ->
     return loss, out | {"embed": embed}
 
 
-def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """The same, with the gradient of what was read at every place instead of that of the embeddings."""
-    m, total, out, dx = fused(p), max(1, int((target >= 0).sum())), {}, []
-    loss = 0.0
-    for i in range(0, len(ids), CHUNK):
-        part, grads, read = _chunk_gradients(p, m, ids[i : i + CHUNK], target[i : i + CHUNK], total)
-        loss += part
-        dx.append(read.T)
-        for name, g in grads.items():
-            out[name] = out[name] + g if name in out else g
-    d = p["q"].shape[0]
-    q, k, v = (out["qkv"][:, j * d : (j + 1) * d] for j in range(3))
-    split = {"q": q * p["embed"].dtype.type(1 / np.sqrt(d)), "k": k, "v": v, "o": out["o"], "place": out["place"]}
+def _gradients(p: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, measured: bool = True) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """The same, with the gradient of what was read at every place instead of that of the embeddings; a loss of 0 if it is not ``measured``."""
+    m, total, out, dx = fused(p), max(1, int((target >= 0).sum())), {}, np.empty((ids.size, len(p["q"])), dtype=p["embed"].dtype)
+    loss, t = 0.0, ids.shape[1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(0, len(ids), CHUNK):
+            part, grads = _chunk_gradients(p, m, ids[i : i + CHUNK], target[i : i + CHUNK], total, dx[i * t : (i + CHUNK) * t], measured)
+            loss += part
+            for name, g in grads.items():
+                out[name] = out[name] + g if name in out else g
+    place = np.zeros_like(p["place"])
+    place[:t] = (np.ones(len(ids), dtype=dx.dtype) @ dx.reshape(len(ids), -1)).reshape(t, -1)
+    d = len(p["q"])
+    pair, mixed = out["qv"][:, :d] * p["embed"].dtype.type(1 / np.sqrt(d)), out["qv"][:, d:]
+    split = {"q": pair @ p["k"], "k": pair.T @ p["q"], "v": mixed @ p["o"].T, "o": p["v"].T @ mixed, "place": place}
     for name, bias in (("w1", "b1"), ("w2", "b2"), ("out", "bias")):
         split[name], split[bias] = out[name][:-1], out[name][-1]
-    return loss, split, np.concatenate(dx)
+    return loss, split, dx
 
 
 def _chunk_gradients(
-    p: dict[str, np.ndarray], m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, total: int
-) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-    """What some windows of a batch with ``total`` targets add to its loss and to the gradients of the matrices, biases as a last row."""
+    p: dict[str, np.ndarray], m: dict[str, np.ndarray], ids: np.ndarray, target: np.ndarray, total: int, dx: np.ndarray, measured: bool
+) -> tuple[float, dict[str, np.ndarray]]:
+    """What some windows of a batch with ``total`` targets add to its loss and to the gradients of the matrices, biases as a last row.
+
+    The gradient of what is read at every place is written to the rows of ``dx``.
+    """
     s = states(p, m, ids)
-    (n, t), d = ids.shape, len(m["o"])
+    (n, t), d = ids.shape, len(m["back"])
     a, f, g, h, mean = s["a"], s["f"], s["g"], s["h"], s["m"]
-    z = _bounded(m["out"] @ g, 0)
+    kind = g.dtype
     goal = target.ravel()
-    counts = goal >= 0
-    here = np.where(counts, goal, 0), np.arange(len(goal))
-    right = z[here]
-    np.exp(z, out=z)
-    sums = np.ones(len(z), dtype=z.dtype) @ z
-    loss = float(((np.log(sums) - right) * counts).sum()) / total
-    z[here] -= sums
-    # what the columns are divided by is left to the narrower factors
-    per = (counts / (sums * total)).astype(z.dtype)
-    out = {"out": (z @ (g * per).T).T}
-    dg = p["out"] @ z
-    dg *= per
+    counts = (goal >= 0).astype(kind)
+    z, sums, right, here = _class_powers(m, g, np.maximum(goal, 0))
+    loss = float((np.log(sums) - right * kind.type(1 / UNIT)) @ counts) / total if measured else 0.0
+    z.ravel()[here] -= sums
+    # what the rows are divided by is left to the narrower factors
+    per = counts / (sums * kind.type(total))
+    parts, weighted, dg = [], g * per, np.empty((d, n * t), dtype=kind)
+    for run in _runs(len(z), m["out"].size):
+        parts.append(weighted[:, run] @ z[run])
+        np.multiply((z[run] @ m["classes"]).T, per[run], out=dg[:, run])
+    out = {"out": sum(parts[1:], start=parts[0])}
     out["w2"] = f @ dg.T
     df = p["w2"] @ dg
-    df *= np.sign(f[:-1])  # 0 or 1
+    df *= f[:-1] > 0
     out["w1"] = h @ df.T
     dh = p["w1"] @ df
     dh += dg
-    out["o"] = mean @ dh.T
-    dm = np.empty((d + 1, n * t), dtype=z.dtype)
-    np.matmul(p["o"], dh, out=dm[:-1])
+    dm = np.empty((d + 1, n * t), dtype=kind)
+    np.multiply(dh, 1 / s["sum"], out=dm[:-1])
     # the last row takes the mean of a place's gradients off in the same product
-    np.negative(np.einsum("ij,ij->j", dm[:-1], mean), out=dm[-1])
-    dm /= s["sum"]
+    np.matmul(-np.ones(d, dtype=kind), dm[:-1] * mean, out=dm[-1])
     dm = _of_windows(dm, n)
     ds = s["v"].transpose(0, 2, 1) @ dm
     ds *= a
-    dqkv = np.empty((3 * d, n * t), dtype=z.dtype)
-    dq, dk, dv = (_of_windows(dqkv[j * d : (j + 1) * d], n) for j in range(3))
-    np.matmul(s["k"], ds, out=dq)
-    np.matmul(s["q"], ds.transpose(0, 2, 1), out=dk)
-    np.matmul(dm[:, :-1], a.transpose(0, 2, 1), out=dv)
-    out["qkv"] = s["x"] @ dqkv.T
-    dh += m["qkv"].T @ dqkv
-    out["place"] = np.zeros_like(p["place"])
-    out["place"][:t] = np.einsum("dnt->td", dh.reshape(d, n, t))
-    return loss, out, dh
+    dqv = np.empty((2 * d, n * t), dtype=kind)
+    np.matmul(s["k"], ds, out=_of_windows(dqv[:d], n))
+    np.matmul(dm[:, :-1], a.transpose(0, 2, 1), out=_of_windows(dqv[d:], n))
+    out["qv"] = s["x"] @ dqv.T
+    dh += m["back"] @ dqv
+    np.matmul(ds, (s["x"].T @ m["back"][:, :d]).reshape(n, t, d), out=dx.reshape(n, t, d))
+    dx += dh.T
+    return loss, out
 
 
 # -- classes ----------------------------------------------------------------------------------------
@@ -225,7 +267,15 @@ def neighbours(texts: Iterable[np.ndarray], place: np.ndarray, rank: np.ndarray,
 
     ``texts`` are sequences of whole texts, each closed with ``end``. Before a text stands an end, after it nothing.
     """
-    table = np.zeros((int(place.max()) + 1) * 2 * o.near, dtype=np.int32)
+    size = (int(place.max()) + 1) * 2 * o.near
+    # the number of a pair is a sum of what either side gives; below 0 where one of them does not count
+    never = -max(1, size)
+    mine, other = np.where(place >= 0, place * (2 * o.near), never), np.where(rank < o.near, rank, never)
+    ahead = mine + o.near
+    ahead[end] = never
+    kind = np.int32 if size < 1 << 30 else np.int64
+    mine, other, ahead = (v.astype(kind) for v in (mine, other, ahead))
+    table = np.zeros(size, dtype=np.int32)
     read = 0
     for ids in texts:
         if not len(table) or not len(ids):
@@ -236,14 +286,11 @@ def neighbours(texts: Iterable[np.ndarray], place: np.ndarray, rank: np.ndarray,
             read = 0
         read += len(ids)
         for at in range(0, len(ids), 1 << 20):
-            part = ids[at : at + (1 << 20)]
-            before = np.concatenate([[end if at == 0 else ids[at - 1]], part[:-1]])
-            after = ids[at + 1 : at + 1 + len(part)]
-            for me, other, side in ((part, before, 0), (part[: len(after)], after, o.near)):
-                ok = (place[me] >= 0) & (rank[other] < o.near)
-                if side:
-                    ok &= me != end
-                np.add.at(table, place[me[ok]] * (2 * o.near) + rank[other[ok]] + side, 1)
+            part = ids[at : at + (1 << 20) + 1]
+            follows = other[part]
+            first = mine[part[:1]] + other[end] if at == 0 else part[:0]
+            for pair in (first, mine[part[1:]] + follows[:-1], ahead[part[:-1]] + follows[1:]):
+                np.add.at(table, pair[pair >= 0].astype(np.intp), np.int32(1))  # other types are added far slower
     yield (seen := np.flatnonzero(table)), table[seen].astype(np.int64)
 
 
@@ -285,10 +332,11 @@ def learn(p: dict[str, np.ndarray], texts: Iterable[np.ndarray], end: int, o: Mo
     The weight of an embedding is how often its id was read, that of other parameters how many ids there were.
     """
     rng = np.random.default_rng((turn, seed))
-    of = p["classes"]
-    now = {n: v.copy() for n, v in p.items() if n != "classes"}
-    first = {n: np.zeros_like(v) for n, v in now.items()}
-    second = {n: np.zeros_like(v) for n, v in now.items()}
+    of = p["classes"].astype(np.int32)
+    names = [n for n in p if n not in ("embed", "classes")]
+    embed, rest = p["embed"].copy(), np.concatenate([p[n].ravel() for n in names])
+    now = {"embed": embed} | _parts(p, rest)
+    table, flat = [embed, np.zeros_like(embed), np.zeros_like(embed)], [rest, np.zeros_like(rest), np.zeros_like(rest)]
     used = np.zeros(len(of), dtype=np.int64)
     rate = np.float32(o.rate * (1 - turn / o.rounds) + 1e-4)
     short = np.uint16 if len(of) <= 1 << 16 else np.int64  # numbers of two bytes are sorted by counting
@@ -296,34 +344,66 @@ def learn(p: dict[str, np.ndarray], texts: Iterable[np.ndarray], end: int, o: Mo
     if repeats > 1:
         texts = list(texts) * repeats
     for ids in texts:
-        begin = rng.permutation(-(-len(ids) // o.window)) * o.window
-        for i in range(0, len(begin), o.batch):
-            at = begin[i : i + o.batch, None] + np.arange(o.window)
-            within = at < len(ids)
-            read = np.where(at > 0, ids[np.minimum(at, len(ids)) - 1], end)
-            target = np.where(within, of[ids[np.minimum(at, len(ids) - 1)]], -1)
-            _, grads, dx = _gradients(now, read, target)
-            used += np.bincount(read[within], minlength=len(of))
-            sort = np.argsort(read.ravel().astype(short), kind="stable")
-            order = read.ravel()[sort]
+        if not len(ids):
+            continue
+        n = -(-len(ids) // o.window)
+        # what is read at a place comes before what is predicted there; places past the end read the last id again
+        line = np.concatenate([[end], ids, np.repeat(ids[-1:], n * o.window - len(ids))]).astype(np.int32)
+        reads, targets = line[:-1].reshape(n, -1), line[1:].reshape(n, -1)
+        for at in range(0, len(ids), 1 << 20):
+            used += np.bincount(line[at : min(len(ids), at + (1 << 20))], minlength=len(of))
+        begin = rng.permutation(n)
+        for i in range(0, n, o.batch):
+            rows = begin[i : i + o.batch]
+            read, target = reads[rows], of[targets[rows]]
+            if len(ids) < n * o.window:
+                target[rows == n - 1, len(ids) - n * o.window :] = -1
+            _, grads, dx = _gradients(now, read, target, measured=False)
+            key = read.ravel().astype(short)
+            sort = np.argsort(key, kind="stable")
+            order = key[sort]
             begins = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-            touched = order[begins]
-            grads["embed"] = np.add.reduceat(dx[sort], begins)
+            touched = order[begins].astype(np.intp)
             step += 1
             warm = rate * np.float32(min(1, step / 20) if turn == 0 else 1)
-            for n, g in grads.items():
-                # embeddings that were not read stay as they are
-                rows = touched if n == "embed" else slice(None)
-                m, v = first[n][rows], second[n][rows]
-                m += (g - m) * np.float32(0.1)
-                v += (g * g - v) * np.float32(0.01)
-                first[n][rows], second[n][rows] = m, v
-                now[n][rows] -= warm * (m / np.float32(1 - 0.9**step)) / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            # embeddings that were not read stay as they are
+            mine = [v.take(touched, 0) for v in table]
+            _adam(*mine, np.add.reduceat(dx.take(sort, 0), begins), warm, step)
+            for whole, v in zip(table, mine):
+                whole[touched] = v
+            _adam(*flat, np.concatenate([grads[n].ravel() for n in names]), warm, step)
     before = as_rows(p)
     weight = np.concatenate([used, np.full(len(before) - len(used), used.sum())]).astype(np.float64)
     return as_rows(now) - before, weight
 
 
+def _adam(now: np.ndarray, first: np.ndarray, second: np.ndarray, g: np.ndarray, rate: np.float32, step: int) -> None:
+    """A step of Adam in place."""
+    by = g - first
+    by *= np.float32(0.1)
+    first += by
+    np.multiply(g, g, out=by)
+    by -= second
+    by *= np.float32(0.01)
+    second += by
+    np.divide(second, np.float32(1 - 0.99**step), out=by)
+    np.sqrt(by, out=by)
+    by += np.float32(1e-8)
+    np.divide(first, by, out=by)
+    by *= rate / np.float32(1 - 0.9**step)
+    now -= by
+
+
+def _parts(p: dict[str, np.ndarray], rest: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of ``rest``, which holds all parameters but the embeddings one after the other."""
+    out, at = {}, 0
+    for n, v in p.items():
+        if n not in ("embed", "classes"):
+            out[n] = rest[at : at + v.size].reshape(v.shape)
+            at += v.size
+    return out
+
+
 def as_rows(p: dict[str, np.ndarray]) -> np.ndarray:
     """All parameters as rows: the embeddings, and the others one after the other."""
     width = p["embed"].shape[1]
@@ -334,12 +414,7 @@ def as_rows(p: dict[str, np.ndarray]) -> np.ndarray:
 def moved(p: dict[str, np.ndarray], change: np.ndarray) -> dict[str, np.ndarray]:
     """Parameters with ``change`` added to their ``as_rows``."""
     rows = as_rows(p) + change
-    out, rest, at = {"embed": rows[: len(p["embed"])]}, rows[len(p["embed"]) :].ravel(), 0
-    for n, v in p.items():
-        if n not in ("embed", "classes"):
-            out[n] = rest[at : at + v.size].reshape(v.shape)
-            at += v.size
-    return out | {"classes": p["classes"]}
+    return {"embed": rows[: len(p["embed"])]} | _parts(p, rows[len(p["embed"]) :].ravel()) | {"classes": p["classes"]}
 
 
 def begun(count: np.ndarray, pairs: np.ndarray, times: np.ndarray, o: ModelOptions) -> dict[str, np.ndarray]:
@@ -404,25 +479,27 @@ def log10_scores(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarr
 
 def log10_places(p: dict[str, np.ndarray], share: np.ndarray, sequence: np.ndarray, first: np.ndarray, end: int, o: ModelOptions, batch: int = CHUNK) -> np.ndarray:
     """log10 probability of every id of all texts, given those before it in its window."""
-    inputs = np.empty_like(sequence)
-    inputs[1:] = sequence[:-1]
+    past = len(sequence)  # a place of its own for what a window has past its end, which only follows what is scored
+    inputs = np.zeros(past + 1, dtype=np.int32)
+    inputs[1:past] = sequence[:-1]
     inputs[first[:-1][np.diff(first) > 0]] = end
+    inputs[past] = end
     begin, length, new = windows(first, o)
-    found = np.zeros(len(sequence))
-    goals = p["classes"][sequence]
+    found = np.zeros(past + 1)
+    goals = np.append(p["classes"].astype(np.int32).take(sequence), np.int32(0))
     m = fused(p)
-    ones = np.ones(len(p["bias"]), dtype=np.float32)
-    for since in np.unique(new).tolist():
-        mine = np.flatnonzero(new == since)
-        for i in range(0, len(mine), batch):
-            b, n = begin[mine[i : i + batch], None], length[mine[i : i + batch], None]
-            at = np.minimum(b + np.arange(o.window), b + n - 1)  # places past the end only follow what is scored
-            z = _bounded(m["out"] @ states(p, m, inputs[at], since)["g"], 0)
-            goal = at[:, since:].ravel()
-            right = z[goals[goal], np.arange(len(goal))]
-            np.exp(z, out=z)
-            scores = (right - np.log(ones @ z)) / np.log(10)
-            scored = (np.arange(since, o.window) < n).ravel()
-            found[goal[scored]] = scores[scored]
-    found += share[sequence]
+    place, unit, tens = np.arange(o.window), np.float32(1 / UNIT), np.float32(1 / np.log(10))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for since in np.unique(new).tolist():
+            mine = np.flatnonzero(new == since)
+            for i in range(0, len(mine), batch):
+                b, n = begin[mine[i : i + batch], None], length[mine[i : i + batch], None]
+                at = b + place
+                if n.min() < o.window:
+                    at[place >= n] = past
+                goal = at[:, since:].ravel()
+                _, sums, right, _ = _class_powers(m, states(p, m, inputs.take(at), since)["g"], goals.take(goal))
+                found[goal] = (right * unit - np.log(sums)) * tens
+    found = found[:past]
+    found += share.take(sequence)
     return found

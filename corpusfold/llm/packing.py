@@ -69,44 +69,85 @@ def units(column: pa.Array) -> Words:
 
 
 def _described(path: str):
-    """Ids of many texts by a tokenizer file."""
+    """Ids of many texts by a tokenizer file, and the bytes of every id, as far as they are known."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    first = {i: token.replace("\u0120", " ").encode() for token, i in tokenizer.get_vocab().items()}
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], first
 
 
 def _ranked(path: str):
-    """The same ids by the file of the byte pairs with their ranks, for an encoder that is faster on short texts."""
+    """The same by the file of the byte pairs with their ranks, for an encoder that is faster on short texts."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+    return lambda texts: [encoding.encode_ordinary(t) for t in texts], {rank: token for token, rank in ranks.items()}
 
 
 class Encoder:
     """Token ids of units, each distinct one encoded once while it is remembered."""
 
     def __init__(self, vocabulary: str, limit: int = 1 << 20):
-        self.batch = _ranked(vocabulary) if vocabulary.endswith(".tiktoken") else _described(vocabulary)
+        ranked = vocabulary.endswith(".tiktoken")
+        self.batch, known = _ranked(vocabulary) if ranked else _described(vocabulary)
         self.limit = limit
-        self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        coded = self.batch(texts)
-        size = np.array([len(c) for c in coded], dtype=np.int64)
-        fresh = np.array([i for c in coded for i in c], dtype=np.int32)
-        all_keys = np.concatenate([self.keys, keys])
-        sizes = np.concatenate([np.diff(self.first), size])
-        order = np.argsort(all_keys)
-        starts = np.concatenate([self.first[:-1], len(self.ids) + np.cumsum(size) - size])[order]
-        self.ids = gather_runs(np.concatenate([self.ids, fresh]), starts, sizes[order])
-        self.keys, self.first = all_keys[order], np.concatenate([[0], np.cumsum(sizes[order])])
+        self.leads = np.zeros(max(known, default=-1) + 1, dtype=bool)  #: which ids begin with a space
+        self.leads[[i for i, token in known.items() if token[:1] == b" "]] = True
+        self.width = None  #: how many bytes an id stands for
+        if ranked:
+            self.width = np.zeros(len(self.leads), dtype=np.int64)
+            self.width[list(known)] = [len(token) for token in known.values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _joined(self, words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words after a space each, and how many each has, encoded as one text; none if an id reaches over a space.
+
+        No word may have white space beyond ASCII, see :func:`units`.
+        """
+        size = words.end[chosen] - words.begin[chosen]
+        stop = np.cumsum(size + 1)
+        text, letters = np.full(stop[-1], 32, dtype=np.uint8), np.ones(stop[-1], dtype=bool)
+        letters[stop - size - 1] = False
+        text[letters] = gather_runs(words.data, words.begin[chosen], size)
+        ids = np.array(self.batch([text.tobytes().decode()])[0], dtype=np.int32)
+        at = np.cumsum(self.width[ids])
+        last = np.searchsorted(at, stop)
+        return (ids, np.diff(last, prepend=-1)) if at[-1] == stop[-1] and (at[last] == stop).all() else None
+
+    def _coded(self, words: Words, chosen: np.ndarray, lead: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of some words, and for each of these where its ids begin and how many they are."""
+        alone = np.ones(len(chosen), dtype=bool)
+        size, parts = np.zeros(len(chosen), dtype=np.int64), []
+        if lead == " " and self.width is not None:
+            # what may begin a wide white space; words never hold another
+            wide = np.flatnonzero((words.data == 0xC2) | (words.data >= 0xE1) & (words.data <= 0xE3))
+            alone = np.searchsorted(wide, words.end[chosen]) > np.searchsorted(wide, words.begin[chosen])
+            if not alone.all():
+                made = self._joined(words, chosen[~alone])
+                if made is None:
+                    alone[:] = True
+                else:
+                    parts.append(made[0])
+                    size[~alone] = made[1]
+        if alone.any():
+            raw, mine = words.data.tobytes(), chosen[alone]
+            coded = self.batch([lead + raw[a:b].decode() for a, b in zip(words.begin[mine].tolist(), words.end[mine].tolist())])
+            size[alone] = [len(c) for c in coded]
+            parts.append(np.array([i for c in coded for i in c], dtype=np.int32))
+        order = np.argsort(alone, kind="stable")
+        start = np.empty(len(chosen), dtype=np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(parts), start, size
 
     def of(self, words: Words, lead: str = "", found: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, each read with ``lead`` before it, and how many every word has.
@@ -115,15 +156,23 @@ class Encoder:
         """
         keys, one, which = found or np.unique(hash_words(words), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > self.limit:
-            self.keys, self.first, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-        new = ~np.isin(keys, self.keys)
+            self._forget()
+        at = find(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        start, size = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
+        start[~new], size[~new] = self.start[at[~new]], self.size[at[~new]]
         if new.any():
-            raw, chosen = words.data.tobytes(), one[new]
-            places = zip(words.begin[chosen].tolist(), words.end[chosen].tolist())
-            self._learn(keys[new], [lead + raw[a:b].decode() for a, b in places])
-        at = np.searchsorted(self.keys, keys)
-        start, size = self.first[at][which], np.diff(self.first)[at][which]
-        return gather_runs(self.ids, start, size), size
+            ids, start[new], size[new] = self._coded(words, one[new], lead)
+            start[new] += len(self.ids)
+            self.ids = np.concatenate([self.ids, ids])
+            sort = np.argsort(keys[new])
+            to = at[new][sort]
+            self.keys = np.insert(self.keys, to, keys[new][sort])
+            self.start, self.size = np.insert(self.start, to, start[new][sort]), np.insert(self.size, to, size[new][sort])
+        size = size[which]
+        return gather_runs(self.ids, start[which], size), size
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin."""
@@ -135,7 +184,16 @@ class Encoder:
 def gather_runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that begin at ``start``, one after the other."""
     before = np.cumsum(size) - size
-    return values[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+    at = np.repeat(start - before, size)
+    at += np.arange(len(at))
+    return values.take(at)
+
+
+def find(values: np.ndarray, these: np.ndarray) -> np.ndarray:
+    """Where ``these`` belong in sorted ``values``; they are looked up in order, which is faster in a large table."""
+    order, out = np.argsort(these), np.empty(len(these), dtype=np.int64)
+    out[order] = np.searchsorted(values, these[order])
+    return out
 
 
 def _cut(options: PackOptions, with_ids: bool):

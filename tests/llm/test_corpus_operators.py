@@ -1,6 +1,7 @@
 """Operators over the whole corpus, against brute force."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import random
@@ -308,6 +309,50 @@ def test_scores_far_from_zero_are_exact():
     assert np.allclose(got, want.sum(axis=1) / np.log(10), rtol=1e-3)
 
 
+ODD_WORDS = ["It's  IT'S don't 's' 12 345 \x1c !!", None, "", " \u00a0 a\u00a0 \u0085 \u3000b\u2003 \u00a0 x", "\u65e5\u672c \u00e9t\u00e9 \u201cquoted\u201d a a it's"]
+
+
+def test_new_words_are_encoded_together():
+    """As one text, which once was a call a word; but for words with wide white space, which may reach over a space."""
+    words = find_words(pa.array(ODD_WORDS), lower=True)
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain, calls = encoder.batch, []
+    want = [plain([" " + words.text(i).decode()])[0] for i in range(len(words.begin))]
+    encoder.batch = lambda texts: calls.append(texts) or plain(texts)
+    for _ in range(2):
+        ids, size = encoder.of(words, " ")
+        assert ids.tolist() == [i for w in want for i in w] and size.tolist() == [len(w) for w in want]
+    assert [len(texts) for texts in calls][0] == 1 and len(calls) == 2
+    assert all(encoder.leads[w[0]] and not encoder.leads[w[1:]].any() for w in want)
+
+
+def test_texts_are_encoded_once(spark, make):
+    """Training, counting and scoring read the same ids, those of held-out texts among them; words are told apart by theirs."""
+    options = lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken"), model=attention.ModelOptions(steps=2, batch=4))
+    texts = [*ODD_WORDS, "a it's", "A  it's 345"]
+    rows = make(texts, list(range(len(texts)))).select("doc_id", "text", (F.col("doc_id") >= 5).alias("held_out"))
+    counts, known, ids = lm_score.gather(rows, options)
+    words = find_words(pa.array(texts), lower=True)
+    per_row = [[words.text(i).decode() for i in range(*words.first[k : k + 2])] for k in range(len(texts))]
+    encode = packing.Encoder(options.vocabulary).batch
+    want = [[i for w in ws for i in encode([" " + w])[0]] + [options.end] for ws in per_row]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2") for r in ids.collect()}
+    assert [got[k].tolist() for k in range(len(texts))] == want
+    flat, leads = np.concatenate([got[k] for k in range(len(texts))]).astype(np.int32), lm_score._leads(options)
+    begin, stop, keys = lm_score._word_runs(flat, leads, options.end)
+    every = [w for ws in per_row for w in ws]
+    assert [flat[a:b].tolist() for a, b in zip(begin, stop)] == [encode([" " + w])[0] for w in every]
+    assert len(set(zip(every, keys.tolist()))) == len(set(every)) == len(set(keys.tolist()))
+    counted = collections.Counter(w for ws in per_row[:5] for w in ws)
+    of = dict(zip(every, keys.view(np.int64).tolist()))
+    assert {r.hash: r.c for r in counts.collect()} == {of[w]: c for w, c in counted.items()}
+    assert (known.tokens, known.distinct, known.ends) == (sum(counted.values()) + 5, len(counted) + 1, 5)
+    assert len(known.hashes) == len(counted)
+    for limit in (0, 1, 3, len(counted) - 1):
+        some = lm_score.gather(rows, dataclasses.replace(options, frequent_limit=limit))[1]  # the most frequent words
+        assert dict(zip(some.hashes.view(np.int64).tolist(), some.counts.tolist())) == {of[w]: c for w, c in counted.items() if sum(n >= c for n in counted.values()) <= limit}
+
+
 @pytest.mark.parametrize("limit", [1 << 19, 30])
 def test_lm_scores(make, awkward, empty, limit):
     options = lm_score.ScoreOptions(public_tokenizers.path("byte_bpe_50k.tiktoken"), frequent_limit=limit, model=attention.ModelOptions(steps=30, batch=16))
